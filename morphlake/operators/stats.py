@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from morphlake.functions import tails
 from morphlake.operators.cohort import paired_pivot
@@ -60,22 +61,22 @@ def paired_statistics(samples: DataFrame, outcome: str, a: str, b: str) -> DataF
     return s.withColumns({"t": t, "df": (F.col("n_pairs") - 1).cast("double"), "se": se, "effect": F.when(F.col("sd") > 1e-12, F.col("mean_diff") / F.col("sd")).otherwise(0.0)}).join(signed)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([tails.t_two_sided(x, d) for x, d in zip(t, df, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def rank_sum_p_value(u: pd.Series, n: pd.Series, m: pd.Series, ties: pd.Series) -> pd.Series:
     return pd.Series([tails.mann_whitney(*x) for x in zip(u, n.astype(int), m.astype(int), ties, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def signed_rank_p_value(w: pd.Series, n: pd.Series, ties: pd.Series) -> pd.Series:
     return pd.Series([tails.signed_rank(*x) for x in zip(w, n.astype(int), ties, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_margin(df: pd.Series) -> pd.Series:
     return pd.Series([tails.t_quantile(0.975, d) if d and d > 0 else float("nan") for d in df], dtype="float64")
 
