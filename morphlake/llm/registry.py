@@ -23,5 +23,37 @@ def queries():
     return {f.__name__: f for f in _ALL}
 
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "regexp_extract_all(" + _LOWER.format("coalesce({}, '')") + ", '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+#: Brute force over all pairs of documents that share a shingle, and components by following links.
+_OP4 = f"""
+with recursive w as (select doc_id, {_WORDS.format("text")} as ws from documents),
+n as (select doc_id, ws, case when len(ws) = 0 then 0 else greatest(1, len(ws) - 4) end as n, array_to_string(ws, ' ') as t from w),
+g as (select distinct doc_id, case when len(ws) < 5 then t else array_to_string(ws[i:i+4], ' ') end as g from (select *, unnest(range(1, n + 1)) as i from n)),
+s as (select doc_id, count(*) as s from g group by 1),
+c as (select a.doc_id as a, b.doc_id as b, count(*) as c from g a join g b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+l as (select a, b from c join s x on x.doc_id = a join s y on y.doc_id = b where c >= 0.8 * (x.s + y.s - c) - 1e-9),
+r as (select doc_id as a, doc_id as b from n union select r.a, l.b from r join l on l.a = r.b)
+select n.doc_id, (select min(b) from r where r.a = n.doc_id) as class_id, (select count(*) from l where l.a = n.doc_id) as n_links,
+  case when n = 0 then 1 else count(*) over (partition by t) end as n_copies, n as n_shingles from n
+"""
+_OP5 = """
+with p as (select page_id, coalesce(html, '') as h from pages), q as (select *, strlen(h) as b, min(page_id) over (partition by h) as f from p)
+select page_id, b as payload_bytes, sha256(h) as payload_digest, case when b >= 100 and f <> page_id then 'revisit' else 'response' end as record_type, case when b >= 100 and f <> page_id then f end as refers_to from q
+"""
+_OP6 = f"""
+with d as (select doc_id, {_WORDS.format("text")} as ws from documents), i as (select item_id, {_WORDS.format("text")} as ws from benchmark),
+iw as (select distinct item_id, least(10, len(ws)) as n, array_to_string(ws[p:p + least(10, len(ws)) - 1], ' ') as g from (select *, unnest(range(1, greatest(2, len(ws) - 8))) as p from i where len(ws) > 0)),
+ns as (select distinct n from iw),
+dw as (select doc_id, ns.n, p, array_to_string(ws[p:p + ns.n - 1], ' ') as g from (select *, unnest(range(1, len(ws) + 1)) as p from d), ns where p + ns.n - 1 <= len(ws)),
+h as (select distinct dw.doc_id, iw.item_id, dw.p, dw.n from dw join iw on dw.n = iw.n and dw.g = iw.g),
+c as (select doc_id, count(distinct w) as n_hit from (select doc_id, unnest(range(p, p + n)) as w from h) group by 1),
+m as (select doc_id, count(*) as n_items, string_agg(x, ',' order by x) as items from (select distinct doc_id, cast(item_id as varchar) as x from h) group by 1)
+select d.doc_id, len(d.ws) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join c using (doc_id) left join m using (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_lsh_forest_join": _OP4, "op5_warc": _OP5, "op6_suffix_automaton": _OP6}
