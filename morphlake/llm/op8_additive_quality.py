@@ -167,7 +167,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Add
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("text is not null")
     rows = texts.join(F.broadcast(known), "id").mapInPandas(measure, "id long, y double, x array<double>").collect()  # at most ``sample`` ids
     rows.sort(key=lambda r: (r["id"], r["x"]))
-    return AdditiveModel(np.array([r["x"] for r in rows], dtype=np.float64).reshape(len(rows), -1), np.array([r["y"] for r in rows], dtype=np.float64))
+    return AdditiveModel(np.array([r["x"] for r in rows], dtype=np.float64).reshape(len(rows), len(FEATURES)), np.array([r["y"] for r in rows], dtype=np.float64))
 
 
 def with_score(docs: DataFrame, model: AdditiveModel, column: str = "score") -> DataFrame:
@@ -177,7 +177,7 @@ def with_score(docs: DataFrame, model: AdditiveModel, column: str = "score") ->
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in texts:
-            yield pd.Series(shared.value.score(np.array([features(t) for t in encode(s)], dtype=np.float64).reshape(len(s), -1)))
+            yield pd.Series(shared.value.score(np.array([features(t) for t in encode(s)], dtype=np.float64).reshape(len(s), len(FEATURES))))
 
     return docs.withColumn(column, score(F.col("text")))
 
