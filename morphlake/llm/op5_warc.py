@@ -1,19 +1,20 @@
-"""WARC archives with an index written first: offset, length, URL and digest of every record.
+"""WARC archives with an index: offset, length, URL and digest of every record.
 
-Archives are written by Spark's text writer: a record is one row whose text ends in CR LF CR and the line separator adds
-the last LF, so every file is a plain WARC 1.1 file and every write is committed or not at all. Records are numbered
-within an archive before writing, so the running sum of their byte lengths is the index, and the archive need not be
-scanned. A reader sorts the selected index rows by file and offset, coalesces ranges that lie close together, and reads
-each coalesced range once.
+Archives are .warc.gz files of one gzip member a record, so that a record can be read alone. A task writes the records of
+its archives in order to a new file, which is moved to its name when whole, and returns the index rows; the index table
+is written from these. A task that runs again writes the same bytes. A reader needs only the index: it sorts the
+selected rows by file and offset, coalesces ranges that lie close together, and reads each coalesced range once.
 """
 
 from __future__ import annotations
 
+import gzip
+import hashlib
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from morphlake.llm.shared import shared_folder, table
@@ -21,44 +22,58 @@ from morphlake.llm.shared import shared_folder, table
 SHORTEST_REVISIT = 100
 DATE = "2024-01-01T00:00:00Z"
 INDEX = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, archive int, offset long, length long"
+HOT_DIGESTS = 1000
 
 
-def _records(pages: DataFrame, shortest: int) -> DataFrame:
-    """Each page with payload, digest and the page it revisits; of equal rows one is the response."""
+def _records(pages: DataFrame, shortest: int, archive_bytes: int) -> DataFrame:
+    """Each page with its archive, payload (null where it isn't stored), digest and the page it revisits.
+
+    Equal payloads go to one archive, where a window finds the first. A payload that more than 1 / HOT_DIGESTS of all
+    rows have (so at most HOT_DIGESTS payloads) is found by a count before: only its first row carries it, the others
+    are spread over all archives without it. Payloads are moved once.
+    """
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"))
     octets = F.encode("payload", "UTF-8")
     rows = rows.withColumns({"bytes": F.octet_length(octets).cast("long"), "digest": F.sha2(octets, 256), "row": F.monotonically_increasing_id()})
+    total, n = rows.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count(F.lit(1))).first()
+    archives = max(1, -(-int(total) // archive_bytes), min(int(n), 2 * pages.sparkSession.sparkContext.defaultParallelism))
     order = F.struct(F.col("page_id").isNull(), F.col("page_id"), F.col("row"))
-    first = rows.where(F.col("bytes") >= shortest).groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    first = first.select("digest", F.col("first.page_id").alias("first_page"), F.col("first.row").alias("first_row"))
-    rows = rows.join(first, "digest", "left")
-    revisit = F.col("first_row").isNotNull() & (F.col("bytes") >= shortest) & (F.col("row") != F.col("first_row"))
-    return rows.withColumns({"type": F.when(revisit, "revisit").otherwise("response"), "refers_to": F.when(revisit, F.col("first_page"))})
+    hot = rows.where(F.col("bytes") >= shortest).groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > max(100, n // HOT_DIGESTS))
+    hot = hot.select("digest", F.col("first.page_id").alias("hot_page"), F.col("first.row").alias("hot_row"))
+    rows = rows.join(F.broadcast(hot), "digest", "left")
+    again = F.col("hot_row").isNotNull() & (F.col("row") != F.col("hot_row"))
+    place = F.when(again | (F.col("bytes") < shortest), F.xxhash64("row")).otherwise(F.xxhash64("digest"))
+    rows = rows.withColumns({"again": again, "archive": F.pmod(place, F.lit(archives)).cast("int"), "payload": F.when(~again, F.col("payload"))})
+    same = Window.partitionBy("archive", "digest", "again").orderBy(F.col("page_id").asc_nulls_last(), "row")
+    late = (F.col("bytes") >= shortest) & (F.row_number().over(same) > 1) & ~F.col("again")
+    rows = rows.repartition("archive").withColumns({"late": late, "first_page": F.first("page_id").over(same)})
+    revisit = F.col("late") | F.col("again")
+    return rows.select(
+        "archive", "page_id", "url", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(F.col("again"), F.col("hot_page")).when(F.col("late"), F.col("first_page")).alias("refers_to"),
+        F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.when(~revisit, F.col("payload")).alias("payload"), "row",
+    )
 
 
-def _uuid(of: Column) -> Column:
-    h = F.md5(of.cast("binary"))
-    return F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+def _record_id(page: object, digest: str) -> str:
+    return f"<urn:uuid:{uuid.UUID(hashlib.md5(f'{page}|{digest}'.encode()).hexdigest())}>"
 
 
-def _line(name: str, value: Column | str) -> list[Column]:
-    return [F.lit(f"{name}: "), F.lit(value) if isinstance(value, str) else value, F.lit("\r\n")]
+def _member(page: int | None, url: str, kind: str, refers_to: int | None, size: int, digest: str, payload: str | None, date: str) -> bytes:
+    """A record as one gzip member."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: {size}\r\n\r\n".encode()
+    block = http + (payload.encode("utf-8", "surrogatepass") if kind == "response" else b"")
+    revisit = f"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: {_record_id(refers_to, digest)}\r\n" if kind == "revisit" else ""
+    clean = url.replace("\r", "").replace("\n", "")
+    head = (
+        f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: {_record_id(page, digest)}\r\nWARC-Date: {date}\r\nWARC-Target-URI: {clean}\r\nWARC-Payload-Digest: sha256:{digest}\r\n"
+        f"{revisit}Content-Type: application/http;msgtype=response\r\nContent-Length: {len(block)}\r\n\r\n"
+    )
+    return gzip.compress(head.encode("utf-8", "surrogatepass") + block + b"\r\n\r\n", compresslevel=6, mtime=0)
 
 
-def _text(archive_date: str) -> Column:
-    """The whole record but for its last line feed."""
-    clean = F.regexp_replace("url", r"[\r\n]", "")
-    ident = lambda page: F.concat(F.lit("<urn:uuid:"), _uuid(F.concat_ws("|", F.lit("page"), F.coalesce(page.cast("string"), F.lit("-")), F.col("digest"))), F.lit(">"))
-    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit("\r\n\r\n"))
-    revisit = F.col("type") == "revisit"
-    block = F.octet_length(F.encode(http, "UTF-8")) + F.when(revisit, 0).otherwise(F.col("bytes"))
-    more = F.concat(*_line("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), *_line("WARC-Refers-To", ident(F.col("refers_to"))))
-    head = F.concat(
-        F.lit("WARC/1.1\r\n"), *_line("WARC-Type", F.col("type")), *_line("WARC-Record-ID", ident(F.col("page_id"))), *_line("WARC-Date", archive_date), *_line("WARC-Target-URI", clean),
-        *_line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))), F.when(revisit, more).otherwise(""), *_line("Content-Type", "application/http;msgtype=response"), *_line("Content-Length", block.cast("string")), F.lit("\r\n"),
-    )
-    return F.concat(head, http, F.when(revisit, "").otherwise(F.col("payload")), F.lit("\r\n\r"))
+def _archive_name(number: int) -> str:
+    return f"archive-{number:06d}.warc.gz"
 
 
 def write_archives(pages: DataFrame, folder: str, shortest: int = SHORTEST_REVISIT, archive_bytes: int = 64 << 20, date: str = DATE) -> DataFrame:
@@ -69,20 +84,38 @@ def write_archives(pages: DataFrame, folder: str, shortest: int = SHORTEST_REVIS
     line breaks in URLs are left out of the header. Extra columns are not archived; an empty table gives no archive.
     """
     spark = pages.sparkSession
-    records = _records(pages, shortest).withColumn("value", _text(date))
-    records = records.withColumn("length", F.octet_length("value").cast("long") + 1)
-    total = pages.agg(F.coalesce(F.sum(F.octet_length("html") + 600), F.lit(0)), F.count(F.lit(1))).first()
-    archives = max(1, -(-int(total[0]) // archive_bytes), min(int(total[1]), 2 * spark.sparkContext.defaultParallelism))
-    records = records.withColumn("archive", F.pmod(F.xxhash64("page_id", "digest", "row"), F.lit(archives)).cast("int"))
-    order = Window.partitionBy("archive").orderBy("page_id", "digest", "row")
-    placed = records.select(
-        "page_id", "url", F.col("type").alias("record_type"), "refers_to", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "archive", "value", "length",
-        (F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("length")).alias("offset"),
-    )
-    placed = placed.persist()
-    placed.select(*[c.split()[0] for c in INDEX.split(", ")]).write.parquet(f"{folder}/index")
-    placed.select("archive", "offset", "value").sortWithinPartitions("archive", "offset").select("archive", "value").write.partitionBy("archive").option("lineSep", "\n").text(f"{folder}/archives")
-    placed.unpersist()
+    schema = [c.split()[0] for c in INDEX.split(", ")]
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(f"{folder}/archives")
+        out, now, name, at = None, None, "", 0
+
+        def close() -> None:
+            if out is not None:
+                out.close()
+                system.move(name, f"{base}/{_archive_name(now)}")
+
+        for pdf in batches:
+            offsets, lengths = [], []
+            for r in pdf.itertuples(index=False):
+                if r.archive != now:
+                    close()
+                    system.create_dir(base, recursive=True)
+                    now, name, at = r.archive, f"{base}/{uuid.uuid4().hex}.part", 0
+                    out = system.open_output_stream(name)
+                page, refers = (None if pd.isna(v) else int(v) for v in (r.page_id, r.refers_to))
+                member = _member(page, r.url, r.record_type, refers, r.payload_bytes, r.payload_digest, r.payload, date)
+                out.write(member)
+                offsets.append(at)
+                lengths.append(len(member))
+                at += len(member)
+            yield pdf.assign(offset=offsets, length=lengths)[schema]
+        close()
+
+    records = _records(pages, shortest, archive_bytes).sortWithinPartitions("archive", "page_id", "row")
+    records.mapInPandas(write, INDEX).write.parquet(f"{folder}/index")
     return spark.read.schema(INDEX).parquet(f"{folder}/index")
 
 
@@ -103,21 +136,17 @@ def read_records(selected: DataFrame, folder: str, gap: int = 64 << 10, most: in
     record is read alone). Files are opened by their URI in the shared file system.
     """
     spark = selected.sparkSession
-    files = spark.read.format("binaryFile").load(f"{folder}/archives/*/*").select("path").withColumn("archive", F.regexp_extract("path", r"archive=(\d+)/", 1).cast("int"))
-    asked = selected.join(files, "archive")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    asked = asked.repartition(parts, "path").sortWithinPartitions("path", "offset")
+    asked = selected.repartition(parts, "archive").sortWithinPartitions("archive", "offset")
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import hashlib
-
         from pyarrow import fs
 
+        system, base = fs.FileSystem.from_uri(f"{folder}/archives")
         for pdf in batches:
-            for path, rows in pdf.groupby("path", sort=False):
-                system, inner = fs.FileSystem.from_uri(path)
+            for number, rows in pdf.groupby("archive", sort=False):
                 out = []
-                with system.open_input_file(inner) as source:
+                with system.open_input_file(f"{base}/{_archive_name(number)}") as source:
                     starts, sizes = rows["offset"].tolist(), rows["length"].tolist()
                     i = 0
                     while i < len(starts):
@@ -127,19 +156,19 @@ def read_records(selected: DataFrame, folder: str, gap: int = 64 << 10, most: in
                             j += 1
                         chunk = source.read_at(end - starts[i], starts[i])
                         for k in range(i, j):
-                            fields, payload = _parse(chunk[starts[k] - starts[i] : starts[k] - starts[i] + sizes[k]])
+                            fields, payload = _parse(gzip.decompress(chunk[starts[k] - starts[i] : starts[k] - starts[i] + sizes[k]]))
                             whole = fields["WARC-Type"] == "response"
                             digest = hashlib.sha256(payload).hexdigest() if whole else fields["WARC-Payload-Digest"].removeprefix("sha256:")
                             out.append((fields["WARC-Type"], len(payload) if whole else int(fields["content-length"]), digest))
                         i = j
                 found = pd.DataFrame(out, columns=["read_type", "read_bytes", "read_digest"], index=rows.index)
-                yield pd.concat([rows.drop(columns=["path"]), found], axis=1)
+                yield pd.concat([rows, found], axis=1)
 
-    return asked.mapInPandas(fetch, "archive int, " + INDEX.replace(", archive int", "") + ", read_type string, read_bytes long, read_digest string")
+    return asked.mapInPandas(fetch, INDEX + ", read_type string, read_bytes long, read_digest string")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     index = write_archives(table(spark, sf_dir, "pages"), folder)
     read = read_records(index, folder)
-    return read.select("page_id", F.col("read_bytes").alias("payload_bytes"), F.col("read_digest").alias("payload_digest"), F.col("read_type").alias("record_type"), "refers_to", "url", "archive", "offset", "length")
+    return read.select("page_id", F.col("read_bytes").alias("payload_bytes"), F.col("read_digest").alias("payload_digest"), F.col("read_type").alias("record_type"), "refers_to")
