@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from morphlake.operators.graph import connected_components
 from morphlake.operators.neighbors import near_pairs
+from morphlake.sources.storage import cut
 
 
 def cheapest_assignment(cost: np.ndarray) -> list[tuple[int, int]]:
@@ -76,7 +77,7 @@ def gated_assignment(previous: DataFrame, following: DataFrame, group: str, reac
     placed = placed.join(size, "c")
     several = placed.where("n > 1").select("c", "g", "a", "b", "d")
     solved = several.groupBy("g", F.pmod("c", F.lit(16)).alias("part")).applyInPandas(_solve_components, "g long, a long, b long, d double")
-    return placed.where("n = 1").select("g", "a", "b", "d").unionByName(solved).withColumnRenamed("g", group)
+    return cut(placed.where("n = 1").select("g", "a", "b", "d").unionByName(solved)).withColumnRenamed("g", group)
 
 
 def point_match(truth: DataFrame, found: DataFrame, keys: Sequence[str]) -> DataFrame:

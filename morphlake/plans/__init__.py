@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES = ("region_queries", "cohort_queries", "evaluation_queries", "spatial_queries", "pixel_queries")
+FAMILIES = ("region_queries", "cohort_queries", "evaluation_queries", "spatial_queries", "pixel_queries", "tile_queries")
 
 
 def registered() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:

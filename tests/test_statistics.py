@@ -149,3 +149,31 @@ def test_split_gate(spark):
     data = [("a", s, r, f1, f1, 1) for s, n, f1 in (("dev", 4, 0.7), ("locked_eval", 2, 0.6)) for r in range(n)] + [("b", s, r, f1, f1, 1) for s, n, f1 in (("dev", 4, 0.7), ("locked_eval", 2, 0.4)) for r in range(n)]
     out = evaluation.split_summary_gate(spark.createDataFrame(data, "config_id string, split string, roi_id int, f1 double, recall double, count_mae int"))
     assert rows(out, "config_id", "passed") == [("a", True), ("b", False)]
+
+
+def test_tiles_are_put_together(spark):
+    from morphlake.operators import tiles
+
+    label = np.zeros((32, 32), dtype=int)
+    label[3:9, 8:24], label[20:28, 4:12] = 1, 2
+    w = tiles.tile_windows(spark.createDataFrame([(1, 32, 32)], "image_no int, height int, width int"), "image_no", 16, 8)
+    data = []
+    for r in w.collect():
+        for y in range(r.y0, r.y1):
+            for x in range(r.x0, r.x1):
+                data.append((1, r.tile, y, x, int(label[y, x])))
+    out = tiles.stitch_tiles(spark.createDataFrame(data, "image_no int, tile long, y int, x int, label int"), w)
+    sizes = sorted(r["n"] for r in out.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect())
+    assert sizes == [64, 96]
+
+
+def test_void_and_hull(spark):
+    from morphlake.operators import tiles
+
+    on = np.ones((20, 20), dtype=int)
+    on[8:12, 9:13], on[0:2, 0:2] = 0, 0
+    mask = spark.createDataFrame([(1, y, x, int(on[y, x])) for y in range(20) for x in range(20)], "g long, y int, x int, on int")
+    assert [(r.cy, r.cx) for r in tiles.void_landmark(mask, "g", 20, 20).collect()] == [(9.5, 10.5)]
+    ell = [(1, y, x, 1) for y in range(4) for x in range(4) if y < 2 or x < 2]
+    got = tiles.solidity(spark.createDataFrame(ell, "g long, y int, x int, label long"), "g").first()
+    assert got.solidity == pytest.approx(12 / 14)
