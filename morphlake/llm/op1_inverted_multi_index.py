@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from morphlake.llm.shared import table
 
-BLOCK = 512
+CHUNK, PART = 128, 250_000
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -107,44 +107,62 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, codewords: int =
         held[r["cell"]] = r["count"]
     counts = spark.sparkContext.broadcast(held)
     enough = max(least, math.ceil(fraction * int(held.sum())))
-    blocks = np.maximum(1, -(-held // BLOCK))
 
     def probes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         one, two = shared.value
         for pdf in batches:
-            if not len(pdf):
-                continue
-            x = np.array(pdf["v"].tolist(), dtype=np.float64)
-            a, b = _squares(x[:, :split], one), _squares(x[:, split:], two)
-            for i in range(len(pdf)):
-                visit = visit_order(a[i], b[i], counts.value, enough)
-                yield pd.DataFrame({"query_id": pdf["vec_id"].iloc[i], "cell": visit})
-
-    of_cell = F.get(F.lit([int(b) for b in blocks]), F.col("cell"))
-    lists = entries.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), of_cell).cast("int"))
-    lists = lists.groupBy("cell", "block").agg(F.collect_list(F.struct("vec_id", "v")).alias("entries"))
-    asked = queries.select("vec_id", "v").mapInPandas(probes, "query_id long, cell int")
-    asked = asked.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(64)))
-    asked = asked.join(queries.select(F.col("vec_id").alias("query_id"), "v"), "query_id")
-    asked = asked.groupBy("cell", "chunk").agg(F.collect_list(F.struct("query_id", "v")).alias("queries"))
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), of_cell - 1)))
+            if len(pdf):
+                x = np.array(pdf["v"].tolist(), dtype=np.float64)
+                a, b = _squares(x[:, :split], one), _squares(x[:, split:], two)
+                yield pdf.assign(cells=[visit_order(p, q, counts.value, enough) for p, q in zip(a, b, strict=True)])
+
+    chunks = max(1, -(-queries.count() // CHUNK))
+    parts = max(1, -(-enough // PART))
+    asked = queries.select("vec_id", "v").mapInPandas(probes, "vec_id long, v array<double>, cells array<int>")
+    asked = asked.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int")).persist()
+    visited = asked.select("chunk", F.explode("cells").alias("cell")).distinct()
+    met = entries.join(visited, "cell").withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), F.lit(parts)).cast("int"))
+    everywhere = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    stream = everywhere.select("chunk", "part", F.lit(0).alias("kind"), "vec_id", "v", "cells").unionByName(met.select("chunk", "part", F.lit(1).alias("kind"), "vec_id", "v", F.array("cell").alias("cells")))
+    stream = stream.repartition("chunk", "part").sortWithinPartitions("chunk", "part", "kind")
 
     def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The best k of each query of a (chunk, part), whose queries come before its entries."""
+        now, wanted = None, []
+
+        def done() -> Iterator[pd.DataFrame]:
+            for q in wanted:
+                if len(q["ids"]):
+                    yield pd.DataFrame({"query_id": q["id"], "vec_id": q["ids"], "score": q["d"]})
+
         for pdf in batches:
-            for found, wanted in zip(pdf["entries"], pdf["queries"], strict=True):
-                ids = np.array([-1 if e["vec_id"] is None else e["vec_id"] for e in found], dtype=np.int64)
-                order = np.argsort(ids, kind="stable")
-                ids, x = ids[order], np.array([e["v"] for e in found], dtype=np.float64)[order]
-                out = []
-                for q in wanted:
-                    d = np.sqrt(((x - np.asarray(q["v"], dtype=np.float64)) ** 2).sum(axis=1))
-                    d[ids == q["query_id"]] = np.inf
-                    best = np.argsort(d, kind="stable")[:k]
-                    best = best[np.isfinite(d[best])]
-                    out.append(pd.DataFrame({"query_id": q["query_id"], "vec_id": ids[best], "score": d[best]}))
-                yield pd.concat(out, ignore_index=True)
-
-    near = asked.join(lists, ["cell", "block"]).select("queries", "entries").mapInPandas(rank, "query_id long, vec_id long, score double")
+            for group, rows in pdf.groupby(["chunk", "part"], sort=False):
+                if group != now:
+                    yield from done()
+                    now, wanted = group, []
+                for q in rows[rows["kind"] == 0].itertuples():
+                    seen = np.zeros(len(held), dtype=bool)
+                    seen[np.asarray(q.cells, dtype=np.int64)] = True
+                    wanted.append({"id": q.vec_id, "v": np.asarray(q.v, dtype=np.float64), "seen": seen, "ids": np.zeros(0, dtype=np.int64), "d": np.zeros(0)})
+                rows = rows[rows["kind"] == 1]
+                if len(rows):
+                    ids, x = rows["vec_id"].to_numpy(), np.array(rows["v"].tolist(), dtype=np.float64)
+                    cell = np.array([c[0] for c in rows["cells"]], dtype=np.int64)
+                    near = np.sqrt(_squares(np.array([q["v"] for q in wanted]), x))
+                    for q, about in zip(wanted, near, strict=True):
+                        limit = q["d"][-1] if len(q["d"]) == k else np.inf
+                        if limit == np.inf and len(about) > k:
+                            allowed = np.where(q["seen"][cell] & (ids != q["id"]), about, np.inf)
+                            limit = np.partition(allowed, k - 1)[k - 1]
+                        take = np.flatnonzero(q["seen"][cell] & (ids != q["id"]) & (about <= limit + 1e-6 * (1 + about)))
+                        if len(take):
+                            d = np.append(q["d"], np.sqrt(((x[take] - q["v"]) ** 2).sum(axis=1)))
+                            own = np.append(q["ids"], ids[take])
+                            best = np.lexsort((own, d))[:k]
+                            q["ids"], q["d"] = own[best], d[best]
+        yield from done()
+
+    near = stream.mapInPandas(rank, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
