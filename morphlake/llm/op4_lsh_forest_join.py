@@ -21,7 +21,7 @@ from morphlake.llm.shared import cut, table
 from morphlake.llm.textblocks import alphanumeric_words, encode, mix, word_hashes
 
 WORDS, THRESHOLD = 5, 0.8
-TREES, DEEPEST, TARGET_RECALL = 16, 6, 0.998
+TREES, DEEPEST, TARGET_RECALL = 16, 6, 0.9997
 MARGIN = 0.2
 BLOCK = 256
 
@@ -53,8 +53,8 @@ def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     kept, rng = alphanumeric_words(), np.random.default_rng(11)
     factors = rng.integers(1, 1 << 63, TREES * DEEPEST, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     for whole in batches:
-        for start in range(0, len(whole), 256):
-            pdf = whole.iloc[start : start + 256]
+        for start, end in _slices(whole["text"].tolist()):
+            pdf = whole.iloc[start:end]
             words, counts = word_hashes(encode(pdf["text"]), kept)
             grams, number = shingles(words, counts)
             has, begins = number > 0, (np.cumsum(number) - number)[number > 0]
@@ -66,6 +66,19 @@ def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "k1": k1, "k2": k2, "n": number, "signature": [s.tobytes() for s in signature]})
 
 
+def _slices(texts: list, rows: int = 256, chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of at most so many texts and characters (a longer text alone), which bounds a step's arrays."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        n = len(t) if isinstance(t, str) else 0
+        if i > start and (i - start >= rows or size + n > chars):
+            yield start, i
+            start, size = i, 0
+        size += n
+    if texts:
+        yield start, len(texts)
+
+
 def sequence_keys(grams: np.ndarray, number: np.ndarray) -> list[np.ndarray]:
     """Two hashes of each document's word sequence: sums over its shingles, each hashed together with its place."""
     starts, has, keys = np.cumsum(number) - number, number > 0, []
@@ -168,6 +181,17 @@ def _links_in(grams: np.ndarray, number: np.ndarray, threshold: float) -> np.nda
     return linked
 
 
+def _own_shingles(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles of all rows, their numbers, and whether a row's text is the one that its representative stands for."""
+    kept, parts = alphanumeric_words(), []
+    texts = rows["text"].tolist()
+    for start, end in _slices(texts):
+        grams, number = shingles(*word_hashes(encode(texts[start:end]), kept))
+        parts.append((grams, number, sequence_keys(grams, number)[0]))
+    grams, number, keys = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    return grams, number, keys == rows["k1"].to_numpy()
+
+
 def _compare(threshold: float):
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Exact links of the representatives of block i with those of block j (or among one block's)."""
@@ -175,9 +199,7 @@ def _compare(threshold: float):
             out = []
             for chunk in _chunks(groups, 512):
                 all_rows = pd.concat(chunk, ignore_index=True)
-                words, counts = word_hashes(encode(all_rows["text"]), alphanumeric_words())
-                grams, number = shingles(words, counts)
-                own = sequence_keys(grams, number)[0] == all_rows["k1"].to_numpy()
+                grams, number, own = _own_shingles(all_rows)
                 at, gram_at = 0, np.concatenate([[0], np.cumsum(number)])
                 for g in chunk:
                     rows = np.arange(at, at + len(g))[own[at : at + len(g)]]
