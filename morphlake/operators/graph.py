@@ -75,9 +75,9 @@ def suppress_min_distance(points: DataFrame, group: str, order: Sequence[Column]
         open_ = state.where("state = 0").select(group, "r")
         live = edges.join(open_.withColumnRenamed("r", "later"), [group, "later"], "left_semi")
         blocked = live.join(open_.withColumnRenamed("r", "earlier"), [group, "earlier"], "left_semi").select(group, F.col("later").alias("r")).distinct()
-        kept = open_.join(blocked, [group, "r"], "left_anti").withColumn("k", F.lit(1))
-        gone = edges.join(kept.select(group, F.col("r").alias("earlier")), [group, "earlier"], "left_semi").select(group, F.col("later").alias("r")).distinct().withColumn("g", F.lit(1))
-        state = cut(state.join(kept, [group, "r"], "left").join(gone, [group, "r"], "left").select(group, "r", F.when(F.col("state") != 0, F.col("state")).when(F.col("k") == 1, 1).when(F.col("g") == 1, -1).otherwise(0).alias("state")))
+        kept = open_.join(blocked, [group, "r"], "left_anti").withColumn("__kept", F.lit(1))
+        gone = edges.join(kept.select(group, F.col("r").alias("earlier")), [group, "earlier"], "left_semi").select(group, F.col("later").alias("r")).distinct().withColumn("__gone", F.lit(1))
+        state = cut(state.join(kept, [group, "r"], "left").join(gone, [group, "r"], "left").select(group, "r", F.when(F.col("state") != 0, F.col("state")).when(F.col("__kept") == 1, 1).when(F.col("__gone") == 1, -1).otherwise(0).alias("state")))
         if not state.where("state = 0").limit(1).count():
             return ranked.join(state.where("state = 1").select(group, F.col("r").alias("__rank")), [group, "__rank"], "left_semi").drop("__rank")
     raise RuntimeError(f"suppression has not ended in {rounds} rounds")
