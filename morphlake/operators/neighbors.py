@@ -40,13 +40,14 @@ def radius_neighbor_counts(points: DataFrame, group: str, radii: Sequence[float]
     return filled.select(group, "id", F.inline(rows))
 
 
-def nearest(left: DataFrame, right: DataFrame, group: str, radius: float, different: bool = False, keys: Sequence[str] = ()) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, group: str, radius: float, different: bool = False, keys: Sequence[str] = (), fewer_right: bool = False) -> DataFrame:
     """(group, a, [keys of right], d, b): the nearest right point of each left point (and key); ties to the smaller id.
 
     Most are found by the grid; a point without any within ``radius`` is compared with its whole group, which is few rows
-    where the radius suits the density. Points of groups without a partner are left out.
+    where the radius suits the density. Points of groups without a partner are left out. With ``fewer_right`` the right
+    points look into the cells around them, for the same pairs.
     """
-    pairs = near_pairs(left, right, group, radius)
+    pairs = near_pairs(right, left, group, radius).select(group, F.col("b").alias("a"), F.col("a").alias("b"), "d2") if fewer_right else near_pairs(left, right, group, radius)
     if keys:
         pairs = pairs.join(right.select(group, F.col("id").alias("b"), *keys), [group, "b"])
     pairs = pairs.where("a <> b") if different else pairs
@@ -100,11 +101,13 @@ def overlap_details(pairs: DataFrame) -> DataFrame:
 
 
 def mask_lookup_filter(points: DataFrame, mask: DataFrame, group: str, width: int, height: int, keep: bool = True) -> DataFrame:
-    """Points whose pixel (rounded half-even, clipped to the image) is (or is not) in ``mask`` (group, y, x)."""
+    """Points whose pixel (rounded half-even, clipped to the image) is (or is not) in ``mask`` (group, y, x); a mask without group is every group's."""
     clipped = lambda c, n: F.least(F.greatest(F.rint(c), F.lit(0.0)), F.lit(float(n - 1))).cast("bigint")
     placed = points.withColumns({"__px": clipped("x", width), "__py": clipped("y", height)})
-    m = mask.select(F.col(group).alias("__g"), F.col("x").cast("bigint").alias("__mx"), F.col("y").cast("bigint").alias("__my"))
-    on = (F.col(group) == F.col("__g")) & (F.col("__px") == F.col("__mx")) & (F.col("__py") == F.col("__my"))
+    own = group in mask.columns
+    m = mask.select(*[F.col(group).alias("__g")] * own, F.col("x").cast("bigint").alias("__mx"), F.col("y").cast("bigint").alias("__my"))
+    on = (F.col("__px") == F.col("__mx")) & (F.col("__py") == F.col("__my"))
+    on = (F.col(group) == F.col("__g")) & on if own else on
     return placed.join(m, on, "left_semi" if keep else "left_anti").drop("__px", "__py")
 
 

@@ -36,9 +36,16 @@ def domain_border(domain: DataFrame, group: str, width: int, height: int, step:
 def boundary_distance(points: DataFrame, domain: DataFrame, group: str, width: int, height: int, step: int = 1, reach: float = 64.0) -> DataFrame:
     """(group, id, boundary): from each point's lattice pixel (half-even, clipped) to the nearest pixel outside the domain.
 
-    Only border pixels are candidates; where a point has none within ``reach`` all of its image's border is searched.
+    Only border pixels are candidates; where a point has none within ``reach`` all of its image's border is searched. A
+    domain without ``group`` is every group's: each lattice pixel that holds a point is then searched for once.
     """
     placed = points.select(group, "id", clip(F.rint(F.col("x") / step) * step, 0.0, float(width - step)).alias("x"), clip(F.rint(F.col("y") / step) * step, 0.0, float(height - step)).alias("y"))
+    if group not in domain.columns:
+        one = F.lit(0).alias("__all")
+        spots = placed.select("x", "y").distinct().select(one, F.struct("x", "y").alias("id"), "x", "y")
+        found = boundary_distance(spots, domain.select(one, "x", "y"), "__all", width, height, step, reach)
+        found = found.select(F.col("id.x").alias("__x"), F.col("id.y").alias("__y"), "boundary")
+        return placed.join(found, F.col("x").eqNullSafe(F.col("__x")) & F.col("y").eqNullSafe(F.col("__y"))).select(group, "id", "boundary")
     edge = domain_border(domain, group, width, height, step).withColumn("id", F.xxhash64("x", "y"))
     found = nearest(placed, edge, group, reach).select(group, F.col("a").alias("id"), F.col("d").alias("boundary"))
     inside = placed.join(domain.select(group, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), [group, "x", "y"], "left_semi").select(group, "id")
@@ -99,7 +106,7 @@ def region_points(objects: DataFrame, group: str, axes: Sequence[str]) -> DataFr
 def voronoi_cells(points: DataFrame, domain: DataFrame, group: str, pixel_px: float, reach: float = 64.0) -> DataFrame:
     """Area of the domain nearest to each point (ties to the smaller id); points without any pixel have none."""
     pixels = domain.select(group, F.struct("x", "y").alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    owner = nearest(pixels, points, group, reach)
+    owner = nearest(pixels, points, group, reach, fewer_right=True)
     return owner.groupBy(group, F.col("b").alias("id")).agg((F.count(F.lit(1)) * pixel_px).alias("area"))
 
 
@@ -114,7 +121,7 @@ def voronoi_regularity(cells: DataFrame, group: str, sample: bool = True) -> Dat
 def legacy_vdri(points: DataFrame, frame: DataFrame, group: str, pixel_px: float, low: Column, high: Column) -> DataFrame:
     """The older regularity: cells that touch the image frame are left out, population deviation, 0 where undefined."""
     pixels = frame.select(group, F.struct("x", "y").alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    owner = nearest(pixels, points, group, 64.0).withColumn("edge", F.least("a.x", "a.y") <= low).withColumn("edge", F.col("edge") | (F.greatest("a.x", "a.y") >= high))
+    owner = nearest(pixels, points, group, 64.0, fewer_right=True).withColumn("edge", F.least("a.x", "a.y") <= low).withColumn("edge", F.col("edge") | (F.greatest("a.x", "a.y") >= high))
     cells = owner.groupBy(group, F.col("b").alias("id")).agg((F.count(F.lit(1)) * pixel_px).alias("area"), F.bool_or("edge").alias("edge")).where("not edge")
     return points.select(group).distinct().join(voronoi_regularity(cells, group, sample=False).select(group, "vdri"), group, "left").fillna(0.0, ["vdri"])
 
@@ -123,10 +130,11 @@ def csr_envelope(points: DataFrame, domain: DataFrame, areas: DataFrame, group:
     """Observed L at each radius with its 2.5 and 97.5 percent envelope over ``sims`` random draws of domain pixels.
 
     A draw takes the n pixels of smallest hash of (seed, simulation, pixel), so it is the same on every run; simulations
-    are keys of one job. Adds outside, and the global p of the largest deviation.
+    are keys of one job. A domain without ``group`` is every group's. Adds outside, and the global p of the largest deviation.
     """
     n = points.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    draws = domain.select(group, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(sims))))
+    pixels = domain if group in domain.columns else n.select(group).crossJoin(F.broadcast(domain))
+    draws = pixels.select(group, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(sims))))
     order = Window.partitionBy(group, "sim").orderBy(F.xxhash64(F.lit(seed), "sim", group, "x", "y"))
     drawn = draws.withColumn("id", F.row_number().over(order).cast("bigint")).join(n, group).where("id <= n")
     key = F.concat_ws("#", F.col(group).cast("string"), F.col("sim").cast("string"))
@@ -145,11 +153,14 @@ def csr_envelope(points: DataFrame, domain: DataFrame, areas: DataFrame, group:
     return out.withColumn("outside", (F.col("l_obs") < F.col("low")) | (F.col("l_obs") > F.col("high")))
 
 
-def spatial_summary(points: DataFrame, domain: DataFrame, group: str, radii: Sequence[float], width: int, height: int, step: int = 1) -> tuple[DataFrame, DataFrame]:
-    """One row a domain (points, area, status, Voronoi regularity) and one a requested radius (L and g; null where unused)."""
+def spatial_summary(points: DataFrame, domain: DataFrame, group: str, radii: Sequence[float], width: int, height: int, step: int = 1, shared: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """One row a domain (points, area, status, Voronoi regularity) and one a requested radius (L and g; null where unused).
+
+    shared: the domain without ``group``, where all groups have the same one; boundary distances then need no row for each.
+    """
     pixel = float(step * step)
     areas = domain.groupBy(group).agg((F.count(F.lit(1)) * pixel).alias("area_px"))
-    edge = boundary_distance(points, domain, group, width, height, step)
+    edge = boundary_distance(points, domain if shared is None else shared, group, width, height, step)
     radius = usable_radii(edge, group, radii)
     used = radius.select(group, F.explode("radii_used").alias("radius"))
     counts = radius_neighbor_counts(points, group, radii).join(used, [group, "radius"], "left_semi")

@@ -170,8 +170,7 @@ def g4_pixel_components(spark, d):
 
 def a18_density_grid(spark, d):
     cells = spark.range(16).select((F.col("id") * 64.0).alias("x")).crossJoin(spark.range(16).select((F.col("id") * 64.0).alias("y")))
-    images = b.table(spark, d, "supplier").where("s_suppkey % 25 = 1").select(F.col("s_suppkey").alias("image_no"))
-    grid = images.crossJoin(F.broadcast(cells))
+    grid = b.images(spark, d).crossJoin(F.broadcast(cells))
     return pixels.density_grid(rq._points(spark, d), grid, "image_no", 50.0).select("image_no", "x", "y", R("density"))
 
 

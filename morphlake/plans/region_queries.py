@@ -96,7 +96,7 @@ def p11_filter_split(spark, d):
 
 def p12_mask_lookup_filter(spark, d):
     points = b.objects(spark, d).select("image_no", F.col("object_id").alias("id"), (F.floor(F.col("centroid_x_px") / 8) * 8.0 + 0.5).alias("x"), (F.floor(F.col("centroid_y_px") / 8) * 8 + 0.0).alias("y"))
-    return neighbors.mask_lookup_filter(points, b.tissue(spark, d), "image_no", 1024, 1024).select("image_no", "id")
+    return neighbors.mask_lookup_filter(points, b.lattice(spark), "image_no", 1024, 1024).select("image_no", "id")
 
 
 def p16_snap_roi(spark, d):

@@ -24,17 +24,16 @@ _CNT = ", g as (select image_no, id, radius, count(*) as k from q, r where d2 <=
 _AREA = ", ar as (select image_no, count(*)*64.0::double as area from tissue group by 1)"
 
 
-def _points(spark, d, tissue_only=False):
-    p = rq._points(spark, d).select("image_no", "id", "x", "y")
-    return p.where("image_no % 25 = 1") if tissue_only else p
+def _points(spark, d):
+    return rq._points(spark, d).select("image_no", "id", "x", "y")
 
 
 def _edge(spark, d):
-    return spatial.boundary_distance(_points(spark, d, True), b.tissue(spark, d), "image_no", 1024, 1024, 8)
+    return spatial.boundary_distance(_points(spark, d), b.lattice(spark), "image_no", 1024, 1024, 8)
 
 
 def _areas(spark, d):
-    return b.tissue(spark, d).groupBy("image_no").agg((F.count(F.lit(1)) * 64.0).alias("area_px"))
+    return b.images(spark, d).crossJoin(F.broadcast(b.lattice(spark).agg((F.count(F.lit(1)) * 64.0).alias("area_px"))))
 
 
 def x1_nn_regularity(spark, d):
@@ -55,17 +54,17 @@ def x3_usable_radii(spark, d):
 
 
 def x4_border_l(spark, d):
-    c = neighbors.radius_neighbor_counts(_points(spark, d, True), "image_no", RADII)
+    c = neighbors.radius_neighbor_counts(_points(spark, d), "image_no", RADII)
     return spatial.border_l(c, _edge(spark, d), _areas(spark, d), "image_no").select("image_no", "radius", "eligible", R("l_obs"))
 
 
 def x5_pair_correlation(spark, d):
-    c = neighbors.radius_neighbor_counts(_points(spark, d, True), "image_no", RADII)
+    c = neighbors.radius_neighbor_counts(_points(spark, d), "image_no", RADII)
     return spatial.pair_correlation(c, _edge(spark, d), _areas(spark, d), "image_no").select("image_no", "radius", R("g_obs"))
 
 
 def x6_csr_envelope(spark, d):
-    return spatial.csr_envelope(_points(spark, d, True), b.tissue(spark, d), _areas(spark, d), "image_no", (50.0, 100.0), 19, 1024, 1024, 8)
+    return spatial.csr_envelope(_points(spark, d), b.lattice(spark), _areas(spark, d), "image_no", (50.0, 100.0), 19, 1024, 1024, 8)
 
 
 def x7_domain_status(spark, d):
@@ -75,11 +74,11 @@ def x7_domain_status(spark, d):
 
 
 def x8_spatial_summary(spark, d):
-    return spatial.spatial_summary(_points(spark, d, True), b.tissue(spark, d), "image_no", (50.0, 100.0, 600.0), 1024, 1024, 8)[0]
+    return spatial.spatial_summary(_points(spark, d), b.tissue(spark, d), "image_no", (50.0, 100.0, 600.0), 1024, 1024, 8, b.lattice(spark))[0]
 
 
 def x8_spatial_curves(spark, d):
-    return spatial.spatial_summary(_points(spark, d, True), b.tissue(spark, d), "image_no", (50.0, 100.0, 600.0), 1024, 1024, 8)[1]
+    return spatial.spatial_summary(_points(spark, d), b.tissue(spark, d), "image_no", (50.0, 100.0, 600.0), 1024, 1024, 8, b.lattice(spark))[1]
 
 
 def x10_region_points(spark, d):
@@ -92,15 +91,15 @@ def a7_domain_areas(spark, d):
 
 
 def j15_voronoi_cells(spark, d):
-    return spatial.voronoi_cells(_points(spark, d, True), b.tissue(spark, d), "image_no", 64.0)
+    return spatial.voronoi_cells(_points(spark, d), b.tissue(spark, d), "image_no", 64.0)
 
 
 def j15_voronoi_regularity(spark, d):
-    return spatial.voronoi_regularity(spatial.voronoi_cells(_points(spark, d, True), b.tissue(spark, d), "image_no", 64.0), "image_no").select("image_no", "n_cells", R("cv"), R("vdri"))
+    return spatial.voronoi_regularity(spatial.voronoi_cells(_points(spark, d), b.tissue(spark, d), "image_no", 64.0), "image_no").select("image_no", "n_cells", R("cv"), R("vdri"))
 
 
 def x9_legacy_vdri(spark, d):
-    return spatial.legacy_vdri(_points(spark, d, True), b.tissue(spark, d), "image_no", 64.0, F.lit(0), F.lit(1016)).select("image_no", R("vdri"))
+    return spatial.legacy_vdri(_points(spark, d), b.tissue(spark, d), "image_no", 64.0, F.lit(0), F.lit(1016)).select("image_no", R("vdri"))
 
 
 def _tests(spark, d):

@@ -105,11 +105,19 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").selectExpr(*RUNS)
 
 
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("image_no"))
+
+
+def lattice(spark: SparkSession) -> DataFrame:
+    """The tissue pixels that all images share: 128 by 128 points, 8 px apart, without one corner."""
+    rows = spark.range(128).select(F.col("id").alias("a")).crossJoin(F.broadcast(spark.range(128).select(F.col("id").alias("b"))))
+    return rows.where("not (a < 32 and b < 32)").selectExpr("a * 8 as x", "b * 8 as y")
+
+
 def tissue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A lattice of tissue pixels of every 25th image: 128 by 128 points, 8 px apart, without one corner."""
-    images = table(spark, sf_dir, "supplier").where("s_suppkey % 25 = 1").select(F.col("s_suppkey").alias("image_no"))
-    rows = images.select("image_no", F.explode(F.sequence(F.lit(0), F.lit(127))).alias("a")).select("*", F.explode(F.sequence(F.lit(0), F.lit(127))).alias("b"))
-    return rows.where("not (a < 32 and b < 32)").selectExpr("image_no", "cast(a * 8 as bigint) as x", "cast(b * 8 as bigint) as y")
+    """The lattice for every image, for what needs a row for each image and pixel."""
+    return images(spark, sf_dir).crossJoin(F.broadcast(lattice(spark)))
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
