@@ -1,6 +1,7 @@
 """Licence scan by sentence rules.
 
-A text is split into sentences; each normalised sentence that the catalogue knows becomes an identifier. A licence is
+A text is split at end signs; the catalogue's sentences are split by the same rule, and pieces in a row that make up one
+that the catalogue knows become its identifier. A licence is
 recognised where its rule's identifiers occur in order, with at most ``GAP`` unknown sentences between neighbours. Where
 rules overlap the one of most sentences wins, then the one that comes first in the rules.
 """
@@ -77,7 +78,8 @@ RULES = (
 
 _SIGNS = re.compile(r"[^0-9a-z\u0080-\U0010ffff]+")
 _PARAGRAPH = re.compile(r"\n[ \t\r]*\n")
-_END = re.compile(r"[.;:!?](?=\s|$)")
+#: A sentence also ends after the last word of one that the catalogue has without an end sign.
+_END = re.compile("|".join([r"[.;:!?](?=\s|$)", *(rf"(?<={re.escape(s.split()[-1])})(?=\s)" for s in SENTENCES.values() if s[-1] not in ".;:!?")]))
 _MARK = re.compile(r"(?m)^[ \t]*(?:[#*/>%-]+|\d{1,2}[.)]|\([a-z0-9]\))[ \t]+")
 
 
@@ -91,10 +93,31 @@ _KNOWN = {normalised(s): i for i, s in SENTENCES.items()}
 _HINTS = ("licens", "permission", "warrant", "redistribut", "copyright", "public domain", "all rights reserved", "free software")
 if any(not any(h in s for h in _HINTS) for s in _KNOWN):
     raise ValueError("a catalogue sentence has none of the hint words")
+_FIRST_HINTS = ("licens", "permission", "warrant", "redistribut", "copyright", "public", "rights", "software")
+
+
+def _catalogue() -> dict[str, list[tuple[tuple[str, ...], str]]]:
+    """By first piece: (pieces, identifier) of each sentence, longest first; an address may also stand after a blank line."""
+    out: dict[str, list[tuple[tuple[str, ...], str]]] = {}
+    for identifier, sentence in SENTENCES.items():
+        for form in {sentence, re.sub(r" (?=https?://)", "\n\n", sentence)}:
+            stops = sorted({0, len(form), *(m.end() for m in _END.finditer(form)), *(m.start() for m in _PARAGRAPH.finditer(form))})
+            pieces = tuple(p for a, b in zip(stops, stops[1:], strict=False) if (p := normalised(form[a:b])))
+            out.setdefault(pieces[0], []).append((pieces, identifier))
+    return {k: sorted(v, key=lambda x: -len(x[0])) for k, v in out.items()}
+
+
+_STARTS = _catalogue()
+_PIECES = {p for forms in _STARTS.values() for pieces, _ in forms for p in pieces}
+
+
+def _hinted(text: str) -> bool:
+    low = text.lower()
+    return any(h in low for h in _FIRST_HINTS) and any(h in normalised(low) for h in _HINTS)
 
 
 def sentences(paragraph: str) -> Iterator[str]:
-    """Sentences of a paragraph, in order: each line's own first, then, where a sentence runs over line ends, the whole."""
+    """Pieces of a paragraph between end signs, in order: each line's own first, then, where one runs over line ends, the whole."""
     plain = _MARK.sub("", paragraph)
     at, line_ends = 0, [i for i, c in enumerate(plain) if c == "\n"]
     stops = [m.end() for m in _END.finditer(plain)]
@@ -113,7 +136,7 @@ def _split(plain: str, at: int, stop: int, inner: list[int]) -> Iterator[str]:
     """The longest known ending of a sentence over several lines that starts at a line's start, or its lines one by one."""
     starts = [at, *(e + 1 for e in inner)]
     for k, s in enumerate(starts):
-        if normalised(plain[s:stop]) in _KNOWN:
+        if normalised(plain[s:stop]) in _PIECES:
             yield from (plain[a:b] for a, b in zip(starts[:k], starts[1 : k + 1], strict=True))
             yield plain[s:stop]
             return
@@ -122,21 +145,18 @@ def _split(plain: str, at: int, stop: int, inner: list[int]) -> Iterator[str]:
 
 def identify(text: str) -> list[tuple[int, str]]:
     """(number of the sentence, identifier) of every known sentence of a text; a paragraph without a hint is one unknown."""
-    found, number = [], 0
-    low = text.lower()
-    if not any(h in low for h in _HINTS):
+    found, number, at = [], 0, 0
+    if not _hinted(text):
         return found
+    keys: list[str] = []
     for paragraph in _PARAGRAPH.split(text):
-        low = " ".join(paragraph.lower().split())
-        if not any(h in low for h in _HINTS):
-            number += 1
-            continue
-        for s in sentences(paragraph):
-            key = normalised(s)
-            if key:
-                if key in _KNOWN:
-                    found.append((number, _KNOWN[key]))
-                number += 1
+        keys += [key for s in sentences(paragraph) if (key := normalised(s))] if _hinted(paragraph) else [""]
+    while at < len(keys):
+        known = next((x for x in _STARTS.get(keys[at], ()) if tuple(keys[at : at + len(x[0])]) == x[0]), None)
+        if known:
+            found.append((number, known[1]))
+        at += len(known[0]) if known else 1
+        number += 1
     return found
 
 
