@@ -24,6 +24,8 @@ WORDS, THRESHOLD = 5, 0.8
 TREES, DEEPEST, TARGET_RECALL = 16, 6, 0.9997
 MARGIN = 0.2
 BLOCK = 256
+#: A row's own key, by which a class's first row is chosen: null ids last (as -1), then the id, then the text's hash.
+ROW = ("missing", "doc_id", "text_key")
 
 
 def prefix_length(threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> int:
@@ -63,7 +65,7 @@ def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for i, f in enumerate(factors):
                     signature[has, i] = np.minimum.reduceat(mixed_by(grams, f), begins) >> np.uint64(32)
             k1, k2 = sequence_keys(grams, number)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "k1": k1, "k2": k2, "n": number, "signature": [s.tobytes() for s in signature]})
+            yield pd.DataFrame({**{c: pdf[c] for c in ROW}, "k1": k1, "k2": k2, "n": number, "signature": [s.tobytes() for s in signature]})
 
 
 def _slices(texts: list, rows: int = 256, chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
@@ -237,9 +239,25 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, light: int = 64)
     Rows of equal doc_id are one document if their words are equal; otherwise each row has its own texts' links, and
     shares the id. A null id is treated as the id -1. Extra columns are ignored.
     """
-    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id")
-    signed = cut(docs.select(ids, "text").mapInPandas(_signatures, "doc_id long, k1 long, k2 long, n long, signature binary"))
-    reps = signed.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("signature").alias("signature"))
+    joined, worded = _classed(docs, threshold, light), F.col("n") > 0
+    return joined.select(
+        "doc_id",
+        F.when(worded, F.col("class")).otherwise(F.col("doc_id")).alias("class_id"),
+        F.when(worded, F.col("links") + F.col("copies") - 1).otherwise(0).cast("long").alias("n_links"),
+        F.when(worded, F.col("copies")).otherwise(1).cast("long").alias("n_copies"),
+        F.col("n").alias("n_shingles"),
+    )
+
+
+def _keyed(docs: DataFrame, *columns: str | Column) -> DataFrame:
+    """Each row's own key, and ``columns``."""
+    return docs.select(F.col("doc_id").isNull().cast("int").alias("missing"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.xxhash64("text").alias("text_key"), *columns)
+
+
+def _classed(docs: DataFrame, threshold: float, light: int) -> DataFrame:
+    """Each row's key, its number of shingles n, and (null without words) its copies, links, class and the class's first row."""
+    signed = cut(_keyed(docs, "text").mapInPandas(_signatures, "missing int, doc_id long, text_key long, k1 long, k2 long, n long, signature binary"))
+    reps = signed.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.min(F.struct(*ROW)).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("signature").alias("signature"))
     reps = cut(reps.withColumn("rep", F.xxhash64("k1", "k2")))
     deep = prefix_length(threshold)
     label = lambda t, depth: F.xxhash64(F.lit(t), F.substring("signature", t * DEEPEST * 4 + 1, depth * 4))
@@ -253,27 +271,19 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, light: int = 64)
     dealt = _in_block_pairs(nodes.join(reps.select("rep", "signature"), "rep"), ["tree", "bucket"], parts)
     links = dealt.mapInPandas(_bucket_links(threshold), "a long, b long")
     groups = connected_components(links).withColumnsRenamed({"node": "rep", "root": "group"})
-    members = groups.join(reps.select("rep", F.col("least").alias("id"), "copies", "k1"), "rep")
+    members = groups.join(reps.select("rep", "first.*", "copies", "k1"), "rep")
     members = members.join(groups.groupBy("group").agg(F.count(F.lit(1)).alias("size")), "group")
-    with_text = docs.select(ids.alias("id"), "text").join(members, "id").drop("id")
+    with_text = _keyed(docs, "text").join(members, list(ROW)).drop(*ROW).dropDuplicates(["rep"])
     pairs = _in_block_pairs(with_text, ["group"], F.ceil(F.col("size") / BLOCK).cast("int"))
     checked = cut(pairs.mapInPandas(_compare(threshold), "rep long, root long, links long"))
     counted = checked.groupBy("rep").agg(F.sum("links").alias("links"))
     classes = connected_components(checked.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    classes = classes.withColumnRenamed("node", "rep").join(reps.select("rep", "least"), "rep")
-    least = classes.groupBy("root").agg(F.min("least").alias("class"))
-    classes = classes.join(least, "root").select("rep", "class")
-    known = reps.select("k1", "k2", "rep", "least", "copies").join(counted, "rep", "left").join(classes, "rep", "left")
-    known = known.select("k1", "k2", "copies", F.coalesce("class", "least").alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
-    joined = signed.select("doc_id", "k1", "k2", "n").join(known, ["k1", "k2"], "left")
-    worded = F.col("n") > 0
-    return joined.select(
-        "doc_id",
-        F.when(worded, F.col("class")).otherwise(F.col("doc_id")).alias("class_id"),
-        F.when(worded, F.col("links") + F.col("copies") - 1).otherwise(0).cast("long").alias("n_links"),
-        F.when(worded, F.col("copies")).otherwise(1).cast("long").alias("n_copies"),
-        F.col("n").alias("n_shingles"),
-    )
+    classes = classes.withColumnRenamed("node", "rep").join(reps.select("rep", "least", "first"), "rep")
+    least = classes.groupBy("root").agg(F.min("least").alias("class"), F.min("first").alias("class_first"))
+    classes = classes.join(least, "root").select("rep", "class", "class_first")
+    known = reps.select("k1", "k2", "rep", "least", "first", "copies").join(counted, "rep", "left").join(classes, "rep", "left")
+    known = known.select("k1", "k2", "copies", F.coalesce("class", "least").alias("class"), F.coalesce("class_first", "first").alias("first"), F.coalesce("links", F.lit(0)).alias("links"))
+    return signed.select(*ROW, "k1", "k2", "n").join(known, ["k1", "k2"], "left").drop("k1", "k2")
 
 
 def _in_block_pairs(rows: DataFrame, group: list[str], parts: Column) -> DataFrame:
@@ -285,12 +295,17 @@ def _in_block_pairs(rows: DataFrame, group: list[str], parts: Column) -> DataFra
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """The documents without those that link to an earlier one: of each class the row of smallest doc_id stays."""
-    found = jaccard_join(docs)
-    kept = found.where("doc_id = class_id").select(F.col("doc_id").alias("__kept")).distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"))
-    rows = rows.join(kept, F.col("id") == F.col("__kept")).groupBy("id").agg(F.min_by("row", F.xxhash64("row.text")).alias("row"))
-    return rows.select("row.*")
+    """Of each class of similar texts one row: that of smallest doc_id (null last), then of smallest text hash.
+
+    Rows that share an id, or have none, are classed by their texts like others. Of rows of equal id and text one stays.
+    Texts without words are no copies of each other: all rows without an id stay, and one for each id and text.
+    """
+    found = _classed(docs, THRESHOLD, 64)
+    kept = found.where((F.col("n") == 0) | (F.struct(*ROW) == F.col("first"))).select(*ROW).distinct()
+    apart = F.col("doc_id").isNull() & ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[0-9A-Za-z]|[^\x00-\x7F]")
+    rows = _keyed(docs.where(~apart), F.struct(*docs.columns).alias("row"))
+    rows = rows.join(kept, list(ROW)).groupBy(*ROW).agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return rows.select("row.*").unionByName(docs.where(apart))
 
 
 def op4_lsh_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
