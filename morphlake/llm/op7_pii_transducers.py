@@ -1,14 +1,15 @@
 """Personal data in plain and in disguised form, with spans in the source text.
 
-Transducers rewrite pieces of the text: look-alike characters become the ASCII ones they imitate, digits spelled as words
-in a row become digits, and "at", "dot" and "plus" in disguise become their signs. Each rewritten character remembers
-the source span it came from, so what the detectors find in the rewritten text is mapped back to source positions.
+Transducers rewrite pieces of the text, each reading what the one before has written: look-alike characters become the
+ASCII ones they imitate, digits spelled as words become digits, and "at", "dot" and "plus" in disguise become their signs.
+Each rewritten piece remembers the source span it came from, so what the detectors find in the rewritten text is mapped
+back to source positions through all of them.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -51,6 +52,13 @@ _DIGIT_RUN = rf"(?<![A-Za-z])(?:{_WORD}|[0-9])(?:[ \-]{{1,3}}(?:{_WORD}|[0-9])){
 _SIGN = r"\s{0,3}(?P<open>[\[({<])\s{0,3}(?P<sign>at|dot|plus|@|\.)\s{0,3}[\])}>]\s{0,3}"
 _BARE = r"(?<=[A-Za-z0-9])\s{1,3}(?:at|AT)\s{1,3}(?=[A-Za-z0-9-]{1,63}(?:\s{1,3}(?:dot|DOT)\s{1,3}[A-Za-z0-9-]{1,63})+)|(?<=[A-Za-z0-9])\s{1,3}(?:dot|DOT)\s{1,3}(?=[A-Za-z0-9])"
 _PLUS = rf"(?<![A-Za-z])plus[ \-]{{1,3}}(?=(?:{_WORD}|[0-9]))"
+#: A run of any length that a dot (as sign or word) stands beside, or that follows a plus: a part of an address or number.
+_DOT = r"(?:\s{0,3}[\[({<]\s{0,3}(?:dot|\.)\s{0,3}[\])}>]\s{0,3}|\s{1,3}dot\s{1,3}|\.)"
+_NUMBER = rf"(?:{_WORD}|[0-9]+)(?:[ \-]{{1,3}}(?:{_WORD}|[0-9]+)){{0,30}}"
+_PARTED = rf"(?<![A-Za-z0-9]){_NUMBER}(?:{_DOT}{_NUMBER})+(?![A-Za-z0-9])"
+_AFTER_PLUS = rf"(?:(?<![A-Za-z])plus[ \-]{{1,3}}|\+[ ]?|[\[({{<]\s{{0,3}}(?:plus|\+)\s{{0,3}}[\])}}>]\s{{0,3}})(?P<number>{_NUMBER})(?![A-Za-z0-9])"
+_PARTS, _PLUS_RUN, _DOTS = (re.compile(p, re.IGNORECASE) for p in (_PARTED, _AFTER_PLUS, _DOT))
+_TOKENS = re.compile(rf"{_WORD}|[0-9]+", re.IGNORECASE)
 _MARKED, _BARE_SIGN, _SPELLED_PLUS, _RUN = (re.compile(p, re.IGNORECASE) for p in (_SIGN, _BARE, _PLUS, _DIGIT_RUN))
 _ANY_RUN = re.compile(rf"(?<![a-z])(?:{_WORD})[ \-]{{1,3}}(?:{_WORD}|[0-9])|[0-9][ \-]{{1,3}}(?:{_WORD})")
 _LONG_WORDS = [w for w in DIGIT_WORDS if len(w) > 2]
@@ -83,12 +91,12 @@ def emails(text: str) -> list[tuple[int, int]]:
 
 def _ips(dotted: str, start: int) -> Iterator[tuple[str, int, int]]:
     """Every four numbers of a dotted run, from its left, that are at most 255."""
-    numbers = dotted.split(".")
+    numbers, at = dotted.split("."), start
     for i in range(0, len(numbers) - 3, 4):
         four = numbers[i : i + 4]
         if all(len(n.lstrip("0")) <= 3 and int(n) <= 255 for n in four):
-            at = start + sum(map(len, numbers[:i])) + i
             yield "ip", at, at + sum(map(len, four)) + 3
+        at += sum(map(len, four)) + 4
 
 
 def plain(text: str) -> list[tuple[str, int, int]]:
@@ -111,10 +119,43 @@ def _sorted(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def _pieces(text: str) -> Iterator[tuple[int, int, str]]:
-    """(start, end, replacement) of what each transducer rewrites; most texts are passed over by a search for plain words."""
+Piece = tuple[int, int, str]
+
+
+def _look_pieces(text: str) -> Iterator[Piece]:
     if not text.isascii() and not _LOOK.keys().isdisjoint(set(text)):
         yield from ((i, i + 1, _LOOK[c]) for i, c in enumerate(text) if c in _LOOK)
+
+
+def _digits_of(text: str, start: int, end: int, tokens: re.Pattern) -> Iterator[Piece]:
+    """The digits of a run, each with the gap up to the next."""
+    found = list(tokens.finditer(text, start, end))
+    for t, following in zip(found, [*found[1:], None], strict=True):
+        yield t.start(), following.start() if following else t.end(), DIGIT_WORDS.get(t.group().lower(), t.group())
+
+
+def _digit_pieces(text: str) -> Iterator[Piece]:
+    """Runs of at least four digits, and shorter ones between dots or after a plus, where a digit is a word."""
+    low = text.lower()
+    if not any(w in low for w in DIGIT_WORDS):
+        return
+    if _ANY_RUN.search(low):
+        for m in _RUN.finditer(text):
+            yield from _digits_of(text, *m.span(), _TOKEN)
+    if "." in text or "dot" in low:
+        for m in _PARTS.finditer(text):
+            if any(w in m.group().lower() for w in DIGIT_WORDS):
+                at = m.start()
+                for d in [*_DOTS.finditer(text, *m.span()), None]:
+                    yield from _digits_of(text, at, d.start() if d else m.end(), _TOKENS)
+                    at = d.end() if d else at
+    if "+" in text or "plus" in low:
+        for m in _PLUS_RUN.finditer(text):
+            if any(w in m["number"].lower() for w in DIGIT_WORDS):
+                yield from _digits_of(text, *m.span("number"), _TOKENS)
+
+
+def _sign_pieces(text: str) -> Iterator[Piece]:
     low = text.lower()
     if any(c in text for c in "[({<"):
         for m in _MARKED.finditer(text):
@@ -124,44 +165,41 @@ def _pieces(text: str) -> Iterator[tuple[int, int, str]]:
             yield m.start(), m.end(), {"at": "@", "dot": "."}[m.group().strip().lower()]
     if "plus" in low:
         yield from ((m.start(), m.end(), "+") for m in _SPELLED_PLUS.finditer(text))
-    if any(w in low for w in _LONG_WORDS) and _ANY_RUN.search(low):
-        for m in _RUN.finditer(text):
-            tokens = list(_TOKEN.finditer(m.group()))
-            for t, following in zip(tokens, [*tokens[1:], None], strict=True):
-                stop = following.start() if following else t.end()
-                yield m.start() + t.start(), m.start() + stop, DIGIT_WORDS.get(t.group().lower(), t.group())
 
 
-def rewritten(text: str) -> tuple[str, list[int], list[int], list[int]] | None:
-    """The text after the transducers; at each piece: its place in the new text, in the old, and by how much both move on.
+_TRANSDUCERS = (_look_pieces, _digit_pieces, _sign_pieces)
+Step = tuple[list[int], list[int], list[int]]
 
-    None where no transducer applies.
-    """
+
+def _rewrite(text: str, pieces: Iterator[Piece]) -> tuple[str, Step] | None:
+    """The text after one transducer; at each piece: its place in the new text, in the old, and its end in the old."""
     parts: list[str] = []
     new, old, ends = [0], [0], [0]
     at = size = 0
-
-    def put(start: int, end: int, by: str) -> None:
-        nonlocal at, size
-        parts.append(text[at:start])
+    for start, end, by in sorted(pieces):
+        if start < at:
+            continue
+        parts += [text[at:start], by]
         size += start - at
-        new.append(size)
-        old.append(start)
-        ends.append(end)
-        parts.append(by)
+        new += [size, size + len(by)]
+        old += [start, end]
+        ends += [end, end]
         size += len(by)
         at = end
-        new.append(size)
-        old.append(end)
-        ends.append(end)
-
-    for start, end, by in sorted(_pieces(text)):
-        if start >= at:
-            put(start, end, by)
     if len(new) == 1:
         return None
-    parts.append(text[at:])
-    return "".join(parts), new, old, ends
+    return "".join([*parts, text[at:]]), (new, old, ends)
+
+
+def rewritten(text: str) -> tuple[str, list[Step]] | None:
+    """The text after all transducers in turn, and the steps back; None where none applies."""
+    steps = []
+    for transducer in _TRANSDUCERS:
+        changed = _rewrite(text, transducer(text))
+        if changed:
+            text = changed[0]
+            steps.append(changed[1])
+    return (text, steps) if steps else None
 
 
 def _back(pos: int, new: list[int], old: list[int], ends: list[int], is_end: bool) -> int:
@@ -177,15 +215,22 @@ def _back(pos: int, new: list[int], old: list[int], ends: list[int], is_end: boo
 
 
 def spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """Base spans, and all spans: the base ones with those found only after rewriting, where they touch none of their kind."""
+    """Base spans, and all spans: the base ones with those found only after rewriting.
+
+    A rewritten span that touches base ones of its kind is added where it covers all of these and more; they stay too.
+    """
     base = plain(text)
     changed = rewritten(text)
     if changed is None:
         return base, base
     added = []
+    own = {k: [(s, e) for x, s, e in base if x == k] for k in KINDS}  # of one kind: apart from each other, by start
     for kind, a, b in plain(changed[0]):
-        start, end = _back(a, *changed[1:], False), _back(b, *changed[1:], True)
-        if not any(k == kind and s < end and start < e for k, s, e in base):
+        start, end = a, b
+        for step in reversed(changed[1]):
+            start, end = _back(start, *step, False), _back(end, *step, True)
+        touched = own[kind][bisect_right(own[kind], start, key=lambda x: x[1]) : bisect_left(own[kind], end, key=lambda x: x[0])]
+        if all(start <= s and e <= end and (start, end) != (s, e) for s, e in touched):
             added.append((kind, start, end))
     return base, _sorted(base + added)
 
