@@ -1,9 +1,9 @@
 """N-gram Jaccard self-join: MinHash LSH forest for candidates, exact set comparison for links.
 
 Texts become sets of five-word shingles. Equal word sequences are folded into one representative first. A signature is
-cut into ``TREES`` labels; in each tree the labels, sorted, form a prefix trie. A representative starts from the longest
-prefix whose chance of being shared at the threshold still gives the target recall over all trees; where few share it,
-the prefix is shortened further, which only adds candidates. Signature estimates turn buckets into candidate groups, and
+cut into ``TREES`` runs of ``DEEPEST`` labels. Two fixed prefix lengths are used in each tree: the longest whose chance of
+being shared at the threshold still gives the target recall over all trees, and, where few share it, the one shorter by
+one label, which only adds candidates. Signature estimates turn buckets into candidate groups, and
 inside each group shingle sets are compared exactly, block by block, without a row for each pair.
 """
 
