@@ -43,22 +43,27 @@ def radius_neighbor_counts(points: DataFrame, group: str, radii: Sequence[float]
 def nearest(left: DataFrame, right: DataFrame, group: str, radius: float, different: bool = False, keys: Sequence[str] = (), fewer_right: bool = False) -> DataFrame:
     """(group, a, [keys of right], d, b): the nearest right point of each left point (and key); ties to the smaller id.
 
-    Most are found by the grid; a point without any within ``radius`` is compared with its whole group, which is few rows
-    where the radius suits the density. Points of groups without a partner are left out. With ``fewer_right`` the right
-    points look into the cells around them, for the same pairs.
+    Rings widen twofold, then fourfold: a point without any partner within one ring looks into the next, and only what the
+    widest leaves over is compared with its whole group. Points of groups without a partner are left out. With
+    ``fewer_right`` the right points look into the cells around them, for the same pairs.
     """
-    pairs = near_pairs(right, left, group, radius).select(group, F.col("b").alias("a"), F.col("a").alias("b"), "d2") if fewer_right else near_pairs(left, right, group, radius)
-    if keys:
-        pairs = pairs.join(right.select(group, F.col("id").alias("b"), *keys), [group, "b"])
-    pairs = pairs.where("a <> b") if different else pairs
     best = lambda p: p.groupBy(group, "a", *keys).agg(F.min(F.struct("d2", "b")).alias("m"))
-    found = best(pairs)
-    wanted = left.select(group, F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"))
+    wanted = left.select(group, "id", "x", "y")
     if keys:
         wanted = wanted.join(right.select(group, *keys).distinct(), group)
-    left_over = wanted.join(found.select(group, "a", *keys), [group, "a", *keys], "left_anti")
+    partners = right.select(group, F.col("id").alias("b"), *keys)
+    found = None
+    for reach in (radius, 2 * radius, 8 * radius):
+        points = wanted.select(group, "id", "x", "y").distinct() if keys and found is not None else left if found is None else wanted
+        pairs = near_pairs(right, points, group, reach).select(group, F.col("b").alias("a"), F.col("a").alias("b"), "d2") if fewer_right else near_pairs(points, right, group, reach)
+        pairs = pairs.join(partners, [group, "b"]) if keys else pairs
+        if keys and found is not None:
+            pairs = pairs.join(wanted.select(group, F.col("id").alias("a"), *keys), [group, "a", *keys], "left_semi")
+        ring = best(pairs.where("a <> b") if different else pairs)
+        found = ring if found is None else found.unionByName(ring)
+        wanted = wanted.join(ring.select(group, F.col("a").alias("id"), *keys), [group, "id", *keys], "left_anti")
     others = right.select(group, F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), *keys)
-    far = left_over.join(others, [group, *keys])
+    far = wanted.select(group, F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), *keys).join(others, [group, *keys])
     far = far.where("a <> b") if different else far
     far = best(far.withColumn("d2", (F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2))
     return found.unionByName(far).select(group, "a", *keys, F.sqrt("m.d2").alias("d"), F.col("m.b").alias("b"))

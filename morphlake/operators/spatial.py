@@ -103,7 +103,7 @@ def region_points(objects: DataFrame, group: str, axes: Sequence[str]) -> DataFr
     return labelled.unionByName(kept.select(group, "object_id", "centroid_x_px", "centroid_y_px", F.lit("global").alias("region_axis"), F.lit("tissue").alias("region_label")))
 
 
-def voronoi_cells(points: DataFrame, domain: DataFrame, group: str, pixel_px: float, reach: float = 64.0) -> DataFrame:
+def voronoi_cells(points: DataFrame, domain: DataFrame, group: str, pixel_px: float, reach: float = 32.0) -> DataFrame:
     """Area of the domain nearest to each point (ties to the smaller id); points without any pixel have none."""
     pixels = domain.select(group, F.struct("x", "y").alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     owner = nearest(pixels, points, group, reach, fewer_right=True)
@@ -121,7 +121,7 @@ def voronoi_regularity(cells: DataFrame, group: str, sample: bool = True) -> Dat
 def legacy_vdri(points: DataFrame, frame: DataFrame, group: str, pixel_px: float, low: Column, high: Column) -> DataFrame:
     """The older regularity: cells that touch the image frame are left out, population deviation, 0 where undefined."""
     pixels = frame.select(group, F.struct("x", "y").alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    owner = nearest(pixels, points, group, 64.0, fewer_right=True).withColumn("edge", F.least("a.x", "a.y") <= low).withColumn("edge", F.col("edge") | (F.greatest("a.x", "a.y") >= high))
+    owner = nearest(pixels, points, group, 32.0, fewer_right=True).withColumn("edge", F.least("a.x", "a.y") <= low).withColumn("edge", F.col("edge") | (F.greatest("a.x", "a.y") >= high))
     cells = owner.groupBy(group, F.col("b").alias("id")).agg((F.count(F.lit(1)) * pixel_px).alias("area"), F.bool_or("edge").alias("edge")).where("not edge")
     return points.select(group).distinct().join(voronoi_regularity(cells, group, sample=False).select(group, "vdri"), group, "left").fillna(0.0, ["vdri"])
 

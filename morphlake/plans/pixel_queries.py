@@ -311,7 +311,7 @@ QUERIES = {
     "a19_overlap_scores": (a19_overlap_scores, with_tables("pixels", "+ s as (select image_no, count(*) filter (value > 0.05 and y > 0) as i, count(*) filter (value > 0) as np, count(*) filter (value > 0.05 and y > 0) as nr from pixels group by 1) select image_no, round(case when np + nr = 0 then 1 else 2*i/(np+nr) end, 6) as dice, round(case when np + nr = 0 then 1 else i/(np+nr-i) end, 6) as iou from s")),
     "j16_tile_overlap_pairs": (j16_tile_overlap_pairs, with_tables("pixels", "+ w as (select image_no, y, x, case when value > 0 then 1 + x // 4 + 2 * (y // 4) else 0 end as la, case when value > -0.02 then 1 + y // 4 else 0 end as lb from pixels where x >= 2 and x < 6), a as (select image_no, la, count(*) as na from w where la > 0 group by 1, 2), b as (select image_no, lb, count(*) as nb from w where lb > 0 group by 1, 2), c as (select image_no, la, lb, count(*) as common from w where la > 0 and lb > 0 group by 1, 2, 3) select image_no, 0 as ta, 1 as tb, la, lb, common from c join a using (image_no, la) join b using (image_no, lb) where common >= 3 and (common/(na+nb-common) >= 0.1 or common/least(na, nb) >= 0.25)")),
     "g4_pixel_components": (g4_pixel_components, None),
-    "a18_density_grid": (a18_density_grid, with_tables("objects", "+ p as (select distinct image_no, centroid_x_px as px, centroid_y_px as py from objects where image_no % 25 = 1), g as (select a.range*64.0::double as x, b.range*64.0::double as y from range(16) a, range(16) b) select image_no, x, y, round(sum(exp(-((x-px)*(x-px)+(y-py)*(y-py))/5000.0)), 6) as density from p, g where (x-px)*(x-px)+(y-py)*(y-py) <= 40000 group by 1, 2, 3")),
+    "a18_density_grid": (a18_density_grid, with_tables("objects", "+ p as (select distinct image_no, centroid_x_px as px, centroid_y_px as py from objects), g as (select a.range*64.0::double as x, b.range*64.0::double as y from range(16) a, range(16) b) select image_no, x, y, round(sum(exp(-((x-px)*(x-px)+(y-py)*(y-py))/5000.0)), 6) as density from p, g where (x-px)*(x-px)+(y-py)*(y-py) <= 40000 group by 1, 2, 3")),
     "a18_hexbin": (a18_hexbin, None),
     "p15_physical_to_pixel": (p15_physical_to_pixel, with_tables("objects", "+ " + _DIMS + " select image_no, object_id, round(centroid_x_px/200/(mx*u/64), 6) as x_px, round(least(63.0, greatest(0.0, centroid_y_px/200/(mx*u/64))), 6) as y_px_clipped, centroid_x_px/200/(mx*u/64) < 64 and centroid_y_px/200/(mx*u/64) < 64 and 0.5/(mx*u/64) < 64 as inside_bounds from objects join d using (image_no)")),
     "j20_consecutive_samples": (j20_consecutive_samples, with_tables("objects manifest", "+ c as (select image_no as sample_id, count(*) as n from objects group by 1), m as (select * from manifest left join c using (sample_id)) select animal_id, eye, sample_id, timepoint_dpi, lag(sample_id) over w as prev_sample_id, lag(timepoint_dpi) over w as prev_timepoint, lag(coalesce(n, 0)) over w as n_prev, coalesce(n, 0) as n_cur from m window w as (partition by animal_id, eye order by timepoint_dpi, sample_id)")),

@@ -14,7 +14,7 @@ R = lambda c, n=6: F.round(c, n).alias(c)
 RADII = (25.0, 50.0, 75.0, 100.0)
 _P = "p as (select image_no, object_id as id, centroid_x_px as x, centroid_y_px as y from objects)"
 _PAIRS = ", q as (select a.image_no, a.id, (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) as d2 from p a join p b on a.image_no = b.image_no and a.id <> b.id), r as (select unnest([25.0, 50.0, 75.0, 100.0])::double as radius)"
-_TP = "p as (select image_no, object_id as id, centroid_x_px as x, centroid_y_px as y from objects where image_no % 25 = 1)"
+_TP = "p as (select image_no, object_id as id, centroid_x_px as x, centroid_y_px as y from objects)"
 _EDGE = """, n as (select image_no, x + dx as x, y + dy as y from tissue, (values (8,0),(-8,0),(0,8),(0,-8)) v(dx, dy)), bd as (select distinct * from n except select image_no, x, y from tissue),
  pl as (select image_no, id, least(1016, greatest(0, round_even(x/8, 0)*8)) as px, least(1016, greatest(0, round_even(y/8, 0)*8)) as py from p),
  e0 as (select pl.image_no, pl.id, min(sqrt((px-bd.x)*(px-bd.x) + (py-bd.y)*(py-bd.y))) as dist from pl join bd using (image_no) group by 1, 2),

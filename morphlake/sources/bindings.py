@@ -65,7 +65,7 @@ SQL = {
     "rois": f"select {', '.join(ROIS)} from part cross join (select count(*) as n_images from supplier)",
     "edits": f"select {', '.join(EDITS)} from part cross join (select count(*) as n_images from supplier) where {EDIT_ROWS}",
     "runs": f"select {', '.join(RUNS)} from orders",
-    "tissue": "select s_suppkey as image_no, a.range * 8 as x, b.range * 8 as y from supplier, range(128) a, range(128) b where not (a.range < 32 and b.range < 32) and s_suppkey % 25 = 1",
+    "tissue": "select s_suppkey as image_no, a.range * 8 as x, b.range * 8 as y from supplier, range(128) a, range(128) b where not (a.range < 32 and b.range < 32)",
     "pixels": "select vec_id as image_no, pos // 8 as y, pos % 8 as x, cast(embedding[pos+1] as double) as value from embeddings, (select range as pos from range(64))",
     "manual": "select l_suppkey as sample_id, count(*) filter (l_tax < 0.04) as manual_count, count(*) filter (l_linestatus = 'O') as cell_count from lineitem group by 1",
 }
