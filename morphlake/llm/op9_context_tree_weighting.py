@@ -3,11 +3,13 @@
 A byte is eight binary decisions; each of the 255 nodes of that decomposition has a context tree whose levels are the
 bytes before (``DEPTH`` of them). Every tree node holds a Krichevsky-Trofimov estimate, and the weighted mixture over
 all prunings of the tree is computed from the leaves to the root, as logarithms of block probabilities. Scoring goes down
-the path of the actual context and mixes the estimates of all depths by the posterior weight that the tree stops there;
-below the deepest node that training has seen, nothing is mixed in.
+the path of the actual context and mixes the estimates of all depths by the posterior weight that the tree stops there; a
+context that training hasn't seen gives each bit 1/2, as the weighting has it.
 
-Spark counts (DEPTH + 1)-byte sequences of the training texts, gives the subtree of each last byte to one task (at most
-256 ** (DEPTH - 1) contexts), and joins them at the root by sums over 255 nodes.
+No task, and not the driver, holds the model. Texts are packed into blocks; each block names the byte sequences and words
+that it holds. These are merged by their three nearest bytes (words: by a part of their hash), where the lower levels of
+the tree are weighted; the upper levels are small aggregates. Each block then gets back the values of its own sequences
+and words only, in front of its texts.
 """
 
 from __future__ import annotations
@@ -16,64 +18,158 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from morphlake.llm.shared import cut, learns_from, table
-from morphlake.llm.textblocks import counted, encode, merged, whitespace_words, word_hashes
+from morphlake.llm.textblocks import counted, merged, mix, whitespace_words, word_hashes
 
-DEPTH = 3
-COMMON_WORDS = 100_000
-PASS_CONTEXTS = 1 << 16
+DEPTH = 5
+#: Bytes of the context that a group of sequences shares, and bits that a code has below them.
+SHARED, LOW_BITS = 3, 8 * (DEPTH + 1 - 3)
+PIECE_BYTES, BLOCK_BYTES, FAN = 1 << 20, 32 << 20, 64
 END = np.uint64(0x5851F42D4C957F2D)
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _HALF_LOG_2PI = 0.9189385332046727
-
-
-def lowered(texts) -> list[bytes]:
-    return [t.translate(_LOWER) for t in encode(texts)]
+WORDS, BYTES = 0, 1
+PACKED = "part int, seq int, ids binary, flags binary, sizes binary, blob binary, raw long"
+HELD = "kind int, block int, grp long, keys binary, n binary"
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, learns, text) rows as compressed pieces of about a megabyte; flags: 1 it is learnt from, 2 no id."""
+    part, seq = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        text = batch.column(2).cast(pa.large_string()).fill_null("")
+        if not len(text):
+            continue
+        _, ends, data = text.buffers()
+        offsets = np.frombuffer(ends, dtype=np.int64)[text.offset : text.offset + len(text) + 1]
+        raw = memoryview(data) if data is not None else memoryview(b"")
+        ids = batch.column(0)
+        flags = batch.column(1).fill_null(True).to_numpy(zero_copy_only=False).astype(np.uint8) + 2 * ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
+        ids = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        at = 0
+        while at < len(text):
+            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE_BYTES, side="right")) - 1)
+            low = bytes(raw[offsets[at] : offsets[end]]).translate(_LOWER)
+            row = (part, seq, ids[at:end].tobytes(), flags[at:end].tobytes(), np.diff(offsets[at : end + 1]).tobytes(), pa.compress(low, codec="zstd", asbytes=True), len(low))
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), *[pa.binary()] * 4, pa.int64()), strict=True)], names=[c.split()[0] for c in PACKED.split(", ")])
+            seq, at = seq + 1, end
+
+
+def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Ids, flags and lower-cased texts of a piece."""
+    sizes = np.frombuffer(row["sizes"], dtype=np.int64)
+    blob = pa.decompress(row["blob"], decompressed_size=row["raw"], codec="zstd", asbytes=True) if row["raw"] else b""
+    ends = np.cumsum(sizes).tolist()
+    return np.frombuffer(row["ids"], dtype=np.int64), np.frombuffer(row["flags"], dtype=np.uint8), [blob[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 def _sequences(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the bytes (and a closing zero byte) of each text with the DEPTH bytes before, and their numbers."""
-    raw = np.frombuffer(b"".join(b"\0" * DEPTH + d + b"\0" for d in docs), dtype=np.uint8).astype(np.uint32)
+    """Codes of the bytes (and a closing zero byte) of each text behind the DEPTH bytes before, the nearest highest; and their numbers."""
+    raw = np.frombuffer(b"".join(b"\0" * DEPTH + d + b"\0" for d in docs), dtype=np.uint8).astype(np.uint64)
     codes = raw[DEPTH:].copy()
     for back in range(1, DEPTH + 1):
-        codes |= raw[DEPTH - back : len(raw) - back] << np.uint32(8 * back)
-    sizes = np.array([len(d) + 1 for d in docs])
+        codes |= raw[DEPTH - back : len(raw) - back] << np.uint64(8 * (DEPTH + 1 - back))
+    sizes = np.array([len(d) + 1 for d in docs], dtype=np.int64)
     starts = np.cumsum(sizes + DEPTH) - sizes - DEPTH
     inside = np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
     return codes[inside], sizes
 
 
-def _pieces(pdf: pd.DataFrame, most: int = 1 << 20) -> Iterator[tuple[slice, list[bytes]]]:
-    texts = lowered(pdf["text"])
-    at = 0
-    while at < len(texts):
-        end, size = at, 0
-        while end < len(texts) and (end == at or size + len(texts[end]) <= most):
-            size += len(texts[end])
-            end += 1
-        yield slice(at, end), texts[at:end]
-        at = end
+def _learnt(values: np.ndarray, learn: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Counts of the values that are learnt from, and zeros for the others."""
+    others = counted(values[~learn])
+    return [counted(values[learn]), (others[0], np.zeros_like(others[1]))]
+
+
+def _grouped(kind: int, block: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Sorted keys with counts as rows of one group each."""
+    bits = LOW_BITS if kind == BYTES else 52
+    group = (keys >> np.uint64(bits)).astype(np.int64)
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
+    low = (keys & np.uint64((1 << LOW_BITS) - 1)).astype(np.uint32) if kind == BYTES else keys
+    ends = np.append(starts[1:], len(keys))
+    for i in range(0, len(starts), 4096):
+        cuts = list(zip(starts[i : i + 4096].tolist(), ends[i : i + 4096].tolist(), strict=True))
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([kind] * len(cuts), pa.int32()), pa.array([block] * len(cuts), pa.int32()), pa.array(group[starts[i : i + 4096]], pa.int64()),
+                pa.array([low[a:b].tobytes() for a, b in cuts], pa.binary()), pa.array([n[a:b].astype(np.int64).tobytes() for a, b in cuts], pa.binary()),
+            ],
+            names=[c.split()[0] for c in HELD.split(", ")],
+        )
+
+
+def _keys(kind: int, group: int, keys: bytes) -> np.ndarray:
+    if kind == WORDS:
+        return np.frombuffer(keys, dtype=np.uint64)
+    return np.frombuffer(keys, dtype=np.uint32).astype(np.uint64) | np.uint64(group << LOW_BITS)
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words and byte sequences of each block, with how often those that are learnt from occur; pieces come sorted by block."""
+    kept, now, words, codes, docs = whitespace_words(), None, [], [], 0
+
+    def done() -> Iterator[pa.RecordBatch]:
+        if now is not None:
+            words.append((np.array([END]), np.array([docs])))
+            yield from _grouped(WORDS, now, *merged(words))
+            yield from _grouped(BYTES, now, *merged(codes))
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["block"] != now:
+                yield from done()
+                now, words, codes, docs = row["block"], [], [], 0
+            _, flags, texts = _unpack(row)
+            learn = (flags & 1) == 1
+            docs += int(learn.sum())
+            hashes, n = word_hashes(texts, kept)
+            words += _learnt(hashes, np.repeat(learn, n))
+            grams, sizes = _sequences(texts)
+            codes += _learnt(grams, np.repeat(learn, sizes))
+            for parts in (words, codes):
+                if sum(len(p[0]) for p in parts[1:]) > max(1 << 20, len(parts[0][0])):
+                    parts[:] = [merged(parts)]
+    yield from done()
+
+
+def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row for each (kind, grp, block) from rows sorted by these; block is here a number of several blocks."""
+    now, parts = None, []
 
+    def row() -> tuple:
+        keys, n = merged(parts)
+        low = keys if now[0] == WORDS else (keys & np.uint64((1 << LOW_BITS) - 1)).astype(np.uint32)
+        return (*now, low.tobytes(), n.astype(np.int64).tobytes())
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Words (kind 0) and byte sequences (kind 1) of a partition with their counts."""
-    kept, words, grams, docs = whitespace_words(), [], [], 0
+    names = ["kind", "grp", "block", "keys", "n"]
     for pdf in batches:
-        for _, texts in _pieces(pdf):
-            docs += len(texts)
-            words.append(counted(word_hashes(texts, kept)[0]))
-            grams.append(counted(_sequences(texts)[0]))
-            for parts in (words, grams):
-                if len(parts) > 1 and sum(len(p[0]) for p in parts[1:]) > max(1 << 20, len(parts[0][0])):
-                    parts[:] = [merged(parts)]
-    if docs:
-        words.append((np.array([END]), np.array([docs])))
-    for kind, (values, n) in enumerate((merged(words), merged(grams))):
-        for i in range(0, len(values), 100_000):
-            yield pd.DataFrame({"kind": kind, "key": values[i : i + 100_000].astype(np.uint64).view(np.int64), "n": n[i : i + 100_000]})
+        out = []
+        for r in pdf[names].itertuples(index=False):
+            if (r.kind, r.grp, r.block) != now:
+                if now is not None:
+                    out.append(row())
+                now, parts = (r.kind, r.grp, r.block), []
+            parts.append((_keys(r.kind, r.grp, r.keys), np.frombuffer(r.n, dtype=np.int64)))
+        if out:
+            yield pd.DataFrame(out, columns=names)
+    if now is not None:
+        yield pd.DataFrame([row()], columns=names)
+
+
+def _merged_counts(held: DataFrame, blocks: int) -> DataFrame:
+    """(kind, grp, keys, n) of the whole corpus; at most FAN rows of a group meet in a step, so a common group is no hot one."""
+    while True:
+        blocks = -(-blocks // FAN)
+        held = held.withColumn("block", F.expr(f"int(block div {FAN})")) if blocks > 1 else held.withColumn("block", F.lit(0))
+        held = held.repartition("kind", "grp", "block").sortWithinPartitions("kind", "grp", "block").mapInPandas(_merge, "kind int, grp long, block int, keys binary, n binary")
+        if blocks <= 1:
+            return cut(held.drop("block"))
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -81,217 +177,264 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
     small = x < 8
     y = np.where(small, x + 8, x)
     out = (y - 0.5) * np.log(y) - y + _HALF_LOG_2PI + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
-    shift = np.zeros_like(out)
-    for i in range(8):
-        shift += np.where(small, np.log(np.where(small, x, 1.0) + i * small), 0)
-    return out - shift
-
-
-def _nodes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones seen at each of the 255 binary nodes, from counts of the 256 bytes, a row a context."""
-    heap = np.zeros((len(counts), 512))
-    heap[:, 256:] = counts
-    for low in (128, 64, 32, 16, 8, 4, 2, 1):
-        heap[:, low : 2 * low] = heap[:, 2 * low : 4 * low : 2] + heap[:, 2 * low + 1 : 4 * low : 2]
-    return heap[:, 2::2], heap[:, 3::2]
-
-
-def _estimate(zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log block probability and probability of a one, by Krichevsky and Trofimov."""
-    n = zeros + ones
-    block = _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(n + 1) - np.log(np.pi)
-    return np.where(n > 0, block, 0.0), (ones + 0.5) / (n + 1)
-
-
-def _weighted(block: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log of the weighted probability of a node over its own estimate and its children's, and the weight of its own."""
-    total = np.logaddexp(block, below) - np.log(2)
-    return total, np.exp(block - np.log(2) - total)
-
-
-def _byte_logs(ones: np.ndarray) -> np.ndarray:
-    """log10 of the probability of each of the 256 bytes, from the probabilities of a one at the 255 nodes."""
-    logs = np.zeros((len(ones), 512))
-    log1, log0 = np.log10(ones), np.log10(1 - ones)
-    for low in (1, 2, 4, 8, 16, 32, 64, 128):
-        logs[:, 2 * low : 4 * low : 2] = logs[:, low : 2 * low] + log0[:, low - 1 : 2 * low - 1]
-        logs[:, 2 * low + 1 : 4 * low : 2] = logs[:, low : 2 * low] + log1[:, low - 1 : 2 * low - 1]
-    return logs[:, 256:].astype(np.float32)
-
-
-def _subtree(pdf: pd.DataFrame) -> tuple[dict, list]:
-    """All nodes whose last byte is that of the group; levels from DEPTH up to 1."""
-    codes, n = pdf["key"].to_numpy().astype(np.int64), pdf["n"].to_numpy().astype(np.float64)
-    levels = []
-    for depth in range(DEPTH, 0, -1):
-        context = (codes >> 8) & ((1 << 8 * depth) - 1)
-        ids, at = np.unique(context, return_inverse=True)
-        counts = np.zeros((len(ids), 256))
-        np.add.at(counts, (at, codes & 255), n)
-        zeros, ones = _nodes(counts)
-        block, p = _estimate(zeros, ones)
-        if levels:
-            deeper = levels[-1]
-            below = np.zeros_like(block)
-            np.add.at(below, np.searchsorted(ids, deeper["ids"] & ((1 << 8 * depth) - 1)), deeper["total"])
-            total, own = _weighted(block, below)
-        else:
-            total, own = block, np.ones_like(block)
-        levels.append({"depth": depth, "ids": ids, "total": total, "own": own, "p": p, "seen": zeros + ones > 0, "counts": counts})
-    top = levels[-1]
-    zeros, ones = _nodes(top["counts"])
-    return {"zeros": zeros[0], "ones": ones[0], "total": top["total"][0]}, levels
-
-
-def _summary(pdf: pd.DataFrame) -> pd.DataFrame:
-    top, _ = _subtree(pdf)
-    return pd.DataFrame({"node": np.arange(255), **top})
-
-
-def _dense(root_p: np.ndarray, root_own: np.ndarray):
-    def rows(pdf: pd.DataFrame) -> pd.DataFrame:
-        """log10 probabilities of all bytes after each context of each depth; a context stands for unseen longer ones."""
-        _, levels = _subtree(pdf)
-        by_depth = {lv["depth"]: lv for lv in levels}
-        out = []
-        for depth in range(1, DEPTH + 1):
-            lv = by_depth[depth]
-            mixed = lv["p"]
-            for d in range(depth - 1, 0, -1):
-                up = by_depth[d]
-                at = np.searchsorted(up["ids"], lv["ids"] & ((1 << 8 * d) - 1))
-                deeper = by_depth[d + 1]
-                seen = deeper["seen"][np.searchsorted(deeper["ids"], lv["ids"] & ((1 << 8 * (d + 1)) - 1))]
-                mixed = np.where(seen, up["own"][at] * up["p"][at] + (1 - up["own"][at]) * mixed, up["p"][at])
-            first = by_depth[1]
-            mixed = np.where(first["seen"], root_own * root_p + (1 - root_own) * mixed, root_p)
-            out.append(pd.DataFrame({"depth": depth, "context": lv["ids"], "logs": [r.tobytes() for r in _byte_logs(mixed)]}))
-        return pd.concat(out, ignore_index=True)
-
-    return rows
-
-
-class Scores:
-    """A part of the model: byte log probabilities of the contexts from ``low`` to before ``high``; 0 for all others."""
-
-    def __init__(self, rows: list[tuple[int, int, bytes]], root: np.ndarray, low: int, high: int):
-        self.low, self.high = low, high
-        self.rows = np.vstack([root.reshape(1, 256), *[np.frombuffer(r[2], dtype=np.float32).reshape(1, 256) for r in rows]])
-        seen = {b for _, c, _ in rows for b in (c & 255, (c >> 8) & 255, (c >> 16) & 255)}
-        self.letters = sorted(seen)
-        self.keys = [(d, c) for d, c, _ in rows]
-        self.at: np.ndarray | None = None
-
-    def look_up(self) -> tuple[np.ndarray, np.ndarray]:
-        """The letter of each byte (those of no context share one), and the row of each context of letters."""
-        if self.at is None:
-            a = len(self.letters) + 1
-            letter = np.full(256, a - 1, dtype=np.int32)
-            letter[self.letters] = np.arange(a - 1)
-            at = np.zeros((a,) * DEPTH, dtype=np.int32)
-            for row, (depth, c) in sorted(enumerate(self.keys, 1), key=lambda x: x[1][0]):
-                at[(Ellipsis, *[letter[(c >> 8 * d) & 255] for d in range(depth - 1, -1, -1)])] = row
-            self.letter, self.at = letter, at.reshape(-1)
-        return self.letter, self.at
-
-    def of(self, codes: np.ndarray) -> np.ndarray:
-        letter, at = self.look_up()
-        place = np.zeros(len(codes), dtype=np.int64)
-        for d in range(DEPTH, 0, -1):
-            place = place * (len(self.letters) + 1) + letter[(codes >> np.uint32(8 * d)) & np.uint32(255)]
-        logs = self.rows[at[place], codes & np.uint32(255)].astype(np.float64)
-        context = codes >> np.uint32(8)
-        return logs if (self.low, self.high) == (0, 1 << 8 * DEPTH) else np.where((context >= self.low) & (context < self.high), logs, 0)
-
-
-def context_tree(grams: DataFrame, pass_contexts: int = PASS_CONTEXTS) -> list[Scores]:
-    """The model from counts of byte sequences, in parts of at most ``pass_contexts`` contexts of full depth."""
-    grouped = grams.groupBy(F.shiftright("key", 8).bitwiseAND(255).alias("last"))
-    top = grouped.applyInPandas(_summary, "node int, zeros double, ones double, total double").groupBy("node").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "total")]).toPandas()
-    top = top.set_index("node").reindex(range(255)).fillna(0.0)
-    block, p = _estimate(top["zeros"].to_numpy(), top["ones"].to_numpy())
-    own = _weighted(block, top["total"].to_numpy())[1]
-    root = _byte_logs(p.reshape(1, -1))
-    rows = cut(grouped.applyInPandas(_dense(p, own), "depth int, context long, logs binary"))
-    full = rows.where(F.col("depth") == DEPTH)
-    n = full.count()
-    parts = max(1, -(-n // pass_contexts))
-    edges = [0, *(full.approxQuantile("context", [i / parts for i in range(1, parts)], 0.001) if parts > 1 else []), 1 << 8 * DEPTH]
-    short = [tuple(r) for r in rows.where(F.col("depth") < DEPTH).collect()]  # contexts of at most DEPTH - 1 bytes
-    out = []
-    for low, high in zip(map(int, edges), map(int, edges[1:]), strict=False):
-        part = full.where((F.col("context") >= low) & (F.col("context") < high)).collect()
-        out.append(Scores(short + [tuple(r) for r in part], root[0], low, high))
+    rise = np.ones_like(y)
+    few = x[small]
+    if len(few):
+        product = np.ones_like(few)
+        for i in range(8):
+            product *= few + i
+        rise[small] = product
+    return out - np.log(rise)
+
+
+def log_block(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Log block probability of so many zeros and ones by Krichevsky and Trofimov."""
+    out = np.zeros(len(zeros))
+    some = zeros + ones > 0
+    a, b = zeros[some], ones[some]
+    out[some] = _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - _log_gamma(a + b + 1) - np.log(np.pi)
     return out
 
 
-def score_texts(docs: DataFrame, learns: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for every row of ``docs``.
+def _log_blocks(zeros: pd.Series, ones: pd.Series) -> pd.Series:
+    return pd.Series(log_block(zeros.to_numpy(dtype=np.float64), ones.to_numpy(dtype=np.float64)))
+
 
-    learns: the rows (text) that counts are taken from. A-Z are lower-cased; tokens are runs of other bytes than space
-    and 0x09 to 0x0D, then one end. base_score adds up log10((c + 1) / (N + 1 * (V + 1))) over the tokens; score is log10 of
-    the probability that context-tree weighting gives the lower-cased bytes and a closing zero byte. Null texts are
-    empty. Without training rows every c, N and V is 0 and each bit has probability 1/2.
-    Words beyond the ``COMMON_WORDS`` commonest are counted by a join, not held in a task.
+def _levels(codes: np.ndarray, n: np.ndarray) -> list[list[dict]]:
+    """Binary nodes of the depths DEPTH to SHARED (in this order) for each of the eight bits, from sorted codes with counts.
+
+    A node: ``of`` (node of each item of the depth), ``key`` (context and bits so far), counts, the probability ``p`` of a
+    one, the log of its weighted probability ``total``, the posterior weight of its own estimate, and ``up``, its parent's node.
     """
-    spark = docs.sparkSession
-    counts = cut(learns.select("text").mapInPandas(_count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
-    words = counts.where("kind = 0").select("key", "n")
-    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    common = words.orderBy(F.desc("n"), "key").limit(COMMON_WORDS).toPandas().sort_values("key")
-    keys = np.sort(common["key"].to_numpy().astype(np.int64).view(np.uint64))
-    held = dict(zip(common["key"].to_numpy().astype(np.int64).view(np.uint64).tolist(), common["n"].tolist(), strict=True))
-    shared = spark.sparkContext.broadcast((keys, np.array([held[k] for k in keys.tolist()], dtype=np.int64)))
-    models = [spark.sparkContext.broadcast(m) for m in context_tree(counts.where("kind = 1").select("key", "n"))]
-    below = float(total + (distinct + 1))
+    out: list[list[dict]] = []
+    items, counts = codes, n.astype(np.float64)
+    to_here = np.arange(len(codes))
+    for depth in range(DEPTH, SHARED - 1, -1):
+        if depth < DEPTH:
+            wider = ((items >> np.uint64(16)) << np.uint64(8)) | (items & np.uint64(255))
+            items, to_here = np.unique(wider, return_inverse=True)
+            counts = np.bincount(to_here, weights=counts, minlength=len(items))
+        context, symbol = items >> np.uint64(8), items & np.uint64(255)
+        level = []
+        for k in range(8):
+            key = (context << np.uint64(8)) | np.uint64(1 << k) | (symbol >> np.uint64(8 - k))
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            of = np.zeros(len(items), dtype=np.int64)
+            of[first[1:]] = 1
+            of = np.cumsum(of)
+            bit = (symbol >> np.uint64(7 - k)) & np.uint64(1)
+            ones = np.bincount(of, weights=counts * bit, minlength=len(first))
+            zeros = np.bincount(of, weights=counts, minlength=len(first)) - ones
+            block = log_block(zeros, ones)
+            node = {"of": of, "key": key[first], "zeros": zeros, "ones": ones, "p": (ones + 0.5) / (zeros + ones + 1), "first": first, "bit": bit}
+            if depth == DEPTH:
+                node |= {"total": block, "own": np.ones(len(first))}
+            else:
+                deeper = out[-1][k]
+                deeper["up"] = of[to_here[deeper["first"]]]
+                below = np.bincount(deeper["up"], weights=deeper["total"], minlength=len(first))
+                total = np.logaddexp(block, below) - np.log(2)
+                node |= {"total": total, "own": np.exp(block - np.log(2) - total)}
+            level.append(node)
+        out.append(level)
+    return out
+
+
+def _codes_of(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes and counts of several groups, sorted, and the numbers of codes of each group in this order."""
+    parts = [_keys(BYTES, g, k) for g, k in zip(pdf["grp"].tolist(), pdf["keys"], strict=True)]
+    return np.concatenate(parts), np.concatenate([np.frombuffer(b, dtype=np.int64) for b in pdf["n"]]), np.array([len(p) for p in parts])
+
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = whitespace_words()
-        known, n = shared.value
-        for pdf in batches:
-            for rows, texts in _pieces(pdf):
+def _few_codes(batches: Iterator[pd.DataFrame], most: int = 1 << 18) -> Iterator[pd.DataFrame]:
+    """Rows in order of ``grp``, in frames of about ``most`` codes."""
+    for pdf in batches:
+        pdf = pdf.sort_values("grp", kind="stable", ignore_index=True)
+        step = (pdf["keys"].map(len).cumsum() // (4 * most)).to_numpy()
+        for s in np.unique(step):
+            yield pdf[step == s].reset_index(drop=True)
+
+
+def _shared_nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of the nodes of depth SHARED, summed by the context one byte shorter: zeros, ones, log weighted probability."""
+    for pdf in _few_codes(batches):
+        codes, n, _ = _codes_of(pdf)
+        for node in _levels(codes, n)[-1]:
+            short = ((node["key"] >> np.uint64(16)) << np.uint64(8)) | (node["key"] & np.uint64(255))
+            keys, at = np.unique(short, return_inverse=True)
+            sums = {c: np.bincount(at, weights=node[c], minlength=len(keys)) for c in ("zeros", "ones", "total")}
+            yield pd.DataFrame({"context": (keys >> np.uint64(8)).astype(np.int64), "node": (keys & np.uint64(255)).astype(np.int32), **sums})
+
+
+def _values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """log10 probability of each code's last byte behind its context, from the mixtures above (q, r) and the groups' own nodes."""
+    for pdf in _few_codes(batches):
+        codes, n, sizes = _codes_of(pdf)
+        above = pdf.drop_duplicates("context")
+        lengths = [len(x) for x in above["nodes"]]
+        known = np.repeat(above["context"].to_numpy().astype(np.uint64), lengths) << np.uint64(8) | np.concatenate(above["nodes"].tolist()).astype(np.uint64)
+        order = np.argsort(known)
+        known, q0, r0 = known[order], np.concatenate(above["q"].tolist())[order], np.concatenate(above["r"].tolist())[order]
+        levels = _levels(codes, n)
+        logs = np.zeros(len(codes))
+        for k in range(8):
+            top = levels[-1][k]
+            at = np.searchsorted(known, ((top["key"] >> np.uint64(16)) << np.uint64(8)) | (top["key"] & np.uint64(255)))
+            q, r = q0[at], r0[at]
+            for level in reversed(levels):
+                node = level[k]
+                if level is not levels[-1]:
+                    q, r = q[node["up"]], r[node["up"]]
+                q, r = q + r * node["own"] * node["p"], r * (1 - node["own"])
+            one = q[levels[0][k]["of"]]
+            logs += np.log10(np.where(levels[0][k]["bit"] == 1, one, 1 - one))
+        ends = np.cumsum(sizes).tolist()
+        yield pd.DataFrame({"grp": pdf["grp"], "keys": pdf["keys"], "n": [logs[a:b].tobytes() for a, b in zip([0, *ends], ends, strict=False)]})
+
+
+def context_tree(grams: DataFrame) -> DataFrame:
+    """(grp, keys, n): the log10 probabilities (doubles, in n) of all byte sequences in ``grams`` (grp, keys, n: counts).
+
+    A group's rows are one; it has at most 2 ** LOW_BITS sequences. Above SHARED bytes of context the nodes are rows: at
+    most 255 for each of 65,536 contexts of two bytes, 256 of one byte, and the root.
+    """
+    two = grams.mapInPandas(_shared_nodes, "context long, node int, zeros double, ones double, total double")
+    sums = [F.sum(c).alias(c) for c in ("zeros", "ones", "total")]
+
+    def weighted(nodes: DataFrame) -> DataFrame:
+        """Sums of what lies below -> own probability p, own weight, and the node's log weighted probability."""
+        block = nodes.withColumn("block", F.pandas_udf(_log_blocks, "double")("zeros", "ones"))
+        high = F.greatest("block", "total")
+        both = high + F.log(F.exp(F.col("block") - high) + F.exp(F.col("total") - high)) - float(np.log(2))
+        return block.withColumn("both", both).select("context", "node", "zeros", "ones", F.col("both").alias("total"), F.exp(F.col("block") - float(np.log(2)) - F.col("both")).alias("own"), ((F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1)).alias("p"))
+
+    two = cut(weighted(two.groupBy("context", "node").agg(*sums)))
+    one = cut(weighted(two.groupBy(F.shiftright("context", 8).alias("context"), "node").agg(*sums)))
+    root = weighted(one.groupBy("node").agg(*sums).withColumn("context", F.lit(0).cast("long")))
+    mixed = root.select("node", (F.col("own") * F.col("p")).alias("q0"), (1 - F.col("own")).alias("r0"))
+
+    def below(nodes: DataFrame, above: DataFrame, on: list[str]) -> DataFrame:
+        joined = nodes.join(above, on)
+        return joined.select("context", "node", (F.col("q0") + F.col("r0") * F.col("own") * F.col("p")).alias("q"), (F.col("r0") * (1 - F.col("own"))).alias("r"))
+
+    first = below(one, F.broadcast(mixed), ["node"])  # 255 rows
+    first = first.select(F.col("context").alias("near"), "node", F.col("q").alias("q0"), F.col("r").alias("r0"))
+    second = below(two.withColumn("near", F.shiftright("context", 8)), F.broadcast(first), ["near", "node"])  # at most 256 * 255 rows
+    packed = second.groupBy("context").agg(F.collect_list(F.struct("node", "q", "r")).alias("x")).select("context", F.col("x.node").alias("nodes"), F.col("x.q").alias("q"), F.col("x.r").alias("r"))
+    return grams.withColumn("context", F.shiftright("grp", 8)).join(packed, "context").mapInPandas(_values, "grp long, keys binary, n binary")
+
+
+def _give(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The values of each block's own keys: a group's values come first, then the blocks that hold keys of it."""
+    now = keys = values = None
+    for pdf in batches:
+        out = []
+        for r in pdf.itertuples(index=False):
+            if r.block < 0:
+                now, keys, values = (r.kind, r.grp), _keys(r.kind, r.grp, r.keys), np.frombuffer(r.n, dtype=np.float64)
+            elif (r.kind, r.grp) == now:
+                out.append((r.kind, r.block, r.grp, r.keys, values[np.searchsorted(keys, _keys(r.kind, r.grp, r.keys))].tobytes()))
+            else:
+                raise ValueError("a group of sequences has no values")
+        if out:
+            yield pd.DataFrame(out, columns=["kind", "block", "grp", "keys", "n"])
+
+
+class Lookup:
+    """Values by 64-bit key: a table of slots, and a binary search for keys whose slot another one holds."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+        self.shift = np.uint64(64 - max(4, int(2 * len(keys)).bit_length()))
+        self.slots = np.zeros(1 << (64 - int(self.shift)), dtype=np.int32)
+        self.slots[self._slot(self.keys)] = np.arange(len(keys))
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return mix(keys) >> self.shift
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = self.slots[self._slot(keys)]
+        missed = np.flatnonzero(self.keys[at] != keys)
+        at[missed] = np.minimum(np.searchsorted(self.keys, keys[missed]), len(self.keys) - 1)
+        if (self.keys[at[missed]] != keys[missed]).any():
+            raise ValueError("a block holds a key that it hasn't named")
+        return self.values[at]
+
+
+def _scorer(below: float):
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Scores of the texts of each block; the values of its keys come before them."""
+        kept, now, given, known = whitespace_words(), None, ([], []), None
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["block"] != now:
+                    now, given, known = row["block"], ([], []), None
+                if row["blob"] is None:
+                    given[row["kind"]].append((_keys(row["kind"], row["grp"], row["keys"]), np.frombuffer(row["n"], dtype=np.float64)))
+                    continue
+                if known is None:
+                    known = [Lookup(np.concatenate([k for k, _ in g]), np.concatenate([v for _, v in g])) for g in given]
+                    given = ([], [])
+                ids, flags, texts = _unpack(row)
                 codes, sizes = _sequences(texts)
-                logs = np.zeros(len(codes))
-                for m in models:
-                    logs += m.value.of(codes)
-                starts = np.cumsum(sizes) - sizes
+                score = np.add.reduceat(known[BYTES](codes), np.cumsum(sizes) - sizes)
                 hashes, tokens = word_hashes(texts, kept)
-                ends = np.cumsum(tokens + 1) - 1
-                hashes = np.insert(hashes, ends - np.arange(len(tokens)), END)
-                first, doc = np.append(0, ends[:-1] + 1), np.repeat(np.arange(len(tokens)), tokens + 1)
-                at = np.minimum(np.searchsorted(known, hashes), max(0, len(known) - 1))
-                is_common = known[at] == hashes if len(known) else np.zeros(len(hashes), dtype=bool)
-                c = np.where(is_common, n[at], 0) if len(known) else np.zeros(len(hashes), dtype=np.int64)
-                base = np.where(is_common, np.log10((c + 1) / below), 0.0)
-                rare = np.flatnonzero(~is_common)
-                order = np.lexsort((hashes[rare], doc[rare]))
-                rare_key, rare_doc = hashes[rare][order], doc[rare][order]
-                new = np.ones(len(rare), dtype=bool)
-                new[1:] = (rare_key[1:] != rare_key[:-1]) | (rare_doc[1:] != rare_doc[:-1])
-                where = np.flatnonzero(new)
-                times = np.diff(np.append(where, len(rare)))
-                edges = np.searchsorted(rare_doc[where], np.arange(len(tokens) + 1))
-                part = pdf.iloc[rows]
-                yield pd.DataFrame({
-                    "row": part["row"], "doc_id": part["doc_id"], "n_tokens": tokens + 1, "known": np.add.reduceat(is_common.astype(np.int64), first), "base": np.add.reduceat(base, first),
-                    "score": np.add.reduceat(logs, starts), "bytes": sizes - 1,
-                    "keys": [rare_key[where[a:b]].view(np.int64) for a, b in zip(edges, edges[1:], strict=False)], "times": [times[a:b] for a, b in zip(edges, edges[1:], strict=False)],
-                })
-
-    schema = "row long, doc_id long, n_tokens long, known long, base double, score double, bytes long, keys array<long>, times array<long>"
-    numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row"))
-    scored = cut(numbered.mapInPandas(score, schema))
-    rare = scored.select("row", F.explode(F.arrays_zip("keys", "times")).alias("x")).select("row", F.col("x.keys").alias("key"), F.col("x.times").alias("times"))
-    rare = rare.join(words, "key", "left").withColumn("c", F.coalesce("n", F.lit(0)))
-    sums = rare.groupBy("row").agg(F.sum(F.col("times") * F.log10((F.col("c") + 1) / F.lit(below))).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more_known"))
-    both = scored.drop("keys", "times").join(sums, "row", "left")
-    return both.select(
-        "doc_id", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score", (-F.col("score") / float(np.log10(2)) / (F.col("bytes") + 1)).alias("bits_per_byte"),
-    )
+                doc, c = np.repeat(np.arange(len(texts)), tokens), known[WORDS](hashes)
+                end = float(known[WORDS](np.array([END]))[0])
+                base = np.bincount(doc, weights=np.log10((c + 1) / below), minlength=len(texts)) + np.log10((end + 1) / below)
+                found = np.bincount(doc, weights=c > 0, minlength=len(texts)).astype(np.int64) + (end > 0)
+                arrays = [pa.array(ids, pa.int64(), mask=flags >= 2), *[pa.array(v, t) for v, t in ((tokens + 1, pa.int64()), (found, pa.int64()), (base, pa.float64()), (score, pa.float64()), (sizes, pa.int64()))]]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_tokens", "n_known", "base_score", "score", "bytes"])
+
+    return score
+
+
+def score_texts(docs: DataFrame, learns: Column) -> DataFrame:
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for every row of ``docs``.
+
+    learns: a condition on rows of ``docs``; counts are taken from the rows where it holds or is null. A-Z are lower-cased;
+    tokens are runs of other bytes than space and 0x09 to 0x0D, then one end. base_score adds up
+    log10((c + 1) / (N + 1 * (V + 1))) over the tokens; score is log10 of the probability that context-tree weighting
+    gives the lower-cased bytes and a closing zero byte. Null texts are empty. Null and shared ids are kept as they are,
+    each row is scored by itself. Without training rows every c, N and V is 0 and each bit has probability 1/2. An empty
+    table gives an empty one. Other columns, whatever their names, are ignored.
+    """
+    packed = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), learns.alias("learns"), F.col("text").cast("string").alias("text")).mapInArrow(_pack, PACKED))
+    raw = packed.agg(F.coalesce(F.sum("raw"), F.lit(0))).first()[0]
+    spread = min(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-raw // PIECE_BYTES))
+    blocks = max(1, -(-raw // BLOCK_BYTES), spread)
+    packed = packed.withColumn("block", F.pmod(F.xxhash64("part", "seq"), F.lit(blocks)).cast("int"))
+    held = cut(packed.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(_held, HELD))
+    counts = _merged_counts(held, blocks)
+    words = counts.where(F.col("kind") == WORDS)
+    sums = words.mapInPandas(_totals, "total long, seen long").agg(F.sum("total"), F.sum("seen")).first()
+    total, distinct = (int(v or 0) for v in sums)
+    below = float(total + (distinct + 1))
+    values = context_tree(counts.where(F.col("kind") == BYTES).drop("kind")).withColumn("kind", F.lit(BYTES))
+    values = values.unionByName(words.mapInPandas(_as_doubles, "kind int, grp long, keys binary, n binary"))
+    near = F.expr(f"block div {FAN * FAN}").alias("near")
+    asking = held.select("kind", "grp", near).distinct()
+    given = values.join(asking, ["kind", "grp"]).select("kind", F.lit(-1).alias("block"), "grp", "keys", "n", "near")
+    both = given.unionByName(held.select("kind", "block", "grp", "keys", F.lit(None).cast("binary").alias("n"), near))
+    given = both.repartition("kind", "grp", "near").sortWithinPartitions("kind", "grp", "near", "block").drop("near").mapInPandas(_give, HELD)
+    stream = given.unionByName(packed.drop("part", "seq"), allowMissingColumns=True)
+    stream = stream.repartition(blocks, "block").sortWithinPartitions("block", F.col("blob").isNotNull())
+    scored = stream.mapInArrow(_scorer(below), "doc_id long, n_tokens long, n_known long, base_score double, score double, bytes long")
+    return scored.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", (-F.col("score") / float(np.log10(2)) / F.col("bytes")).alias("bits_per_byte"))
+
+
+def _totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        n = [np.frombuffer(b, dtype=np.int64) for b in pdf["n"]]
+        yield pd.DataFrame({"total": [int(x.sum()) for x in n], "seen": [int((x > 0).sum()) for x in n]})
+
+
+def _as_doubles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pd.DataFrame({"kind": pdf["kind"], "grp": pdf["grp"], "keys": pdf["keys"], "n": [np.frombuffer(b, dtype=np.int64).astype(np.float64).tobytes() for b in pdf["n"]]})
 
 
 def op9_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = score_texts(docs, docs.where(learns_from("doc_id", 7, 2)))
+    scored = score_texts(table(spark, sf_dir, "documents"), learns_from("doc_id", 7, 2))
     return scored.select("doc_id", (~learns_from("doc_id", 7, 2)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")

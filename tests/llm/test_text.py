@@ -197,73 +197,78 @@ def test_additive_model_finds_an_interaction():
     assert (0, 1) in m.pairs and ((m.score(x) > 0.5) == y).mean() > 0.95
 
 
-def slow_tree(train, text, depth=op9.DEPTH):
-    """The same mixture by walking each bit of each byte: counts in dictionaries, block probabilities by recursion."""
-    counts, children = collections.defaultdict(lambda: [0, 0]), collections.defaultdict(set)
-    def path(seq, i):
-        return [seq[i - d : i] for d in range(depth + 1)]
+def slow_tree(train, text, depth):
+    """Context-tree weighting by its definition: P(bit) is the weighted block probability with that bit over that without it."""
+
     def bits(byte):
         node = 1
         for k in range(7, -1, -1):
             b = byte >> k & 1
             yield node, b
             node = 2 * node + b
+
+    data = collections.defaultdict(list)
     for t in train:
         seq = b"\0" * depth + t + b"\0"
         for i in range(depth, len(seq)):
-            ctx = path(seq, i)
             for node, b in bits(seq[i]):
-                for d, c in enumerate(ctx):
-                    counts[c, node][b] += 1
-                    if d:
-                        children[ctx[d - 1], node].add(c)
-    kt = lambda c: math.lgamma(c[0] + 0.5) + math.lgamma(c[1] + 0.5) - math.lgamma(c[0] + c[1] + 1) - math.log(math.pi)
-    memo = {}
-    def weighted(ctx, node):
-        if (ctx, node) not in memo:
-            own = kt(counts[ctx, node])
-            memo[ctx, node] = (own, 1.0) if len(ctx) == depth else (np.logaddexp(own, sum(weighted(c, node)[0] for c in children[ctx, node])) - math.log(2), None)
-        return memo[ctx, node]
+                data[node].append((seq[i - depth : i], b))
+
+    def weighted(rows, d=0):
+        """log2-free logarithm of the probability of all bits of the subtree whose contexts agree in their last d bytes."""
+        if not rows:
+            return 0.0
+        n = collections.Counter(b for _, b in rows)
+        own = math.lgamma(n[0] + 0.5) + math.lgamma(n[1] + 0.5) - math.lgamma(n[0] + n[1] + 1) - math.log(math.pi)
+        if d == depth:
+            return own
+        children = collections.defaultdict(list)
+        for c, b in rows:
+            children[c[depth - d - 1]].append((c, b))
+        return np.logaddexp(own, sum(weighted(x, d + 1) for x in children.values())) - math.log(2)
+
     total, seq = 0.0, b"\0" * depth + text + b"\0"
+    before = {node: weighted(rows) for node, rows in data.items()}
     for i in range(depth, len(seq)):
-        ctx = path(seq, i)
         for node, b in bits(seq[i]):
-            seen = [c for c in ctx if (c, node) in counts and sum(counts[c, node])]
-            p = 0.5
-            for c in reversed(seen or []):
-                n = counts[c, node]
-                own = (n[b] + 0.5) / (n[0] + n[1] + 1)
-                stop = 1.0 if c == seen[-1] else math.exp(kt(n) - math.log(2) - weighted(c, node)[0])
-                p = own if c == seen[-1] else stop * own + (1 - stop) * p
-            total += math.log10(p)
+            rows = data.get(node, [])
+            total += (weighted([*rows, (seq[i - depth : i], b)]) - before.get(node, 0.0)) / math.log(10)
     return total
 
 
-def test_context_tree_equals_the_slow_one(spark):
-    train = ["abra cadabra", "the cat sat on the mat", "Ünïcode"]
+def _blocks(monkeypatch, piece, block):
+    monkeypatch.setattr(op9, "PIECE_BYTES", piece)
+    monkeypatch.setattr(op9, "BLOCK_BYTES", block)
+
+
+def test_context_tree_equals_its_definition(spark, monkeypatch):
+    train = ["abra cadabra", "the cat sat on the mat", "Ünïcode", "the rat sat on the cat"]
     texts = ["abracadabra the", "xyz", None, "", "the cat sat on the mat", "the cat"]
-    docs = docs_of(spark, list(enumerate(texts)) + [(5, "the cat")])
-    got = op9.score_texts(docs, docs_of(spark, list(enumerate(train)))).collect()
-    assert len(got) == 7
+    rows = [(i, t, False) for i, t in enumerate(texts)] + [(5, "the cat", False), (None, "the cat", False), (2**60 + 1, "", False)] + [(100 + i, t, True) for i, t in enumerate(train)]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, of_train boolean, block int, keys string")
+    _blocks(monkeypatch, 16, 40)
+    got = [r for r in op9.score_texts(docs, F.col("of_train")).collect() if r.doc_id is None or not 100 <= r.doc_id < 104]
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in got) == [-1, 0, 1, 2, 3, 4, 5, 5, 2**60 + 1]
     c = collections.Counter(w for t in train for w in [*t.encode().lower().split(), None])
     n, v = sum(c.values()), len(c)
+    want = {**dict(enumerate(texts)), None: "the cat", 2**60 + 1: ""}
     for r in got:
-        t = (texts[r.doc_id] or "").encode().lower()
+        t = (want[r.doc_id] or "").encode().lower()
         w = [*t.split(), None]
-        assert r.score == pytest.approx(slow_tree([x.encode().lower() for x in train], t), rel=1e-5)
+        assert r.score == pytest.approx(slow_tree([x.encode().lower() for x in train], t, op9.DEPTH), rel=1e-9)
         assert r.base_score == pytest.approx(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w)) and (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(c[x] > 0 for x in w), n)
 
 
-def test_language_model_in_parts_and_without_training(spark, monkeypatch):
-    docs = table(spark, SF, "documents").select("doc_id", "text")
-    whole = {r.doc_id: r.score for r in op9.score_texts(docs, docs).collect()}
-    parts = op9.context_tree
-    monkeypatch.setattr(op9, "context_tree", lambda grams: parts(grams, pass_contexts=2000))
-    monkeypatch.setattr(op9, "COMMON_WORDS", 50)
-    assert all(r.score == pytest.approx(whole[r.doc_id]) for r in op9.score_texts(docs, docs).collect())
-    monkeypatch.undo()
-    nothing = op9.score_texts(docs_of(spark, [(1, "ab")]), docs.where("false")).first()
+def test_language_model_in_blocks_and_without_training(spark, monkeypatch):
+    docs = table(spark, SF, "documents")
+    key = lambda r: (r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6))
+    whole = sorted(map(key, op9.score_texts(docs, F.lit(True)).collect()))
+    _blocks(monkeypatch, 3000, 9000)
+    monkeypatch.setattr(op9, "FAN", 4)
+    assert sorted(map(key, op9.score_texts(docs, F.lit(True)).collect())) == whole and len(whole) == docs.count()
+    nothing = op9.score_texts(docs_of(spark, [(1, "ab")]), F.lit(False)).first()
     assert nothing.train_tokens == 0 and nothing.score == pytest.approx(3 * 8 * math.log10(0.5), rel=1e-6)
+    assert op9.score_texts(docs_of(spark, []), F.lit(True)).count() == 0
 
 
 def test_licences(spark):
