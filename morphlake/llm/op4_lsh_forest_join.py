@@ -1,10 +1,14 @@
 """N-gram Jaccard self-join: MinHash LSH forest for candidates, exact set comparison for links.
 
 Texts become sets of five-word shingles. Equal word sequences are folded into one representative first. A signature is
-cut into ``TREES`` runs of ``DEEPEST`` labels. Two fixed prefix lengths are used in each tree: the longest whose chance of
-being shared at the threshold still gives the target recall over all trees, and, where few share it, the one shorter by
-one label, which only adds candidates. Signature estimates turn buckets into candidate groups, and
-inside each group shingle sets are compared exactly, block by block, without a row for each pair.
+cut into ``TREES`` runs of ``DEEPEST`` labels, and each run is a path in one of the forest's tries. Spark gathers the
+representatives that share a trie's shortest useful prefix; there they are sorted by their labels, and the walk starts at
+the longest prefixes they share. A representative's prefix is shortened label by label until its neighbours met so far say
+that the target recall is reached: one of estimated similarity s stands for 1 / s**k, of which (1 - s**k)**TREES are missed
+by all tries at depth k. A representative without neighbours goes down to the shortest prefix.
+
+A pair of texts is compared exactly in one place, the trie where it shares the longest prefix (the first of several), and
+only texts with such a pair travel there.
 """
 
 from __future__ import annotations
@@ -21,9 +25,10 @@ from morphlake.llm.shared import cut, table
 from morphlake.llm.textblocks import alphanumeric_words, encode, mix, word_hashes
 
 WORDS, THRESHOLD = 5, 0.8
-TREES, DEEPEST, TARGET_RECALL = 16, 6, 0.9997
+TREES, DEEPEST, TARGET_RECALL = 16, 6, 0.99998
 MARGIN = 0.2
-BLOCK = 256
+#: Most members, and shingles, of a block of a crowded prefix; two blocks meet in a task.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 19
 #: A row's own key, by which a class's first row is chosen: null ids last (as -1), then the id, then the text's hash.
 ROW = ("missing", "doc_id", "text_key")
 
@@ -129,31 +134,80 @@ def _local_roots(adjacent: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _bucket_links(threshold: float):
-    least = (threshold - MARGIN) * TREES * DEEPEST
+def _tries(signatures) -> np.ndarray:
+    return np.frombuffer(b"".join(signatures), dtype=np.uint32).reshape(len(signatures), TREES, DEEPEST)
 
-    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Links that connect the members of a bucket whose signatures agree often enough; most buckets have two members."""
-        for groups in whole_groups(batches, ["tree", "bucket", "i", "j"]):
+
+def _agreement(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of signatures paired along the leading axes: equal labels, the shared prefix in each trie, the trie of the longest (the first)."""
+    same = a == b
+    shared = np.logical_and.accumulate(same, axis=-1).sum(axis=-1, dtype=np.int8)
+    return same.sum(axis=(-1, -2), dtype=np.int16), shared, shared.argmax(axis=-1)
+
+
+def _matrix(s: np.ndarray, tree: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For all pairs of a group: equal labels, shared prefix in ``tree``, and whether ``tree`` is the place to compare them."""
+    n = len(s)
+    alike, shared, here = np.zeros((n, n), dtype=np.int16), np.zeros((n, n), dtype=np.int8), np.zeros((n, n), dtype=bool)
+    step = max(1, (1 << 15) // n)
+    for i in range(0, n, step):
+        equal, prefixes, place = _agreement(s[i : i + step, None], s[None])
+        alike[i : i + step], shared[i : i + step], here[i : i + step] = equal, prefixes[..., tree], place == tree
+    return alike, shared, here
+
+
+def met_pairs(alike: np.ndarray, shared: np.ndarray, near: np.ndarray, shortest: int, target: float) -> np.ndarray:
+    """Which of the ``near`` pairs of a trie meet while prefixes are shortened from DEEPEST labels to ``shortest``.
+
+    At each depth, pairs that share so long a prefix meet if one of them is still open; a member closes once the estimated
+    share of its neighbours that all tries miss at this depth is within the target.
+    """
+    estimate = alike / (TREES * DEEPEST)
+    is_open, met = np.ones(len(alike), dtype=bool), np.zeros_like(near)
+    for k in range(DEEPEST, shortest - 1, -1):
+        met |= near & (shared >= k) & (is_open[:, None] | is_open[None])
+        chance = np.maximum(estimate, 1e-3) ** k
+        stands_for = met / chance
+        missed = stands_for * (1 - chance) ** TREES
+        all_, lost = stands_for.sum(axis=1), missed.sum(axis=1)
+        is_open &= ~((all_ > 0) & (lost <= (1 - target) * all_))
+        if not is_open.any():
+            break
+    return met
+
+
+def _walk(threshold: float, target: float):
+    least, shortest = (threshold - MARGIN) * TREES * DEEPEST, prefix_length(threshold, target)
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The members of each prefix that have a pair to be compared there; most prefixes have two members."""
+        place = ["tree", "bucket", "i", "j"]
+        for groups in whole_groups(batches, place):
+            out = []
             pairs = [g for g in groups if len(g) == 2]
             if pairs:
                 both = pd.concat(pairs, ignore_index=True)
-                ids = both["rep"].to_numpy().reshape(-1, 2)
-                s = np.frombuffer(b"".join(both["signature"]), dtype=np.uint32).reshape(len(pairs), 2, -1)
-                alike = (s[:, 0] == s[:, 1]).sum(axis=1) >= least
-                yield pd.DataFrame({"a": ids[alike, 0], "b": ids[alike, 1]})
+                s = _tries(both["signature"]).reshape(len(pairs), 2, TREES, DEEPEST)
+                alike, _, where = _agreement(s[:, 0], s[:, 1])
+                crossing = (both["i"] == both["j"]).to_numpy()[::2] | (both["block"].to_numpy()[::2] != both["block"].to_numpy()[1::2])
+                out.append(both.loc[np.repeat((alike >= least) & (where == both["tree"].to_numpy()[::2]) & crossing, 2), [*place, "block", "rep"]])
             for g in groups:
                 if len(g) > 2:
-                    ids, at = np.unique(g["rep"].to_numpy(), return_index=True)
-                    s = np.frombuffer(b"".join(g["signature"].iloc[at]), dtype=np.uint32).reshape(len(ids), -1)
-                    alike = np.zeros((len(ids), len(ids)), dtype=np.int32)
-                    for column in s.T:
-                        alike += column[:, None] == column[None, :]
-                    roots = _local_roots(alike >= least)
-                    away = roots != np.arange(len(roots))
-                    yield pd.DataFrame({"a": ids[away], "b": ids[roots[away]]})
+                    tree, block = int(g["tree"].iloc[0]), g["block"].to_numpy()
+                    s = _tries(g["signature"])
+                    order = np.lexsort(s[:, tree, ::-1].T)
+                    alike, shared, here = _matrix(s[order], tree)
+                    near = alike >= least
+                    np.fill_diagonal(near, False)
+                    if g["i"].iloc[0] != g["j"].iloc[0]:  # pairs of one block are another group's work
+                        near &= block[order][:, None] != block[order][None]
+                    chosen = order[(met_pairs(alike, shared, near, shortest, target) & here).any(axis=1)]
+                    if len(chosen):
+                        out.append(g.iloc[chosen][[*place, "block", "rep"]])
+            if out:
+                yield pd.concat(out, ignore_index=True)
 
-    return link
+    return walk
 
 
 def _links_in(grams: np.ndarray, number: np.ndarray, threshold: float) -> np.ndarray:
@@ -196,24 +250,27 @@ def _own_shingles(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 def _compare(threshold: float):
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Exact links of the representatives of block i with those of block j (or among one block's)."""
-        for groups in whole_groups(batches, ["group", "i", "j"]):
+        """Exact links among the members of each prefix, of those pairs that this is the place to compare."""
+        for groups in whole_groups(batches, ["tree", "bucket", "i", "j"]):
             out = []
-            for chunk in _chunks(groups, 512):
+            for chunk in _chunks(groups, BLOCK):
                 all_rows = pd.concat(chunk, ignore_index=True)
                 grams, number, own = _own_shingles(all_rows)
                 at, gram_at = 0, np.concatenate([[0], np.cumsum(number)])
                 for g in chunk:
                     rows = np.arange(at, at + len(g))[own[at : at + len(g)]]
                     at += len(g)
-                    ids, pick = np.unique(all_rows["rep"].to_numpy()[rows], return_index=True)
-                    rows = rows[pick]
+                    if len(rows) < 2:
+                        continue
                     linked = _links_in(np.concatenate([grams[gram_at[r] : gram_at[r + 1]] for r in rows]), number[rows], threshold)
+                    linked &= _matrix(_tries(all_rows["signature"].iloc[rows]), int(g["tree"].iloc[0]))[2]
                     block = all_rows["block"].to_numpy()[rows]
-                    if g["i"].iloc[0] != g["j"].iloc[0]:  # pairs of one block are another group's work
+                    if g["i"].iloc[0] != g["j"].iloc[0]:
                         linked &= block[:, None] != block[None, :]
+                    ids = all_rows["rep"].to_numpy()[rows]
                     out.append(pd.DataFrame({"rep": ids, "root": ids[_local_roots(linked)], "links": linked @ all_rows["copies"].to_numpy()[rows]}))
-            yield pd.concat(out, ignore_index=True)
+            if out:
+                yield pd.concat(out, ignore_index=True)
 
     return compare
 
@@ -229,7 +286,7 @@ def _chunks(groups: list[pd.DataFrame], rows: int) -> Iterator[list[pd.DataFrame
         yield chunk
 
 
-def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, light: int = 64) -> DataFrame:
+def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> DataFrame:
     """(doc_id, class_id, n_links, n_copies, n_shingles), a row for each row of ``docs``.
 
     n_links: how many other documents have a Jaccard similarity of at least ``threshold`` to this one (copies included);
@@ -239,7 +296,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, light: int = 64)
     Rows of equal doc_id are one document if their words are equal; otherwise each row has its own texts' links, and
     shares the id. A null id is treated as the id -1. Extra columns are ignored.
     """
-    joined, worded = _classed(docs, threshold, light), F.col("n") > 0
+    joined, worded = _classed(docs, threshold, target), F.col("n") > 0
     return joined.select(
         "doc_id",
         F.when(worded, F.col("class")).otherwise(F.col("doc_id")).alias("class_id"),
@@ -254,28 +311,24 @@ def _keyed(docs: DataFrame, *columns: str | Column) -> DataFrame:
     return docs.select(F.col("doc_id").isNull().cast("int").alias("missing"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.xxhash64("text").alias("text_key"), *columns)
 
 
-def _classed(docs: DataFrame, threshold: float, light: int) -> DataFrame:
+def _classed(docs: DataFrame, threshold: float, target: float) -> DataFrame:
     """Each row's key, its number of shingles n, and (null without words) its copies, links, class and the class's first row."""
     signed = cut(_keyed(docs, "text").mapInPandas(_signatures, "missing int, doc_id long, text_key long, k1 long, k2 long, n long, signature binary"))
-    reps = signed.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.min(F.struct(*ROW)).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("signature").alias("signature"))
-    reps = cut(reps.withColumn("rep", F.xxhash64("k1", "k2")))
-    deep = prefix_length(threshold)
-    label = lambda t, depth: F.xxhash64(F.lit(t), F.substring("signature", t * DEEPEST * 4 + 1, depth * 4))
-    trees = F.array(*[F.struct(F.lit(t).alias("tree"), label(t, deep - 1).alias("short"), label(t, deep).alias("long")) for t in range(TREES)])
-    nodes = reps.select("rep", F.explode(trees).alias("x")).select("rep", "x.tree", "x.short", "x.long")
-    held = nodes.groupBy("tree", "short").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    nodes = nodes.join(held, ["tree", "short"]).withColumn("bucket", F.when(F.col("m") <= light, F.col("short")).otherwise(F.col("long")))
-    sizes = nodes.groupBy("tree", "bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    nodes = nodes.join(sizes, ["tree", "bucket"]).select("tree", "bucket", "size", "rep")
-    parts = F.ceil(F.col("size") / (4 * BLOCK)).cast("int")
-    dealt = _in_block_pairs(nodes.join(reps.select("rep", "signature"), "rep"), ["tree", "bucket"], parts)
-    links = dealt.mapInPandas(_bucket_links(threshold), "a long, b long")
-    groups = connected_components(links).withColumnsRenamed({"node": "rep", "root": "group"})
-    members = groups.join(reps.select("rep", "first.*", "copies", "k1"), "rep")
-    members = members.join(groups.groupBy("group").agg(F.count(F.lit(1)).alias("size")), "group")
-    with_text = _keyed(docs, "text").join(members, list(ROW)).drop(*ROW).dropDuplicates(["rep"])
-    pairs = _in_block_pairs(with_text, ["group"], F.ceil(F.col("size") / BLOCK).cast("int"))
-    checked = cut(pairs.mapInPandas(_compare(threshold), "rep long, root long, links long"))
+    reps = signed.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.min(F.struct(*ROW)).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("signature").alias("signature"), F.first("n").alias("n"))
+    reps = cut(reps.withColumn("rep", F.monotonically_increasing_id()))
+    short = prefix_length(threshold, target)
+    label = lambda t: F.xxhash64(F.substring("signature", t * DEEPEST * 4 + 1, short * 4))
+    trees = F.array(*[F.struct(F.lit(t).alias("tree"), label(t).alias("bucket")) for t in range(TREES)])
+    nodes = reps.select("rep", "n", F.inline(trees))
+    held = nodes.groupBy("tree", "bucket").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("grams")).where("size > 1")
+    parts = F.greatest(F.ceil(F.col("size") / BLOCK), F.least(F.col("size"), F.ceil(F.col("grams") / BLOCK_SHINGLES))).cast("int")
+    nodes = nodes.select("rep", "tree", "bucket").join(held.select("tree", "bucket", parts.alias("parts")), ["tree", "bucket"])
+    dealt = _in_block_pairs(nodes.join(reps.select("rep", "signature"), "rep"))
+    chosen = cut(dealt.mapInPandas(_walk(threshold, target), "tree int, bucket long, i int, j int, block int, rep long"))
+    members = chosen.join(reps.select("rep", "first.*", "copies", "k1", "signature"), "rep")
+    texts = _keyed(docs, "text").groupBy(*ROW).agg(F.first("text").alias("text"))
+    meeting = texts.join(members, list(ROW)).drop(*ROW).repartition("tree", "bucket", "i", "j").sortWithinPartitions("tree", "bucket", "i", "j")
+    checked = cut(meeting.mapInPandas(_compare(threshold), "rep long, root long, links long"))
     counted = checked.groupBy("rep").agg(F.sum("links").alias("links"))
     classes = connected_components(checked.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
     classes = classes.withColumnRenamed("node", "rep").join(reps.select("rep", "least", "first"), "rep")
@@ -286,12 +339,12 @@ def _classed(docs: DataFrame, threshold: float, light: int) -> DataFrame:
     return signed.select(*ROW, "k1", "k2", "n").join(known, ["k1", "k2"], "left").drop("k1", "k2")
 
 
-def _in_block_pairs(rows: DataFrame, group: list[str], parts: Column) -> DataFrame:
-    """Deal a group's rows into blocks, give each row to every pair of blocks (i <= j) that it is in, sort by these."""
-    dealt = rows.withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("rep", F.lit("block")), F.col("parts")).cast("int"))
+def _in_block_pairs(rows: DataFrame) -> DataFrame:
+    """Deal a prefix's members into ``parts`` blocks, give each to every pair of blocks (i <= j) that it is in, sort by these."""
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("rep", F.lit("block")), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    dealt = dealt.withColumn("other", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("parts", "other", "size")
-    return dealt.repartition(*group, "i", "j").sortWithinPartitions(*group, "i", "j")
+    dealt = dealt.withColumn("other", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("parts", "other")
+    return dealt.repartition("tree", "bucket", "i", "j").sortWithinPartitions("tree", "bucket", "i", "j")
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
@@ -300,7 +353,7 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     Rows that share an id, or have none, are classed by their texts like others. Of rows of equal id and text one stays.
     Texts without words are no copies of each other: all rows without an id stay, and one for each id and text.
     """
-    found = _classed(docs, THRESHOLD, 64)
+    found = _classed(docs, THRESHOLD, TARGET_RECALL)
     kept = found.where((F.col("n") == 0) | (F.struct(*ROW) == F.col("first"))).select(*ROW).distinct()
     apart = F.col("doc_id").isNull() & ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[0-9A-Za-z]|[^\x00-\x7F]")
     rows = _keyed(docs.where(~apart), F.struct(*docs.columns).alias("row"))

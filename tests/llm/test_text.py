@@ -82,7 +82,7 @@ def test_jaccard_join_equals_brute_force(spark):
     texts += [None, "", "?!", "one two", "One  two!", "", "a b c d e"]
     rows = list(enumerate(texts))
     near, root = brute_links(rows)
-    got = {r.doc_id: r for r in op4.jaccard_join(docs_of(spark, rows).withColumn("rep", F.lit("clash")), light=8).collect()}
+    got = {r.doc_id: r for r in op4.jaccard_join(docs_of(spark, rows).withColumn("rep", F.lit("clash"))).collect()}
     assert len(got) == len(rows)
     assert {i: (r.class_id, r.n_links) for i, r in got.items()} == {i: (root[i], near[i]) for i, _ in rows}
 
