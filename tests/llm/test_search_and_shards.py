@@ -26,20 +26,32 @@ def nearest(ids, x, q, k):
     return list(zip(ids[keep][order].tolist(), d[keep][order].tolist()))
 
 
-def test_visit_order_goes_by_summed_distance():
+def test_visits_go_by_summed_distance_until_enough():
     rng = np.random.default_rng(1)
     a, b, held = rng.random(7), rng.random(9), rng.integers(0, 4, 63)
-    cells = op1.visit_order(a, b, held, 10**9)
-    sums = [a[c // 9] + b[c % 9] for c in cells]
-    assert sums == sorted(sums) and set(cells) == set(np.flatnonzero(held).tolist())
+    sums = (a[:, None] + b[None]).reshape(-1)
+    for enough in (1, 5, 40, int(held.sum())):
+        last = op1.reach(a, b, held, enough)
+        assert held[sums <= last].sum() >= enough > held[sums < last].sum()
 
 
-def test_search_recall_on_many_vectors(spark):
+def brute(rows, k):
+    """(query row, id, distance) by comparing all rows, each query row with all others; rows are (id, vector)."""
+    out = []
+    for i, (q, v) in enumerate(rows):
+        if q % 100 == 0:
+            d = [(math.dist(v, w), other) for j, (other, w) in enumerate(rows) if j != i]
+            out.append((q, [(round(x / max(x, 1), 9), x, o) for x, o in sorted(d)[:k]]))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["normal", "clustered"])
+def test_search_recall_on_many_vectors(spark, kind):
     rng = np.random.default_rng(2)
-    x = rng.normal(size=(6000, 16))
+    x = rng.normal(size=(6000, 16)) + (0 if kind == "normal" else 8 * rng.normal(size=(40, 16))[rng.integers(0, 40, 6000)])
     v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
-    u = op1.usable(v).persist()
-    found = op1.search(u, u.where("vec_id % 100 = 0"), codewords=16, least=500, fraction=0.5).collect()
+    u = op1.usable(v)
+    found = op1.search(u, u.where("vec_id % 100 = 0")).collect()
     by = {}
     for r in found:
         by.setdefault(r.query_id, {})[r.vec_id] = (r.rank, r.score)
@@ -47,16 +59,36 @@ def test_search_recall_on_many_vectors(spark):
     for q in range(0, 6000, 100):
         want = nearest(np.arange(6000), x, q, 10)
         assert sorted(r for r, _ in by[q].values()) == list(range(1, 11)) and q not in by[q]
-        hits += sum(i in by[q] for i, _ in want)
+        hits += sum(i in by[q] and by[q][i][1] == pytest.approx(d) for i, d in want)
     assert hits / 600 >= 0.9
 
 
+@pytest.mark.parametrize("case", ["far", "huge", "tiny", "mixed"])
+def test_all_cells_equal_brute_force(spark, case):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 5)).round(2)
+    x = {"far": x + 1e8, "huge": x * 1e200, "tiny": x * 1e-200, "mixed": np.where(rng.random((300, 1)) < 0.1, x * 1e150, x + 3)}[case]
+    rows = [(int(i), v.tolist()) for i, v in zip(rng.integers(0, 30, 300) * 10, x, strict=True)]  # repeated ids with other vectors
+    rows += [rows[0]] * 3 + [(100, rows[1][1]), (2**60 + 1, rows[1][1])]
+    u = op1.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {}
+    for r in op1.search(u, u.where("vec_id % 100 = 0"), k=4, all_cells=True).orderBy("rank").collect():
+        got.setdefault((r.query_id, r["rank"]), []).append(r.score)
+    want = {}
+    for q, best in brute(rows, 4):
+        for rank, (_, d, _) in enumerate(best, 1):
+            want.setdefault((q, rank), []).append(d)
+    assert got.keys() == want.keys()
+    for key in want:
+        assert sorted(got[key]) == pytest.approx(sorted(want[key]), rel=1e-12), key
+
+
 def test_search_odd_vectors_ties_and_copies(spark):
-    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [1.0, None]), (6, [float("nan"), 1.0]), (7, [0.0, 1.0]), (8, [1.0]), (9, [float("inf"), 1.0])]
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [1.0, None]), (6, [float("nan"), 1.0]), (7, [0.0, 1.0]), (8, [1.0]), (9, [float("inf"), 1.0]), (None, [1.0, 0.0])]
     rows += [(100 + i, [1.0, 0.0]) for i in range(30)]
     v = spark.createDataFrame([(i, e, "x") for i, e in rows], "vec_id long, embedding array<double>, rank string")
     u = op1.usable(v)
-    assert {r.vec_id for r in u.collect()} == {0, 1, 2, 7, *range(100, 130)}
+    assert {r.vec_id for r in u.collect()} == {0, 1, 2, 7, None, *range(100, 130)}
     got = [(r["rank"], r["vec_id"], r["score"]) for r in op1.search(u, u.where("vec_id = 0"), k=5).orderBy("rank").collect()]
     assert got == [(1, 1, 0.0), (2, 2, 0.0), (3, 100, 0.0), (4, 101, 0.0), (5, 102, 0.0)]
     assert op1.search(u.where("false"), u.where("false")).count() == 0
