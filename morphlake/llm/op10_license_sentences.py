@@ -9,13 +9,14 @@ rules overlap the one of most sentences wins, then the one that comes first in t
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from morphlake.llm.shared import table
+from morphlake.llm.shared import id_text, table
 
 GAP = 2
 
@@ -48,8 +49,35 @@ SENTENCES = {
     "cc-by-sa-4.0-work": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "cc-by-nc-4.0-work": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     "cc0-1.0-work": "This work has been dedicated to the public domain under CC0 1.0.",
+    "lgpl-2.1-redistribute": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl-3.0-redistribute": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl-hope": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;",
+    "agpl-redistribute": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl-only": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, version 3.",
+    "gpl-only": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3.",
+    "gpl-2.0-only": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    "gpl-details": "See the GNU General Public License for more details.",
+    "lgpl-details": "See the GNU Lesser General Public License for more details.",
+    "agpl-details": "See the GNU Affero General Public License for more details.",
+    "bsd-disclaimer": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
+    "isc-disclaimer": 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "bsl-1.0-notice": "Distributed under the Boost Software License, Version 1.0.",
+    "unlicense-release": "This is free and unencumbered software released into the public domain.",
+    "epl-2.0-terms": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "cc-by-nd-4.0-work": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "cc-by-nc-sa-4.0-work": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "cc-by-nc-nd-4.0-work": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
     "all-rights-reserved": "All rights reserved.",
 }
+# Licence names of the tag "SPDX-License-Identifier: NAME", with their kind.
+TAGS = {
+    "Apache-2.0": "permissive", "MIT": "permissive", "BSD-2-Clause": "permissive", "BSD-3-Clause": "permissive", "ISC": "permissive", "Zlib": "permissive", "BSL-1.0": "permissive", "Unlicense": "permissive",
+    "CC0-1.0": "permissive", "CC-BY-4.0": "permissive", "CC-BY-SA-4.0": "copyleft", "CC-BY-NC-4.0": "restricted", "CC-BY-ND-4.0": "restricted", "MPL-2.0": "copyleft", "EPL-2.0": "copyleft",
+    "GPL-2.0-only": "copyleft", "GPL-2.0-or-later": "copyleft", "GPL-3.0-only": "copyleft", "GPL-3.0-or-later": "copyleft", "LGPL-2.1-only": "copyleft", "LGPL-2.1-or-later": "copyleft",
+    "LGPL-3.0-only": "copyleft", "LGPL-3.0-or-later": "copyleft", "AGPL-3.0-only": "copyleft", "AGPL-3.0-or-later": "copyleft",
+}
+SENTENCES |= {f"tag-{name}": f"SPDX-License-Identifier: {name}" for name in TAGS}
 # Licence, its kind, and the sentences that make it up, in order.
 RULES = (
     ("Apache-2.0", "permissive", ("apache-2.0-header", "apache-2.0-use", "apache-2.0-copy", "apache-2.0-basis")),
@@ -74,13 +102,46 @@ RULES = (
     ("CC-BY-NC-4.0", "restricted", ("cc-by-nc-4.0-notice",)),
     ("CC-BY-NC-4.0", "restricted", ("cc-by-nc-4.0-work",)),
     ("CC0-1.0", "permissive", ("cc0-1.0-work",)),
+    ("BSD-3-Clause", "permissive", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-name", "bsd-disclaimer")),
+    ("BSD-2-Clause", "permissive", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-disclaimer")),
+    ("ISC", "permissive", ("isc-grant", "isc-disclaimer")),
+    ("Zlib", "permissive", ("zlib-grant",)),
+    ("BSL-1.0", "permissive", ("bsl-1.0-notice",)),
+    ("Unlicense", "permissive", ("unlicense-release",)),
+    ("EPL-2.0", "copyleft", ("epl-2.0-terms",)),
+    ("LGPL-2.1-or-later", "copyleft", ("lgpl-2.1-redistribute", "lgpl-hope", "lgpl-details")),
+    ("LGPL-2.1-or-later", "copyleft", ("lgpl-2.1-redistribute", "lgpl-hope")),
+    ("LGPL-2.1-or-later", "copyleft", ("lgpl-2.1-redistribute",)),
+    ("LGPL-3.0-or-later", "copyleft", ("lgpl-3.0-redistribute", "lgpl-hope")),
+    ("LGPL-3.0-or-later", "copyleft", ("lgpl-3.0-redistribute",)),
+    ("AGPL-3.0-or-later", "copyleft", ("agpl-redistribute", "gpl-hope", "agpl-details")),
+    ("AGPL-3.0-or-later", "copyleft", ("agpl-redistribute", "gpl-hope")),
+    ("AGPL-3.0-or-later", "copyleft", ("agpl-redistribute",)),
+    ("AGPL-3.0-only", "copyleft", ("agpl-only", "gpl-hope")),
+    ("AGPL-3.0-only", "copyleft", ("agpl-only",)),
+    ("GPL-3.0-or-later", "copyleft", ("gpl-redistribute", "gpl-hope", "gpl-details")),
+    ("GPL-2.0-or-later", "copyleft", ("gpl-2.0-redistribute", "gpl-hope", "gpl-details")),
+    ("GPL-3.0-only", "copyleft", ("gpl-only", "gpl-hope")),
+    ("GPL-3.0-only", "copyleft", ("gpl-only",)),
+    ("GPL-2.0-only", "copyleft", ("gpl-2.0-only", "gpl-hope")),
+    ("GPL-2.0-only", "copyleft", ("gpl-2.0-only",)),
+    ("CC-BY-ND-4.0", "restricted", ("cc-by-nd-4.0-work",)),
+    ("CC-BY-NC-SA-4.0", "restricted", ("cc-by-nc-sa-4.0-work",)),
+    ("CC-BY-NC-ND-4.0", "restricted", ("cc-by-nc-nd-4.0-work",)),
+    *((name, kind, (f"tag-{name}",)) for name, kind in TAGS.items()),
+    ("BSD-3-Clause", "permissive", ("all-rights-reserved", "bsd-grant", "bsd-source", "bsd-binary", "bsd-name")),
+    ("BSD-3-Clause", "permissive", ("all-rights-reserved", "bsd-grant", "bsd-source", "bsd-binary", "bsd-name", "bsd-disclaimer")),
+    ("BSD-2-Clause", "permissive", ("all-rights-reserved", "bsd-grant", "bsd-source", "bsd-binary")),
+    ("BSD-2-Clause", "permissive", ("all-rights-reserved", "bsd-grant", "bsd-source", "bsd-binary", "bsd-disclaimer")),
+    ("All-Rights-Reserved", "restricted", ("all-rights-reserved",)),
 )
 
 _SIGNS = re.compile(r"[^0-9a-z\u0080-\U0010ffff]+")
 _PARAGRAPH = re.compile(r"\n[ \t\r]*\n")
 #: A sentence also ends after the last word of one that the catalogue has without an end sign.
 _END = re.compile("|".join([r"[.;:!?](?=\s|$)", *(rf"(?<={re.escape(s.split()[-1])})(?=\s)" for s in SENTENCES.values() if s[-1] not in ".;:!?")]))
-_MARK = re.compile(r"(?m)^[ \t]*(?:[#*/>%-]+|\d{1,2}[.)]|\([a-z0-9]\))[ \t]+")
+#: Comment and list marks; a number is one only where the line before ends in a sign.
+_MARK = re.compile(r"(?m)^[ \t]*(?:[#*/>%-]+|\([a-z0-9]\))[ \t]+|^(?<![^.;:!?\n]\n)[ \t]*\d{1,2}[.)][ \t]+")
 
 
 def normalised(sentence: str) -> str:
@@ -90,10 +151,10 @@ def normalised(sentence: str) -> str:
 
 _KNOWN = {normalised(s): i for i, s in SENTENCES.items()}
 #: One word of each sentence that is rare outside licences: a paragraph without any holds no sentence of the catalogue.
-_HINTS = ("licens", "permission", "warrant", "redistribut", "copyright", "public domain", "all rights reserved", "free software")
+_HINTS = ("licens", "permission", "disclaim", "warrant", "redistribut", "copyright", "public domain", "all rights reserved", "free software")
 if any(not any(h in s for h in _HINTS) for s in _KNOWN):
     raise ValueError("a catalogue sentence has none of the hint words")
-_FIRST_HINTS = ("licens", "permission", "warrant", "redistribut", "copyright", "public", "rights", "software")
+_FIRST_HINTS = ("licens", "permission", "disclaim", "disclaim", "warrant", "redistribut", "copyright", "public", "rights", "software")
 
 
 def _catalogue() -> dict[str, list[tuple[tuple[str, ...], str]]]:
@@ -116,31 +177,35 @@ def _hinted(text: str) -> bool:
     return any(h in low for h in _FIRST_HINTS) and any(h in normalised(low) for h in _HINTS)
 
 
+_LONGEST = max(map(len, _PIECES))
+
+
 def sentences(paragraph: str) -> Iterator[str]:
-    """Pieces of a paragraph between end signs, in order: each line's own first, then, where one runs over line ends, the whole."""
+    """Normalised pieces of a paragraph between end signs, in order: each line's own first, then, where one runs over line ends, the whole."""
     plain = _MARK.sub("", paragraph)
-    at, line_ends = 0, [i for i, c in enumerate(plain) if c == "\n"]
+    at, lines = 0, [i + 1 for i, c in enumerate(plain) if c == "\n"]
     stops = [m.end() for m in _END.finditer(plain)]
     if not stops or stops[-1] < len(plain):
         stops.append(len(plain))
     for stop in stops:
-        inner = [e for e in line_ends if at <= e < stop]
-        if inner:
-            yield from _split(plain, at, stop, inner)
-        else:
-            yield plain[at:stop]
+        starts = [at, *lines[bisect_left(lines, at + 1) : bisect_left(lines, stop)]]
+        yield from _split([normalised(plain[a:b]) for a, b in zip(starts, [*starts[1:], stop], strict=True)])
         at = stop
 
 
-def _split(plain: str, at: int, stop: int, inner: list[int]) -> Iterator[str]:
-    """The longest known ending of a sentence over several lines that starts at a line's start, or its lines one by one."""
-    starts = [at, *(e + 1 for e in inner)]
-    for k, s in enumerate(starts):
-        if normalised(plain[s:stop]) in _PIECES:
-            yield from (plain[a:b] for a, b in zip(starts[:k], starts[1 : k + 1], strict=True))
-            yield plain[s:stop]
-            return
-    yield from (plain[a:b] for a, b in zip(starts, [*starts[1:], stop], strict=True))
+def _split(lines: list[str]) -> list[str]:
+    """The longest known ending of a sentence over several lines that starts at a line's start, or its lines one by one.
+
+    Only endings no longer than the longest known piece are tried, so the work grows with the lines.
+    """
+    ending, known = "", None
+    for k in range(len(lines) - 1, -1, -1):
+        ending = f"{lines[k]} {ending}".strip()
+        if len(ending) > _LONGEST:
+            break
+        if ending in _PIECES:
+            known = k, ending
+    return lines if known is None else [*lines[: known[0]], known[1]]
 
 
 def identify(text: str) -> list[tuple[int, str]]:
@@ -150,7 +215,7 @@ def identify(text: str) -> list[tuple[int, str]]:
         return found
     keys: list[str] = []
     for paragraph in _PARAGRAPH.split(text):
-        keys += [key for s in sentences(paragraph) if (key := normalised(s))] if _hinted(paragraph) else [""]
+        keys += [key for key in sentences(paragraph) if key] if _hinted(paragraph) else [""]
     while at < len(keys):
         known = next((x for x in _STARTS.get(keys[at], ()) if tuple(keys[at : at + len(x[0])]) == x[0]), None)
         if known:
@@ -160,18 +225,22 @@ def identify(text: str) -> list[tuple[int, str]]:
     return found
 
 
+_ORDER = sorted(RULES, key=lambda rule: -len(rule[2]))
+
+
 def recognise(found: list[tuple[int, str]], gap: int = GAP) -> list[tuple[str, str, int]]:
     """(licence, kind, number of its first sentence) of all matches in order of place."""
-    out, used = [], set()
-    order = sorted(range(len(RULES)), key=lambda r: -len(RULES[r][2]))
-    for licence, kind, rule in (RULES[r] for r in order):
-        for start in range(len(found)):
+    out, used, present = [], set(), {i for _, i in found}
+    for licence, kind, rule in _ORDER:
+        for start in range(len(found)) if present.issuperset(rule) else ():
             if found[start][1] != rule[0] or start in used:
                 continue
-            path, at = [start], start
+            path = [start]
             for want in rule[1:]:
-                at = next((j for j in range(at + 1, len(found)) if found[j][1] == want and j not in used and found[j][0] - found[path[-1]][0] <= gap + 1), None)
-                if at is None:
+                at = path[-1] + 1
+                while at < len(found) and found[at][0] - found[path[-1]][0] <= gap + 1 and (found[at][1] != want or at in used):
+                    at += 1
+                if at == len(found) or found[at][0] - found[path[-1]][0] > gap + 1:
                     break
                 path.append(at)
             if len(path) == len(rule):
@@ -184,7 +253,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """(doc_id, licenses, kinds, n_matches, n_sentences) for every row of ``docs``.
 
     licenses: distinct licence names in alphabetical order; kinds: the distinct kinds of them; n_matches counts every
-    recognised passage, n_sentences every known sentence. Null and empty texts have none. Extra columns are ignored.
+    recognised passage, n_sentences every known sentence. Null and empty texts have none. Null and shared ids are kept as
+    they are, each row is scanned by itself. Other columns, whatever their names, are ignored.
     """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -196,7 +266,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
                 out.append((sorted({h[0] for h in hits}), sorted({h[1] for h in hits}), len(hits), len(found)))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], **{c: [o[i] for o in out] for i, c in enumerate(("licenses", "kinds", "n_matches", "n_sentences"))}})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(scan, "doc_id long, licenses array<string>, kinds array<string>, n_matches long, n_sentences long")
+    found = docs.select(id_text(), "text").mapInPandas(scan, "doc_id string, licenses array<string>, kinds array<string>, n_matches long, n_sentences long")
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op10_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,23 +4,30 @@ The automaton accepts every run of words of every item. Streaming a document's w
 length of the longest run ending there that some item has; where it reaches the window (or a whole item that is
 shorter), the run's words are hit. Spans longer than the length limit are cut from the text, documents hit beyond the
 coverage limit are dropped.
+
+A large benchmark is cut into parts. Tasks build an automaton of each part and leave it in the shared folder; the driver
+keeps only the paths. A scanning task holds one part, and shows it a bounded buffer of texts before it takes the next.
 """
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from morphlake.llm.shared import table
+from morphlake.llm.shared import shared_folder, table
 from morphlake.llm.textblocks import alphanumeric_words, encode
 
 WINDOW = 10
-MOST_WORDS = 2_000_000
+#: Words of an automaton, and bytes of text that are shown to one part before the next is loaded.
+MOST_WORDS, BUFFER = 250_000, 64 << 20
 _TABLE = bytes(b if b else 0x20 for b in alphanumeric_words().tolist())
 
 
@@ -132,71 +139,114 @@ class Automaton:
                     found.add(item)
 
 
-def automata(benchmark: DataFrame, window: int = WINDOW, most_words: int = MOST_WORDS) -> list[Automaton]:
-    """One automaton for each ``most_words`` words of the benchmark (a bound on what tasks hold at a time)."""
+def automata(benchmark: DataFrame, window: int = WINDOW, most_words: int = MOST_WORDS) -> list[str]:
+    """Build an automaton of each ``most_words`` words (an item is never cut) in a task; the paths of the written ones."""
     texts = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("text is not null")
     total = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-int(total) // (most_words * 2)))
-    out = []
-    for part in range(parts):
-        rows = texts.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part).collect()
-        out.append(Automaton([(r["item"], words_of(r["text"].encode())) for r in rows], window))
-    return out
-
-
-def match(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    folder = f"{shared_folder(benchmark.sparkSession)}/automata-{uuid.uuid4().hex}"
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(folder)
+        system.create_dir(base, recursive=True)
+        name = uuid.uuid4().hex
+        rows = sorted({(i is None, i or "", t) for i, t in zip(pdf["item"], pdf["text"], strict=True)})
+        with system.open_output_stream(f"{base}/{name}") as out:
+            out.write(pickle.dumps(Automaton([(None if missing else i, words_of(t.encode("utf-8", "surrogatepass"))) for missing, i, t in rows], window)))
+        return pd.DataFrame({"path": [f"{folder}/{name}"]})
+
+    part = F.pmod(F.xxhash64("item", "text"), F.lit(parts))
+    return sorted(r["path"] for r in texts.withColumn("part", part).groupBy("part").applyInPandas(build, "path string").collect())  # a row a part
+
+
+_loaded: tuple[str, Automaton] | None = None
+
+
+def _load(path: str) -> Automaton:
+    """The automaton at ``path``; a worker keeps the last one it has read."""
+    global _loaded
+    if _loaded is None or _loaded[0] != path:
+        from pyarrow import fs
+
+        _loaded = None
+        system, name = fs.FileSystem.from_uri(path)
+        with system.open_input_stream(name) as source:
+            _loaded = (path, pickle.loads(source.read()))
+    return _loaded[1]
+
+
+def _buffers(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list[pa.RecordBatch], list[list[bytes]]]]:
+    """Consecutive batches with their texts' bytes, until the texts fill the buffer."""
+    held, texts, size = [], [], 0
+    for batch in batches:
+        held.append(batch)
+        texts.append(encode(batch.column(column).to_pylist()))
+        size += sum(map(len, texts[-1]))
+        if size > BUFFER:
+            yield held, texts
+            held, texts, size = [], [], 0
+    if held:
+        yield held, texts
+
+
+def _scan(texts: list[list[bytes]], paths: list[str]) -> list[list[tuple[np.ndarray, set]]]:
+    """Hit words and items of every text, over all parts."""
+    out = [[(np.zeros(0, dtype=bool), set())] * len(batch) for batch in texts]
+    for number, path in enumerate(paths):
+        automaton = _load(path)
+        for b, batch in enumerate(texts):
+            for i, text in enumerate(batch):
+                hit, found = automaton.scan(words_of(text))
+                out[b][i] = (hit | out[b][i][0], found | out[b][i][1]) if number else (hit, found)
+    return out if paths else [[(np.zeros(len(words_of(t)), dtype=bool), set()) for t in batch] for batch in texts]
+
+
+def match(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_words: int = MOST_WORDS) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items) of every row of ``docs``: items is the sorted list of item ids as strings.
 
     A window is ``window`` consecutive words of an item, or a whole item that has fewer words, but not none; a word is hit
     if it is inside an occurrence of a window. Null and empty texts have no words. An empty benchmark hits nothing; items
-    of equal id count once; a null item id is left out of the list but its words are hit. Other columns are ignored.
+    of equal id count once; a null item id is left out of the list but its words are hit. Null and shared doc_ids are kept as
+    they are, each row is matched by itself. Other columns, whatever their names, are ignored.
     """
-    held = [docs.sparkSession.sparkContext.broadcast(a) for a in automata(benchmark, window)]
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for text in encode(pdf["text"]):
-                words = words_of(text)
-                hit, found = np.zeros(len(words), dtype=bool), set()
-                for a in held:
-                    h, f = a.value.scan(words)
-                    hit |= h
-                    found |= f
-                out.append((len(words), int(hit.sum()), sorted(x for x in found if x is not None)))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": [x[0] for x in out], "n_hit": [x[1] for x in out], "items": [x[2] for x in out]})
-
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(scan, "doc_id long, n_words long, n_hit long, items array<string>")
+    paths = automata(benchmark, window, most_words)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, texts in _buffers(batches, 1):
+            for batch, found in zip(held, _scan(texts, paths), strict=True):
+                arrays = [batch.column(0), pa.array([len(h) for h, _ in found], pa.int64()), pa.array([int(h.sum()) for h, _ in found], pa.int64()), pa.array([sorted(x for x in f if x is not None) for _, f in found], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "n_hit", "items"])
+
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scan, "doc_id long, n_words long, n_hit long, items array<string>")
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = 0.5) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = 0.5, most_words: int = MOST_WORDS) -> DataFrame:
     """``docs`` without benchmark passages: hit spans are cut, rows with more than ``coverage`` of their words hit go.
 
     A cut takes the span's words and the signs between them; n_chars, where present, is counted anew for cut texts.
-    Rows without hits come back unchanged, null texts too.
+    Rows without hits come back unchanged, null texts too; ids and all other columns pass through as they are.
     """
-    held = [docs.sparkSession.sparkContext.broadcast(a) for a in automata(benchmark, window)]
-    schema = docs.schema
-
-    def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            keep, texts = [], pdf["text"].tolist()
-            for i, text in enumerate(encode(texts)):
-                words = words_of(text)
-                hit = np.zeros(len(words), dtype=bool)
-                for a in held:
-                    hit |= a.value.scan(words)[0]
-                keep.append(not words or hit.mean() <= coverage)
-                if hit.any() and keep[-1]:
-                    texts[i] = _without(text, hit).decode("utf-8", "replace")
-            changed = pdf.assign(text=texts)
-            if "n_chars" in changed:
-                new = [b is not None and a != b for a, b in zip(pdf["text"], texts, strict=True)]
-                changed.loc[new, "n_chars"] = [len(t) for t, n in zip(texts, new, strict=True) if n]
-            yield changed[np.array(keep, dtype=bool)]
-
-    return docs.mapInPandas(clean, schema)
+    paths, schema = automata(benchmark, window, most_words), docs.schema
+    at = docs.columns.index("text")
+    counted = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, texts in _buffers(batches, at):
+            for batch, raw, found in zip(held, texts, _scan(texts, paths), strict=True):
+                keep = [not len(hit) or hit.mean() <= coverage for hit, _ in found]
+                cut = {i: _without(raw[i], hit).decode("utf-8", "replace") for i, (hit, _) in enumerate(found) if keep[i] and hit.any()}
+                for column, value in ((at, lambda t: t), (counted, len)) if cut else ():
+                    if column is not None:
+                        values = batch.column(column).to_pylist()
+                        for i, t in cut.items():
+                            values[i] = value(t)
+                        batch = batch.set_column(column, batch.schema.field(column), pa.array(values, batch.schema.field(column).type))
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(clean, schema)
 
 
 def _without(text: bytes, hit: np.ndarray) -> bytes:

@@ -9,6 +9,7 @@ back to source positions through all of them.
 from __future__ import annotations
 
 import re
+import unicodedata
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from morphlake.llm.shared import table
+from morphlake.llm.shared import id_text, table
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -39,11 +40,14 @@ DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "fo
 
 
 def _lookalikes() -> dict[str, str]:
-    """The fixed table, full-width ASCII, digits of other scripts and mathematical digits, each by its rule."""
-    out = dict(LOOKALIKES) | {chr(0xFEE0 + c): chr(c) for c in range(0x21, 0x7F)}
-    for zero in (0x0660, 0x06F0, 0x0966, 0x09E6, 0x0E50, 0xFF10, 0x1D7CE, 0x1D7D8, 0x1D7E2, 0x1D7EC, 0x1D7F6):
-        out |= {chr(zero + d): str(d) for d in range(10)}
-    return out
+    """The fixed table; and by rule: all decimal digits, and characters whose compatibility form is one ASCII sign (full-width, mathematical, circled)."""
+    out = {}
+    for code in (*range(0x80, 0x3000), *range(0xA000, 0xAC00), *range(0xF900, 0x11800), *range(0x1D400, 0x1D800), *range(0x1E000, 0x1FC00)):
+        c = chr(code)
+        digit, form = unicodedata.decimal(c, None), unicodedata.normalize("NFKC", c)
+        if digit is not None or (len(form) == 1 and form.isascii()):
+            out[c] = form if digit is None else str(digit)
+    return out | LOOKALIKES
 
 
 _LOOK = _lookalikes()
@@ -152,6 +156,7 @@ def _digit_pieces(text: str) -> Iterator[Piece]:
     if "+" in text or "plus" in low:
         for m in _PLUS_RUN.finditer(text):
             if any(w in m["number"].lower() for w in DIGIT_WORDS):
+                yield m.start(), m.start("number"), "+"
                 yield from _digits_of(text, *m.span("number"), _TOKENS)
 
 
@@ -242,7 +247,8 @@ def _joined(found: list[tuple[str, int, int]]) -> str:
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """(doc_id, base, spans) for every row of ``docs``: spans as kind:start:end in code points, comma-joined.
 
-    Null and empty texts have none. All rows count, equal ones too; other columns are ignored.
+    Null and empty texts have none. All rows count, equal ones too, and null and shared ids are kept as they are; other
+    columns, whatever their names, are ignored.
     """
 
     def detect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -252,7 +258,8 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], **counts, "base": [_joined(b[0]) for b in both], "spans": [_joined(b[1]) for b in both]})
 
     columns = ", ".join(f"n_{k} long" for k in KINDS)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(detect, f"doc_id long, {columns}, base string, spans string")
+    found = docs.select(id_text(), "text").mapInPandas(detect, f"doc_id string, {columns}, base string, spans string")
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def masked(text: str, found: list[tuple[str, int, int]]) -> str:

@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new local one where it is unset."""
-    context = spark.sparkContext
+    """The folder that driver and executors share, ``spark.checkpoint.dir``. Where it is unset, a new local one, in local mode only."""
+    context, folder = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="morphlake-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="morphlake-"))
+    return folder or context.getCheckpointDir()
 
 
 def cut(frame: DataFrame) -> DataFrame:
@@ -29,3 +31,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def learns_from(doc_id: str, divisor: int, held_out: int) -> Column:
     """True where crc32 of the id as text leaves another remainder than ``held_out``; a null id is learnt from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % divisor != held_out, F.lit(True))
+
+
+def id_text(doc_id: str = "doc_id") -> Column:
+    """An id as text, in which form it passes pandas whole: a null beside it would make it a float there."""
+    return F.col(doc_id).cast("long").cast("string").alias("doc_id")

@@ -1,5 +1,7 @@
 """Every licence rule finds its own sentences, and published headers are found as they are printed."""
 
+import random
+import re
 import textwrap
 
 import pytest
@@ -57,3 +59,36 @@ def test_hints_over_line_ends_and_no_pieces_alone():
     assert [x[1] for x in op10.identify("All rights\nreserved.")] == ["all-rights-reserved"]
     assert found("# This work has been dedicated to the public\n# domain under CC0 1.0.") == ["CC0-1.0"]
     assert op10.identify("This program is free software: buy it. Version 2.0. License 2.0.") == []
+
+
+def plain_identify(text):
+    """Known sentences by trying every run of words of every paragraph against the catalogue, longest first."""
+    known = {tuple(op10.normalised(s).split()): i for i, s in op10.SENTENCES.items()}
+    out = []
+    for paragraph in re.split(r"\n\s*\n", text):
+        words, at = op10.normalised(paragraph).split(), 0
+        while at < len(words):
+            hit = next(((n, known[w]) for n in range(len(words) - at, 0, -1) if (w := tuple(words[at : at + n])) in known), None)
+            out += [hit[1]] if hit else []
+            at += hit[0] if hit else 1
+    return out
+
+
+def test_sentences_equal_the_plain_search():
+    rng = random.Random(6)
+    names = [n for n in op10.SENTENCES if not n.startswith("tag-") and n != "mit-licensed"]
+    for _ in range(300):
+        parts = []
+        for _ in range(rng.randint(1, 6)):
+            parts.append(op10.SENTENCES[rng.choice(names)] if rng.random() < 0.6 else " ".join(rng.choice(("some", "other", "licence", "words")) for _ in range(rng.randint(1, 9))) + ".")
+        text = rng.choice((" ", "\n", "\n\n")).join(parts)
+        text = text if "\n" in text else textwrap.fill(text, rng.choice((40, 72)), break_long_words=False, break_on_hyphens=False)
+        assert [i for _, i in op10.identify(text)] == plain_identify(text), text
+
+
+def test_tags_and_ids(spark):
+    big = 2**60 + 1
+    rows = [(1, "// SPDX-License-Identifier: LGPL-3.0-or-later\nint x;"), (None, "All rights reserved."), (big, "Released under the MIT License."), (big, None), (2, "line of a licence\n" * 20000)]
+    docs = spark.createDataFrame([(i, t, ["x"]) for i, t in rows], "doc_id long, text string, licenses array<string>")
+    got = sorted(((r.doc_id, tuple(r.licenses)) for r in op10.scan_licenses(docs).collect()), key=str)
+    assert got == sorted([(1, ("LGPL-3.0-or-later",)), (None, ("All-Rights-Reserved",)), (big, ("MIT",)), (big, ()), (2, ())], key=str)

@@ -104,7 +104,7 @@ def brute_hits(text, items, window=10):
             if tuple(w[p : p + n]) in grams:
                 hit.update(range(p, p + n))
                 found.add(item)
-    return len(w), len(hit), sorted(found)
+    return len(w), len(hit), sorted(found, key=str)
 
 
 def test_automaton_equals_brute_force():
@@ -132,6 +132,28 @@ def test_match_and_decontaminate(spark):
     assert op6.match(docs, bench.where("false")).agg(F.sum("n_hit")).first()[0] == 0
 
 
+def test_decontamination_in_parts_keeps_ids_and_columns(spark):
+    rng, big = random.Random(9), 2**60 + 1
+    text = lambda n: " ".join(rng.choice(("aa", "bb", "cc", "dd", "é")) for _ in range(n))
+    items = [(i, text(rng.randint(0, 12))) for i in range(40)] + [(None, text(11))]
+    rows = [(rng.choice((None, big, big + i, i)), text(rng.randint(0, 60))) for i in range(80)] + [(big, None), (None, "zz " * 50000)]
+    docs = docs_of(spark, rows).withColumns({"items": F.array(F.lit(None).cast("long"), F.col("doc_id")), "n_hit": F.struct("doc_id")})
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    key = lambda x: str(x)
+    for most in (10, 10**6):
+        got = sorted(((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in op6.match(docs, bench, most_words=most).collect()), key=key)
+        want = []
+        for i, t in rows:
+            n, hits, found = brute_hits(t, items)
+            want.append((i, n, hits, tuple(sorted(str(x) for x in found if x is not None))))
+        assert got == sorted(want, key=key)
+        kept = op6.decontaminate(docs, bench, most_words=most)
+        assert kept.schema == docs.schema
+        left = kept.collect()
+        assert all(r["items"] == [None, r.doc_id] and r["n_hit"].doc_id == r.doc_id and (r.text is None or r.n_chars == len(r.text)) for r in left)
+        assert sorted((r.doc_id for r in left), key=key) == sorted((w[0] for w in want if not w[1] or w[2] <= w[1] / 2), key=key)
+
+
 EMAIL, IP = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD, PHONE = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -173,6 +195,9 @@ def test_plain_prose_has_no_spans(spark):
         assert op7.spans(t)[1] == brute_personal(t)
     got = op7.find_personal_data(docs_of(spark, [(1, None), (2, ""), (3, "a@b.c"), (3, "a@b.c")])).collect()
     assert sorted((r.doc_id, r.n_email, r.spans) for r in got) == [(1, 0, ""), (2, 0, ""), (3, 1, "email:0:5"), (3, 1, "email:0:5")]
+    big = 2**60 + 1
+    ids = spark.createDataFrame([(None, "a@b.c", 1), (big, "x", 2), (big, "+ оne two three four five six seven eight nine", 3)], "doc_id long, text string, spans long")
+    assert sorted(((r.doc_id, r.n_email, r.n_phone) for r in op7.find_personal_data(ids).collect()), key=str) == sorted([(None, 1, 0), (big, 0, 0), (big, 0, 1)], key=str)
     assert op7.masked("to a@b.c now", [("email", 3, 8)]) == "to <email> now"
 
 
@@ -281,7 +306,7 @@ def test_licences(spark):
 
 
 def test_licence_lines_of_the_documents(spark):
-    lines = {"Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0-only", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT"}
+    lines = {"Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0-only", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT", "All rights reserved.": "All-Rights-Reserved"}
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     want = {r.doc_id: sorted({lines[x] for x in r.text.split("\n") if x in lines}) for r in docs.collect()}
     assert {r.doc_id: r.licenses for r in op10.scan_licenses(docs).collect()} == want
