@@ -9,7 +9,6 @@ the same way with one cut on each feature. A score is a sum of table entries, lo
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from morphlake.llm.shared import learns_from, table
-from morphlake.llm.textblocks import encode
+from morphlake.llm.textblocks import PIECE, cased_words, encode, line_bytes, mix, runs
 
 FEATURES = (
     "words", "word_length", "word_spread", "upper", "digits", "signs", "stops", "other_bytes", "spaces", "lines", "distinct_words", "commonest_word",
@@ -39,27 +38,73 @@ def _classes() -> np.ndarray:
 
 
 _CLASS = _classes().astype(np.float64)
-_SIGNS = b"!\"#$%&'()*+/:;<=>?@[\\]^_`{|}~"
-
-
-def features(text: bytes) -> list[float]:
-    words = text.split()
-    n, size = len(words), len(text)
-    if not n:
-        return [0.0] * len(FEATURES)
-    held = np.bincount(np.frombuffer(text, dtype=np.uint8), minlength=256).astype(np.float64)
-    upper, lower, digit, stop, sign, other, space, feed = _CLASS @ held
-    lengths = np.fromiter(map(len, words), dtype=np.float64, count=n)
-    seen, lines = Counter(words), text.split(b"\n")
-    share = held[held > 0] / size
-    packed = len(zlib.compress(text, 1)) / size
-    signed = sum(w[-1] in _SIGNS for w in words)
-    return [
-        np.log1p(n), lengths.mean(), lengths.std(), upper / max(1.0, upper + lower), digit / size, sign / size, stop / size, other / size, space / size, feed / size, len(seen) / n,
-        max(seen.values()) / n, 1 - len(set(lines)) / len(lines), np.log1p(size / len(lines)), signed / n, sum(65 <= w[0] <= 90 for w in words) / n, np.log1p(lengths.max()),
-        len(set(zip(words, words[1:], strict=False))) / max(1, n - 1), packed, float(-(share * np.log2(share)).sum()), sum(a == b for a, b in zip(words, words[1:], strict=False)) / n,
-        sum(len(w) == 1 and w in _SIGNS for w in words) / n,
+_SIGN_BYTES = np.isin(np.arange(256), list(b"!\"#$%&'()*+/:;<=>?@[\\]^_`{|}~"))
+
+
+def _largest(doc: np.ndarray, values: np.ndarray, docs: int) -> np.ndarray:
+    """The largest of each document's values, 0 where it has none; ``doc`` ascends."""
+    out = np.zeros(docs)
+    if len(doc):
+        first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        out[doc[first]] = np.maximum.reduceat(values, first)
+    return out
+
+
+def _distinct(doc: np.ndarray, values: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many different values (44-bit hashes) each document has, and how often its commonest occurs."""
+    keys = np.sort(doc.astype(np.uint64) << np.uint64(44) | values >> np.uint64(20))
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
+    of = (keys[first] >> np.uint64(44)).astype(np.int64)
+    return np.bincount(of, minlength=docs).astype(np.float64), _largest(of, np.diff(np.append(first, len(keys))), docs)
+
+
+def features(texts: list[bytes]) -> np.ndarray:
+    """A row of FEATURES for each text; zeros for texts without words. Worked out for a megabyte of texts at a time."""
+    out, at = [np.zeros((0, len(FEATURES)))], 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) + 1 <= PIECE):
+            size += len(texts[end]) + 1
+            end += 1
+        out.append(_features(texts[at:end]))
+        at = end
+    return np.concatenate(out)
+
+
+def _features(texts: list[bytes]) -> np.ndarray:
+    raw, docs = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8), len(texts)
+    size = np.array([len(t) for t in texts], dtype=np.int64)
+    offsets = np.concatenate([[0], np.cumsum(size + 1)])
+    of_byte = np.repeat(np.arange(docs), size + 1)
+    held = np.bincount(of_byte * 256 + raw, minlength=docs * 256).reshape(docs, 256).astype(np.float64)
+    held[:, 10] -= 1  # the byte between two texts
+    upper, lower, digit, stop, sign, other, space, feed = _CLASS @ held.T
+    starts, ends, words = runs(raw, cased_words())
+    doc = np.searchsorted(offsets, starts, side="right") - 1
+    n, length = np.bincount(doc, minlength=docs), (ends - starts).astype(np.float64)
+    some, size = np.maximum(n, 1), np.maximum(size, 1)
+    mean = np.bincount(doc, weights=length, minlength=docs) / some
+    spread = np.sqrt(np.bincount(doc, weights=(length - mean[doc]) ** 2, minlength=docs) / some)
+    longest = _largest(doc, length, docs)
+    seen, most = _distinct(doc, words, docs)
+    line_starts, _, lines = runs(raw, line_bytes())
+    line_doc = np.searchsorted(offsets, line_starts, side="right") - 1
+    full, total = np.bincount(line_doc, minlength=docs), feed + 1
+    different = _distinct(line_doc, lines, docs)[0] + (full < total)
+    beside = np.flatnonzero(doc[1:] == doc[:-1])
+    pairs = _distinct(doc[beside], mix(words[beside] * np.uint64(3) + words[beside + 1]), docs)[0]
+    doubled = np.bincount(doc[beside[words[beside] == words[beside + 1]]], minlength=docs)
+    signed, capital = _SIGN_BYTES[raw[ends - 1]], (raw[starts] >= 65) & (raw[starts] <= 90)
+    count = lambda which: np.bincount(doc[which], minlength=docs)
+    share = held / size[:, None]
+    entropy = -(share * np.log2(np.where(share > 0, share, 1))).sum(axis=1)
+    packed = np.array([len(zlib.compress(t, 1)) for t in texts]) / size
+    rows = [
+        np.log1p(n), mean, spread, upper / np.maximum(1.0, upper + lower), digit / size, sign / size, stop / size, other / size, space / size, feed / size, seen / some,
+        most / some, 1 - different / total, np.log1p(size / total), count(signed) / some, count(capital) / some, np.log1p(longest),
+        pairs / np.maximum(1, n - 1), packed, entropy, doubled / some, count(signed & (length == 1)) / some,
     ]
+    return np.where(n[:, None] > 0, np.column_stack(rows), 0.0)
 
 
 class AdditiveModel:
@@ -152,21 +197,24 @@ def _pair_step(g: np.ndarray, h: np.ndarray, n: np.ndarray, shape: tuple[int, in
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> AdditiveModel:
-    """Fit on the ``sample`` labelled rows of smallest id hash (all, if fewer) among those that learn.
+    """Fit on the ``sample`` labelled ids of smallest id hash (all, if fewer) among those that learn.
 
-    Rows without label, text or id, and those whose crc32(doc_id) mod 4 is 2, are not learnt from. Without any the
-    score is 0.5; where only one label occurs it is near that label.
+    Rows without label, text or id, and those whose crc32(doc_id) mod 4 is 2, are not learnt from; nor are ids with both
+    labels. Of documents that share an id the text of smallest hash is learnt from. Without any label the score is 0.5;
+    where only one label occurs it is near that label.
     """
     known = labels.where("quality is not null and doc_id is not null").where(learns_from("doc_id", 4, 2))
-    known = known.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("double").alias("y")).dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(sample)
+    known = known.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").alias("low"), F.max("quality").alias("high")).where("low = high")
+    known = known.select("id", F.col("low").cast("double").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "x": [features(t) for t in encode(pdf["text"])]})
+            yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "x": list(features(encode(pdf["text"])))})
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("text is not null")
-    rows = texts.join(F.broadcast(known), "id").mapInPandas(measure, "id long, y double, x array<double>").collect()  # at most ``sample`` ids
-    rows.sort(key=lambda r: (r["id"], r["x"]))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("text is not null").join(F.broadcast(known), "id")
+    one = texts.groupBy("id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    rows = one.mapInPandas(measure, "id long, y double, x array<double>").collect()  # at most ``sample`` rows
+    rows.sort(key=lambda r: r["id"])
     return AdditiveModel(np.array([r["x"] for r in rows], dtype=np.float64).reshape(len(rows), len(FEATURES)), np.array([r["y"] for r in rows], dtype=np.float64))
 
 
@@ -177,14 +225,17 @@ def with_score(docs: DataFrame, model: AdditiveModel, column: str = "score") ->
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in texts:
-            yield pd.Series(shared.value.score(np.array([features(t) for t in encode(s)], dtype=np.float64).reshape(len(s), len(FEATURES))))
+            yield pd.Series(shared.value.score(features(encode(s))))
 
     return docs.withColumn(column, score(F.col("text")))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, at: float = KEEP_AT) -> DataFrame:
-    """The rows of ``docs`` that the classifier doesn't reject."""
-    return with_score(docs, fit_quality(docs, labels), "__quality").where(F.col("__quality") >= at).drop("__quality")
+    """The rows of ``docs`` that the classifier doesn't reject, with all their columns, null and shared ids too."""
+    own = "__quality"
+    while own in docs.columns:
+        own += "_"
+    return with_score(docs, fit_quality(docs, labels), own).where(F.col(own) >= at).drop(own)
 
 
 def op8_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

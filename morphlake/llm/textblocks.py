@@ -22,6 +22,18 @@ def _spaces() -> np.ndarray:
     return kept
 
 
+def cased_words() -> np.ndarray:
+    """Words are runs of other bytes than space and 0x09 to 0x0D, as they are."""
+    return _spaces()
+
+
+def line_bytes() -> np.ndarray:
+    """Runs between line feeds."""
+    kept = np.arange(256, dtype=np.uint8)
+    kept[10] = 0
+    return kept
+
+
 def lower_ascii(kept: np.ndarray) -> np.ndarray:
     out = kept.copy()
     out[65:91] = np.where(kept[65:91] > 0, np.arange(97, 123), 0)
@@ -97,15 +109,20 @@ def word_hashes(docs: list[bytes], kept: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def _piece(docs: list[bytes], kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(b" ".join(docs) + b" ", dtype=np.uint8)
+    starts, _, hashes = runs(raw, kept)
+    offsets = np.cumsum([0] + [len(d) + 1 for d in docs])
+    return hashes, np.diff(np.searchsorted(starts, offsets))
+
+
+def runs(raw: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the words in a byte array that ends with a separator."""
     word = ~separators(kept)[raw]
     edges = np.flatnonzero(np.diff(word.view(np.int8), prepend=np.int8(0)))
     starts, ends = edges[0::2], edges[1::2]
     power, inverse = _powers(1 << max(20, int(len(raw)).bit_length()))
     values = np.where(word, _byte_values()[kept][raw], np.uint64(0))
     sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(values * power[: len(raw)], dtype=np.uint64)])
-    hashes = mix((sums[ends] - sums[starts]) * inverse[starts])
-    offsets = np.cumsum([0] + [len(d) + 1 for d in docs])
-    return hashes, np.diff(np.searchsorted(starts, offsets))
+    return starts, ends, mix((sums[ends] - sums[starts]) * inverse[starts])
 
 
 def counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

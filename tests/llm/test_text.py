@@ -214,6 +214,74 @@ def test_quality_on_held_out_rows(spark):
     assert op8.with_score(odd, op8.fit_quality(docs, labels.where("false"))).select("score").distinct().first()[0] == pytest.approx(0.5)
 
 
+def plain_features(text):
+    """The features of one text, word by word."""
+    ws, size = text.split(), len(text)
+    if not ws:
+        return [0.0] * len(op8.FEATURES)
+    n, lines, signs = len(ws), text.split(b"\n"), b"!\"#$%&'()*+/:;<=>?@[\\]^_`{|}~"
+    of = lambda test: sum(map(test, text))
+    upper, lower = of(lambda c: 65 <= c <= 90), of(lambda c: 97 <= c <= 122)
+    digit, stop, other, space = of(lambda c: 48 <= c <= 57), of(lambda c: c in b".,"), of(lambda c: c >= 128), of(lambda c: c == 32 or 9 <= c <= 13)
+    lengths, counts = [len(w) for w in ws], collections.Counter(text)
+    return [
+        math.log1p(n), np.mean(lengths), np.std(lengths), upper / max(1, upper + lower), digit / size, (size - upper - lower - digit - stop - other - space) / size, stop / size, other / size, space / size,
+        text.count(b"\n") / size, len(set(ws)) / n, max(collections.Counter(ws).values()) / n, 1 - len(set(lines)) / len(lines), math.log1p(size / len(lines)), sum(w[-1] in signs for w in ws) / n,
+        sum(65 <= w[0] <= 90 for w in ws) / n, math.log1p(max(lengths)), len(set(zip(ws, ws[1:]))) / max(1, n - 1), len(zlib.compress(text, 1)) / size,
+        -sum(c / size * math.log2(c / size) for c in counts.values()), sum(a == b for a, b in zip(ws, ws[1:])) / n, sum(len(w) == 1 and w in signs for w in ws) / n,
+    ]
+
+
+def test_features_equal_the_plain_ones():
+    rng = random.Random(8)
+    texts = [b"", b" \n ", b"\n\nA\n", b"x", "é É".encode(), b"a\0b a"] + ["".join(rng.choice("aAb1.!é \n\t") for _ in range(rng.randint(0, 300))).encode() for _ in range(200)] + [b"word " * 300_000]
+    assert op8.features(texts) == pytest.approx(np.array([plain_features(t) for t in texts]), abs=1e-9)
+    assert op8.features([]).shape == (0, len(op8.FEATURES))
+
+
+def plain_tree(x, g, h, depth):
+    """The tree of a feature by trying every cut of the rows, bin by bin."""
+    if depth:
+        gain = lambda rows: sum(g[i] for i in rows) ** 2 / (sum(h[i] for i in rows) + 1)
+        best, rows = (1e-6, None), range(len(x))
+        for at in sorted(set(x))[1:] if len(x) else ():
+            low, high = [i for i in rows if x[i] < at], [i for i in rows if x[i] >= at]
+            if min(len(low), len(high)) >= op8.LEAST and gain(low) + gain(high) - gain(rows) > best[0] + 1e-12:
+                best = gain(low) + gain(high) - gain(rows), (low, high)
+        if best[1]:
+            out = [0.0] * len(x)
+            for part in best[1]:
+                for i, v in zip(part, plain_tree([x[i] for i in part], [g[i] for i in part], [h[i] for i in part], depth - 1)):
+                    out[i] = v
+            return out
+    return [sum(g) / (sum(h) + 1)] * len(x)
+
+
+def test_boosting_equals_a_plain_version():
+    rng = np.random.default_rng(7)
+    x = rng.integers(0, 12, size=(400, 3)).astype(float)
+    y = ((x[:, 0] > 5) + rng.random(400) > 0.8).astype(float)
+    model = op8.AdditiveModel(x, y, rounds=4, pairs=0)
+    start = math.log((y.sum() + 1) / (len(y) + 1 - y.sum()))
+    total = np.full(400, start)
+    for _ in range(4):
+        for j in range(3):
+            p = 1 / (1 + np.exp(-total))
+            total = total + op8.RATE * np.array(plain_tree(x[:, j].tolist(), (y - p).tolist(), (p * (1 - p)).tolist(), 2))
+    assert model.score(x) == pytest.approx(1 / (1 + np.exp(-total)), rel=1e-9)
+
+
+def test_quality_with_odd_labels_and_ids(spark):
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    double = labels.unionByName(labels.limit(20).withColumn("quality", 1 - F.col("quality"))).unionByName(labels)
+    models = [op8.fit_quality(docs.unionByName(docs).repartition(n), double.repartition(n)) for n in (1, 5)]
+    assert all((a == b).all() for a, b in zip(models[0].tables, models[1].tables, strict=True))
+    odd = spark.createDataFrame([(None, "plain text here", 1), (2**60 + 1, None, 2), (2**60 + 1, "", 3), (2**60 + 1, "", 3)], "doc_id long, text string, __quality long")
+    kept = op8.keep_good(odd, labels, at=0.0)
+    assert kept.columns == odd.columns and kept.count() == 4 and op8.keep_good(odd.where("false"), labels).count() == 0
+    assert sorted(kept.collect(), key=str) == sorted(odd.collect(), key=str)
+
+
 def test_additive_model_finds_an_interaction():
     rng = np.random.default_rng(5)
     x = rng.random((4000, 3))
