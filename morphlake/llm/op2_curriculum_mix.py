@@ -18,6 +18,9 @@ from morphlake.llm.shared import table
 WEIGHTS = (1.0, 2.0, 3.0)
 RAMPS = ((1.5, 0.5), (0.5, 1.5))
 CAP = 3
+#: Sources, a short row each, up to which their targets are sent to all tasks; beyond, they are joined by a shuffle.
+MOST_BROADCAST = 100_000
+OWN = "__mix_own_"
 SRC, SIZE, CELL, HASH, ROW = "__mix_source", "__mix_size", "__mix_cell", "__mix_hash", "__mix_row"
 
 
@@ -50,16 +53,19 @@ def source_targets(sizes: DataFrame, share: float = 1.0) -> DataFrame:
 
 
 def _fill(pdf: pd.DataFrame) -> pd.DataFrame:
-    """First fit in hash order into what a source still needs; the rows are of one boundary cell, of bounded size."""
+    """First fit in hash order into what a source still needs, in rounds, as each row may be taken ``more`` times; the rows are of one boundary cell, of bounded size."""
     pdf = pdf.sort_values(["__mix_hash", "__mix_size"], kind="stable")
-    need, taken = float(pdf["need"].iloc[0]), []
-    for size in pdf["__mix_size"]:
-        fits = size <= need
-        taken.append(fits)
-        need -= size if fits else 0
-    if need > 0 and not all(taken):  # one more where that comes nearer
-        best = min((i for i, t in enumerate(taken) if not t), key=lambda i: pdf["__mix_size"].iloc[i])
-        taken[best] = pdf["__mix_size"].iloc[best] <= 2 * need
+    need, more = float(pdf["need"].iloc[0]), int(pdf["more"].iloc[0])
+    sizes, taken = pdf["__mix_size"].tolist(), [0] * len(pdf)
+    for _ in range(more):
+        for i, size in enumerate(sizes):
+            if 0 < size <= need or (size == 0 and not taken[i]):
+                taken[i] += 1
+                need -= size
+    left = [i for i, t in enumerate(taken) if t < more and sizes[i] > 0]
+    if need > 0 and left:  # one more where that comes nearer
+        best = min(left, key=lambda i: sizes[i])
+        taken[best] += sizes[best] < 2 * need
     return pdf.assign(extra=taken)
 
 
@@ -67,24 +73,26 @@ def curriculum_mix(docs: DataFrame, key: Column | None = None, size: Column | No
     """All rows of ``docs`` with size, source_size, target, copies, taken and positions (an array, one for each copy).
 
     A source's whole epochs are floor(target / source_size); in the last, partial epoch its documents are taken in hash
-    order up to the target, by first fit in the last cell of at most about ``cell_rows`` documents, so that a source
-    misses its target by less than its smallest document left out of that cell. No document is taken more than CAP
-    times. Null texts have size 0, a null source is a source; documents without words are taken once an epoch and
-    add nothing. Equal rows are interchangeable. Columns with the added names are replaced.
+    order up to the target, by first fit in the last cell of at most about ``cell_rows`` documents, again and again where
+    these are too few, so that a source misses its target by at most half of the smallest document of that cell which may be
+    taken once more. No document is taken more than CAP times. Null texts have size 0, a null source is a source; documents
+    without words are taken once an epoch and add nothing. Null and shared ids are allowed. Equal rows are interchangeable;
+    all rows of one id and text meet in one cell. Columns with the added names keep their values under OWN and their name.
     """
     key = F.xxhash64("doc_id", "text") if key is None else key
     size = word_count(F.col("text")) if size is None else size
     added = ["size", "source_size", "target", "copies", "taken", "positions"]
     kept = [c for c in docs.columns if c not in added]
     of_source = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
-    rows = docs.select(F.struct(*kept).alias(ROW), key.alias(HASH), size.alias(SIZE), of_source.alias(SRC))
+    rows = docs.select(F.struct(*[F.col(c) if c in kept else F.col(c).alias(OWN + c) for c in docs.columns]).alias(ROW), key.alias(HASH), size.alias(SIZE), of_source.alias(SRC))
     by_source = rows.groupBy(SRC).agg(F.sum(SIZE).alias("source_size"), F.count(F.lit(1)).alias("n"))
     plain = F.when(F.col(SRC) != "n", F.substring(SRC, 2, 1 << 30))
     targets = source_targets(by_source.select(plain.alias("source"), SRC, "source_size", "n").select("source", "source_size"))
     targets = targets.select(F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source"))).alias(SRC), *[c for c in targets.columns if c != "source"])
     targets = targets.join(by_source.select(SRC, "n"), SRC).withColumn("cells", F.greatest(F.lit(1), F.ceil(F.col("n") / cell_rows)))
     uniform = F.pmod(F.col(HASH), F.lit(1 << 40)) / float(1 << 40)
-    known = rows.join(targets, SRC).withColumn(CELL, F.floor(uniform * F.col("cells")))
+    sources = by_source.count()
+    known = rows.join(F.broadcast(targets) if sources <= MOST_BROADCAST else targets, SRC).withColumn(CELL, F.floor(uniform * F.col("cells")))
     epochs = F.when(F.col("source_size") > 0, F.least(F.lit(float(CAP)), F.floor(F.col("target") / F.col("source_size") + 1e-9))).otherwise(0.0)
     known = known.withColumns({"epochs": epochs.cast("int")}).withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("epochs") * F.col("source_size")))
     cells = known.groupBy(SRC, CELL).agg(F.sum(SIZE).alias("cell_size"), F.first("rest").alias("rest"))
@@ -93,13 +101,13 @@ def curriculum_mix(docs: DataFrame, key: Column | None = None, size: Column | No
     known = known.join(cells, [SRC, CELL]).withColumn("need", F.col("rest") - F.col("cell_from"))
     whole = F.col("need") >= F.col("cell_size")
     edge = (F.col("need") > 0) & ~whole
-    filled = known.where(edge).select(SRC, CELL, HASH, SIZE, "need")
-    filled = filled.groupBy(SRC, CELL).applyInPandas(_fill, f"{SRC} string, {CELL} long, {HASH} long, {SIZE} long, need double, extra boolean")
-    filled = filled.groupBy(SRC, CELL, HASH, SIZE).agg(F.sum(F.col("extra").cast("int")).alias("extras"))
+    filled = known.where(edge).select(SRC, CELL, HASH, SIZE, "need", (F.lit(CAP) - F.col("epochs")).alias("more"))
+    filled = filled.groupBy(SRC, CELL).applyInPandas(_fill, f"{SRC} string, {CELL} long, {HASH} long, {SIZE} long, need double, more int, extra long")
+    filled = filled.groupBy(SRC, CELL, HASH, SIZE).agg(F.reverse(F.array_sort(F.collect_list("extra"))).alias("extras"))
     twin = Window.partitionBy(SRC, CELL, HASH, SIZE).orderBy(F.lit(0))
     inside = Window.partitionBy(SRC, CELL).orderBy(HASH, SIZE).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     known = known.withColumns({"twin": F.row_number().over(twin), "at": F.col("cell_from") + F.sum(SIZE).over(inside) - F.col(SIZE) / 2}).join(filled, [SRC, CELL, HASH, SIZE], "left")
-    extra = F.when(whole & (F.col("rest") > 0), 1).when(edge & (F.col("twin") <= F.col("extras")), 1).otherwise(0)
+    extra = F.when(whole & (F.col("rest") > 0), 1).when(edge, F.coalesce(F.get("extras", F.col("twin") - 1), F.lit(0))).otherwise(0)
     known = known.withColumn("copies", F.least(F.lit(CAP), F.col("epochs") + extra).cast("int"))
     demand = lambda e: F.least(F.lit(1.0), (e * F.col("source_size") + F.col("at")) / F.greatest(F.col("target"), F.lit(1e-9)))
     half, total = (F.col("end") - F.col("start")) / 2, (F.col("start") + F.col("end")) / 2
@@ -109,15 +117,23 @@ def curriculum_mix(docs: DataFrame, key: Column | None = None, size: Column | No
     return mixed.select(f"{ROW}.*", *added)
 
 
+def in_training_order(mixed: DataFrame, parts: int | None = None) -> DataFrame:
+    """The rows range-sorted by the position of their first copy; those that aren't taken come last."""
+    parts = parts or int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = F.coalesce(F.get("positions", F.lit(0)), F.lit(2.0))
+    return mixed.repartitionByRange(parts, first).sortWithinPartitions(first)
+
+
 def training_order(mixed: DataFrame, columns: list[str], parts: int | None = None) -> DataFrame:
-    """One row for each copy taken, range-sorted by training position."""
+    """One row for each copy taken, range-sorted by training position, with the ``columns`` that the documents had."""
     parts = parts or int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = mixed.where("copies > 0").select(*columns, F.explode("positions").alias("__mix_position"))
+    own = [F.col(OWN + c).alias(c) if OWN + c in mixed.columns else F.col(c) for c in columns]
+    rows = mixed.where("copies > 0").select(*own, F.explode("positions").alias("__mix_position"))
     return rows.repartitionByRange(parts, "__mix_position").sortWithinPartitions("__mix_position").drop("__mix_position")
 
 
 def op2_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lean = docs.select("doc_id", "source", word_count(F.col("text")).alias("words"), F.xxhash64("doc_id", "text").alias("key")).persist()
-    mixed = curriculum_mix(lean, F.col("key"), F.col("words"))
+    mixed = in_training_order(curriculum_mix(lean, F.col("key"), F.col("words")))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "positions")

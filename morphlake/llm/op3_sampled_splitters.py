@@ -81,7 +81,7 @@ def sampled_splitters(records: DataFrame, key: Column, tie: Column, size: Column
     key, tie: hashes (long) that order the records; size: bytes, at least 1. Records are laid end to end in order of
     (range, subdivision, key, tie, size) and the total is cut at multiples of total / shards; a record goes to the shard
     that its middle byte lies in, so shards differ from their share by less than one record. Records of one key
-    are neighbours. Rows equal in key, tie and size are interchangeable. An empty table stays empty; columns named
+    are neighbours. Rows equal in key, tie and size are interchangeable; those equal in key and tie meet in one task. An empty table stays empty; columns named
     shard or slot are replaced; null keys are hashed like any value by the caller.
     ranges, sample, part_rows bound what one task sorts and what the driver holds; they don't change what is kept.
     """

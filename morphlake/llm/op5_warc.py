@@ -22,15 +22,16 @@ from morphlake.llm.shared import shared_folder, table
 SHORTEST_REVISIT = 100
 DATE = "2024-01-01T00:00:00Z"
 INDEX = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, archive int, offset long, length long"
-HOT_DIGESTS = 1000
+#: Copies beyond which a payload is found by a count before; at most 100,000 payloads are, which bounds what is broadcast.
+HOT_COPIES, HOT_PAYLOADS = 1000, 100_000
 
 
 def _records(pages: DataFrame, shortest: int, archive_bytes: int) -> DataFrame:
     """Each page with its archive, payload (null where it isn't stored), digest and the page it revisits.
 
-    Equal payloads go to one archive, where a window finds the first. A payload that more than 1 / HOT_DIGESTS of all
-    rows have (so at most HOT_DIGESTS payloads) is found by a count before: only its first row carries it, the others
-    are spread over all archives without it. Payloads are moved once.
+    Equal payloads go to one archive, where a window finds the first. A payload that more than HOT_COPIES rows have is
+    found by a count before: only its first row carries it, the others are spread over all archives without it. Payloads
+    are moved once. Archives are dealt to as many tasks as there are archives.
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"))
@@ -39,7 +40,7 @@ def _records(pages: DataFrame, shortest: int, archive_bytes: int) -> DataFrame:
     total, n = rows.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count(F.lit(1))).first()
     archives = max(1, -(-int(total) // archive_bytes), min(int(n), 2 * pages.sparkSession.sparkContext.defaultParallelism))
     order = F.struct(F.col("page_id").isNull(), F.col("page_id"), F.col("row"))
-    hot = rows.where(F.col("bytes") >= shortest).groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > max(100, n // HOT_DIGESTS))
+    hot = rows.where(F.col("bytes") >= shortest).groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > max(HOT_COPIES, int(n) // HOT_PAYLOADS))
     hot = hot.select("digest", F.col("first.page_id").alias("hot_page"), F.col("first.row").alias("hot_row"))
     rows = rows.join(F.broadcast(hot), "digest", "left")
     again = F.col("hot_row").isNotNull() & (F.col("row") != F.col("hot_row"))
@@ -47,7 +48,7 @@ def _records(pages: DataFrame, shortest: int, archive_bytes: int) -> DataFrame:
     rows = rows.withColumns({"again": again, "archive": F.pmod(place, F.lit(archives)).cast("int"), "payload": F.when(~again, F.col("payload"))})
     same = Window.partitionBy("archive", "digest", "again").orderBy(F.col("page_id").asc_nulls_last(), "row")
     late = (F.col("bytes") >= shortest) & (F.row_number().over(same) > 1) & ~F.col("again")
-    rows = rows.repartition("archive").withColumns({"late": late, "first_page": F.first("page_id").over(same)})
+    rows = rows.repartition(archives, "archive").withColumns({"late": late, "first_page": F.first("page_id").over(same)})
     revisit = F.col("late") | F.col("again")
     return rows.select(
         "archive", "page_id", "url", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(F.col("again"), F.col("hot_page")).when(F.col("late"), F.col("first_page")).alias("refers_to"),
@@ -135,9 +136,8 @@ def read_records(selected: DataFrame, folder: str, gap: int = 64 << 10, most: in
     Ranges of one file that are at most ``gap`` bytes apart are read together, up to ``most`` bytes a read (a longer
     record is read alone). Files are opened by their URI in the shared file system.
     """
-    spark = selected.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    asked = selected.repartition(parts, "archive").sortWithinPartitions("archive", "offset")
+    archives = max(1, selected.agg(F.count_distinct("archive")).first()[0])
+    asked = selected.repartition(archives, "archive").sortWithinPartitions("archive", "offset")
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs

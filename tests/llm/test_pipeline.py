@@ -35,3 +35,34 @@ def test_stages_in_order(spark, tmp_path):
 
 def test_run_gives_the_last_stage(spark):
     assert {"shard", "slot"} <= set(corpus_pipeline.run(spark, SF).columns)
+
+
+def _odd(spark):
+    """Good documents with null and shared ids, copies, very long and empty texts, and columns named like the stages' own."""
+    big = 2**60 + 1
+    good = [r.text for r in table(spark, SF, "documents").join(table(spark, SF, "labels").where("quality = 1"), "doc_id").orderBy("doc_id").limit(40).collect()]
+    rows = [(i, t) for i, t in enumerate(good[:20])] + [(None, t) for t in good[20:26]] + [(big, t) for t in good[26:30]] + [(big, good[26]), (None, good[20]), (3, good[3]), (99, good[4])]
+    rows += [(200, None), (201, ""), (None, ""), (202, " ".join(good[30:40]) * 30)]
+    columns = "doc_id long, text string, source string, n_chars long, size long, target string, copies array<long>, shard string, rep long, row int, text_key string, parts double"
+    return spark.createDataFrame([(i, t, "s" if k % 3 else None, None if t is None else len(t), k, "t", [None, k], "x", k, k, "y", 0.5) for k, (i, t) in enumerate(rows)], columns)
+
+
+def test_stages_on_odd_rows(spark):
+    docs = _odd(spark)
+    whole = {tuple(map(str, r)) for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        if name != "shards":
+            assert out.schema.names == docs.schema.names
+        assert stage(spark, docs.where("false"), SF).count() == 0
+        got = out.select(*docs.columns).collect() if name != "shards" else out.drop("shard", "slot").collect()
+        if name in ("quality", "near_copies", "source_mix"):
+            assert {tuple(map(str, r)) for r in got} <= whole
+        if name == "near_copies":
+            texts = [r.text for r in docs.collect() if r.text]
+            assert sorted(r.text for r in got if r.text) == sorted(set(texts))
+            assert sum(not r.text for r in got) == 3
+        if name == "benchmark_passages":
+            assert sorted(str(r.doc_id) for r in got) == sorted(str(r.doc_id) for r in docs.collect())
+        if name == "shards":
+            assert len(got) == docs.count()

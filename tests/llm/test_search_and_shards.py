@@ -4,6 +4,7 @@ import hashlib
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,6 +136,19 @@ def test_mix_targets_and_takes(spark):
     assert order.count() == len(positions) and order.columns == docs.columns
 
 
+def test_mix_fills_with_small_documents_and_sorts(spark):
+    rows = [(1, "w " * 1000, "a")] + [(2 + i, "w", "a") for i in range(29)] + [(100 + i, "w " * 1115, "b") for i in range(3)] + [(200 + i, "w " * 50, "c") for i in range(10)]
+    got = op2.in_training_order(op2.curriculum_mix(docs_of(spark, rows)), 5).collect()
+    at = [r.positions[0] if r.positions else 2.0 for r in got]
+    assert at == sorted(at) and len(got) == len(rows)
+    for s in "abc":
+        of = [r for r in got if r.source == s]
+        once_more = [r["size"] for r in of if r.copies < 3 and r["size"]]
+        assert all(r.copies <= 3 for r in of) and abs(sum(r.taken for r in of) - of[0].target) <= min(once_more, default=10**9) / 2
+    need = pd.DataFrame({"__mix_hash": range(30), "__mix_size": [1000] + [1] * 29, "need": 443.0, "more": 3})
+    assert op2._fill(need)["extra"].tolist() == [0] + [3] * 29
+
+
 def test_mix_odd_inputs(spark):
     docs = docs_of(spark, [(1, None, "a"), (1, None, "a"), (2, "", None), (3, "x y", "b")]).withColumns({"target": F.lit("clash"), "n": F.lit(1), "need": F.lit(2)})
     got = op2.curriculum_mix(docs).collect()
@@ -165,6 +179,21 @@ def test_shards_are_near_equal_gapless_and_whole(spark):
     assert sum(len(s) for s in cold.values()) <= len(cold) + 40
 
 
+@pytest.mark.parametrize(("ranges", "sample", "part_rows"), [(64, 800, 50), (3, 20, 7), (320, 16_384, 20_000)])
+def test_shards_equal_brute_force(spark, ranges, sample, part_rows):
+    rng = np.random.default_rng(14)
+    rows = [(None if i % 50 == 0 else i, None if i % 97 == 0 else "copy " * 40 if i % 3 == 0 else "t" * int(rng.integers(0, 500)), "s") for i in range(2000)] + [(5, "x" * 90_000, "s")] * 2
+    keyed = docs_of(spark, rows).withColumns({"k": F.xxhash64("text"), "t": F.xxhash64("doc_id"), "bytes": op3.text_size(F.col("text"))})
+    got = op3.sampled_splitters(keyed, F.col("k"), F.col("t"), F.col("bytes"), 40, ranges=ranges, sample=sample, part_rows=part_rows).collect()
+    total, at, slots, want = sum(r.bytes for r in got), 0, {}, []
+    for k, t, size in sorted((r.k, r.t, r.bytes) for r in got):
+        shard = min(39, (2 * at + size) * 40 // (2 * total))
+        want.append((k, t, size, shard, slots.setdefault(shard, 0)))
+        slots[shard] += 1
+        at += size
+    assert sorted((r.k, r.t, r.bytes, r.shard, r.slot) for r in got) == sorted(want) and len(got) == len(rows)
+
+
 def test_shards_of_nothing_and_of_one(spark):
     empty = docs_of(spark, [])
     assert op3.shard_documents(empty).count() == 0
@@ -198,7 +227,8 @@ def test_archives_round_trip(spark, tmp_path):
     assert len(one) == 1 and one[0].read_bytes == 5
 
 
-def test_archives_with_a_hot_payload(spark, tmp_path):
+def test_archives_with_a_hot_payload(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(op5, "HOT_COPIES", 100)
     rows = [(i, f"u{i}", "h" * 150 if i % 2 else f"page {i} " * 20) for i in range(1, 600)]
     folder = f"file://{tmp_path}/warc"
     index = op5.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), folder)
