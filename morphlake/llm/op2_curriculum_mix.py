@@ -118,10 +118,10 @@ def curriculum_mix(docs: DataFrame, key: Column | None = None, size: Column | No
 
 
 def in_training_order(mixed: DataFrame, parts: int | None = None) -> DataFrame:
-    """The rows range-sorted by the position of their first copy; those that aren't taken come last."""
+    """The rows range-sorted by the position of their first copy, then by a hash of the id; those that aren't taken come last."""
     parts = parts or int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     first = F.coalesce(F.get("positions", F.lit(0)), F.lit(2.0))
-    return mixed.repartitionByRange(parts, first).sortWithinPartitions(first)
+    return mixed.repartitionByRange(parts, first, F.xxhash64("doc_id")).sortWithinPartitions(first)
 
 
 def training_order(mixed: DataFrame, columns: list[str], parts: int | None = None) -> DataFrame:
