@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from morphlake.operators.neighbors import self_pairs
+from morphlake.operators.numbering import packed
 from morphlake.sources.storage import cut
 
 
@@ -15,17 +16,28 @@ def connected_components(links: DataFrame, rounds: int = 40) -> DataFrame:
     """(a, b) links -> (node, root): the smallest id of each node's component; nodes without links don't appear.
 
     Rounds of large and small stars: every node's neighbours are linked with its smallest neighbour, until nothing moves.
+    Among 100,000 links or more, nodes with over 1/500 of all (at most 1000 nodes) are joined by broadcast, so none fills a task.
     """
+
+    def with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+        if count < 100_000:
+            return edges.join(least.select("u", "m"), "u")
+        hubs = F.broadcast(least.where(F.col("n") > limit).select("u", "m"))
+        rest = edges.join(hubs.select("u"), "u", "left_anti").join(least.where(F.col("n") <= limit).select("u", "m"), "u")
+        return edges.join(hubs, "u").unionByName(rest)
+
     links = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
+    before, count = None, links.count()
     for _ in range(rounds):
+        limit = count // 500
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = with_least(both, least).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = with_least(large, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = cut(least.select("u", F.col("m").alias("v")).unionByName(small).distinct())
         now = tuple(links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+        count = now[0]
         if now == before:
             roots = links.select(F.col("u").alias("node"), F.col("v").alias("root"))
             return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
@@ -34,8 +46,11 @@ def connected_components(links: DataFrame, rounds: int = 40) -> DataFrame:
 
 
 def pixel_components(pixels: DataFrame, group: str, size: int = 1 << 20) -> DataFrame:
-    """Instances of foreground pixels (group, y, x) joined side by side; instance is 1.. within its image by first pixel."""
-    p = pixels.withColumn("id", (F.col(group).cast("bigint") * size + F.col("y")) * size + F.col("x"))
+    """Instances of foreground pixels (group, y, x) joined side by side; instance is 1.. within its image by first pixel.
+
+    Rows and columns are below ``size``, groups below 2**63 / size**2; larger ones raise.
+    """
+    p = pixels.withColumn("id", packed((group, (1 << 63) // (size * size)), ("y", size), ("x", size)))
     right = p.select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     below = p.select(F.col("id").alias("a"), (F.col("id") + size).alias("b"))
     links = right.unionByName(below).join(p.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b")
@@ -61,7 +76,8 @@ def suppress_min_distance(points: DataFrame, group: str, order: Sequence[Column]
     """Points kept by a greedy pass in ``order`` that drops points nearer than ``distance`` to a kept one.
 
     closed: points exactly at the distance go too. In each round all points that come before every undecided neighbour
-    are kept and their neighbours dropped, which gives the result of the one-by-one pass.
+    are kept and their neighbours dropped, which gives the result of the one-by-one pass. A round carries on only the edges
+    between points that are still undecided.
     points: group, id, x, y and what the order needs; id must be unique within its group.
     """
     ranked = points.withColumn("__rank", F.row_number().over(Window.partitionBy(group).orderBy(*order, F.asc("id"))))
@@ -70,16 +86,17 @@ def suppress_min_distance(points: DataFrame, group: str, order: Sequence[Column]
     rank = ranked.select(group, "id", "__rank")
     edges = near.join(rank.select(group, F.col("id").alias("a"), F.col("__rank").alias("ra")), [group, "a"]).join(rank.select(group, F.col("id").alias("b"), F.col("__rank").alias("rb")), [group, "b"])
     edges = cut(edges.where("rb < ra").select(group, F.col("ra").alias("later"), F.col("rb").alias("earlier")))
-    state = cut(rank.select(group, F.col("__rank").alias("r"), F.lit(0).alias("state")))
+    open_, kept = cut(rank.select(group, F.col("__rank").alias("r"))), None
+    later, earlier = (lambda f, c=c: f.select(group, F.col("r").alias(c)) for c in ("later", "earlier"))
     for _ in range(rounds):
-        open_ = state.where("state = 0").select(group, "r")
-        live = edges.join(open_.withColumnRenamed("r", "later"), [group, "later"], "left_semi")
-        blocked = live.join(open_.withColumnRenamed("r", "earlier"), [group, "earlier"], "left_semi").select(group, F.col("later").alias("r")).distinct()
-        kept = open_.join(blocked, [group, "r"], "left_anti").withColumn("__kept", F.lit(1))
-        gone = edges.join(kept.select(group, F.col("r").alias("earlier")), [group, "earlier"], "left_semi").select(group, F.col("later").alias("r")).distinct().withColumn("__gone", F.lit(1))
-        state = cut(state.join(kept, [group, "r"], "left").join(gone, [group, "r"], "left").select(group, "r", F.when(F.col("state") != 0, F.col("state")).when(F.col("__kept") == 1, 1).when(F.col("__gone") == 1, -1).otherwise(0).alias("state")))
-        if not state.where("state = 0").limit(1).count():
-            return ranked.join(state.where("state = 1").select(group, F.col("r").alias("__rank")), [group, "__rank"], "left_semi").drop("__rank")
+        winners = open_.join(edges.select(group, F.col("later").alias("r")).distinct(), [group, "r"], "left_anti").withColumn("state", F.lit(1))
+        gone = edges.join(earlier(winners), [group, "earlier"], "left_semi").select(group, F.col("later").alias("r")).distinct().withColumn("state", F.lit(-1))
+        marks = cut(open_.join(winners.unionByName(gone), [group, "r"], "left"))
+        kept = marks.where("state = 1") if kept is None else kept.unionByName(marks.where("state = 1"))
+        open_ = marks.where("state is null").select(group, "r")
+        if not open_.limit(1).count():
+            return ranked.join(kept.select(group, F.col("r").alias("__rank")), [group, "__rank"], "left_semi").drop("__rank")
+        edges = cut(edges.join(later(open_), [group, "later"], "left_semi").join(earlier(open_), [group, "earlier"], "left_semi"))
     raise RuntimeError(f"suppression has not ended in {rounds} rounds")
 
 

@@ -14,6 +14,10 @@ from morphlake.operators.neighbors import near_pairs
 from morphlake.sources.storage import cut
 
 
+#: Candidate pairs, of whole components, that a task solves at a time (more only where one component has more).
+EDGES = 2000
+
+
 def cheapest_assignment(cost: np.ndarray) -> list[tuple[int, int]]:
     """A one-to-one assignment of the shorter side of least total cost: a shortest augmenting path for each row."""
     flipped = cost.shape[0] > cost.shape[1]
@@ -52,7 +56,7 @@ def _solve_component(pdf: pd.DataFrame) -> pd.DataFrame:
     """Most pairs first, then the least total distance, among the allowed edges of a component."""
     left, a = np.unique(pdf["a"], return_inverse=True)
     right, b = np.unique(pdf["b"], return_inverse=True)
-    forbidden = 1e6
+    forbidden = float(pdf["d"].sum()) + 1.0  # more than any set of allowed pairs, so as many as possible are allowed ones
     cost = np.full((len(left), len(right)), forbidden)
     cost[a, b] = pdf["d"]
     kept = [(i, j) for i, j in cheapest_assignment(cost) if cost[i, j] < forbidden]
@@ -73,10 +77,11 @@ def gated_assignment(previous: DataFrame, following: DataFrame, group: str, reac
     named = edges.withColumns({"na": node("l", "a"), "nb": node("r", "b")})
     comp = connected_components(named.select(F.col("na").alias("a"), F.col("nb").alias("b")))
     placed = named.join(comp.select(F.col("node").alias("na"), F.col("root").alias("c")), "na").select("g", "a", "b", "d", "c")
-    size = placed.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
-    placed = placed.join(size, "c")
-    several = placed.where("n > 1").select("c", "g", "a", "b", "d")
-    solved = several.groupBy("g", F.pmod("c", F.lit(16)).alias("part")).applyInPandas(_solve_components, "g long, a long, b long, d double")
+    size = placed.groupBy("c", "g").agg(F.count(F.lit(1)).alias("n"))
+    placed = placed.join(size.select("c", "n"), "c")
+    parts = size.where("n > 1").groupBy("g").agg(F.ceil(F.sum("n") / EDGES).cast("int").alias("parts"))
+    several = placed.where("n > 1").select("c", "g", "a", "b", "d").join(parts, "g")
+    solved = several.groupBy("g", F.pmod(F.xxhash64("c"), F.col("parts")).alias("part")).applyInPandas(_solve_components, "g long, a long, b long, d double")
     return cut(placed.where("n = 1").select("g", "a", "b", "d").unionByName(solved)).withColumnRenamed("g", group)
 
 

@@ -111,17 +111,21 @@ def replay_edits(objects: DataFrame, edits: DataFrame, image: str) -> DataFrame:
 
     edits: image, seq, op, object_id, keep_object_id, object_ids (array), phenotype. A merge moves the pixels of all
     object_ids to keep_object_id and takes their rows away; edits of ids that are gone change nothing; unknown ops raise.
-    The edits of one image are folded over each of its objects, so an image's edit list must fit a row.
+    Only objects that an edit names are folded over their image's edits, which must fit a row; all others stay as they are.
     """
+    known = F.col("op").isin("delete_object", "merge_objects", "relabel_phenotype", "set_landmarks")
+    edits = edits.withColumn("op", F.when(known, F.col("op")).otherwise(F.raise_error(F.concat(F.lit("unknown edit "), F.col("op")))))
+    ids = F.concat(F.array(F.col("object_id").cast("bigint"), F.col("keep_object_id").cast("bigint")), F.coalesce(F.col("object_ids").cast("array<bigint>"), F.array().cast("array<bigint>")))
+    named = edits.select(F.col(image).alias("__image"), F.explode(ids).alias("__named")).where("__named is not null").distinct()
     logs = edits.groupBy(F.col(image).alias("__image")).agg(F.array_sort(F.collect_list(F.struct("seq", "op", "object_id", "keep_object_id", "object_ids", "phenotype"))).alias("__log"))
-    joined = objects.join(logs, F.col(image) == F.col("__image"), "left")
+    mine = objects.join(named, (F.col(image) == F.col("__image")) & (F.col("object_id") == F.col("__named")), "left").drop("__image")
+    joined = mine.join(logs, (F.col(image) == F.col("__image")) & F.col("__named").isNotNull(), "left")
     start = F.struct(F.col("object_id").cast("bigint").alias("label"), F.lit(True).alias("alive"), F.col("phenotype").alias("phenotype"))
 
     def step(at: Column, e: Column) -> Column:
         own, op = F.col("object_id"), e["op"]
-        known = op.isin("delete_object", "merge_objects", "relabel_phenotype", "set_landmarks")
         merged = lambda i: F.array_contains(e["object_ids"], i) & (i != e["keep_object_id"])
-        label = F.when(~known, F.raise_error(F.concat(F.lit("unknown edit "), op)).cast("bigint")).when((op == "delete_object") & (at["label"] == e["object_id"]), F.lit(0).cast("bigint"))
+        label = F.when((op == "delete_object") & (at["label"] == e["object_id"]), F.lit(0).cast("bigint"))
         label = label.when((op == "merge_objects") & merged(at["label"]), e["keep_object_id"].cast("bigint")).otherwise(at["label"])
         gone = ((op == "delete_object") & (own == e["object_id"])) | ((op == "merge_objects") & merged(own))
         renamed = (op == "relabel_phenotype") & (own == e["object_id"]) & at["alive"]
@@ -130,7 +134,7 @@ def replay_edits(objects: DataFrame, edits: DataFrame, image: str) -> DataFrame:
     folded = joined.withColumn("__end", F.aggregate(F.coalesce("__log", F.array().cast(logs.schema["__log"].dataType)), start, step))
     present = folded.select(image, F.col("__end.label").alias("object_id")).where("object_id <> 0").distinct()
     numbered = present.withColumn("new_object_id", F.row_number().over(Window.partitionBy(image).orderBy("object_id")).cast("bigint"))
-    alive = folded.where("__end.alive").withColumn("phenotype", F.col("__end.phenotype")).drop("__image", "__log", "__end")
+    alive = folded.where("__end.alive").withColumn("phenotype", F.col("__end.phenotype")).drop("__image", "__log", "__end", "__named")
     return alive.join(numbered, [image, "object_id"])
 
 

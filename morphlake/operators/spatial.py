@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from morphlake.functions.columns import clip
 from morphlake.operators.neighbors import nearest, radius_neighbor_counts
+from morphlake.operators.numbering import packed
 
 MIN_POINTS, MIN_ELIGIBLE, MIN_RADII = 5, 3, 2
 
@@ -105,7 +106,7 @@ def region_points(objects: DataFrame, group: str, axes: Sequence[str]) -> DataFr
 
 def voronoi_cells(points: DataFrame, domain: DataFrame, group: str, pixel_px: float, reach: float = 32.0) -> DataFrame:
     """Area of the domain nearest to each point (ties to the smaller id); points without any pixel have none."""
-    pixels = domain.select(group, F.struct("x", "y").alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    pixels = domain.select(group, packed(("x", 1 << 31), ("y", 1 << 31)).alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     owner = nearest(pixels, points, group, reach, fewer_right=True)
     return owner.groupBy(group, F.col("b").alias("id")).agg((F.count(F.lit(1)) * pixel_px).alias("area"))
 
@@ -130,13 +131,17 @@ def csr_envelope(points: DataFrame, domain: DataFrame, areas: DataFrame, group:
     """Observed L at each radius with its 2.5 and 97.5 percent envelope over ``sims`` random draws of domain pixels.
 
     A draw takes the n pixels of smallest hash of (seed, simulation, pixel), so it is the same on every run; simulations
-    are keys of one job. A domain without ``group`` is every group's. Adds outside, and the global p of the largest deviation.
+    are keys of one job. Only pixels whose hash is small enough to be drawn are sorted. A domain without ``group`` is every group's. Adds outside, and the global p of the largest deviation.
     """
     n = points.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
     pixels = domain if group in domain.columns else n.select(group).crossJoin(F.broadcast(domain))
-    draws = pixels.select(group, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(sims))))
-    order = Window.partitionBy(group, "sim").orderBy(F.xxhash64(F.lit(seed), "sim", group, "x", "y"))
-    drawn = draws.withColumn("id", F.row_number().over(order).cast("bigint")).join(n, group).where("id <= n")
+    size = domain.groupBy(group).agg(F.count(F.lit(1)).alias("size")) if group in domain.columns else n.select(group).crossJoin(F.broadcast(domain.agg(F.count(F.lit(1)).alias("size"))))
+    draws = pixels.select(group, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).join(n.join(size, group), group).withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(sims))))
+    draws = draws.withColumn("__hash", F.xxhash64(F.lit(seed), "sim", group, "x", "y"))
+    enough = (F.col("n") + 10 * F.sqrt("n") + 100) / F.col("size")  # ten deviations over n: no draw has fewer pixels below this hash
+    draws = draws.where((enough >= 1) | (F.col("__hash") < (F.lit(-(2.0**63)) + F.least(enough, F.lit(1.0)) * 2.0**64).cast("bigint")))
+    order = Window.partitionBy(group, "sim").orderBy("__hash")
+    drawn = draws.withColumn("id", F.row_number().over(order).cast("bigint")).where("id <= n")
     key = F.concat_ws("#", F.col(group).cast("string"), F.col("sim").cast("string"))
     both = drawn.select(key.alias("run"), group, "sim", "id", "x", "y").unionByName(points.select(F.concat_ws("#", F.col(group).cast("string"), F.lit("0")).alias("run"), group, F.lit(0).alias("sim"), F.col("id").cast("bigint").alias("id"), "x", "y"))
     edge = boundary_distance(both.select(group, F.struct("sim", "id").alias("id"), "x", "y"), domain, group, width, height, step)

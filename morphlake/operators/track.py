@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from morphlake.operators.graph import chain_roots
 from morphlake.operators.matching import gated_assignment
 from morphlake.operators.neighbors import near_pairs
+from morphlake.operators.numbering import numbered, packed
 
 
 def consecutive_samples(manifest: DataFrame, counts: DataFrame) -> DataFrame:
@@ -84,16 +85,17 @@ def track_ids(manifest: DataFrame, points: DataFrame, matches: DataFrame) -> Dat
     """(sample_id, object_id, track_id, displacement): matched objects carry on a track, others begin one.
 
     All pairs are matched at once; a track's beginning is found by doubling along the matches. Tracks are numbered over
-    everything by group, sample and object, which is one sort of track beginnings only.
+    everything by group, sample and object, in ranges of track beginnings. Samples are below 2**31, objects below 2**32.
     """
-    key = lambda s, o: F.col(s).cast("bigint") * (1 << 32) + F.col(o)
+    key = lambda s, o: packed((s, 1 << 31), (o, 1 << 32))
     order = Window.partitionBy("animal_id", "eye").orderBy("timepoint_dpi", "sample_id")
     m = manifest.withColumn("prev", F.lag("sample_id").over(order)).select("sample_id", "prev", "animal_id", "eye", "timepoint_dpi")
     rows = points.select(F.col("image_no").alias("sample_id"), F.col("id").alias("object_id")).join(m, "sample_id")
     linked = rows.join(matches.select(F.col("pair").alias("sample_id"), F.col("b").alias("object_id"), "a", "d"), ["sample_id", "object_id"], "left")
     steps = linked.withColumns({"id": key("sample_id", "object_id"), "parent": F.when(F.col("a").isNotNull(), key("prev", "a"))})
     roots = chain_roots(steps.select("id", "parent"))
-    starts = steps.where("parent is null").select(F.col("id").alias("root"), F.row_number().over(Window.orderBy("animal_id", "eye", "timepoint_dpi", "sample_id", "object_id")).alias("track_id"))
+    order = [F.col(c) for c in ("animal_id", "eye", "timepoint_dpi", "sample_id", "object_id")]
+    starts = numbered(steps.where("parent is null").select(F.col("id").alias("root"), *order), order, "track_id").select("root", F.col("track_id").cast("int").alias("track_id"))
     shown = F.when(F.col("prev").isNull(), 0.0).otherwise(F.col("d"))
     return steps.join(roots, "id").join(starts, "root").select("animal_id", "eye", "sample_id", "object_id", "track_id", F.col("prev").alias("prev_sample_id"), shown.alias("displacement"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from morphlake.functions.columns import comparable, slug, stem, tokens
 from morphlake.operators import evaluation as ev
 from morphlake.operators import neighbors
+from morphlake.operators.numbering import numbered
 from morphlake.sources import bindings as b
 from morphlake.sources.bindings import with_tables
 
@@ -206,8 +207,7 @@ def p14_classify_condition(spark, d):
 
 def p23_derive_manifest(spark, d):
     p = b.table(spark, d, "part").withColumns({"height": F.col("p_size") * 60, "width": F.col("p_size") * 70 + 10})
-    n = F.row_number().over(Window.orderBy("p_name", "p_partkey"))
-    return p.withColumn("n", n).select("p_partkey", F.format_string("S%04d", "n").alias("sample_id"), F.when(F.least("height", "width") >= 1500, "whole").otherwise("crop").alias("kind"))
+    return numbered(p, [F.col("p_name"), F.col("p_partkey")], "n").select("p_partkey", F.format_string("S%04d", "n").alias("sample_id"), F.when(F.least("height", "width") >= 1500, "whole").otherwise("crop").alias("kind"))
 
 
 def f_text_functions(spark, d):
@@ -225,7 +225,7 @@ def t11_candidate_order(spark, d):
     p = b.table(spark, d, "pages").withColumn("path", F.regexp_replace("url", r"[?#].*$", ""))
     first = F.row_number().over(Window.partitionBy("path").orderBy("page_id"))
     kept = p.withColumn("n", first).where("n = 1").withColumn("score", F.length("path").cast("bigint"))
-    return kept.select("page_id", "path", "score", F.row_number().over(Window.orderBy(F.desc("score"), "path")).alias("position"))
+    return numbered(kept, [F.desc("score"), F.col("path")], "position").select("page_id", "path", "score", F.col("position").cast("int").alias("position"))
 
 
 QUERIES = {

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def cut(frame: DataFrame) -> DataFrame:
-    """A checkpoint of ``frame`` in spark.checkpoint.dir, or in a new folder where that is unset (as in tests)."""
+    """A checkpoint of ``frame`` in spark.checkpoint.dir, or in a new folder where that is unset and Spark is local."""
     session = frame.sparkSession
     if session.sparkContext.getCheckpointDir() is None:
-        session.sparkContext.setCheckpointDir(session.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="morphlake-"))
+        folder = session.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not session.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        session.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="morphlake-"))
     return frame.checkpoint(eager=True)

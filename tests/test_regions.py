@@ -24,9 +24,9 @@ def test_a_frame_needs_two_points(spark):
 
 
 def test_assign_regions_and_wrap(spark):
-    points = spark.createDataFrame([(10.0, 0.0, 10.0, 0.0), (-10.0, -10.0, 14.1421356, 225.0), (1.0, -0.1, 70.0, 350.0)], "ret_x_um double, ret_y_um double, ecc_um double, theta_deg double")
+    points = spark.createDataFrame([(15.0, 25.98, 30.0, 60.0), (-24.0, 7.0, 25.0, 163.74), (1.0, -0.1, 70.0, 350.0)], "ret_x_um double, ret_y_um double, ecc_um double, theta_deg double")
     out = geometry.assign_regions(points, "mouse_flatmount_v1", 100.0)
-    assert rows(out, "ring", "quadrant", "sector", "peripapillary_bin") == [("central", "dorsal_temporal", "temporal", "peripapillary"), ("central", "ventral_nasal", "ventral_nasal", "peripapillary"), ("peripheral", "ventral_temporal", "temporal", "non_peripapillary")]
+    assert rows(out, "ring", "quadrant", "sector", "peripapillary_bin") == [("central", "dorsal_nasal", "nasal", "non_peripapillary"), ("central", "dorsal_temporal", "dorsal_temporal", "non_peripapillary"), ("peripheral", "ventral_temporal", "temporal", "non_peripapillary")]
 
 
 def test_contract_fills_and_strict_raises(spark):
