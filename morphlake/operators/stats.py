@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from morphlake.functions import tails
+from morphlake.functions.columns import all_of
 from morphlake.operators.cohort import paired_pivot
+from morphlake.sources.storage import cut
 
 
 def average_ranks(rows: DataFrame, by: Sequence[str], value: str, name: str = "avg_rank") -> DataFrame:
@@ -113,16 +116,46 @@ def mixed_model_sums(rows: DataFrame, columns: Sequence[str], outcome: str, grou
     return totals.groupBy("n").agg(F.count(F.lit(1)).alias("k"), *[F.sum(f"x{i}_{j}").alias(f"x{i}_{j}") for i, j in pairs], *[F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"o{i}_{j}") for i, j in pairs])
 
 
-def mixed_model(rows: DataFrame, terms: Sequence[str], outcome: str, group: str) -> DataFrame:
-    """Maximum likelihood of outcome ~ terms + (1 | group): term, estimate, se, z, p; the last row is the group variance.
+def design_columns(rows: DataFrame, terms: Sequence[str | tuple[str, ...]], most_levels: int = 100) -> tuple[DataFrame, list[str], list[str]]:
+    """The rows with a numeric column for each coefficient, the names of these columns, and the names of the coefficients.
 
-    The sums have one row for each distinct group size; the variance ratio is found on those by a golden-section search.
-    A constant outcome or terms that depend on each other raise.
+    A text is a numeric column. A tuple is a categorical term, of several columns an interaction of their indicators; the
+    first level in order of text is the baseline and has no column. Rows with a null in any term go. A column of more than
+    ``most_levels`` levels raises: what the driver gets is bounded by it.
     """
-    columns = [f"__c{i}" for i in range(len(terms) + 1)]
-    frame = rows.select(group, F.col(outcome).cast("double").alias("__y"), F.lit(1.0).alias(columns[0]), *[F.col(t).cast("double").alias(c) for t, c in zip(terms, columns[1:], strict=True)]).dropna()
+    factors = sorted({c for t in terms if not isinstance(t, str) for c in t})
+    used = rows.dropna(subset=[*{t for t in terms if isinstance(t, str)}, *factors]) if terms else rows
+    levels = {}
+    for c in factors:
+        found = sorted(str(r[0]) for r in used.select(F.col(c).cast("string")).distinct().limit(most_levels + 1).collect())
+        if len(found) > most_levels:
+            raise ValueError(f"{c} has more than {most_levels} levels")
+        levels[c] = found[1:]
+    columns: list[tuple[str, Column]] = [("intercept", F.lit(1.0))]
+    for t in terms:
+        if isinstance(t, str):
+            columns.append((t, F.col(t).cast("double")))
+            continue
+        for combination in itertools.product(*[levels[c] for c in t]):
+            on = [F.col(c).cast("string") == v for c, v in zip(t, combination, strict=True)]
+            columns.append((":".join(f"{c}[{v}]" for c, v in zip(t, combination, strict=True)), all_of(*on).cast("double")))
+    names = [f"__c{i}" for i in range(len(columns))]
+    return used.withColumns({n: c for n, (_, c) in zip(names, columns, strict=True)}), names, [n for n, _ in columns]
+
+
+def mixed_model(rows: DataFrame, terms: Sequence[str | tuple[str, ...]], outcome: str, group: str) -> DataFrame:
+    """Maximum likelihood of outcome ~ terms + (1 | group): term, estimate, se, z, p, low, high, p_fdr, then both variances.
+
+    Terms are those of ``design_columns``. low and high bound 95 %, p_fdr adjusts over the terms. The sums have one row for
+    each distinct group size; the variance ratio is found on those by a golden-section search. Fewer than two groups, a
+    constant outcome, terms that depend on each other and results that aren't finite raise ValueError.
+    """
+    frame, columns, labels = design_columns(rows, terms)
+    frame = frame.select(group, F.col(outcome).cast("double").alias("__y"), *columns).dropna()
     sums, p = mixed_model_sums(frame, columns, "__y", group).toPandas(), len(columns)
     n = float((sums["n"] * sums["k"]).sum())
+    if sums["k"].sum() < 2:
+        raise ValueError("a mixed model needs two groups at least")
 
     def matrix(ratio: float) -> np.ndarray:
         out = np.zeros((p + 1, p + 1))
@@ -131,6 +164,10 @@ def mixed_model(rows: DataFrame, terms: Sequence[str], outcome: str, group: str)
                 out[i, j] = out[j, i] = float((sums[f"x{i}_{j}"] - ratio / (1 + sums["n"] * ratio) * sums[f"o{i}_{j}"]).sum())
         return out
 
+    plain = matrix(0.0)
+    if np.linalg.matrix_rank(plain[:p, :p], hermitian=True) < p:
+        raise ValueError("the terms depend on each other")
+
     def fit(ratio: float) -> tuple[float, np.ndarray, float, np.ndarray]:
         m = matrix(ratio)
         beta = np.linalg.solve(m[:p, :p], m[:p, p])
@@ -148,8 +185,14 @@ def mixed_model(rows: DataFrame, terms: Sequence[str], outcome: str, group: str)
     ratio = ratio if fit(ratio)[0] > fit(0.0)[0] else 0.0
     _, beta, variance, m = fit(ratio)
     errors = np.sqrt(np.diag(np.linalg.inv(m[:p, :p])) * variance)
-    out = [(t, float(b), float(s), float(b / s), tails.normal_two_sided(float(b / s))) for t, b, s in zip(("intercept", *terms), beta, errors, strict=True)]
-    return rows.sparkSession.createDataFrame([*out, ("group_variance", float(ratio * variance), None, None, None), ("residual_variance", float(variance), None, None, None)], "term string, estimate double, se double, z double, p double")
+    if not (np.isfinite(beta).all() and np.isfinite(errors).all() and (errors > 0).all()):
+        raise ValueError("the fit has coefficients that aren't finite")
+    reach = 1.959963984540054 * errors
+    fixed = [(i, t, float(b), float(s), float(b / s), tails.normal_two_sided(float(b / s)), float(b - r), float(b + r)) for i, (t, b, s, r) in enumerate(zip(labels, beta, errors, reach, strict=True))]
+    schema = "term string, estimate double, se double, z double, p double, low double, high double"
+    adjusted = fdr_bh(rows.sparkSession.createDataFrame(fixed, "i int, " + schema).withColumn("f", F.lit(1)), ["f"], "p", "i").drop("f", "i")
+    variances = [(name, float(v), None, None, None, None, None) for name, v in (("group_variance", ratio * variance), ("residual_variance", variance))]
+    return adjusted.unionByName(rows.sparkSession.createDataFrame(variances, schema).withColumn("p_fdr", F.lit(None).cast("double")))
 
 
 def run_statistics(samples: DataFrame, outcome: str, eligible: bool, mode: str = "auto") -> DataFrame:
@@ -162,3 +205,32 @@ def run_statistics(samples: DataFrame, outcome: str, eligible: bool, mode: str =
         if spread["hi"] == spread["lo"]:
             chosen, reason = "simple", "no_variance"
     return samples.sparkSession.createDataFrame([(outcome, mode, chosen, reason)], "outcome string, requested string, selected string, reason string")
+
+
+def study_statistics(
+    samples: DataFrame, outcome: str, eligible: bool, terms: Sequence[str | tuple[str, ...]], group: str = "animal_id", by: Sequence[str] = (), mode: str = "auto"
+) -> tuple[DataFrame, DataFrame]:
+    """(decision, results): runs the analysis that ``run_statistics`` names.
+
+    Mixed: the model of ``terms``. Simple: the two-group tests, in each group of ``by``, p-values adjusted over all of them.
+    In mode auto a model that can't be fitted falls back to the simple tests, and the decision's ``fallback`` says why; in
+    mode mixed it raises. Where no simple test can be made, ``selected`` is none and the results are empty.
+    """
+    decision = run_statistics(samples, outcome, eligible, mode).first()
+    selected, fallback, results = decision["selected"], None, None
+    if selected == "mixed":
+        try:
+            fit = mixed_model(samples, terms, outcome, group)
+            results = fit.select(F.lit("mixed").alias("model"), "term", "estimate", F.col("z").alias("statistic"), "p", "p_fdr")
+        except (ValueError, np.linalg.LinAlgError) as failure:
+            if mode == "mixed":
+                raise
+            selected, fallback = "simple", str(failure)
+    if results is None:
+        tests = cut(two_group_tests(samples, outcome, by))
+        term = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by], "test")
+        named = tests.select(F.lit("simple").alias("model"), term.alias("term"), F.col("effect").alias("estimate"), "statistic", "p").withColumn("f", F.lit(1))
+        results = fdr_bh(named, ["f"], "p", "term").drop("f")
+        selected = "none" if tests.isEmpty() else selected
+    row = [(outcome, mode, selected, decision["reason"], fallback)]
+    return samples.sparkSession.createDataFrame(row, "outcome string, requested string, selected string, reason string, fallback string"), results

@@ -150,8 +150,32 @@ def c7_run_statistics(spark, d):
     return stats.run_statistics(cq._samples(spark, d), "cell_count", True)
 
 
+SAMPLE_TERMS = [("condition",), "timepoint_dpi"]
+REGION_TERMS = [("condition",), ("region_label",), ("condition", "region_label"), "timepoint_dpi"]
+
+
+def _region_rows(spark, d):
+    return cq._regions(spark, d).join(b.manifest(spark, d).select("sample_id", "animal_id", "condition", "timepoint_dpi"), "sample_id")
+
+
+def c7_sample_statistics(spark, d):
+    return stats.study_statistics(cq._samples(spark, d), "cell_count", True, SAMPLE_TERMS)[1]
+
+
+def c7_region_statistics(spark, d):
+    return stats.study_statistics(_region_rows(spark, d), "density_cells_per_mm2", True, REGION_TERMS, by=["region_axis", "region_label"])[1]
+
+
+def c7_region_tests_selected(spark, d):
+    return stats.study_statistics(_region_rows(spark, d), "density_cells_per_mm2", True, REGION_TERMS, by=["region_axis", "region_label"], mode="simple")[1]
+
+
 def c8_mixed_model(spark, d):
-    return stats.mixed_model(cq._samples(spark, d).withColumn("treated", (F.col("condition") == "treated").cast("double")), ["treated", "timepoint_dpi"], "cell_count", "animal_id")
+    return stats.mixed_model(cq._samples(spark, d), SAMPLE_TERMS, "cell_count", "animal_id")
+
+
+def c8_region_mixed_model(spark, d):
+    return stats.mixed_model(_region_rows(spark, d), REGION_TERMS, "density_cells_per_mm2", "animal_id")
 
 
 def c8_mixed_model_sums(spark, d):
@@ -209,8 +233,12 @@ QUERIES = {
     "c3_region_tests": (c3_region_tests, None),
     "c3_region_welch": (c3_region_welch, with_tables("objects manifest", "+ " + cq._REGIONS + ", s as (select region_label, count(*) filter (condition = 'control') as n_a, count(*) filter (condition = 'treated') as n_b, avg(density_cells_per_mm2) filter (condition = 'control') as a, avg(density_cells_per_mm2) filter (condition = 'treated') as b, var_samp(density_cells_per_mm2) filter (condition = 'control') as va, var_samp(density_cells_per_mm2) filter (condition = 'treated') as vb from regions join manifest using (sample_id) group by 1) select region_label, n_a, n_b, round((a-b)/sqrt(va/n_a + vb/n_b), 6) as t, round((va/n_a + vb/n_b)*(va/n_a + vb/n_b)/((va/n_a)*(va/n_a)/(n_a-1) + (vb/n_b)*(vb/n_b)/(n_b-1)), 6) as df, round((a-b)/sqrt(((n_a-1)*va + (n_b-1)*vb)/(n_a+n_b-2)), 6) as effect from s")),
     "c4_fdr_bh": (c4_fdr_bh, with_tables("runs", "+ t as (select config_id, roi_id, case when roi_id % 17 <> 0 then f1*f1 end as p from runs), k as (select *, count(*) over (partition by config_id) as n, row_number() over (partition by config_id order by p nulls last, roi_id) as rk from t), q as (select *, coalesce(p*n/rk, 1.0) as v from k) select config_id, roi_id, round(least(1.0, min(v) over (partition by config_id order by rk desc rows unbounded preceding)), 6) as p_fdr from q")),
-    "c7_run_statistics": (c7_run_statistics, None),
+    "c7_run_statistics": (c7_run_statistics, with_tables("objects manifest", "+ " + cq._SAMPLES + " select 'cell_count' as outcome, 'auto' as requested, case when max(cell_count) = min(cell_count) then 'simple' else 'mixed' end as selected, case when max(cell_count) = min(cell_count) then 'no_variance' else 'repeated_structure' end as reason from samples")),
+    "c7_sample_statistics": (c7_sample_statistics, None),
+    "c7_region_statistics": (c7_region_statistics, None),
+    "c7_region_tests_selected": (c7_region_tests_selected, None),
     "c8_mixed_model": (c8_mixed_model, None),
+    "c8_region_mixed_model": (c8_region_mixed_model, None),
     "c8_mixed_model_sums": (c8_mixed_model_sums, with_tables("objects manifest", "+ " + cq._SAMPLES + ", a as (select animal_id, cast(count(*) as double) as n, sum(case when condition = 'treated' then 1.0::double else 0 end) as t, sum(cell_count) as y, sum(cell_count*cell_count) as yy, sum(case when condition = 'treated' then cell_count else 0 end) as ty from samples group by 1) select cast(n as bigint) as n, count(*) as k, sum(n) as x0_0, sum(t) as x0_1, sum(y) as x0_2, sum(t) as x1_1, sum(ty) as x1_2, sum(yy) as x2_2, sum(n*n) as o0_0, sum(n*t) as o0_1, sum(n*y) as o0_2, sum(t*t) as o1_1, sum(t*y) as o1_2, sum(y*y) as o2_2 from a group by a.n")),
     "g1_suppress_min_distance": (g1_suppress_min_distance, None),
     "g2_merge_candidates": (g2_merge_candidates, None),
