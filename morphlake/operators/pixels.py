@@ -134,13 +134,18 @@ def box_morphology(mask: DataFrame, key: str, k: int, erode: bool) -> DataFrame:
     return out
 
 
-def tissue_mask(pixels: DataFrame, key: str, opening: int = 0, closing: int = 0) -> DataFrame:
-    """Pixels above the image's Otsu threshold, opened and closed by boxes of the given half widths."""
-    m = pixels.join(otsu_threshold(pixels, key), key).withColumn("on", (F.col("value") > F.col("threshold")).cast("int"))
+def open_close(mask: DataFrame, key: str, opening: int, closing: int) -> DataFrame:
+    """A mask opened, then closed, by boxes of the given half widths; 0 leaves a step out."""
     for k, order in ((opening, (True, False)), (closing, (False, True))):
         for erode in order if k else ():
-            m = box_morphology(m, key, k, erode)
-    return m
+            mask = box_morphology(mask, key, k, erode)
+    return mask
+
+
+def tissue_mask(pixels: DataFrame, key: str, opening: int = 0, closing: int = 0) -> DataFrame:
+    """Pixels above the image's Otsu threshold, opened and closed by boxes of the given half widths (2 and 4: 5 by 5, 9 by 9)."""
+    m = pixels.join(otsu_threshold(pixels, key), key).withColumn("on", (F.col("value") > F.col("threshold")).cast("int"))
+    return open_close(m, key, opening, closing)
 
 
 def tissue_coverage(mask: DataFrame, key: str, x0: float, y0: float) -> DataFrame:

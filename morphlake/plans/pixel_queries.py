@@ -90,6 +90,32 @@ def a10_otsu_threshold(spark, d):
     return pixels.otsu_threshold(b.pixels(spark, d), "image_no", 16).select("image_no", R("threshold"))
 
 
+def _raster(spark, d):
+    """Images of 32 by 32 pixels: each pixel of the small ones as a block of 4 by 4."""
+    step = lambda c: F.explode(F.sequence(F.col(c) * 4, F.col(c) * 4 + 3)).alias(c)
+    return b.pixels(spark, d).select("image_no", "value", "x", step("y")).select("image_no", "value", "y", step("x"))
+
+
+_RASTER = "ra as (select image_no, y*4 + a.range as y, x*4 + c.range as x, value from pixels, range(4) a, range(4) c)"
+_OTSU = "lh as (select image_no, min(value) as lo, max(value) as hi from {t} group by 1), hb as (select image_no, lo, hi, case when hi > lo then cast(least({n} - 1, floor((value - lo)/(hi - lo)*{n})) as int) else 0 end as bin, count(*) as n from {t} join lh using (image_no) group by all), hv as (select *, lo + (bin + 0.5::double)*(hi - lo)/{n} as v from hb), hw as (select *, sum(n) over u as w0, sum(n*v) over u as m0, sum(n) over (partition by image_no) as w, sum(n*v) over (partition by image_no) as m from hv window u as (partition by image_no order by bin)), hg as (select *, coalesce(w0*(w-w0)*pow(m0/w0 - (m-m0)/nullif(w-w0, 0), 2), -1) as between_var from hw), th as (select image_no, v as threshold from (select *, row_number() over (partition by image_no order by round(between_var, 9) desc, bin) as k from hg) where k = 1)"
+
+
+def _box_sql(step, source, half, erode):
+    """SQL of one step of morphology: along rows, then along columns; an erosion gives 0 where its box leaves the image."""
+    frame = f"rows between {half} preceding and {half} following"
+    value = f"case when count(*) over w = {2 * half + 1} then min(o) over w else 0 end" if erode else "max(o) over w"
+    rows = f"{step}r as (select image_no, y, x, {value} as o from {source} window w as (partition by image_no, y order by x {frame}))"
+    return f"{rows}, {step} as (select image_no, y, x, {value} as o from {step}r window w as (partition by image_no, x order by y {frame}))"
+
+
+_STEPS = ((2, True), (2, False), (4, False), (4, True))
+_MASK = "m0 as (select image_no, y, x, case when value > threshold then 1 else 0 end as o from ra join th using (image_no)), " + ", ".join(_box_sql(f"m{i + 1}", f"m{i}", *s) for i, s in enumerate(_STEPS))
+
+
+def a10_tissue_mask(spark, d):
+    return pixels.tissue_mask(_raster(spark, d), "image_no", 2, 4).select("image_no", "y", "x", "on")
+
+
 def a11_tissue_coverage(spark, d):
     mask = b.pixels(spark, d).withColumn("on", (F.col("value") > 0.02).cast("int"))
     return pixels.tissue_coverage(mask, "image_no", 3.5, 3.5).select("image_no", R("mask_fraction"), R("disc_coverage"))
@@ -168,6 +194,9 @@ def g4_pixel_components(spark, d):
     return graph.pixel_components(b.pixels(spark, d).where("value > 0.03"), "image_no").groupBy("image_no", "instance").agg(F.count(F.lit(1)).alias("size"))
 
 
+_COMPONENTS = "+ f as (select image_no, y, x, y*8 + x as id from pixels where value > 0.03), st as (select a.image_no, a.id as a, b.id as b from f a join f b on a.image_no = b.image_no and abs(a.y - b.y) + abs(a.x - b.x) = 1), re as (select image_no, id as start, id from f union select re.image_no, re.start, st.b from re join st on st.image_no = re.image_no and st.a = re.id), ro as (select image_no, id, min(start) as root from re group by 1, 2) select image_no, dense_rank() over (partition by image_no order by root) as instance, count(*) as size from ro group by image_no, root"
+
+
 def a18_density_grid(spark, d):
     cells = spark.range(16).select((F.col("id") * 64.0).alias("x")).crossJoin(spark.range(16).select((F.col("id") * 64.0).alias("y")))
     grid = b.images(spark, d).crossJoin(F.broadcast(cells))
@@ -295,7 +324,8 @@ QUERIES = {
     "a5_label_centroids": (a5_label_centroids, with_tables("pixels", "+ " + _L + " select image_no, label, round(avg(y), 6) as cy, round(avg(x), 6) as cx from l where label > 0 group by 1, 2")),
     "p4_label_relabel": (p4_label_relabel, with_tables("pixels", "+ " + _L + ", z as (select image_no, label, count(*) as n from l where label > 0 group by 1, 2) select image_no, label, row_number() over (partition by image_no order by label) as new_label from z where n between 6 and 10")),
     "j14_distance_to_mask": (j14_distance_to_mask, with_tables("pixels", "+ " + _L + ", c as (select image_no, label, avg(y) as cy, avg(x) as cx from l where label > 0 group by 1, 2) select c.image_no, c.label, round(min(sqrt((cx-x)*(cx-x) + (cy-y)*(cy-y))), 6) as distance from c join l on l.image_no = c.image_no and value >= 0.2 group by 1, 2")),
-    "a10_otsu_threshold": (a10_otsu_threshold, None),
+    "a10_otsu_threshold": (a10_otsu_threshold, with_tables("pixels", "+ " + _OTSU.format(t="pixels", n=16) + " select image_no, round(threshold, 6) as threshold from th")),
+    "a10_tissue_mask": (a10_tissue_mask, with_tables("pixels", "+ " + _RASTER + ", " + _OTSU.format(t="ra", n=64) + ", " + _MASK + " select image_no, y, x, o as \"on\" from m4")),
     "a11_tissue_coverage": (a11_tissue_coverage, with_tables("pixels", "+ m as (select image_no, avg(case when value > 0.02 then 1.0::double else 0 end) as f, count(*) filter (value > 0.02) as n, max(sqrt((x-3.5)*(x-3.5) + (y-3.5)*(y-3.5))) filter (value > 0.02) as r from pixels group by 1) select image_no, round(f, 6) as mask_fraction, round(coalesce(n/(pi()*r*r), 0), 6) as disc_coverage from m")),
     "w12_box_morphology": (w12_box_morphology, with_tables("pixels", "+ m as (select image_no, y, x, case when value > -0.05 then 1 else 0 end as o from pixels), e as (select a.image_no, a.y, a.x, case when count(*) = 9 then min(b.o) else 0 end as o from m a join m b on a.image_no = b.image_no and abs(a.y-b.y) <= 1 and abs(a.x-b.x) <= 1 group by 1, 2, 3) select a.image_no, a.y, a.x, max(b.o) as on from e a join e b on a.image_no = b.image_no and abs(a.y-b.y) <= 1 and abs(a.x-b.x) <= 1 group by 1, 2, 3".replace(" as on ", ' as "on" '))),
     "w13_stencils": (w13_stencils, with_tables("pixels", "+ t as (select * from pixels), " + _BORDER.format(p="image_no") + " select image_no, y, x, round(lap, 6) as lap, round(grad2, 6) as grad2 from st")),
@@ -310,9 +340,9 @@ QUERIES = {
     "a17_tta_vote": (a17_tta_vote, with_tables("pixels", "+ v as (select image_no // 4 as image, image_no % 4 as t, y, x, case when value > 0 then 1.0::double else 0 end as o from pixels), p as (select image, case t when 2 then 7 - y when 3 then x else y end as y2, case t when 1 then 7 - x when 3 then 7 - y else x end as x2, o from v) select image, y2 as y, x2 as x, round(avg(o), 6) as probability, avg(o) >= 0.5 as mask from p group by 1, 2, 3")),
     "a19_overlap_scores": (a19_overlap_scores, with_tables("pixels", "+ s as (select image_no, count(*) filter (value > 0.05 and y > 0) as i, count(*) filter (value > 0) as np, count(*) filter (value > 0.05 and y > 0) as nr from pixels group by 1) select image_no, round(case when np + nr = 0 then 1 else 2*i/(np+nr) end, 6) as dice, round(case when np + nr = 0 then 1 else i/(np+nr-i) end, 6) as iou from s")),
     "j16_tile_overlap_pairs": (j16_tile_overlap_pairs, with_tables("pixels", "+ w as (select image_no, y, x, case when value > 0 then 1 + x // 4 + 2 * (y // 4) else 0 end as la, case when value > -0.02 then 1 + y // 4 else 0 end as lb from pixels where x >= 2 and x < 6), a as (select image_no, la, count(*) as na from w where la > 0 group by 1, 2), b as (select image_no, lb, count(*) as nb from w where lb > 0 group by 1, 2), c as (select image_no, la, lb, count(*) as common from w where la > 0 and lb > 0 group by 1, 2, 3) select image_no, 0 as ta, 1 as tb, la, lb, common from c join a using (image_no, la) join b using (image_no, lb) where common >= 3 and (common/(na+nb-common) >= 0.1 or common/least(na, nb) >= 0.25)")),
-    "g4_pixel_components": (g4_pixel_components, None),
+    "g4_pixel_components": (g4_pixel_components, with_tables("pixels", _COMPONENTS).replace("with", "with recursive", 1)),
     "a18_density_grid": (a18_density_grid, with_tables("objects", "+ p as (select distinct image_no, centroid_x_px as px, centroid_y_px as py from objects), g as (select a.range*64.0::double as x, b.range*64.0::double as y from range(16) a, range(16) b) select image_no, x, y, round(sum(exp(-((x-px)*(x-px)+(y-py)*(y-py))/5000.0)), 6) as density from p, g where (x-px)*(x-px)+(y-py)*(y-py) <= 40000 group by 1, 2, 3")),
-    "a18_hexbin": (a18_hexbin, None),
+    "a18_hexbin": (a18_hexbin, with_tables("objects", "+ ax as (select image_no, (sqrt(3.0::double)/3*centroid_x_px - centroid_y_px/3)/100 as q, (2.0::double/3*centroid_y_px)/100 as r from objects), ro as (select *, round_even(q, 0) as nq, round_even(r, 0) as nr, round_even(-q - r, 0) as ns, -q - r as s from ax), dd as (select *, abs(nq - q) as dq, abs(nr - r) as dr, abs(ns - s) as ds from ro), hx as (select image_no, case when dq > dr and dq > ds then -nr - ns else nq end as hq, case when not (dq > dr and dq > ds) and dr > ds then -nq - ns else nr end as hr, count(*) as n from dd group by 1, 2, 3) select image_no, count(*) as n_cells, cast(sum(n) as bigint) as n_points from hx group by 1")),
     "p15_physical_to_pixel": (p15_physical_to_pixel, with_tables("objects", "+ " + _DIMS + " select image_no, object_id, round(centroid_x_px/200/(mx*u/64), 6) as x_px, round(least(63.0, greatest(0.0, centroid_y_px/200/(mx*u/64))), 6) as y_px_clipped, centroid_x_px/200/(mx*u/64) < 64 and centroid_y_px/200/(mx*u/64) < 64 and 0.5/(mx*u/64) < 64 as inside_bounds from objects join d using (image_no)")),
     "j20_consecutive_samples": (j20_consecutive_samples, with_tables("objects manifest", "+ c as (select image_no as sample_id, count(*) as n from objects group by 1), m as (select * from manifest left join c using (sample_id)) select animal_id, eye, sample_id, timepoint_dpi, lag(sample_id) over w as prev_sample_id, lag(timepoint_dpi) over w as prev_timepoint, lag(coalesce(n, 0)) over w as n_prev, coalesce(n, 0) as n_cur from m window w as (partition by animal_id, eye order by timepoint_dpi, sample_id)")),
     "j9a_gated_candidates": (j9a_gated_candidates, with_tables("objects manifest", "+ m as (select sample_id, lag(sample_id) over (partition by animal_id, eye order by timepoint_dpi, sample_id) as prev from manifest) select m.sample_id as pair, a.object_id as a, b.object_id as b, (a.centroid_x_px-b.centroid_x_px)*(a.centroid_x_px-b.centroid_x_px) + (a.centroid_y_px-b.centroid_y_px)*(a.centroid_y_px-b.centroid_y_px) as d2 from m join objects a on a.image_no = m.prev join objects b on b.image_no = m.sample_id where (a.centroid_x_px-b.centroid_x_px)*(a.centroid_x_px-b.centroid_x_px) + (a.centroid_y_px-b.centroid_y_px)*(a.centroid_y_px-b.centroid_y_px) <= 400")),

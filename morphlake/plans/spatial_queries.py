@@ -242,6 +242,6 @@ QUERIES = {
     "c8_mixed_model_sums": (c8_mixed_model_sums, with_tables("objects manifest", "+ " + cq._SAMPLES + ", a as (select animal_id, cast(count(*) as double) as n, sum(case when condition = 'treated' then 1.0::double else 0 end) as t, sum(cell_count) as y, sum(cell_count*cell_count) as yy, sum(case when condition = 'treated' then cell_count else 0 end) as ty from samples group by 1) select cast(n as bigint) as n, count(*) as k, sum(n) as x0_0, sum(t) as x0_1, sum(y) as x0_2, sum(t) as x1_1, sum(ty) as x1_2, sum(yy) as x2_2, sum(n*n) as o0_0, sum(n*t) as o0_1, sum(n*y) as o0_2, sum(t*t) as o1_1, sum(t*y) as o1_2, sum(y*y) as o2_2 from a group by a.n")),
     "g1_suppress_min_distance": (g1_suppress_min_distance, None),
     "g2_merge_candidates": (g2_merge_candidates, None),
-    "g4_point_components": (g4_point_components, None),
+    "g4_point_components": (g4_point_components, with_tables("objects", "+ " + _P + ", st as (select a.image_no, a.id as a, b.id as b from p a join p b on a.image_no = b.image_no and a.id <> b.id and (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) <= 400), re as (select distinct image_no, a as start, a as id from st union select re.image_no, re.start, st.b from re join st on st.image_no = re.image_no and st.a = re.id), ro as (select image_no, id, min(start) as root from re group by 1, 2) select image_no*1000000 + root as root, count(*) as size from ro group by image_no, ro.root").replace("with", "with recursive", 1)),
     "g5_chain_roots": (g5_chain_roots, with_tables("manifest", "select sample_id as id, first_value(sample_id) over (partition by animal_id, eye order by timepoint_dpi, sample_id) as root from manifest")),
 }
