@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from morphlake.functions.columns import comparable, slug, stem, tokens
 from morphlake.operators import evaluation as ev
-from morphlake.operators import neighbors
+from morphlake.operators import inventory, neighbors
 from morphlake.operators.numbering import numbered
 from morphlake.sources import bindings as b
 from morphlake.sources.bindings import with_tables
@@ -201,13 +201,19 @@ def p13_score_paths(spark, d):
 
 
 def p14_classify_condition(spark, d):
-    u = F.lower(F.col("url"))
-    return b.table(spark, d, "pages").select("page_id", F.when(u.contains("/en/"), "normoxic").when(u.contains("/fr/") | u.contains("/de/"), "oir").otherwise("unknown").alias("condition"))
+    named = {"normoxic": ["/en/"], "oir": ["/fr/", "/de/"]}
+    return b.table(spark, d, "pages").select("page_id", inventory.classify_condition(F.col("url"), named)["condition"].alias("condition"))
+
+
+def p14_condition_of_image(spark, d):
+    eye = F.element_at(F.array(F.lit("Normoxia"), F.lit("P17_OIR"), F.lit("Healthy_OIR"), F.lit("plain")), (F.col("sample_id") % 4 + 1).cast("int"))
+    path = F.concat(F.lit("/data/"), F.col("genotype"), F.lit("/"), eye, F.lit("_"), F.col("eye"), F.lit(".tif"))
+    return b.manifest(spark, d).withColumn("c", inventory.classify_condition(path)).select("sample_id", "c.condition", "c.basis")
 
 
 def p23_derive_manifest(spark, d):
-    p = b.table(spark, d, "part").withColumns({"height": F.col("p_size") * 60, "width": F.col("p_size") * 70 + 10})
-    return numbered(p, [F.col("p_name"), F.col("p_partkey")], "n").select("p_partkey", F.format_string("S%04d", "n").alias("sample_id"), F.when(F.least("height", "width") >= 1500, "whole").otherwise("crop").alias("kind"))
+    p = b.table(spark, d, "part").select("p_partkey", "p_name", (F.col("p_size") * 60).alias("height"), (F.col("p_size") * 70 + 10).alias("width"))
+    return inventory.derive_manifest(p, [F.col("p_name"), F.col("p_partkey")], {"eye": "UNK", "modality": "flatmount"}, "S%04d", ("whole", "crop")).select("p_partkey", "sample_id", "kind")
 
 
 def f_text_functions(spark, d):
@@ -221,6 +227,27 @@ def p22_flatten_metadata(spark, d):
     return e.select("event_id", F.col("p.k").alias("k"), F.coalesce(F.col("p.k") > 50, F.lit(False)).alias("large"))
 
 
+def _metadata_documents(spark, d):
+    """A nested document for each part: absent blocks, several candidate channels, and scenes with up to two annotations."""
+    k = F.col("p_partkey")
+    at = lambda n: F.struct(F.concat(F.lit(f"Scene/Points{n}/"), k.cast("string")).alias("path"))
+    image = F.when(k % 5 != 0, F.struct(F.lit("2024-01-02").alias("RecordingDate"), F.lit("20x").alias("LensPower"), F.lit("um").alias("Unit"), (F.col("p_size") * 16).cast("string").alias("X"), (F.col("p_size") * 8).cast("string").alias("Y"), F.when(k % 3 != 0, F.lit("12")).otherwise("?").alias("Z")))
+    voxel = F.struct(F.lit(0.5).alias("voxel_x_um"), F.lit(0.5).alias("voxel_y_um"), F.when(k % 2 == 0, 2.0).alias("voxel_z_um"))
+    channel = lambda i, s: F.struct(F.lit(i).alias("channel_index"), s.alias("score"), F.col("p_type").alias("reason"), (k % 7 == 0).alias("is_unambiguous_top_candidate"))
+    channels = F.when(k % 4 == 0, F.array()).otherwise(F.array(channel(2, (k % 9) * 10.0), channel(0, F.lit(1.0))))
+    scene = F.when(k % 3 == 0, F.struct(F.array(F.col("p_brand")).alias("scene_groups"), F.when(k % 6 == 0, F.array(at(1), at(2))).otherwise(F.array(at(1))).alias("annotation_candidates")))
+    doc = F.struct(F.col("p_name").alias("stem"), F.concat(F.lit("/ims/"), k.cast("string"), F.lit(".ims")).alias("path"), F.sha2(k.cast("string"), 256).alias("source_sha256"), (F.col("p_size") * 1000).alias("size_bytes"), F.struct(image.alias("image"), (k % 4 + 1).alias("n_channels"), voxel.alias("voxel_sizes_um")).alias("metadata"), channels.alias("candidate_rbpms_channels"), scene.alias("scene"))
+    return b.table(spark, d, "part").select("p_partkey", F.when(k % 50 == 0, "no document").otherwise(F.to_json(doc)).alias("text"))
+
+
+def p22_metadata_inventory(spark, d):
+    return inventory.flatten_metadata(_metadata_documents(spark, d), "text")
+
+
+def p22_annotation_rows(spark, d):
+    return inventory.annotation_rows(_metadata_documents(spark, d), "text")
+
+
 def t11_candidate_order(spark, d):
     p = b.table(spark, d, "pages").withColumn("path", F.regexp_replace("url", r"[?#].*$", ""))
     first = F.row_number().over(Window.partitionBy("path").orderBy("page_id"))
@@ -257,6 +284,9 @@ QUERIES = {
     "j8_expand_config_grid": (j8_expand_config_grid, "select p_brand || '__' || a.r_name || '__' || b.r_name as config_id, p_brand as projection_params, cast(a.r_regionkey as varchar) as preprocess_params, cast(b.r_regionkey as varchar) as detector_params from (select distinct p_brand from part), region a, region b"),
     "p13_score_paths": (p13_score_paths, "with t as (select page_id, lower(url) as u, regexp_extract_all(lower(url), '[a-z0-9]+') as w from pages), h as (select page_id, u, [x for x in [case when list_contains(w, 'en') then 'en' end, case when len([y for y in w if starts_with(y, 'page')]) > 0 then 'page' end, case when len([y for y in w if starts_with(y, 'blog')]) > 0 then 'blog' end, case when contains(u, 'example com') then 'example com' end, case when list_contains(w, 'org') then 'org' end] if x is not null] as r from t) select page_id, array_to_string(r, ',') as reasons, len(r)*10 + case when regexp_extract(u, '\\.([a-z0-9]+)$', 1) in ('html', 'pdf') then 5 else 0 end as score from h"),
     "p14_classify_condition": (p14_classify_condition, "select page_id, case when contains(lower(url), '/en/') then 'normoxic' when contains(lower(url), '/fr/') or contains(lower(url), '/de/') then 'oir' else 'unknown' end as condition from pages"),
+    "p14_condition_of_image": (p14_condition_of_image, with_tables("manifest", "select sample_id, case sample_id % 4 when 0 then 'normoxic' when 1 then 'oir' when 2 then 'normoxic' else 'unknown' end as condition, case when sample_id % 4 = 3 then 'unresolved' else 'path_token' end as basis from manifest")),
+    "p22_metadata_inventory": (p22_metadata_inventory, "with p as (select *, p_partkey as k, p_partkey % 50 <> 0 as ok from part) select p_partkey, case when ok then p_name end as stem, case when ok then '/ims/' || k || '.ims' end as source_path, case when ok then sha256(cast(k as varchar)) end as source_sha256, case when ok then p_size*1000 end as size_bytes, case when ok and k % 5 <> 0 then '2024-01-02' end as recording_date, case when ok and k % 5 <> 0 then '20x' end as lens_power, case when ok and k % 5 <> 0 then 'um' end as unit, case when ok and k % 5 <> 0 then p_size*16 end as size_x, case when ok and k % 5 <> 0 then p_size*8 end as size_y, case when ok and k % 5 <> 0 and k % 3 <> 0 then 12 end as size_z, case when ok then k % 4 + 1 end as n_channels, case when ok then 0.5::double end as voxel_x_um, case when ok then 0.5::double end as voxel_y_um, case when ok and k % 2 = 0 then 2.0::double end as voxel_z_um, ok and k % 3 = 0 as has_scene, case when not ok or k % 3 <> 0 then 0 when k % 6 = 0 then 2 else 1 end as scene_annotation_candidates, case when ok and k % 4 <> 0 then 2 end as top_candidate_channel_index, case when ok and k % 4 <> 0 then (k % 9)*10.0::double end as top_candidate_score, case when ok and k % 4 <> 0 then p_type end as top_candidate_reason, ok and k % 4 <> 0 and k % 7 = 0 as top_candidate_unambiguous from p"),
+    "p22_annotation_rows": (p22_annotation_rows, "with n as (select p_partkey as k, unnest(case when p_partkey % 6 = 0 then [1, 2] else [1] end) as i from part where p_partkey % 50 <> 0 and p_partkey % 3 = 0) select k as p_partkey, '/ims/' || k || '.ims::Scene/Points' || i || '/' || k as path, '.ims' as suffix, 100 as score, 'embedded_same_image_point_truth' as classification, 'embedded_scene_annotation_candidate' as reasons from n"),
     "p23_derive_manifest": (p23_derive_manifest, "select p_partkey, printf('S%04d', row_number() over (order by p_name, p_partkey)) as sample_id, case when least(p_size*60, p_size*70+10) >= 1500 then 'whole' else 'crop' end as kind from part"),
     "f_text_functions": (f_text_functions, "with p as (select page_id, url, regexp_replace(url, '^https?://', '') as path from pages) select page_id, regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') as slug, regexp_replace(regexp_extract(path, '([^/]*)/*$', 1), '\\.[^.]*$', '') as stem, len(regexp_extract_all(lower(url), '[a-z0-9]+')) as n_tokens, sha256(url) as sha256, url as roundtrip from p"),
     "p22_flatten_metadata": (p22_flatten_metadata, "select event_id, cast(props->>'$.k' as int) as k, coalesce(cast(props->>'$.k' as int) > 50, false) as large from events"),
