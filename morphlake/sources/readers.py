@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,6 +16,9 @@ MANIFEST = ("sample_id", "animal_id", "eye", "condition", "genotype", "timepoint
 MANIFEST_NUMBERS = ("timepoint_dpi", "onh_x_px", "onh_y_px", "dorsal_x_px", "dorsal_y_px", "expected_total_objects")
 REFERENCE = ("region_axis", "region_label", "expected_density_cells_per_mm2")
 ROI = ("roi_id", "image_path", "marker", "modality", "x0", "y0", "width", "height", "annotator", "manual_points_path", "split", "notes")
+ROI_PROVENANCE = ("image_marker", "image_source_channel", "truth_marker", "truth_source_channel", "truth_derivation", "truth_source_path")
+SELECTION_METRICS = ("mae", "bias", "mape", "corr")
+SUBTYPE_WEIGHTS = {"location_weight": 0.7, "marker_weight": 0.3}
 
 
 def read_csv(spark: SparkSession, paths: str | Sequence[str], required: Sequence[str]) -> DataFrame:
@@ -70,11 +74,12 @@ def read_point_files(spark: SparkSession, rois: DataFrame, paths: Sequence[str])
 
 
 def read_roi_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Regions; split defaults to benchmark and notes to ''. More than one marker or modality, or a repeated id, raises."""
+    """Regions; split defaults to benchmark, notes to '', provenance columns to null. More than one marker or modality, or a repeated id, raises."""
     frame = read_csv(spark, path, ROI[:10])
     filled = frame.withColumns({
         "split": F.coalesce(F.nullif(F.trim("split"), F.lit("")), F.lit("benchmark")) if "split" in frame.columns else F.lit("benchmark"),
         "notes": F.coalesce("notes", F.lit("")) if "notes" in frame.columns else F.lit(""), **{c: F.col(c).try_cast("bigint") for c in ("x0", "y0", "width", "height")},
+        **{c: F.lit(None).cast("string") for c in ROI_PROVENANCE if c not in frame.columns},
     })
     seen = filled.agg(F.countDistinct("marker").alias("marker"), F.countDistinct("modality").alias("modality"), F.count(F.lit(1)).alias("n"), F.countDistinct("roi_id").alias("ids")).first()
     if seen["marker"] > 1 or seen["modality"] > 1 or seen["n"] != seen["ids"]:
@@ -108,22 +113,64 @@ def read_frame_sidecars(sidecars: DataFrame, priority: str = "priority") -> Data
 
 
 def load_subtypes(spec: Mapping[str, Mapping], axes: Sequence[str]) -> dict[str, Mapping]:
-    """Checks subtype priors: known axes, weights at least 0, scales above 0, and names that stay apart as column names."""
+    """Checks subtype priors: known axes with priors, weights and scales above 0, markers with a feature and a centre, and
+    names that stay apart as column names, under which the subtypes are returned."""
     names: dict[str, str] = {}
     for name, s in spec.items():
         plain = "".join(c if c.isalnum() else "_" for c in name.lower()).strip("_")
         if plain in names:
             raise ValueError(f"{name} and {names[plain]} give the same column name")
         names[plain] = name
-        for axis, prior in s.get("location_priors", {}).items():
-            if axis not in axes or prior["weight"] < 0:
+        for axis, prior in (s.get("location_priors") or {}).items():
+            if axis not in axes or not prior.get("priors") or prior.get("weight", 1.0) <= 0:
                 raise ValueError(f"{name}: bad prior on {axis}")
-        for m in s.get("markers", ()):
-            if m["scale"] <= 0 or m.get("weight", 1.0) < 0 or m.get("direction", "high") not in ("high", "low"):
+        for m in s.get("markers") or ():
+            if not m.get("feature") or m.get("center") is None or m.get("scale", 0.0) <= 0 or m.get("weight", 1.0) <= 0 or m.get("direction", "high") not in ("high", "low"):
                 raise ValueError(f"{name}: bad marker {m}")
     return {plain: spec[name] for plain, name in names.items()}
 
 
+def load_subtype_priors(document: Mapping, axes: Sequence[str]) -> dict:
+    """A whole priors document of version 1: its fields and weights checked, ``subtypes`` as ``load_subtypes`` returns them."""
+    if missing := [c for c in ("schema_version", "atlas_name", "subtypes") if c not in document]:
+        raise ValueError(f"the subtype priors lack {missing}")
+    weights = [float(document.get(c, default)) for c, default in SUBTYPE_WEIGHTS.items()]
+    if int(document["schema_version"]) != 1 or not document["subtypes"] or min(weights) < 0 or sum(weights) <= 0:
+        raise ValueError("the subtype priors need version 1, a subtype, and weights of which one is above 0")
+    return {**document, "location_weight": weights[0], "marker_weight": weights[1], "subtypes": load_subtypes(document["subtypes"], axes)}
+
+
+def load_calibration_grid(spark: SparkSession, document: Mapping) -> tuple[DataFrame, str]:
+    """((config_id, params), selection metric): a row for each grid entry, its parameters as JSON text with sorted keys."""
+    grid, metric = document.get("grid"), str(document.get("selection_metric", "mae")).lower()
+    if not isinstance(grid, list) or not grid or metric not in SELECTION_METRICS:
+        raise ValueError(f"a calibration grid needs a list of entries and one of the metrics {SELECTION_METRICS}")
+    return spark.createDataFrame([(i, json.dumps(entry, sort_keys=True)) for i, entry in enumerate(grid, 1)], "config_id int, params string"), metric
+
+
+# Names of version 1 rules and what they became in version 2.
+OLD_MASKS = {"rgc_positive": ("RGC", "rgc_channel", "rgc_min_intensity"), "microglia": ("MICROGLIA", "microglia_channel", "microglia_min_intensity")}
+OLD_LIMITS = {"min_area_px": ("geometry.area_px", "ge"), "max_area_px": ("geometry.area_px", "le"), "min_circularity": ("geometry.circularity", "ge")}
+OLD_INTENSITY = 120.0
+
+
+def load_phenotype_rules(document: Mapping) -> dict:
+    """Class rules of version 2, with empty parts filled in; older documents are brought into that form."""
+    if document.get("schema_version") == 2:
+        return {"channels": {}, "compose": {}, "masks": {}, "classes": {}, **document}
+    part = lambda name: document.get(name) or {}
+    given = {mask: names for mask, names in OLD_MASKS.items() if part("channels").get(names[1]) is not None}
+    touching = lambda mask: [{"feature": "relation.overlap_fraction", "target": mask, "op": "gt", "value": 0.0}] if mask in given else []
+    limits = [{"feature": f, "op": op, "value": float(part("morphology_priors")[c])} for c, (f, op) in OLD_LIMITS.items() if part("morphology_priors").get(c) is not None]
+    include = (touching("rgc_positive") if part("logic").get("require_rgc_positive", True) else []) + limits
+    exclude = touching("microglia") if part("logic").get("exclude_microglia_overlap", True) else []
+    classes = {"rgc": {"priority": 100, "include": include, "exclude": exclude}} if include or exclude else {}
+    if "microglia" in given:
+        classes["microglia"] = {"priority": 90, "include": touching("microglia"), "exclude": []}
+    masks = {mask: {"channel": channel, "min_intensity": float(part("thresholds").get(limit, OLD_INTENSITY))} for mask, (channel, _, limit) in given.items()}
+    return {"schema_version": 2, "source_schema_version": 1, "channels": {c: int(part("channels")[key]) for c, key, _ in given.values()}, "compose": {}, "masks": masks, "classes": classes}
+
+
 def write_tables(frame: DataFrame, kind: str, path: str, by: Sequence[str] = ("image_id",), strict: bool = False) -> None:
     """A table in its contract's form as Parquet, partitioned; fails where the folder exists."""
     checked = enforce_contract(frame, kind, strict)
