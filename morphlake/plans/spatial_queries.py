@@ -12,6 +12,7 @@ from morphlake.sources.bindings import with_tables
 
 R = lambda c, n=6: F.round(c, n).alias(c)
 RADII = (25.0, 50.0, 75.0, 100.0)
+X8_RADII = (50.0, 100.0, 600.0)
 _P = "p as (select image_no, object_id as id, centroid_x_px as x, centroid_y_px as y from objects)"
 _PAIRS = ", q as (select a.image_no, a.id, (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) as d2 from p a join p b on a.image_no = b.image_no and a.id <> b.id), r as (select unnest([25.0, 50.0, 75.0, 100.0])::double as radius)"
 _TP = "p as (select image_no, object_id as id, centroid_x_px as x, centroid_y_px as y from objects)"
@@ -23,6 +24,19 @@ _COUNTS = ", c as (select p.image_no, p.id, r.radius, (select count(*) from q wh
 _CNT = ", g as (select image_no, id, radius, count(*) as k from q, r where d2 <= radius*radius group by all), c as (select p.image_no, p.id, r.radius, coalesce(g.k, 0) as k from p cross join r left join g on g.image_no = p.image_no and g.id = p.id and g.radius = r.radius)"
 _AREA = ", ar as (select image_no, count(*)*64.0::double as area from tissue group by 1)"
 
+_X8 = (
+    "+ " + _TP + _EDGE + _PAIRS.split(", r as")[0] + _AREA + ", rr as (select unnest([50.0, 100.0, 600.0])::double as radius), us as (select image_no, radius from e, rr group by 1, 2 having count(*) >= 5 and count(*) filter (boundary >= radius) >= 3)"
+    ", g as (select q.image_no, id, radius, count(*) as k from q join us on us.image_no = q.image_no and d2 <= radius*radius group by all), c as (select p.image_no, p.id, us.radius, coalesce(g.k, 0) as k from p join us using (image_no) left join g on g.image_no = p.image_no and g.id = p.id and g.radius = us.radius)"
+    ", k as (select *, greatest(0, k - coalesce(lag(k) over w, 0)) as ring, coalesce(lag(radius) over w, 0) as inner_r from c window w as (partition by image_no, id order by radius))"
+    ", s as (select k.image_no, k.radius, inner_r, count(*) as n, count(*) filter (boundary >= k.radius) as el, sum(k) filter (boundary >= k.radius) as t, sum(ring) filter (boundary >= k.radius) as tr from k join e using (image_no, id) group by 1, 2, 3)"
+    ", cu as (select ar.image_no, rr.radius, case when n >= 5 and el > 0 then sqrt(area*t/(n*el)/pi()) - rr.radius end as l_obs, case when n >= 5 and el > 0 then area*tr/(n*el*pi()*(s.radius*s.radius - inner_r*inner_r)) end as g_obs from ar cross join rr left join s on s.image_no = ar.image_no and s.radius = rr.radius)"
+)
+_X8_SUMMARY = (
+    ", o as (select t.image_no, t.x, t.y, arg_min(p.id, ((t.x-p.x)*(t.x-p.x) + (t.y-p.y)*(t.y-p.y)) * 1000000 + p.id) as id from tissue t join p using (image_no) group by 1, 2, 3), vc as (select image_no, id, count(*)*64.0::double as area from o group by 1, 2), vd as (select image_no, case when count(*) >= 3 then avg(area)/stddev_samp(area) end as vdri from vc group by 1)"
+    ", f as (select image_no, count(l_obs) as n_l, count(g_obs) as n_g from cu group by 1), m as (select ar.image_no, area as area_px, (select count(*) from p where p.image_no = ar.image_no) as n_points, (select count(*) from us where us.image_no = ar.image_no) as n_radii, n_l, n_g, vdri from ar join f using (image_no) left join vd using (image_no))"
+    " select image_no, area_px, n_points, n_radii, n_l, n_g, case when n_points < 5 then 'insufficient_points' when n_radii < 2 then 'no_valid_radii' when n_l > 0 and n_g > 0 then 'ok' when n_l > 0 then 'finite_l_only' when n_g > 0 then 'finite_g_only' else 'no_valid_radii' end as status, round(vdri, 6) as vdri from m"
+)
+
 
 def _points(spark, d):
     return rq._points(spark, d).select("image_no", "id", "x", "y")
@@ -74,11 +88,11 @@ def x7_domain_status(spark, d):
 
 
 def x8_spatial_summary(spark, d):
-    return spatial.spatial_summary(_points(spark, d), b.tissue(spark, d), "image_no", (50.0, 100.0, 600.0), 1024, 1024, 8, b.lattice(spark))[0]
+    return spatial.spatial_summary(_points(spark, d), b.tissue(spark, d), "image_no", X8_RADII, 1024, 1024, 8, b.lattice(spark))[0].withColumn("vdri", R("vdri"))
 
 
 def x8_spatial_curves(spark, d):
-    return spatial.spatial_summary(_points(spark, d), b.tissue(spark, d), "image_no", (50.0, 100.0, 600.0), 1024, 1024, 8, b.lattice(spark))[1]
+    return spatial.spatial_summary(_points(spark, d), b.tissue(spark, d), "image_no", X8_RADII, 1024, 1024, 8, b.lattice(spark))[1].select("image_no", "radius", R("l_obs"), R("g_obs"))
 
 
 def x10_region_points(spark, d):
@@ -217,8 +231,8 @@ QUERIES = {
     "x5_pair_correlation": (x5_pair_correlation, with_tables("objects tissue", "+ " + _TP + _EDGE + _PAIRS + _CNT + _AREA + ", k as (select *, greatest(0, k - coalesce(lag(k) over (partition by image_no, id order by radius), 0)) as ring, coalesce(lag(radius) over (partition by image_no, id order by radius), 0) as inner_r from c), s as (select k.image_no, k.radius, inner_r, count(*) as n, count(*) filter (boundary >= k.radius) as el, sum(ring) filter (boundary >= k.radius) as t from k join e using (image_no, id) group by 1, 2, 3) select s.image_no, radius, round(case when n >= 5 and el > 0 then area*t/(n*el*pi()*(radius*radius - inner_r*inner_r)) end, 6) as g_obs from s join ar using (image_no)")),
     "x6_csr_envelope": (x6_csr_envelope, None),
     "x7_domain_status": (x7_domain_status, "select p_partkey, case when p_partkey % 13 = 0 then 'empty_domain' when p_partkey % 11 < 5 then 'insufficient_points' when p_partkey % 5 < 2 then 'no_valid_radii' when p_partkey % 3 > 0 and p_partkey % 2 > 0 then 'ok' when p_partkey % 3 > 0 then 'finite_l_only' when p_partkey % 2 > 0 then 'finite_g_only' else 'no_valid_radii' end as status from part"),
-    "x8_spatial_summary": (x8_spatial_summary, None),
-    "x8_spatial_curves": (x8_spatial_curves, None),
+    "x8_spatial_summary": (x8_spatial_summary, with_tables("objects tissue", _X8 + _X8_SUMMARY)),
+    "x8_spatial_curves": (x8_spatial_curves, with_tables("objects tissue", _X8 + " select image_no, radius, round(l_obs, 6) as l_obs, round(g_obs, 6) as g_obs from cu")),
     "x10_region_points": (x10_region_points, with_tables("objects", "+ " + rq._REG + " select image_no, 'ring' as region_axis, ring as region_label, count(*) as n_points from labelled where kept group by all union all select image_no, 'quadrant', quadrant, count(*) from labelled where kept group by all union all select image_no, 'global', 'tissue', count(*) from labelled where kept group by all")),
     "a7_domain_areas": (a7_domain_areas, with_tables("tissue", "+ t as (select image_no, (case when 512.0 - y >= 0 then 'dorsal' else 'ventral' end) || '_' || (case when x - 512.0 >= 0 then 'temporal' else 'nasal' end) as q from tissue), l as (select image_no, 'quadrant' as region_axis, q as region_label from t union all select image_no, 'global', 'tissue' from t), s as (select image_no, region_axis, region_label, count(*) as n from l group by all) select image_no, region_axis, region_label, cast(n*64.0 as double) as area_px, round(n*64*0.25/1e6, 6) as area_mm2, cast(('0x' || substr(sha1(image_no || '|' || region_axis || '|' || region_label), 1, 12)) as bigint) % 1000000 + 1337 as seed from s")),
     "j15_voronoi_cells": (j15_voronoi_cells, with_tables("objects tissue", "+ " + _TP + ", o as (select t.image_no, t.x, t.y, arg_min(p.id, ((t.x-p.x)*(t.x-p.x) + (t.y-p.y)*(t.y-p.y)) * 1000000 + p.id) as id from tissue t join p using (image_no) group by 1, 2, 3) select image_no, id, cast(count(*)*64.0 as double) as area from o group by 1, 2")),
