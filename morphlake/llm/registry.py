@@ -12,10 +12,12 @@ from morphlake.llm.op7_pii_transducers import op7_pii_transducers
 from morphlake.llm.op8_additive_quality import op8_additive_quality
 from morphlake.llm.op9_context_tree_weighting import op9_context_tree_weighting
 from morphlake.llm.op10_license_sentences import op10_license_sentences
+from morphlake.llm.op11_reversed_search import op11_reversed_search
 
 _ALL = (
     op1_inverted_multi_index, op2_curriculum_mix, op3_sampled_splitters, op4_lsh_forest_join, op5_warc,
     op6_suffix_automaton, op7_pii_transducers, op8_additive_quality, op9_context_tree_weighting, op10_license_sentences,
+    op11_reversed_search,
 )
 
 
@@ -54,6 +56,19 @@ select d.doc_id, len(d.ws) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_i
 from d left join c using (doc_id) left join m using (doc_id)
 """
 
+_TERMS = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + ", '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+_OP11 = f"""
+with d as (select doc_id, {_TERMS} as ts from documents), b as (select row_number() over () as item, item_id, {_TERMS} as ts from benchmark),
+s as (select count(*) as n, sum(len(ts))::bigint as l from d where len(ts) > 0),
+q as (select item, item_id, t, count(*) as times from (select item, item_id, unnest(ts) as t from b) group by 1, 2, 3),
+c as (select row, doc_id, t, count(*) as tf, any_value(n) as n from (select row_number() over () as row, doc_id, len(ts) as n, unnest(ts) as t from d) group by 1, 2, 3),
+k as (select c.* from c semi join q using (t)), f as (select t, count(*) as df from k group by 1),
+w as (select t, floor(1000 * ln((2.0::double * s.n + 2) / (2 * df + 1)))::bigint as w from f, s),
+x as (select item, item_id, row, doc_id, sum(w * times * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * k.n * s.n) // s.l)))))::bigint as score from k join q using (t) join w using (t), s group by 1, 2, 3, 4),
+r as (select item_id, row_number() over (partition by item order by score desc, doc_id) as rank, doc_id, score from x where score > 0)
+select item_id, rank::int as rank, doc_id, score from r where rank <= 20
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_lsh_forest_join": _OP4, "op5_warc": _OP5, "op6_suffix_automaton": _OP6}
+    return {"op4_lsh_forest_join": _OP4, "op5_warc": _OP5, "op6_suffix_automaton": _OP6, "op11_reversed_search": _OP11}
