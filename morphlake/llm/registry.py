@@ -13,11 +13,13 @@ from morphlake.llm.op8_additive_quality import op8_additive_quality
 from morphlake.llm.op9_context_tree_weighting import op9_context_tree_weighting
 from morphlake.llm.op10_license_sentences import op10_license_sentences
 from morphlake.llm.op11_reversed_search import op11_reversed_search
+from morphlake.llm.op12_tree_bpe import op12_tree_bpe
+from morphlake.llm.op13_merkle_manifest import op13_merkle_manifest
 
 _ALL = (
     op1_inverted_multi_index, op2_curriculum_mix, op3_sampled_splitters, op4_lsh_forest_join, op5_warc,
     op6_suffix_automaton, op7_pii_transducers, op8_additive_quality, op9_context_tree_weighting, op10_license_sentences,
-    op11_reversed_search,
+    op11_reversed_search, op12_tree_bpe, op13_merkle_manifest,
 )
 
 
@@ -70,5 +72,40 @@ select item_id, rank::int as rank, doc_id, score from r where rank <= 20
 """
 
 
+def _merkle(tree: str, height: int) -> str:
+    """Levels above {tree}0 (k, pos, node) as SQL, and what is left and right of each node in its run; a level of one node is its own."""
+    out = []
+    for h in range(height):
+        run = "partition by k, pos // 3 order by pos"
+        sides = ", ".join(f"case when n > 1 then coalesce(string_agg(node, '') over ({run} rows between {rows}), '') end as {side}" for side, rows in (("lft", "unbounded preceding and 1 preceding"), ("rgt", "1 following and unbounded following")))
+        out.append(f"{tree}{h}s as (select *, {sides} from (select *, count(*) over (partition by k) as n from {tree}{h}))")
+        out.append(f"{tree}{h + 1} as (select k, pos // 3 as pos, case when any_value(n) = 1 then any_value(node) else sha256(string_agg(node, '' order by pos)) end as node from {tree}{h}s group by 1, 2)")
+    return ",\n".join(out)
+
+
+_HEIGHT, _UPPER = 11, 6
+_FIELD = "coalesce(strlen({0}::varchar)::varchar || ':' || {0}::varchar, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars")) + " || {})"
+_BIT = "case when {0} & 1 = 1 then xor({0} >> 1, 3988292384) else {0} >> 1 end"
+_STEPS = [*[(f"a{h}", 3**h, "t.k", "t.pos") for h in range(_HEIGHT)], *[(f"b{h}", 3**h, "''", "t.up") for h in range(_UPPER)]]
+_TAKEN = ", ".join(f"t{i + 1} as (select t.* exclude (fold, proof), coalesce(sha256(lft || fold || rgt), fold) as fold, proof || coalesce(lft || rgt, '') as proof from t{i} t join {name}s s on s.k = {key} and s.pos = {pos} // {size})" for i, (name, size, key, pos) in enumerate(_STEPS))
+#: Trees of up to 3 ** 11 leaves a source, and up to 3 ** 6 sources. crc32 of an id is taken byte by byte from its table.
+_OP13 = f"""
+with recursive c0 as (select i, 0 as step, i::bigint as v from range(256) r(i) union all select i, step + 1, {_BIT.format("v")} from c0 where step < 8),
+crc as (select list(v order by i) as tab from c0 where step = 8),
+d as (select *, coalesce('=' || source, '-') as k, list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])) % 2 = 1 as hit from documents, crc),
+e as (select *, {_LEAF.format(_FIELD.format("text"))} as leaf, {_LEAF.format(_FIELD.format("other"))} as altered from (select *, case when hit then replace(text, chr(10), '') else text end as other from d)),
+l as (select *, row_number() over (partition by k order by doc_id nulls first, leaf) - 1 as pos from e),
+a0 as (select k, pos, leaf as node from l),
+{_merkle("a", _HEIGHT)},
+u as (select k, node as subroot, row_number() over (order by k) - 1 as pos from a{_HEIGHT}),
+b0 as (select '' as k, pos, subroot as node from u),
+{_merkle("b", _UPPER)},
+t0 as (select l.k, l.pos, u.pos as up, doc_id, leaf, subroot, altered as fold, '' as proof from l join u using (k)),
+{_TAKEN}
+select doc_id, leaf, subroot, b{_UPPER}.node as root, sha256(proof) as proof_sha256, fold as folded_root, fold = b{_UPPER}.node as verified from t{_HEIGHT + _UPPER}, b{_UPPER}
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_lsh_forest_join": _OP4, "op5_warc": _OP5, "op6_suffix_automaton": _OP6, "op11_reversed_search": _OP11}
+    return {"op4_lsh_forest_join": _OP4, "op5_warc": _OP5, "op6_suffix_automaton": _OP6, "op11_reversed_search": _OP11, "op13_merkle_manifest": _OP13}
