@@ -83,9 +83,6 @@ class Encoder:
         self._size = 0
 
     def _learn(self, runs: list[bytes]) -> None:
-        if self._size > _REMEMBERED:
-            self._known.clear()
-            self._size = 0
         found = [e.ids for e in self.full.encode_batch_fast([r.decode("utf-8") for r in runs], add_special_tokens=False)]
         texts = self.full.decode_batch(found, skip_special_tokens=False)
         self._known.update((r, (np.array(i, dtype="<u4").tobytes(), t.encode("utf-8"))) for r, i, t in zip(runs, found, texts, strict=True))
@@ -94,6 +91,9 @@ class Encoder:
     def runs(self, text: str) -> list[tuple[bytes, bytes]]:
         """(ids, decoded) of each run between ASCII white space, at which every word ends. Ids are little-endian."""
         parts = text.encode("utf-8").split()
+        if self._size > _REMEMBERED:
+            self._known.clear()
+            self._size = 0
         new = [r for r in set(parts) if r not in self._known]
         if new:
             self._learn(new)
