@@ -1,8 +1,8 @@
 """Licence scan by sentence rules.
 
 A text is split at end signs; the catalogue's sentences are split by the same rule, and pieces in a row that make up one
-that the catalogue knows become its identifier. A licence is
-recognised where its rule's identifiers occur in order, with at most ``GAP`` unknown sentences between neighbours. Where
+that the catalogue knows become its identifier. A sentence of the catalogue may hold a slot for a name, which any few words
+fill, and a notice ("licensed under ...") or an SPDX tag may name several licences. A licence is recognised where its rule's identifiers occur in order, with at most ``GAP`` unknown sentences between neighbours. Where
 rules overlap the one of most sentences wins, then the one that comes first in the rules.
 """
 
@@ -35,7 +35,9 @@ SENTENCES = {
     "bsd-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
-    "bsd-name": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-name": "Neither the name of {} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-names": "Neither the names of {} nor the names of their contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-author": "The name of {} may not be used to endorse or promote products derived from this software without specific prior written permission.",
     "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "gpl-3.0-work": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-redistribute": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
@@ -59,7 +61,7 @@ SENTENCES = {
     "gpl-details": "See the GNU General Public License for more details.",
     "lgpl-details": "See the GNU Lesser General Public License for more details.",
     "agpl-details": "See the GNU Affero General Public License for more details.",
-    "bsd-disclaimer": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
+    "bsd-disclaimer": 'THIS SOFTWARE IS PROVIDED BY {} "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
     "isc-disclaimer": 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
     "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
     "bsl-1.0-notice": "Distributed under the Boost Software License, Version 1.0.",
@@ -69,6 +71,13 @@ SENTENCES = {
     "cc-by-nc-sa-4.0-work": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
     "cc-by-nc-nd-4.0-work": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
     "all-rights-reserved": "All rights reserved.",
+    "apache-2.0-grant": "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.",
+    "gpl-2.0-preamble": "By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users.",
+    "gpl-3.0-preamble": "The GNU General Public License is a free, copyleft license for software and other kinds of works.",
+    "lgpl-2.1-preamble": "By contrast, the GNU General Public Licenses are intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users.",
+    "lgpl-3.0-text": "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below.",
+    "agpl-3.0-preamble": "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software.",
+    "mpl-2.0-grant": "Each Contributor hereby grants You a world-wide, royalty-free, non-exclusive license:",
 }
 # Licence names of the tag "SPDX-License-Identifier: NAME", with their kind.
 TAGS = {
@@ -78,6 +87,21 @@ TAGS = {
     "LGPL-3.0-only": "copyleft", "LGPL-3.0-or-later": "copyleft", "AGPL-3.0-only": "copyleft", "AGPL-3.0-or-later": "copyleft",
 }
 SENTENCES |= {f"tag-{name}": f"SPDX-License-Identifier: {name}" for name in TAGS}
+# Names of licences in notices, as they are written there, and older SPDX names.
+NAMES = {
+    "MIT License": "MIT", "MIT": "MIT", "Expat License": "MIT", "ISC License": "ISC", "zlib License": "Zlib", "Unlicense": "Unlicense",
+    "Apache License, Version 2.0": "Apache-2.0", "Apache License 2.0": "Apache-2.0", "Apache License Version 2": "Apache-2.0", "Apache 2.0 License": "Apache-2.0", "Apache 2.0": "Apache-2.0", "Apache-2.0 License": "Apache-2.0",
+    "BSD 2-Clause License": "BSD-2-Clause", "2-Clause BSD License": "BSD-2-Clause", "Simplified BSD License": "BSD-2-Clause",
+    "BSD 3-Clause License": "BSD-3-Clause", "3-Clause BSD License": "BSD-3-Clause", "New BSD License": "BSD-3-Clause", "Modified BSD License": "BSD-3-Clause", "BSD-3-Clause License": "BSD-3-Clause",
+    "Boost Software License, Version 1.0": "BSL-1.0", "Boost Software License 1.0": "BSL-1.0",
+    "Mozilla Public License, v. 2.0": "MPL-2.0", "Mozilla Public License Version 2.0": "MPL-2.0", "Mozilla Public License 2.0": "MPL-2.0", "MPL 2.0": "MPL-2.0",
+    "Eclipse Public License 2.0": "EPL-2.0", "Eclipse Public License v2.0": "EPL-2.0", "Eclipse Public License, Version 2.0": "EPL-2.0",
+    "GNU General Public License, version 2": "GPL-2.0-only", "GNU General Public License v2.0": "GPL-2.0-only", "GPL-2.0": "GPL-2.0-only", "GPLv2": "GPL-2.0-only", "GPLv2+": "GPL-2.0-or-later", "GPL-2.0+": "GPL-2.0-or-later",
+    "GNU General Public License version 2 or later": "GPL-2.0-or-later", "GNU General Public License, version 3": "GPL-3.0-only", "GNU General Public License v3.0": "GPL-3.0-only", "GPL-3.0": "GPL-3.0-only", "GPLv3": "GPL-3.0-only",
+    "GPLv3+": "GPL-3.0-or-later", "GPL-3.0+": "GPL-3.0-or-later", "GNU General Public License version 3 or later": "GPL-3.0-or-later",
+    "GNU Lesser General Public License, version 2.1": "LGPL-2.1-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-2.1+": "LGPL-2.1-or-later", "LGPLv2.1": "LGPL-2.1-only", "GNU Lesser General Public License, version 3": "LGPL-3.0-only", "LGPL-3.0": "LGPL-3.0-only", "LGPL-3.0+": "LGPL-3.0-or-later", "LGPLv3": "LGPL-3.0-only",
+    "GNU Affero General Public License, version 3": "AGPL-3.0-only", "AGPL-3.0": "AGPL-3.0-only", "AGPLv3": "AGPL-3.0-only",
+}
 # Licence, its kind, and the sentences that make it up, in order.
 RULES = (
     ("Apache-2.0", "permissive", ("apache-2.0-header", "apache-2.0-use", "apache-2.0-copy", "apache-2.0-basis")),
@@ -134,7 +158,17 @@ RULES = (
     ("BSD-2-Clause", "permissive", ("all-rights-reserved", "bsd-grant", "bsd-source", "bsd-binary")),
     ("BSD-2-Clause", "permissive", ("all-rights-reserved", "bsd-grant", "bsd-source", "bsd-binary", "bsd-disclaimer")),
     ("All-Rights-Reserved", "restricted", ("all-rights-reserved",)),
+    ("Apache-2.0", "permissive", ("apache-2.0-grant",)),
+    ("GPL-2.0-only", "copyleft", ("gpl-2.0-preamble",)),
+    ("GPL-3.0-only", "copyleft", ("gpl-3.0-preamble",)),
+    ("LGPL-2.1-only", "copyleft", ("lgpl-2.1-preamble",)),
+    ("LGPL-3.0-only", "copyleft", ("lgpl-3.0-text",)),
+    ("AGPL-3.0-only", "copyleft", ("agpl-3.0-preamble",)),
+    ("MPL-2.0", "copyleft", ("mpl-2.0-grant",)),
 )
+# A holder may be named in other words than the rules' own sentence has.
+RULES += tuple((licence, kind, tuple(other if i == "bsd-name" else i for i in rule)) for other in ("bsd-names", "bsd-author") for licence, kind, rule in RULES if "bsd-name" in rule)
+RULES += tuple((name, kind, (f"notice-{name}",)) for name, kind in TAGS.items())
 
 _SIGNS = re.compile(r"[^0-9a-z\u0080-\U0010ffff]+")
 _PARAGRAPH = re.compile(r"\n[ \t\r]*\n")
@@ -145,10 +179,13 @@ _MARK = re.compile(r"(?m)^[ \t]*(?:[#*/>%-]+|\([a-z0-9]\))[ \t]+|^(?<![^.;:!?\n]
 
 
 def normalised(sentence: str) -> str:
-    """Lower case, every run of signs and spaces one space."""
-    return _SIGNS.sub(" ", sentence.lower()).strip()
+    """Lower case, every run of signs and spaces one space; a plus after a version is "or later"."""
+    return _SIGNS.sub(" ", _PLUS.sub(" or later", sentence.lower())).strip()
 
 
+_PLUS = re.compile(r"(?<=\d)\+")
+#: A slot takes one to so many words; a name may hold end signs.
+_SLOT_WORDS = 16
 _KNOWN = {normalised(s): i for i, s in SENTENCES.items()}
 #: One word of each sentence that is rare outside licences: a paragraph without any holds no sentence of the catalogue.
 _HINTS = ("licens", "permission", "disclaim", "warrant", "redistribut", "copyright", "public domain", "all rights reserved", "free software")
@@ -161,7 +198,7 @@ def _catalogue() -> dict[str, list[tuple[tuple[str, ...], str]]]:
     """By first piece: (pieces, identifier) of each sentence, longest first; an address may also stand after a blank line."""
     out: dict[str, list[tuple[tuple[str, ...], str]]] = {}
     for identifier, sentence in SENTENCES.items():
-        for form in {sentence, re.sub(r" (?=https?://)", "\n\n", sentence)}:
+        for form in () if "{}" in sentence else {sentence, re.sub(r" (?=https?://)", "\n\n", sentence)}:
             stops = sorted({0, len(form), *(m.end() for m in _END.finditer(form)), *(m.start() for m in _PARAGRAPH.finditer(form))})
             pieces = tuple(p for a, b in zip(stops, stops[1:], strict=False) if (p := normalised(form[a:b])))
             out.setdefault(pieces[0], []).append((pieces, identifier))
@@ -178,6 +215,75 @@ def _hinted(text: str) -> bool:
 
 
 _LONGEST = max(map(len, _PIECES))
+#: What stands before a slot, what after it, and the identifier.
+_SLOTTED = [(normalised(s.split("{}")[0]) + " ", " " + normalised(s.split("{}")[1]), i) for i, s in SENTENCES.items() if "{}" in s]
+
+
+def _slotted(keys: list[str], at: int) -> tuple[str, int] | None:
+    """The catalogue's sentence with a slot that the pieces from ``at`` on make up, and the number of pieces."""
+    for before, after, identifier in _SLOTTED:
+        whole, longest = "", len(before) + len(after) + 20 * _SLOT_WORDS
+        for n, key in enumerate(keys[at : at + longest // 2], 1):
+            whole = f"{whole} {key}".strip()
+            begun = whole.startswith(before)
+            if len(whole) > longest or not begun and not before.startswith(f"{whole} "):
+                break
+            if begun and whole.endswith(after) and 1 <= len(whole[len(before) : len(whole) - len(after)].split()) <= _SLOT_WORDS:
+                return identifier, n
+    return None
+
+
+_LICENCES = {normalised(n): n for n in TAGS} | {normalised(n): licence for n, licence in NAMES.items()}
+_NAME = re.compile("|".join(re.escape(n) + r"(?= |$)" for n in sorted(_LICENCES, key=len, reverse=True)))
+_JOINT = re.compile(r"(?:and or|or|and)(?= |$)")
+_FILLER = re.compile(r"(?:the|a|an|either of|either|one of|any of|both|terms of|conditions of)(?: |$)")
+#: A notice: a few words of what is licensed, "licensed under", then names.
+_NOTICE = re.compile(r"^(?:\S+ ){0,12}?(?:licensed|released|distributed|available|provided|published|covered) (?:under|by) ")
+
+
+def _names(text: str) -> tuple[list[str], str]:
+    """Licences named one after another with "or" or "and" between, from the text's start; and what is left."""
+    out: list[str] = []
+    while True:
+        rest = _JOINT.sub("", text, count=1).strip() if out and _JOINT.match(text) else text if not out else None
+        while rest and (filler := _FILLER.match(rest)):
+            rest = rest[filler.end() :]
+        m = _NAME.match(rest) if rest else None
+        if not m:
+            return out, text
+        out.append(_LICENCES[m.group()])
+        text = rest[m.end() :].strip()
+
+
+def _named(keys: list[str], at: int) -> tuple[list[str], int] | None:
+    """Identifiers of the licences that a notice or an SPDX tag names from piece ``at`` on, and the number of pieces."""
+    if keys[at] == _TAG:
+        found, n = [], 1
+        while at + n < len(keys):
+            key = keys[at + n]
+            names, left = _names_after(key) if found else _names(key)
+            if not names:
+                break
+            found, n = found + names, n + 1
+            if left:
+                break
+        return ([f"tag-{x}" for x in dict.fromkeys(found)], n) if found else None
+    m = _NOTICE.match(keys[at])
+    best: tuple[list[str], int] = ([], 0)
+    for n in range(1, 4) if m else ():  # a notice may run over lines, or a name over an end sign
+        names = _names(" ".join(keys[at : at + n])[m.end() :])[0]
+        if len(names) > len(best[0]):
+            best = names, n
+    return ([f"notice-{x}" for x in dict.fromkeys(best[0])], best[1]) if best[0] else None
+
+
+def _names_after(key: str) -> tuple[list[str], str]:
+    """Licences of a piece that goes on with "or" or "and"."""
+    m = _JOINT.match(key)
+    return _names(key[m.end() :].strip()) if m else ([], key)
+
+
+_TAG = "spdx license identifier"
 
 
 def sentences(paragraph: str) -> Iterator[str]:
@@ -215,12 +321,20 @@ def identify(text: str) -> list[tuple[int, str]]:
         return found
     keys: list[str] = []
     for paragraph in _PARAGRAPH.split(text):
-        keys += [key for key in sentences(paragraph) if key] if _hinted(paragraph) else [""]
+        keys += [key for key in sentences(paragraph) if key] if _hinted(paragraph) or "http" in paragraph else [""]
     while at < len(keys):
-        known = next((x for x in _STARTS.get(keys[at], ()) if tuple(keys[at : at + len(x[0])]) == x[0]), None)
-        if known:
+        n, known = 1, next((x for x in _STARTS.get(keys[at], ()) if tuple(keys[at : at + len(x[0])]) == x[0]), None)
+        tag = keys[at] == _TAG
+        if known and not tag:
             found.append((number, known[1]))
-        at += len(known[0]) if known else 1
+            n = len(known[0])
+        elif slot := None if tag else _slotted(keys, at):
+            found.append((number, slot[0]))
+            n = slot[1]
+        elif names := _named(keys, at):
+            found += [(number, i) for i in names[0]]
+            n = names[1]
+        at += n
         number += 1
     return found
 
@@ -253,8 +367,9 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """(doc_id, licenses, kinds, n_matches, n_sentences) for every row of ``docs``.
 
     licenses: distinct licence names in alphabetical order; kinds: the distinct kinds of them; n_matches counts every
-    recognised passage, n_sentences every known sentence. Null and empty texts have none. Null and shared ids are kept as
-    they are, each row is scanned by itself. Other columns, whatever their names, are ignored.
+    recognised passage, n_sentences every known sentence. Null and empty texts have none, an empty table gives no rows.
+    Null and shared ids are kept as they are, each row is scanned by itself, a text of any length whole and in time that
+    grows with it. Other columns, whatever their names, are ignored.
     """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,8 +1,8 @@
 """WARC archives with an index: offset, length, URL and digest of every record.
 
 Archives are .warc.gz files of one gzip member a record, so that a record can be read alone. A task writes the records of
-its archives in order to a new file, which is moved to its name when whole, and returns the index rows; the index table
-is written from these. A task that runs again writes the same bytes. A reader needs only the index: it sorts the
+its archives in order to new files and returns the index rows, which name the file; the index table is written from these.
+A task that runs again writes new files, and the index names those of the run that counted. A reader needs only the index: it sorts the
 selected rows by file and offset, coalesces ranges that lie close together, and reads each coalesced range once.
 """
 
@@ -21,7 +21,10 @@ from morphlake.llm.shared import shared_folder, table
 
 SHORTEST_REVISIT = 100
 DATE = "2024-01-01T00:00:00Z"
-INDEX = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, archive int, offset long, length long"
+INDEX = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, archive int, file string, offset long, length long"
+#: Ids pass workers as text: beside nulls, pandas would make floats of them.
+_IDS = ("page_id", "refers_to")
+_PASSED = INDEX.replace("page_id long", "page_id string").replace("refers_to long", "refers_to string")
 #: Copies beyond which a payload is found by a count before; at most 100,000 payloads are, which bounds what is broadcast.
 HOT_COPIES, HOT_PAYLOADS = 1000, 100_000
 
@@ -60,7 +63,11 @@ def _record_id(page: object, digest: str) -> str:
     return f"<urn:uuid:{uuid.UUID(hashlib.md5(f'{page}|{digest}'.encode()).hexdigest())}>"
 
 
-def _member(page: int | None, url: str, kind: str, refers_to: int | None, size: int, digest: str, payload: str | None, date: str) -> bytes:
+def _as(frame: DataFrame, kind: str) -> DataFrame:
+    return frame.withColumns({c: F.col(c).cast(kind) for c in _IDS})
+
+
+def _member(page: str | None, url: str, kind: str, refers_to: str | None, size: int, digest: str, payload: str | None, date: str) -> bytes:
     """A record as one gzip member."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http + (payload.encode("utf-8", "surrogatepass") if kind == "response" else b"")
@@ -73,16 +80,13 @@ def _member(page: int | None, url: str, kind: str, refers_to: int | None, size:
     return gzip.compress(head.encode("utf-8", "surrogatepass") + block + b"\r\n\r\n", compresslevel=6, mtime=0)
 
 
-def _archive_name(number: int) -> str:
-    return f"archive-{number:06d}.warc.gz"
-
-
 def write_archives(pages: DataFrame, folder: str, shortest: int = SHORTEST_REVISIT, archive_bytes: int = 64 << 20, date: str = DATE) -> DataFrame:
     """Write a record for every row of ``pages`` under ``folder``/archives and return the index, kept in ``folder``/index.
 
     Payload: html in UTF-8, null is empty. Rows of equal payloads of at least ``shortest`` bytes refer to the one of
     smallest page_id (null ids come last; of equal rows either is the response). A null URL is written as an empty one,
-    line breaks in URLs are left out of the header. Extra columns are not archived; an empty table gives no archive.
+    line breaks in URLs are left out of the header. Extra columns are not archived; an empty table gives no archive. A
+    payload of any length is one record; a task holds one record's bytes at a time, and a batch of rows.
     """
     spark = pages.sparkSession
     schema = [c.split()[0] for c in INDEX.split(", ")]
@@ -92,31 +96,28 @@ def write_archives(pages: DataFrame, folder: str, shortest: int = SHORTEST_REVIS
 
         system, base = fs.FileSystem.from_uri(f"{folder}/archives")
         out, now, name, at = None, None, "", 0
-
-        def close() -> None:
-            if out is not None:
-                out.close()
-                system.move(name, f"{base}/{_archive_name(now)}")
-
         for pdf in batches:
-            offsets, lengths = [], []
+            offsets, lengths, names = [], [], []
             for r in pdf.itertuples(index=False):
                 if r.archive != now:
-                    close()
+                    if out is not None:
+                        out.close()
                     system.create_dir(base, recursive=True)
-                    now, name, at = r.archive, f"{base}/{uuid.uuid4().hex}.part", 0
-                    out = system.open_output_stream(name)
-                page, refers = (None if pd.isna(v) else int(v) for v in (r.page_id, r.refers_to))
+                    now, name, at = r.archive, f"archive-{r.archive:06d}-{uuid.uuid4().hex}.warc.gz", 0
+                    out = system.open_output_stream(f"{base}/{name}")
+                page, refers = (None if pd.isna(v) else v for v in (r.page_id, r.refers_to))
                 member = _member(page, r.url, r.record_type, refers, r.payload_bytes, r.payload_digest, r.payload, date)
                 out.write(member)
+                names.append(name)
                 offsets.append(at)
                 lengths.append(len(member))
                 at += len(member)
-            yield pdf.assign(offset=offsets, length=lengths)[schema]
-        close()
+            yield pdf.assign(file=names, offset=offsets, length=lengths)[schema]
+        if out is not None:
+            out.close()
 
-    records = _records(pages, shortest, archive_bytes).sortWithinPartitions("archive", "page_id", "row")
-    records.mapInPandas(write, INDEX).write.parquet(f"{folder}/index")
+    records = _as(_records(pages, shortest, archive_bytes).sortWithinPartitions("archive", "page_id", "row"), "string")
+    _as(records.mapInPandas(write, _PASSED), "long").write.parquet(f"{folder}/index")
     return spark.read.schema(INDEX).parquet(f"{folder}/index")
 
 
@@ -137,16 +138,17 @@ def read_records(selected: DataFrame, folder: str, gap: int = 64 << 10, most: in
     record is read alone). Files are opened by their URI in the shared file system.
     """
     archives = max(1, selected.agg(F.count_distinct("archive")).first()[0])
-    asked = selected.repartition(archives, "archive").sortWithinPartitions("archive", "offset")
+    columns = [c.split()[0] for c in INDEX.split(", ")]
+    asked = _as(selected.select(*columns).repartition(archives, "archive").sortWithinPartitions("file", "offset"), "string")
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
         system, base = fs.FileSystem.from_uri(f"{folder}/archives")
         for pdf in batches:
-            for number, rows in pdf.groupby("archive", sort=False):
+            for name, rows in pdf.groupby("file", sort=False):
                 out = []
-                with system.open_input_file(f"{base}/{_archive_name(number)}") as source:
+                with system.open_input_file(f"{base}/{name}") as source:
                     starts, sizes = rows["offset"].tolist(), rows["length"].tolist()
                     i = 0
                     while i < len(starts):
@@ -159,12 +161,12 @@ def read_records(selected: DataFrame, folder: str, gap: int = 64 << 10, most: in
                             fields, payload = _parse(gzip.decompress(chunk[starts[k] - starts[i] : starts[k] - starts[i] + sizes[k]]))
                             whole = fields["WARC-Type"] == "response"
                             digest = hashlib.sha256(payload).hexdigest() if whole else fields["WARC-Payload-Digest"].removeprefix("sha256:")
-                            out.append((fields["WARC-Type"], len(payload) if whole else int(fields["content-length"]), digest))
+                            out.append((fields["WARC-Type"], len(payload) if whole else int(fields["content-length"]), digest, fields["WARC-Record-ID"], fields.get("WARC-Refers-To")))
                         i = j
-                found = pd.DataFrame(out, columns=["read_type", "read_bytes", "read_digest"], index=rows.index)
+                found = pd.DataFrame(out, columns=["read_type", "read_bytes", "read_digest", "record_id", "refers_to_id"], index=rows.index)
                 yield pd.concat([rows, found], axis=1)
 
-    return asked.mapInPandas(fetch, INDEX + ", read_type string, read_bytes long, read_digest string")
+    return _as(asked.mapInPandas(fetch, _PASSED + ", read_type string, read_bytes long, read_digest string, record_id string, refers_to_id string"), "long")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

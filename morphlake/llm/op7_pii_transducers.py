@@ -98,7 +98,7 @@ def _ips(dotted: str, start: int) -> Iterator[tuple[str, int, int]]:
     numbers, at = dotted.split("."), start
     for i in range(0, len(numbers) - 3, 4):
         four = numbers[i : i + 4]
-        if all(len(n.lstrip("0")) <= 3 and int(n) <= 255 for n in four):
+        if all(len(bare := n.lstrip("0")) <= 3 and int(bare or 0) <= 255 for n in four):
             yield "ip", at, at + sum(map(len, four)) + 3
         at += sum(map(len, four)) + 4
 

@@ -46,3 +46,11 @@ def test_positions_of_random_texts():
 def test_long_runs_end():
     for t in ("one " * 4_000, "one dot " * 20_000, "1." * 40_000 + "one", "plus one " * 20_000, "+one " * 20_000, "one - " * 4_000):
         op7.spans(t)
+
+
+def test_numbers_of_any_length(spark):
+    assert op7.plain("0" * 5000 + ".1.1.1") == [("ip", 0, 5006)]
+    assert op7.plain("1" * 5000 + ".1.1.1") == []
+    docs = spark.createDataFrame([((1 << 60) + 1, "0" * 5000 + ".1.1.1 " + "9" * 200_000 + " a@b.co"), (None, None)], "doc_id long, text string")
+    found = {r.doc_id: (r.n_ip, r.n_email) for r in op7.find_personal_data(docs).collect()}
+    assert found == {(1 << 60) + 1: (1, 1), None: (0, 0)}

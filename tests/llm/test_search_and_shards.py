@@ -238,6 +238,16 @@ def test_archives_with_a_hot_payload(spark, tmp_path, monkeypatch):
     assert op5.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), f"file://{tmp_path}/none").count() == 0
 
 
+def test_large_ids_beside_nulls_and_long_pages(spark, tmp_path):
+    first, html = 1152921504606846977, "<p>" + "y" * 300 + "</p>"
+    rows = [(first, "u", html), (first + 1, "v", html), (None, "w", html), (None, "x", "z" * 3_000_000), (first + 2, "z", None)]
+    folder = f"file://{tmp_path}/warc"
+    read = op5.read_records(op5.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), folder), folder).collect()
+    assert sorted(((r.page_id, r.record_type, r.refers_to) for r in read), key=str) == sorted([(first, "response", None), (first + 1, "revisit", first), (None, "revisit", first), (None, "response", None), (first + 2, "response", None)], key=str)
+    ids = {r.page_id: r.record_id for r in read if r.page_id is not None}
+    assert {r.refers_to_id for r in read if r.record_type == "revisit"} == {ids[first]} and len(set(ids.values())) == 3
+
+
 def test_a_wrong_index_row_is_noticed():
     member = b"WARC/1.1\r\nContent-Length: 5\r\n\r\nabc\r\n\r\n"
     with pytest.raises(ValueError, match="whole record"):
