@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from morphlake.operators.blocks import counts_in_blocks, nearest_in_blocks
+
 A, B = ("ax", "ay"), ("bx", "by")
 
 
@@ -32,41 +34,29 @@ def self_pairs(points: DataFrame, group: str, radius: float) -> DataFrame:
 
 
 def radius_neighbor_counts(points: DataFrame, group: str, radii: Sequence[float]) -> DataFrame:
-    """(group, id, radius, neighbors): other points within each radius (inclusive), 0 where there are none. One join for all radii."""
-    pairs = self_pairs(points, group, max(radii))
-    counts = pairs.groupBy(group, F.col("a").alias("id")).agg(*[F.count_if(F.col("d2") <= r * r).alias(f"n{i}") for i, r in enumerate(radii)])
-    filled = points.select(group, "id").join(counts, [group, "id"], "left").fillna(0)
-    rows = F.array(*[F.struct(F.lit(float(r)).alias("radius"), F.col(f"n{i}").alias("neighbors")) for i, r in enumerate(radii)])
-    return filled.select(group, "id", F.inline(rows))
+    """(group, id, radius, neighbors): other points within each radius (inclusive), 0 where there are none.
+
+    Ids are unique within a group. Blocks of an image count against what lies around them (``blocks.counts_in_blocks``); no
+    row is made for a pair.
+    """
+    counts = counts_in_blocks(points, group, radii)
+    rows = F.array(*[F.struct(F.lit(float(r)).alias("radius"), (F.col("n")[i] - 1).alias("neighbors")) for i, r in enumerate(radii)])
+    return counts.select(group, "id", F.inline(rows))
 
 
-def nearest(left: DataFrame, right: DataFrame, group: str, radius: float, different: bool = False, keys: Sequence[str] = (), fewer_right: bool = False) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, group: str, side: float = 256.0, different: bool = False, keys: Sequence[str] = ()) -> DataFrame:
     """(group, a, [keys of right], d, b): the nearest right point of each left point (and key); ties to the smaller id.
 
-    Rings widen twofold, then fourfold: a point without any partner within one ring looks into the next, and only what the
-    widest leaves over is compared with its whole group. Points of groups without a partner are left out. With
-    ``fewer_right`` the right points look into the cells around them, for the same pairs.
+    Work is in blocks of ``side`` pixels, each with the right points that bounds leave (``blocks.nearest_in_blocks``), so a
+    far point costs no comparison with a whole image. Points of groups without a partner are left out. Ids are long.
     """
-    best = lambda p: p.groupBy(group, "a", *keys).agg(F.min(F.struct("d2", "b")).alias("m"))
-    wanted = left.select(group, "id", "x", "y")
-    if keys:
-        wanted = wanted.join(right.select(group, *keys).distinct(), group)
-    partners = right.select(group, F.col("id").alias("b"), *keys)
-    found = None
-    for reach in (radius, 2 * radius, 8 * radius):
-        points = wanted.select(group, "id", "x", "y").distinct() if keys and found is not None else left if found is None else wanted
-        pairs = near_pairs(right, points, group, reach).select(group, F.col("b").alias("a"), F.col("a").alias("b"), "d2") if fewer_right else near_pairs(points, right, group, reach)
-        pairs = pairs.join(partners, [group, "b"]) if keys else pairs
-        if keys and found is not None:
-            pairs = pairs.join(wanted.select(group, F.col("id").alias("a"), *keys), [group, "a", *keys], "left_semi")
-        ring = best(pairs.where("a <> b") if different else pairs)
-        found = ring if found is None else found.unionByName(ring)
-        wanted = wanted.join(ring.select(group, F.col("a").alias("id"), *keys), [group, "id", *keys], "left_anti")
-    others = right.select(group, F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), *keys)
-    far = wanted.select(group, F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), *keys).join(others, [group, *keys])
-    far = far.where("a <> b") if different else far
-    far = best(far.withColumn("d2", (F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2))
-    return found.unionByName(far).select(group, "a", *keys, F.sqrt("m.d2").alias("d"), F.col("m.b").alias("b"))
+    if not keys:
+        found = nearest_in_blocks(left, right, group, side, different)
+        return found.select(group, "a", F.sqrt("d2").alias("d"), "b")
+    of = F.struct(group, *keys).alias("__group")
+    each = left.select(group, "id", "x", "y").join(right.select(group, *keys).distinct(), group)
+    found = nearest_in_blocks(each.select(of, "id", "x", "y"), right.select(of, "id", "x", "y"), "__group", side, different)
+    return found.select("__group.*", "a", F.sqrt("d2").alias("d"), "b")
 
 
 def points_in_rois(points: DataFrame, rois: DataFrame, group: str, cell: int = 64) -> DataFrame:

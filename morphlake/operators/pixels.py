@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from morphlake.functions.columns import clip
 from morphlake.operators.neighbors import nearest
+from morphlake.operators.numbering import packed
 
 EPS = 1e-12
 
@@ -102,11 +103,11 @@ def marker_metrics(labels: DataFrame, key: str, channels: Sequence[str], masks:
     return s.withColumns({f"mean_z_{c}": z(f"mean_{c}") for c in channels})
 
 
-def distance_to_mask(centroids: DataFrame, mask: DataFrame, key: str, reach: float = 4.0) -> DataFrame:
-    """From each centroid to the nearest mask pixel; images without mask pixels have no rows."""
+def distance_to_mask(centroids: DataFrame, mask: DataFrame, key: str, side: float = 64.0) -> DataFrame:
+    """From each centroid to the nearest mask pixel, by blocks that see what bounds leave; images without mask pixels have no rows."""
     points = centroids.select(key, F.col("label").alias("id"), F.col("cx").alias("x"), F.col("cy").alias("y"))
-    pixels = mask.select(key, (F.col("y") * 1_000_000 + F.col("x")).alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    return nearest(points, pixels, key, reach).select(key, F.col("a").alias("label"), F.col("d").alias("distance"))
+    pixels = mask.select(key, packed(("y", 1 << 31), ("x", 1 << 31)).alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    return nearest(points, pixels, key, side).select(key, F.col("a").alias("label"), F.col("d").alias("distance"))
 
 
 def otsu_threshold(pixels: DataFrame, key: str, bins: int = 64) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from morphlake.functions.columns import clip
-from morphlake.operators.neighbors import nearest, radius_neighbor_counts
-from morphlake.operators.numbering import packed
+from morphlake.operators.blocks import counts_in_blocks, owned_in_blocks, owned_of_frame
+from morphlake.operators.edges import border_distance, label_borders, placed_on
+from morphlake.operators.neighbors import nearest
+from morphlake.sources.storage import cut
 
 MIN_POINTS, MIN_ELIGIBLE, MIN_RADII = 5, 3, 2
 
@@ -27,30 +30,23 @@ def ripley_k(counts: DataFrame, group: str, area: float) -> DataFrame:
     return s.select(group, "radius", F.when((F.col("n") >= 2) & F.lit(area > 0), F.col("total") * area / (F.col("n") * F.col("n"))).otherwise(0.0).alias("k"))
 
 
-def domain_border(domain: DataFrame, group: str, width: int, height: int, step: int = 1) -> DataFrame:
-    """Points outside the domain that touch it side by side, those just outside the image among them."""
-    d = domain.select(group, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    around = F.array(*[F.struct((F.col("x") + dx * step).alias("x"), (F.col("y") + dy * step).alias("y")) for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1))])
-    return d.select(group, F.inline(around)).distinct().join(d, [group, "x", "y"], "left_anti")
-
-
-def boundary_distance(points: DataFrame, domain: DataFrame, group: str, width: int, height: int, step: int = 1, reach: float = 64.0) -> DataFrame:
+def boundary_distance(points: DataFrame, domain: DataFrame, group: str, width: int, height: int, step: int = 1) -> DataFrame:
     """(group, id, boundary): from each point's lattice pixel (half-even, clipped) to the nearest pixel outside the domain.
 
-    Only border pixels are candidates; where a point has none within ``reach`` all of its image's border is searched. A
-    domain without ``group`` is every group's: each lattice pixel that holds a point is then searched for once.
+    0 for a point that is outside itself. Distances are exact, by a scan along columns and one along rows of the border
+    pixels. A domain without ``group`` is every group's: each lattice pixel that holds a point is then searched for once.
     """
-    placed = points.select(group, "id", clip(F.rint(F.col("x") / step) * step, 0.0, float(width - step)).alias("x"), clip(F.rint(F.col("y") / step) * step, 0.0, float(height - step)).alias("y"))
+    placed = points.select(group, "id", placed_on("x", step, width).alias("x"), placed_on("y", step, height).alias("y"))
     if group not in domain.columns:
         one = F.lit(0).alias("__all")
         spots = placed.select("x", "y").distinct().select(one, F.struct("x", "y").alias("id"), "x", "y")
-        found = boundary_distance(spots, domain.select(one, "x", "y"), "__all", width, height, step, reach)
+        found = boundary_distance(spots, domain.select(one, "x", "y"), "__all", width, height, step)
         found = found.select(F.col("id.x").alias("__x"), F.col("id.y").alias("__y"), "boundary")
         return placed.join(found, F.col("x").eqNullSafe(F.col("__x")) & F.col("y").eqNullSafe(F.col("__y"))).select(group, "id", "boundary")
-    edge = domain_border(domain, group, width, height, step).withColumn("id", F.xxhash64("x", "y"))
-    found = nearest(placed, edge, group, reach).select(group, F.col("a").alias("id"), F.col("d").alias("boundary"))
-    inside = placed.join(domain.select(group, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), [group, "x", "y"], "left_semi").select(group, "id")
-    return found.join(inside.withColumn("__in", F.lit(True)), [group, "id"], "left").select(group, "id", F.when(F.col("__in"), F.col("boundary")).otherwise(0.0).alias("boundary"))
+    inside = placed.join(domain.select(group, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), [group, "x", "y"], "left_semi")
+    border = label_borders(domain.withColumn("__in", F.lit("in")), group, ["__in"], step)
+    found = border_distance(inside, border, group, step)
+    return placed.select(group, "id").join(found, [group, "id"], "left").select(group, "id", F.coalesce("d", F.lit(0.0)).alias("boundary"))
 
 
 def usable_radii(boundary: DataFrame, group: str, radii: Sequence[float]) -> DataFrame:
@@ -83,17 +79,22 @@ def pair_correlation(counts: DataFrame, boundary: DataFrame, areas: DataFrame, g
 
 
 def domain_status(rows: DataFrame) -> DataFrame:
-    """Status from the numbers of pixels, points, radii and finite curve values."""
-    c = F.when(F.col("area_px") <= 0, "empty_domain").when(F.col("n_points") < MIN_POINTS, "insufficient_points").when(F.col("n_radii") < MIN_RADII, "no_valid_radii")
-    return rows.withColumn("status", c.when((F.col("n_l") > 0) & (F.col("n_g") > 0), "ok").when(F.col("n_l") > 0, "finite_l_only").when(F.col("n_g") > 0, "finite_g_only").otherwise("no_valid_radii"))
+    """Status from the numbers of pixels, points, radii and finite curve values; a curve needs two of these."""
+    c = F.when(F.col("area_px") <= 0, "empty_domain").when(F.col("n_points") < MIN_POINTS, "insufficient_points").when(F.col("n_radii") <= 0, "no_valid_radii")
+    l, g = F.col("n_l") >= MIN_RADII, F.col("n_g") >= MIN_RADII  # noqa: E741
+    return rows.withColumn("status", c.when(l & g, "ok").when(l, "finite_l_only").when(g, "finite_g_only").otherwise("no_valid_radii"))
+
+
+def domain_seed(image: Column, axis: Column, label: Column, base_seed: int) -> Column:
+    name = F.concat_ws("|", image.cast("string"), axis, label)
+    return F.conv(F.substring(F.sha1(name.cast("binary")), 1, 12), 16, 10).cast("bigint") % 1_000_000 + base_seed
 
 
 def domain_areas(tissue: DataFrame, group: str, axes: Sequence[str], pixel_px: float, pixel_mm2: float, base_seed: int = 1337) -> DataFrame:
     """The whole tissue and every label of each axis: pixels, area and a seed made from the domain's name."""
     long = tissue.unpivot([group], list(axes), "region_axis", "region_label").unionByName(tissue.select(group, F.lit("global").alias("region_axis"), F.lit("tissue").alias("region_label")))
     s = long.groupBy(group, "region_axis", "region_label").agg(F.count(F.lit(1)).alias("n"))
-    name = F.concat_ws("|", F.col(group).cast("string"), "region_axis", "region_label")
-    seed = F.conv(F.substring(F.sha1(name.cast("binary")), 1, 12), 16, 10).cast("bigint") % 1_000_000 + base_seed
+    seed = domain_seed(F.col(group), F.col("region_axis"), F.col("region_label"), base_seed)
     return s.select(group, "region_axis", "region_label", (F.col("n") * pixel_px).alias("area_px"), (F.col("n") * pixel_mm2).alias("area_mm2"), seed.alias("seed"))
 
 
@@ -104,11 +105,12 @@ def region_points(objects: DataFrame, group: str, axes: Sequence[str]) -> DataFr
     return labelled.unionByName(kept.select(group, "object_id", "centroid_x_px", "centroid_y_px", F.lit("global").alias("region_axis"), F.lit("tissue").alias("region_label")))
 
 
-def voronoi_cells(points: DataFrame, domain: DataFrame, group: str, pixel_px: float, reach: float = 32.0) -> DataFrame:
-    """Area of the domain nearest to each point (ties to the smaller id); points without any pixel have none."""
-    pixels = domain.select(group, packed(("x", 1 << 31), ("y", 1 << 31)).alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    owner = nearest(pixels, points, group, reach, fewer_right=True)
-    return owner.groupBy(group, F.col("b").alias("id")).agg((F.count(F.lit(1)) * pixel_px).alias("area"))
+def voronoi_cells(points: DataFrame, domain: DataFrame, group: str, pixel_px: float, side: float = 128.0) -> DataFrame:
+    """Area of the domain nearest to each point (ties to the smaller id); points without any pixel have none.
+
+    A block of pixels sees the points that bounds between the block and squares of points leave (``blocks``).
+    """
+    return owned_in_blocks(domain, points, group, side).select(group, "id", (F.col("n") * pixel_px).alias("area"))
 
 
 def voronoi_regularity(cells: DataFrame, group: str, sample: bool = True) -> DataFrame:
@@ -119,58 +121,165 @@ def voronoi_regularity(cells: DataFrame, group: str, sample: bool = True) -> Dat
     return s.select(group, "n_cells", cv.alias("cv"), F.try_divide(F.lit(1.0), cv).alias("vdri"))
 
 
-def legacy_vdri(points: DataFrame, frame: DataFrame, group: str, pixel_px: float, low: Column, high: Column) -> DataFrame:
+def legacy_vdri(points: DataFrame, frame: DataFrame, group: str, pixel_px: float, low: Column, high: Column, side: float = 128.0) -> DataFrame:
     """The older regularity: cells that touch the image frame are left out, population deviation, 0 where undefined."""
-    pixels = frame.select(group, F.struct("x", "y").alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    owner = nearest(pixels, points, group, 32.0, fewer_right=True).withColumn("edge", F.least("a.x", "a.y") <= low).withColumn("edge", F.col("edge") | (F.greatest("a.x", "a.y") >= high))
-    cells = owner.groupBy(group, F.col("b").alias("id")).agg((F.count(F.lit(1)) * pixel_px).alias("area"), F.bool_or("edge").alias("edge")).where("not edge")
+    touches = (F.least("x", "y") <= low) | (F.greatest("x", "y") >= high)
+    cells = owned_in_blocks(frame, points, group, side, touches).where("not marked").select(group, (F.col("n") * pixel_px).alias("area"))
     return points.select(group).distinct().join(voronoi_regularity(cells, group, sample=False).select(group, "vdri"), group, "left").fillna(0.0, ["vdri"])
 
 
-def csr_envelope(points: DataFrame, domain: DataFrame, areas: DataFrame, group: str, radii: Sequence[float], sims: int, width: int, height: int, step: int = 1, seed: int = 1337) -> DataFrame:
-    """Observed L at each radius with its 2.5 and 97.5 percent envelope over ``sims`` random draws of domain pixels.
+def curves(counted: DataFrame, areas: DataFrame, group: str, radii: Sequence[float], used: DataFrame | None = None, run: Sequence[str] = ()) -> DataFrame:
+    """(group, run, radius, n, eligible, l, g) from one pass over points (group, run, n, boundary), where n counts within each radius.
 
-    A draw takes the n pixels of smallest hash of (seed, simulation, pixel), so it is the same on every run; simulations
-    are keys of one job. Only pixels whose hash is small enough to be drawn are sorted. A domain without ``group`` is every group's. Adds outside, and the global p of the largest deviation.
+    used: (group, radii_used), the radii to take in each group, all of ``radii`` where not given. g takes the ring from the
+    used radius before. run: columns that name several sets of points of one group. Values are null without an eligible point or with fewer than five points.
+    """
+    every = F.lit([float(r) for r in radii])
+    head = areas.select(group, "area_px") if used is None else areas.select(group, "area_px").join(used.select(group, "radii_used"), group)
+    taken = every if used is None else F.col("radii_used")
+    place = lambda r: F.get("n", F.array_position(every, r).cast("int") - 1) - 1
+    rows = counted.join(head, group).select(group, *run, "area_px", "boundary", F.posexplode(F.transform(taken, lambda r, i: F.struct(r.alias("radius"), place(r).alias("near"), F.when(i > 0, F.get(taken, i - 1)).otherwise(0.0).alias("inner"), F.when(i > 0, place(F.get(taken, i - 1))).otherwise(0).alias("before")))))
+    far = F.col("boundary") >= F.col("radius")
+    s = rows.select(group, *run, "area_px", "boundary", "col.*").groupBy(group, *run, "area_px", "radius", "inner")
+    s = s.agg(F.count(F.lit(1)).alias("n"), F.count_if(far).alias("eligible"), F.sum(F.when(far, F.col("near"))).alias("total"), F.sum(F.when(far, F.greatest(F.lit(0), F.col("near") - F.col("before")))).alias("ring"))
+    density = F.col("area_px") / (F.col("n") * F.col("eligible"))
+    width = F.pi() * (F.col("radius") * F.col("radius") - F.col("inner") * F.col("inner"))
+    valid = (F.col("n") >= MIN_POINTS) & (F.col("eligible") > 0)
+    return s.select(group, *run, "radius", "n", "eligible", F.when(valid, F.sqrt(density * F.col("total") / F.pi()) - F.col("radius")).alias("l"), F.when(valid, density * F.col("ring") / width).alias("g"))
+
+
+def permuted(at: np.ndarray, size: int, key: int) -> np.ndarray:
+    """Images of the numbers ``at`` under a permutation of 0 to size - 1 that ``key`` chooses.
+
+    A network of four rounds permutes the next power of four; numbers that fall outside walk on until they are inside.
+    """
+    half = max(1, (max(2, int(size)) - 1).bit_length() + 1 >> 1)
+    mask, shift = np.uint64((1 << half) - 1), np.uint64(half)
+
+    def network(v: np.ndarray) -> np.ndarray:
+        left, right = v >> shift, v & mask
+        for turn in range(4):
+            h = right + np.uint64((key + 0x9E3779B97F4A7C15 * (turn + 1)) & 0xFFFFFFFFFFFFFFFF)
+            for factor in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+                h = (h ^ (h >> np.uint64(30))) * np.uint64(factor)
+            left, right = right, left ^ ((h ^ (h >> np.uint64(31))) & mask)
+        return (left << shift) | right
+
+    out = network(at.astype(np.uint64))
+    while len(outside := np.flatnonzero(out >= size)):
+        out[outside] = network(out[outside])
+    return out.astype(np.int64)
+
+
+def random_draws(sizes: DataFrame, group: str, sims: int, seed: int) -> DataFrame:
+    """(group, sim, id, k): for each simulation n distinct pixel numbers k below ``size``, from sizes (group, n, size); all where n is larger."""
+    runs = sizes.select(group, F.least("n", "size").alias("n"), "size", F.explode(F.sequence(F.lit(1), F.lit(sims))).alias("sim"))
+    runs = runs.withColumn("key", F.xxhash64(F.lit(seed), group, "sim"))
+    kind = sizes.schema[group].dataType.simpleString()
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, size, key = (batch.column(c).to_pylist() for c in ("n", "size", "key"))
+            for first in range(0, batch.num_rows, 64):
+                part = range(first, min(first + 64, batch.num_rows))
+                drawn = [permuted(np.arange(n[i]), size[i], key[i]) for i in part]
+                where = pa.array(np.repeat(np.arange(part.start, part.stop), [len(x) for x in drawn]))
+                ids = np.concatenate([np.arange(1, len(x) + 1) for x in drawn])
+                yield pa.RecordBatch.from_arrays([batch.column(group).take(where), batch.column("sim").take(where), pa.array(ids), pa.array(np.concatenate(drawn))], names=[group, "sim", "id", "k"])
+
+    return runs.repartition(group, "sim").mapInArrow(draw, f"`{group}` {kind}, sim int, id long, k long")
+
+
+def csr_envelope(points: DataFrame, domain: DataFrame, areas: DataFrame, group: str, radii: Sequence[float], sims: int = 999, width: int = 1, height: int = 1, step: int = 1, seed: int = 1337, boundary: DataFrame | None = None, used: DataFrame | None = None) -> DataFrame:
+    """Observed L and g at each radius with their 2.5 and 97.5 percent envelopes over ``sims`` random draws of domain pixels.
+
+    A draw is the first n numbers of a keyed permutation of the domain's pixel numbers, so it is the same on every run and
+    no row is made for a pixel that isn't drawn; draws are keys of one job. Boundary distances are found once for each
+    pixel. A domain without ``group`` is every group's. Adds: outside (L leaves its envelope), and for the whole group the p
+    of the largest deviation, max_abs_l and peak_g. boundary: the points' distances where known; used: (group, radii_used).
     """
+    pixels, shared = domain.select(*[c for c in domain.columns if c in (group, "x", "y")]), group not in domain.columns
+    name = "__all" if shared else group
+    pixels = pixels.withColumn("__all", F.lit(0)) if shared else pixels
+    numbered_ = pixels.withColumn("k", (F.row_number().over(Window.partitionBy(name).orderBy("y", "x")) - 1).cast("bigint"))
+    edge = border_distance(numbered_.select(name, F.col("k").alias("id"), "x", "y"), label_borders(pixels.withColumn("__in", F.lit("in")), name, ["__in"], step), name, step)
+    table = cut(numbered_.join(edge.select(name, F.col("id").alias("k"), F.col("d").alias("boundary")), [name, "k"]).select(name, "k", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "boundary"))
     n = points.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    pixels = domain if group in domain.columns else n.select(group).crossJoin(F.broadcast(domain))
-    size = domain.groupBy(group).agg(F.count(F.lit(1)).alias("size")) if group in domain.columns else n.select(group).crossJoin(F.broadcast(domain.agg(F.count(F.lit(1)).alias("size"))))
-    draws = pixels.select(group, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).join(n.join(size, group), group).withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(sims))))
-    draws = draws.withColumn("__hash", F.xxhash64(F.lit(seed), "sim", group, "x", "y"))
-    enough = (F.col("n") + 10 * F.sqrt("n") + 100) / F.col("size")  # ten deviations over n: no draw has fewer pixels below this hash
-    draws = draws.where((enough >= 1) | (F.col("__hash") < (F.lit(-(2.0**63)) + F.least(enough, F.lit(1.0)) * 2.0**64).cast("bigint")))
-    order = Window.partitionBy(group, "sim").orderBy("__hash")
-    drawn = draws.withColumn("id", F.row_number().over(order).cast("bigint")).where("id <= n")
-    key = F.concat_ws("#", F.col(group).cast("string"), F.col("sim").cast("string"))
-    both = drawn.select(key.alias("run"), group, "sim", "id", "x", "y").unionByName(points.select(F.concat_ws("#", F.col(group).cast("string"), F.lit("0")).alias("run"), group, F.lit(0).alias("sim"), F.col("id").cast("bigint").alias("id"), "x", "y"))
-    edge = boundary_distance(both.select(group, F.struct("sim", "id").alias("id"), "x", "y"), domain, group, width, height, step)
-    edge = edge.select(F.concat_ws("#", F.col(group).cast("string"), F.col("id.sim").cast("string")).alias("run"), F.col("id.id").alias("id"), "boundary")
-    runs = both.select("run", group, "sim").distinct()
-    curve = border_l(radius_neighbor_counts(both.select("run", "id", "x", "y"), "run", radii), edge, runs.join(areas, group).select("run", "area_px"), "run").join(runs, "run")
-    observed = curve.where("sim = 0").select(group, "radius", "l_obs")
-    simulated = curve.where("sim > 0")
-    band = simulated.groupBy(group, "radius").agg(F.percentile("l_obs", 0.025).alias("low"), F.percentile("l_obs", 0.975).alias("high"))
-    largest = curve.groupBy(group, "sim").agg(F.max(F.abs("l_obs")).alias("m"))
-    top = largest.where("sim = 0").select(group, F.col("m").alias("m0"))
-    p = largest.where("sim > 0").join(top, group).groupBy(group).agg(((F.count_if(F.col("m") >= F.col("m0")) + 1) / (sims + 1)).alias("p_global"))
-    out = observed.join(band, [group, "radius"], "left").join(p, group, "left")
-    return out.withColumn("outside", (F.col("l_obs") < F.col("low")) | (F.col("l_obs") > F.col("high")))
-
-
-def spatial_summary(points: DataFrame, domain: DataFrame, group: str, radii: Sequence[float], width: int, height: int, step: int = 1, shared: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """One row a domain (points, area, status, Voronoi regularity) and one a requested radius (L and g; null where unused).
-
-    shared: the domain without ``group``, where all groups have the same one; boundary distances then need no row for each.
+    size = table.groupBy(name).agg(F.count(F.lit(1)).alias("size"))
+    sizes = n.withColumn("size", F.lit(size.agg(F.sum("size")).first()[0])) if shared else n.join(size, group)
+    drawn = random_draws(sizes, group, sims, seed).join(table.drop("__all"), ["k"] if shared else [group, "k"])
+    boundary = boundary_distance(points, domain, group, width, height, step) if boundary is None else boundary
+    observed = points.select(group, F.lit(0).alias("sim"), F.col("id").cast("bigint").alias("id"), "x", "y").join(boundary.select(group, "id", "boundary"), [group, "id"])
+    run = F.struct(group, "sim").alias("run")
+    both = drawn.select(run, "id", "x", "y", "boundary").unionByName(observed.select(run, "id", "x", "y", "boundary"))
+    counted = counts_in_blocks(both, "run", radii, keep="boundary").select("run.*", "n", "boundary")
+    curve = cut(curves(counted, areas, group, radii, used, ["sim"]))
+    seen = curve.where("sim = 0").select(group, "radius", F.col("l").alias("l_obs"), F.col("g").alias("g_obs"))
+    percentiles = [F.percentile(c, q).alias(f"{c}_{e}") for c in ("l", "g") for e, q in (("low", 0.025), ("high", 0.975))]
+    band = curve.where("sim > 0").groupBy(group, "radius").agg(*percentiles)
+    tops = curve.groupBy(group, "sim").agg(F.max(F.abs("l")).alias("m"), F.max("g").alias("peak"))
+    first = tops.where("sim = 0").select(group, F.col("m").alias("max_abs_l"), F.col("peak").alias("peak_g"))
+    p = tops.where("sim > 0 and m is not null").join(first, group).groupBy(group, "max_abs_l").agg(F.when(F.col("max_abs_l").isNotNull(), (F.count_if(F.col("m") >= F.col("max_abs_l")) + 1) / (sims + 1)).alias("p_global"))
+    out = seen.join(band, [group, "radius"], "left").join(first, group, "left").join(p.select(group, "p_global"), group, "left")
+    return out.withColumn("outside", (F.col("l_obs") < F.col("l_low")) | (F.col("l_obs") > F.col("l_high")))
+
+
+def spatial_summary(points: DataFrame, pixels: DataFrame, image: str, axes: Sequence[str], radii: Sequence[float], width: int, height: int, step: int = 1, pixel_mm2: float = 0.0, sims: int = 0, seed: int = 1337) -> tuple[DataFrame, DataFrame]:
+    """Every domain of every image: the whole tissue and each label of each axis. A row a domain, and one a domain and requested radius.
+
+    points: image, long id (unique in its image), x, y and a label for each axis; pixels: image, x, y (multiples of ``step``)
+    and the labels. A point belongs to the domains of its own labels, its boundary distance is 0 where its pixel has another
+    label. The summary has area, points, usable radii, status, both Voronoi regularities, the nearest-neighbour index and,
+    with ``sims``, the envelope's results; the curves have L and g (null where the radius isn't usable) and their
+    envelopes. Domains without a pixel don't appear. Work is keyed by domain, so all domains are one set of jobs.
     """
+    names = ["global", *axes]
+    domain = lambda axis, label: F.struct(F.col(image).alias(image), axis.alias("region_axis"), label.cast("string").alias("region_label"))
+    whole = F.lit("global").alias("global")
+    each = lambda frame, *columns: frame.withColumn("global", F.lit("global")).select(*columns, F.explode(F.array(*[domain(F.lit(a), F.col(a)) for a in names])).alias("domain")).where("domain.region_label is not null")
     pixel = float(step * step)
-    areas = domain.groupBy(group).agg((F.count(F.lit(1)) * pixel).alias("area_px"))
-    edge = boundary_distance(points, domain if shared is None else shared, group, width, height, step)
-    radius = usable_radii(edge, group, radii)
-    used = radius.select(group, F.explode("radii_used").alias("radius"))
-    counts = radius_neighbor_counts(points, group, radii).join(used, [group, "radius"], "left_semi")
-    curves = areas.select(group, F.explode(F.lit([float(r) for r in radii])).alias("radius")).join(border_l(counts, edge, areas, group).select(group, "radius", "l_obs"), [group, "radius"], "left").join(pair_correlation(counts, edge, areas, group), [group, "radius"], "left")
-    finite = curves.groupBy(group).agg(F.count("l_obs").alias("n_l"), F.count("g_obs").alias("n_g"))
-    rows = areas.join(radius.select(group, "n_points", F.size("radii_used").alias("n_radii")), group, "left").fillna(0, ["n_points", "n_radii"]).join(finite, group)
-    cells = voronoi_regularity(voronoi_cells(points, domain, group, pixel), group).select(group, "vdri")
-    return domain_status(rows).join(cells, group, "left"), curves
+    areas = pixels.groupBy(image, *axes).agg(F.count(F.lit(1)).alias("n"))
+    areas = cut(each(areas, "n").groupBy("domain").agg((F.sum("n") * pixel).alias("area_px")))
+    own = F.struct(whole, *axes)
+    px, py = placed_on("x", step, width), placed_on("y", step, height)
+    at = pixels.select(F.col(image).alias("__i"), F.col("x").cast("double").alias("__x"), F.col("y").cast("double").alias("__y"), own.alias("__l"))
+    placed = points.withColumns({"__px": px, "__py": py})
+    placed = placed.join(at, (F.col(image) == F.col("__i")) & (F.col("__px") == F.col("__x")) & (F.col("__py") == F.col("__y")), "left")
+    long = placed.withColumn("global", F.lit("global")).select("id", "x", "y", "__px", "__py", F.explode(F.array(*[F.struct(domain(F.lit(a), F.col(a)).alias("domain"), F.col("__l")[a].eqNullSafe(F.col(a)).alias("inside")) for a in names])).alias("__d")).select("__d.*", "id", "x", "y", "__px", "__py")
+    long = cut(long.where("domain.region_label is not null").join(areas.select("domain"), "domain", "left_semi"))
+    border = label_borders(pixels.withColumn("global", F.lit("global")), image, names, step)
+    border = border.select(F.struct(F.col(image).alias(image), "region_axis", "region_label").alias("domain"), "x", "y")
+    found = border_distance(long.where("inside").select("domain", "id", F.col("__px").alias("x"), F.col("__py").alias("y")), border, "domain", step)
+    edged = cut(long.select("domain", "id", "x", "y").join(found, ["domain", "id"], "left").withColumn("boundary", F.coalesce("d", F.lit(0.0))).drop("d"))
+    usable = cut(usable_radii(edged, "domain", radii))
+    curve = curves(counts_in_blocks(edged, "domain", radii, keep="boundary"), areas, "domain", radii, usable).select("domain", "radius", F.col("l").alias("l_obs"), F.col("g").alias("g_obs"))
+    columns = ["l_low", "l_high", "g_low", "g_high"]
+    top = None
+    if sims:
+        env = cut(csr_envelope(edged, each(pixels, "x", "y"), areas, "domain", radii, sims, width, height, step, seed, edged, usable))
+        curve = curve.join(env.select("domain", "radius", *columns), ["domain", "radius"], "left")
+        top = env.groupBy("domain").agg(F.coalesce(F.bool_or("outside"), F.lit(False)).alias("outside_any"), *[F.first(c).alias(c) for c in ("p_global", "max_abs_l", "peak_g")])
+    else:
+        curve = curve.withColumns({c: F.lit(None).cast("double") for c in columns})
+    curve = cut(curve)
+    finite = curve.groupBy("domain").agg(F.count("l_obs").alias("n_l"), F.count("g_obs").alias("n_g"))
+    asked = areas.select("domain", F.explode(F.lit([float(r) for r in radii])).alias("radius")).join(usable.select("domain", "radii_used"), "domain", "left")
+    asked = asked.select("domain", "radius", F.coalesce(F.array_contains("radii_used", F.col("radius")), F.lit(False)).alias("valid"))
+    rows = areas.join(usable.select("domain", "n_points", "max_boundary", "radii_used", F.size("radii_used").alias("n_radii")), "domain", "left").join(finite, "domain", "left").fillna(0, ["n_points", "n_radii", "n_l", "n_g"])
+    places = long.select("domain", "id", "x", "y")
+    cells = voronoi_regularity(voronoi_cells(places, each(pixels, "x", "y"), "domain", pixel), "domain").select("domain", "cv", "vdri")
+    old = owned_of_frame(areas, places, "domain", width, height, step, 128.0).where("not marked").select("domain", (F.col("n") * pixel).alias("area"))
+    old = voronoi_regularity(old, "domain", sample=False).select("domain", F.col("vdri").alias("legacy_vdri"))
+    near = nn_regularity(nearest(places, places, "domain", different=True), "domain").select("domain", F.col("nnri").alias("legacy_nnri"))
+    rows = domain_status(rows).join(cells, "domain", "left").join(old, "domain", "left").join(near, "domain", "left").fillna(0.0, ["legacy_vdri", "legacy_nnri"])
+    rows = rows.join(top, "domain", "left") if top is not None else rows
+    seeds = domain_seed(F.col(f"domain.{image}"), F.col("domain.region_axis"), F.col("domain.region_label"), seed)
+    summary = rows.select("domain.*", (F.col("area_px") * (pixel_mm2 / pixel)).alias("area_mm2"), *[c for c in rows.columns if c != "domain"], seeds.alias("seed"))
+    return summary, asked.join(curve, ["domain", "radius"], "left").select("domain.*", "radius", "valid", "l_obs", "g_obs", *columns)
+
+
+def promoted(samples: DataFrame, summary: DataFrame, sample: str, image: str) -> DataFrame:
+    """The sample table with the whole tissue's row of each sample's image beside it, under names that begin with rigorous_global."""
+    kept = {"n_points": "point_count", "status": "status", "vdri": "vdri", "outside_any": "l_outside_envelope", "p_global": "l_global_p_value", "max_abs_l": "l_max_abs_deviation", "peak_g": "g_peak_value", "n_l": "n_finite_l", "n_g": "n_finite_g", "max_boundary": "usable_max_radius_px"}
+    row = summary.where("region_axis = 'global'").select(F.col(image).alias(sample), *[F.col(c).alias(f"rigorous_global_{n}") for c, n in kept.items() if c in summary.columns], (F.col("status") == "ok").alias("rigorous_global_curve_valid"))
+    return samples.join(row, sample, "left")

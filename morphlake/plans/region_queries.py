@@ -144,12 +144,12 @@ def j6_overlap_details(spark, d):
 
 def j11_nearest_any(spark, d):
     p = _points(spark, d)
-    return neighbors.nearest(p, p, "image_no", 64.0, different=True).select("image_no", F.col("a").alias("object_id"), R6(F.col("d")).alias("d"))
+    return neighbors.nearest(p, p, "image_no", different=True).select("image_no", F.col("a").alias("object_id"), R6(F.col("d")).alias("d"))
 
 
 def j11_nearest_by_class(spark, d):
     p = _points(spark, d)
-    return neighbors.nearest(p, p, "image_no", 96.0, different=True, keys=["phenotype"]).select("image_no", F.col("a").alias("object_id"), "phenotype", R6(F.col("d")).alias("d"))
+    return neighbors.nearest(p, p, "image_no", different=True, keys=["phenotype"]).select("image_no", F.col("a").alias("object_id"), "phenotype", R6(F.col("d")).alias("d"))
 
 
 def j12_radius_neighbor_counts(spark, d):

@@ -24,18 +24,42 @@ _COUNTS = ", c as (select p.image_no, p.id, r.radius, (select count(*) from q wh
 _CNT = ", g as (select image_no, id, radius, count(*) as k from q, r where d2 <= radius*radius group by all), c as (select p.image_no, p.id, r.radius, coalesce(g.k, 0) as k from p cross join r left join g on g.image_no = p.image_no and g.id = p.id and g.radius = r.radius)"
 _AREA = ", ar as (select image_no, count(*)*64.0::double as area from tissue group by 1)"
 
+
+
+def _labels(source: str, columns: str) -> str:
+    """SQL of (columns, axis, label): a row for each axis of each row of ``source`` with x and y."""
+    label = "least(ecc/400.0, 1.0)"
+    return f"""(select {columns}, unnest(['global', 'ring', 'quadrant', 'sector', 'peripapillary_bin']) as axis, unnest(['global', case when {label} <= 0.33 then 'central' when {label} <= 0.66 then 'pericentral' else 'peripheral' end,
+ (case when v >= 0 then 'dorsal' else 'ventral' end) || '_' || (case when h >= 0 then 'temporal' else 'nasal' end), ['temporal','dorsal_temporal','dorsal','dorsal_nasal','nasal','ventral_nasal','ventral','ventral_temporal'][1 + cast(floor(fmod(theta + 22.5, 360.0)/45.0) as int)],
+ case when {label} <= 0.15 then 'peripapillary' else 'non_peripapillary' end]) as label from (select *, sqrt(h*h + v*v) as ecc, fmod(degrees(atan2(v, h)) + 360.0, 360.0) as theta from (select *, (x - 512.0)*0.5 as h, (512.0 - y)*0.5 as v from {source})))"""
+
+
+_D, _K = "image_no, axis, label", "(image_no, axis, label)"
+#: All domains of all images: points, pixels, boundary distances, usable radii, neighbour counts, both curves.
 _X8 = (
-    "+ " + _TP + _EDGE + _PAIRS.split(", r as")[0] + _AREA + ", rr as (select unnest([50.0, 100.0, 600.0])::double as radius), us as (select image_no, radius from e, rr group by 1, 2 having count(*) >= 5 and count(*) filter (boundary >= radius) >= 3)"
-    ", g as (select q.image_no, id, radius, count(*) as k from q join us on us.image_no = q.image_no and d2 <= radius*radius group by all), c as (select p.image_no, p.id, us.radius, coalesce(g.k, 0) as k from p join us using (image_no) left join g on g.image_no = p.image_no and g.id = p.id and g.radius = us.radius)"
-    ", k as (select *, greatest(0, k - coalesce(lag(k) over w, 0)) as ring, coalesce(lag(radius) over w, 0) as inner_r from c window w as (partition by image_no, id order by radius))"
-    ", s as (select k.image_no, k.radius, inner_r, count(*) as n, count(*) filter (boundary >= k.radius) as el, sum(k) filter (boundary >= k.radius) as t, sum(ring) filter (boundary >= k.radius) as tr from k join e using (image_no, id) group by 1, 2, 3)"
-    ", cu as (select ar.image_no, rr.radius, case when n >= 5 and el > 0 then sqrt(area*t/(n*el)/pi()) - rr.radius end as l_obs, case when n >= 5 and el > 0 then area*tr/(n*el*pi()*(s.radius*s.radius - inner_r*inner_r)) end as g_obs from ar cross join rr left join s on s.image_no = ar.image_no and s.radius = rr.radius)"
-)
+    "+ " + _P + ", lp as " + _labels("p", "image_no, id, x, y") + ", tp as " + _labels("(select image_no, x::double as x, y::double as y from tissue)", "image_no, x, y")
+    + f", ar as (select {_D}, count(*)*64.0::double as area from tp group by all), pts as (select lp.*, least(1016, greatest(0, round_even(x/8, 0)*8)) as px, least(1016, greatest(0, round_even(y/8, 0)*8)) as py from lp semi join ar using {_K})"
+    + f", bd as (select {_D}, x + dx as x, y + dy as y from tp, (values (8,0),(-8,0),(0,8),(0,-8)) v(dx, dy) except select {_D}, x, y from tp)"
+    + f", ins as (select pts.* from pts semi join tp on tp.image_no = pts.image_no and tp.axis = pts.axis and tp.label = pts.label and tp.x = px and tp.y = py), e0 as (select ins.image_no, ins.axis, ins.label, ins.id, sqrt(min((px-bd.x)*(px-bd.x) + (py-bd.y)*(py-bd.y))) as dist from ins join bd using {_K} group by all)"
+    + f", e as (select pts.image_no, pts.axis, pts.label, pts.id, coalesce(dist, 0) as boundary from pts left join e0 on e0.image_no = pts.image_no and e0.axis = pts.axis and e0.label = pts.label and e0.id = pts.id)"
+    + f", rr as (select unnest([50.0, 100.0, 600.0])::double as radius), np as (select {_D}, count(*) as n_points, max(boundary) as max_boundary from e group by all), us as (select e.image_no, e.axis, e.label, radius from e, rr group by all having count(*) >= 5 and count(*) filter (boundary >= radius) >= 3)"
+    + f", nb as (select a.image_no, a.axis, a.label, a.id, count(*) filter (d2 <= 2500) as k1, count(*) filter (d2 <= 10000) as k2, count(*) filter (d2 <= 360000) as k3 from (select a.*, (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) as d2 from pts a join pts b on a.image_no = b.image_no and a.axis = b.axis and a.label = b.label and a.id <> b.id) a group by all)"
+    + f", c as (select e.image_no, e.axis, e.label, e.id, boundary, us.radius, coalesce(case us.radius when 50 then k1 when 100 then k2 else k3 end, 0) as k from e join us using {_K} left join nb on nb.image_no = e.image_no and nb.axis = e.axis and nb.label = e.label and nb.id = e.id)"
+    + f", k as (select *, greatest(0, k - coalesce(lag(k) over w, 0)) as ring, coalesce(lag(radius) over w, 0) as inner_r from c window w as (partition by {_D}, id order by radius))"
+    + f", s as (select {_D}, radius, inner_r, count(*) as n, count(*) filter (boundary >= radius) as el, sum(k) filter (boundary >= radius) as t, sum(ring) filter (boundary >= radius) as tr from k group by all)"
+    + f", cu as (select ar.image_no, ar.axis, ar.label, rr.radius, s.n is not null as valid, case when n >= 5 and el > 0 then sqrt(area*t/(n*el)/pi()) - rr.radius end as l_obs, case when n >= 5 and el > 0 then area*tr/(n*el*pi()*(s.radius*s.radius - inner_r*inner_r)) end as g_obs from ar cross join rr left join s on s.image_no = ar.image_no and s.axis = ar.axis and s.label = ar.label and s.radius = rr.radius)"
+)
+_STATUS = "case when n_points < 5 then 'insufficient_points' when n_radii <= 0 then 'no_valid_radii' when n_l >= 2 and n_g >= 2 then 'ok' when n_l >= 2 then 'finite_l_only' when n_g >= 2 then 'finite_g_only' else 'no_valid_radii' end"
+#: Owners of pixels: among the nine cells around, where the nearest there is nearer than a cell; else among all points of the domain.
 _X8_SUMMARY = (
-    ", o as (select t.image_no, t.x, t.y, arg_min(p.id, ((t.x-p.x)*(t.x-p.x) + (t.y-p.y)*(t.y-p.y)) * 1000000 + p.id) as id from tissue t join p using (image_no) group by 1, 2, 3), vc as (select image_no, id, count(*)*64.0::double as area from o group by 1, 2), vd as (select image_no, case when count(*) >= 3 then avg(area)/stddev_samp(area) end as vdri from vc group by 1)"
-    ", f as (select image_no, count(l_obs) as n_l, count(g_obs) as n_g from cu group by 1), m as (select ar.image_no, area as area_px, (select count(*) from p where p.image_no = ar.image_no) as n_points, (select count(*) from us where us.image_no = ar.image_no) as n_radii, n_l, n_g, vdri from ar join f using (image_no) left join vd using (image_no))"
-    " select image_no, area_px, n_points, n_radii, n_l, n_g, case when n_points < 5 then 'insufficient_points' when n_radii < 2 then 'no_valid_radii' when n_l > 0 and n_g > 0 then 'ok' when n_l > 0 then 'finite_l_only' when n_g > 0 then 'finite_g_only' else 'no_valid_radii' end as status, round(vdri, 6) as vdri from m"
+    f", pc as (select *, floor(x/128) as cx, floor(y/128) as cy from pts), near as (select tp.image_no, tp.axis, tp.label, tp.x, tp.y, min(((tp.x-pc.x)*(tp.x-pc.x) + (tp.y-pc.y)*(tp.y-pc.y)) * 1000000 + pc.id) as best from (select *, floor(x/128) + i as cx, floor(y/128) + j as cy from tp, range(-1, 2) a(i), range(-1, 2) b(j)) tp join pc using (image_no, axis, label, cx, cy) group by all having best < 16384.0 * 1000000)"
+    + f", far as (select t.image_no, t.axis, t.label, t.x, t.y, min(((t.x-p.x)*(t.x-p.x) + (t.y-p.y)*(t.y-p.y)) * 1000000 + p.id) as best from (select * from tp anti join near using (image_no, axis, label, x, y)) t join pts p using {_K} group by all), own as (select {_D}, best::bigint % 1000000 as id from near union all select {_D}, best::bigint % 1000000 from far)"
+    + f", vc as (select {_D}, id, count(*)*64.0::double as area from own group by all), vd as (select {_D}, case when count(*) >= 3 then avg(area)/stddev_samp(area) end as vdri from vc group by all)"
+    + f", d1 as (select a.image_no, a.axis, a.label, a.id, sqrt(min((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y))) as d from pts a join pts b on a.image_no = b.image_no and a.axis = b.axis and a.label = b.label and a.id <> b.id group by all), nn as (select {_D}, avg(d)/greatest(stddev_pop(d), 1e-12) as nnri from d1 group by all)"
+    + f", f as (select {_D}, count(l_obs) as n_l, count(g_obs) as n_g, count(*) filter (valid) as n_radii from cu group by all), m as (select ar.image_no, ar.axis, ar.label, area, coalesce(n_points, 0) as n_points, max_boundary, n_radii, n_l, n_g, vdri, coalesce(nnri, 0) as nnri from ar left join np using {_K} join f using {_K} left join vd using {_K} left join nn using {_K}), mm as (select *, {_STATUS} as status from m)"
 )
+_X8_ROWS = " select image_no, axis as region_axis, label as region_label, area as area_px, round(area/64*(64*0.25/1e6), 6) as area_mm2, n_points, round(max_boundary, 6) as max_boundary, n_radii, n_l, n_g, status, round(vdri, 6) as vdri, round(nnri, 6) as legacy_nnri from mm"
+_X8_PROMOTED = " select sample_id, condition, n_points as rigorous_global_point_count, status as rigorous_global_status, round(vdri, 6) as rigorous_global_vdri, n_l as rigorous_global_n_finite_l, n_g as rigorous_global_n_finite_g, round(max_boundary, 6) as rigorous_global_usable_max_radius_px, status = 'ok' as rigorous_global_curve_valid from manifest left join mm on image_no = sample_id and axis = 'global'"
 
 
 def _points(spark, d):
@@ -78,21 +102,32 @@ def x5_pair_correlation(spark, d):
 
 
 def x6_csr_envelope(spark, d):
-    return spatial.csr_envelope(_points(spark, d), b.lattice(spark), _areas(spark, d), "image_no", (50.0, 100.0), 19, 1024, 1024, 8)
+    return spatial.csr_envelope(_points(spark, d), b.lattice(spark), _areas(spark, d), "image_no", (50.0, 100.0), 99, 1024, 1024, 8)
 
 
 def x7_domain_status(spark, d):
     m = F.col("p_partkey")
-    rows = b.table(spark, d, "part").select("p_partkey", (m % 13 * 100).alias("area_px"), (m % 11).alias("n_points"), (m % 5).alias("n_radii"), (m % 3).alias("n_l"), (m % 2).alias("n_g"))
+    rows = b.table(spark, d, "part").select("p_partkey", (m % 13 * 100).alias("area_px"), (m % 11).alias("n_points"), (m % 5).alias("n_radii"), (m % 4).alias("n_l"), (m % 7).alias("n_g"))
     return spatial.domain_status(rows).select("p_partkey", "status")
 
 
+def _x8(spark, d, sims=0):
+    points = rq.labelled(spark, d).select("image_no", F.col("object_id").alias("id"), F.col("centroid_x_px").alias("x"), F.col("centroid_y_px").alias("y"), *geometry.AXES)
+    tissue = geometry.assign_regions(rq.registered(spark, d, b.tissue(spark, d), "x", "y"), rq.SCHEMA, rq.MAX_ECC).select("image_no", "x", "y", *geometry.AXES)
+    return spatial.spatial_summary(points, tissue, "image_no", geometry.AXES, X8_RADII, 1024, 1024, 8, 64 * 0.25 / 1e6, sims)
+
+
 def x8_spatial_summary(spark, d):
-    return spatial.spatial_summary(_points(spark, d), b.tissue(spark, d), "image_no", X8_RADII, 1024, 1024, 8, b.lattice(spark))[0].withColumn("vdri", R("vdri"))
+    return _x8(spark, d)[0].select("image_no", "region_axis", "region_label", "area_px", R("area_mm2"), "n_points", R("max_boundary"), "n_radii", "n_l", "n_g", "status", R("vdri"), R("legacy_nnri"))
 
 
 def x8_spatial_curves(spark, d):
-    return spatial.spatial_summary(_points(spark, d), b.tissue(spark, d), "image_no", X8_RADII, 1024, 1024, 8, b.lattice(spark))[1].select("image_no", "radius", R("l_obs"), R("g_obs"))
+    return _x8(spark, d)[1].select("image_no", "region_axis", "region_label", "radius", "valid", R("l_obs"), R("g_obs"))
+
+
+def x8_promoted_samples(spark, d):
+    samples = spatial.promoted(b.manifest(spark, d).select("sample_id", "condition"), _x8(spark, d)[0], "sample_id", "image_no")
+    return samples.withColumns({f"rigorous_global_{c}": F.round(f"rigorous_global_{c}", 6) for c in ("vdri", "usable_max_radius_px")})
 
 
 def x10_region_points(spark, d):
@@ -230,9 +265,10 @@ QUERIES = {
     "x4_border_l": (x4_border_l, with_tables("objects tissue", "+ " + _TP + _EDGE + _PAIRS + _CNT + _AREA + ", s as (select c.image_no, c.radius, count(*) as n, count(*) filter (boundary >= c.radius) as el, sum(k) filter (boundary >= c.radius) as t from c join e using (image_no, id) group by 1, 2) select s.image_no, radius, el as eligible, round(case when n >= 5 and el > 0 then sqrt(area*t/(n*el)/pi()) - radius end, 6) as l_obs from s join ar using (image_no)")),
     "x5_pair_correlation": (x5_pair_correlation, with_tables("objects tissue", "+ " + _TP + _EDGE + _PAIRS + _CNT + _AREA + ", k as (select *, greatest(0, k - coalesce(lag(k) over (partition by image_no, id order by radius), 0)) as ring, coalesce(lag(radius) over (partition by image_no, id order by radius), 0) as inner_r from c), s as (select k.image_no, k.radius, inner_r, count(*) as n, count(*) filter (boundary >= k.radius) as el, sum(ring) filter (boundary >= k.radius) as t from k join e using (image_no, id) group by 1, 2, 3) select s.image_no, radius, round(case when n >= 5 and el > 0 then area*t/(n*el*pi()*(radius*radius - inner_r*inner_r)) end, 6) as g_obs from s join ar using (image_no)")),
     "x6_csr_envelope": (x6_csr_envelope, None),
-    "x7_domain_status": (x7_domain_status, "select p_partkey, case when p_partkey % 13 = 0 then 'empty_domain' when p_partkey % 11 < 5 then 'insufficient_points' when p_partkey % 5 < 2 then 'no_valid_radii' when p_partkey % 3 > 0 and p_partkey % 2 > 0 then 'ok' when p_partkey % 3 > 0 then 'finite_l_only' when p_partkey % 2 > 0 then 'finite_g_only' else 'no_valid_radii' end as status from part"),
-    "x8_spatial_summary": (x8_spatial_summary, with_tables("objects tissue", _X8 + _X8_SUMMARY)),
-    "x8_spatial_curves": (x8_spatial_curves, with_tables("objects tissue", _X8 + " select image_no, radius, round(l_obs, 6) as l_obs, round(g_obs, 6) as g_obs from cu")),
+    "x7_domain_status": (x7_domain_status, "select p_partkey, case when p_partkey % 13 = 0 then 'empty_domain' when p_partkey % 11 < 5 then 'insufficient_points' when p_partkey % 5 <= 0 then 'no_valid_radii' when p_partkey % 4 >= 2 and p_partkey % 7 >= 2 then 'ok' when p_partkey % 4 >= 2 then 'finite_l_only' when p_partkey % 7 >= 2 then 'finite_g_only' else 'no_valid_radii' end as status from part"),
+    "x8_spatial_summary": (x8_spatial_summary, with_tables("objects tissue", _X8 + _X8_SUMMARY + _X8_ROWS)),
+    "x8_spatial_curves": (x8_spatial_curves, with_tables("objects tissue", _X8 + " select image_no, axis as region_axis, label as region_label, radius, valid, round(l_obs, 6) as l_obs, round(g_obs, 6) as g_obs from cu")),
+    "x8_promoted_samples": (x8_promoted_samples, with_tables("objects tissue manifest", _X8 + _X8_SUMMARY + _X8_PROMOTED)),
     "x10_region_points": (x10_region_points, with_tables("objects", "+ " + rq._REG + " select image_no, 'ring' as region_axis, ring as region_label, count(*) as n_points from labelled where kept group by all union all select image_no, 'quadrant', quadrant, count(*) from labelled where kept group by all union all select image_no, 'global', 'tissue', count(*) from labelled where kept group by all")),
     "a7_domain_areas": (a7_domain_areas, with_tables("tissue", "+ t as (select image_no, (case when 512.0 - y >= 0 then 'dorsal' else 'ventral' end) || '_' || (case when x - 512.0 >= 0 then 'temporal' else 'nasal' end) as q from tissue), l as (select image_no, 'quadrant' as region_axis, q as region_label from t union all select image_no, 'global', 'tissue' from t), s as (select image_no, region_axis, region_label, count(*) as n from l group by all) select image_no, region_axis, region_label, cast(n*64.0 as double) as area_px, round(n*64*0.25/1e6, 6) as area_mm2, cast(('0x' || substr(sha1(image_no || '|' || region_axis || '|' || region_label), 1, 12)) as bigint) % 1000000 + 1337 as seed from s")),
     "j15_voronoi_cells": (j15_voronoi_cells, with_tables("objects tissue", "+ " + _TP + ", o as (select t.image_no, t.x, t.y, arg_min(p.id, ((t.x-p.x)*(t.x-p.x) + (t.y-p.y)*(t.y-p.y)) * 1000000 + p.id) as id from tissue t join p using (image_no) group by 1, 2, 3) select image_no, id, cast(count(*)*64.0 as double) as area from o group by 1, 2")),
