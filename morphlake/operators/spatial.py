@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from morphlake.operators.blocks import counts_in_blocks, owned_in_blocks, owned_of_frame
+from morphlake.operators.blocks import counts_in_blocks, owned_of_frame, owned_pixels
 from morphlake.operators.edges import border_distance, label_borders, placed_on
 from morphlake.operators.neighbors import nearest
 from morphlake.sources.storage import cut
@@ -105,12 +105,12 @@ def region_points(objects: DataFrame, group: str, axes: Sequence[str]) -> DataFr
     return labelled.unionByName(kept.select(group, "object_id", "centroid_x_px", "centroid_y_px", F.lit("global").alias("region_axis"), F.lit("tissue").alias("region_label")))
 
 
-def voronoi_cells(points: DataFrame, domain: DataFrame, group: str, pixel_px: float, side: float = 128.0) -> DataFrame:
+def voronoi_cells(points: DataFrame, domain: DataFrame, group: str, pixel_px: float, step: int = 1) -> DataFrame:
     """Area of the domain nearest to each point (ties to the smaller id); points without any pixel have none.
 
     A block of pixels sees the points that bounds between the block and squares of points leave (``blocks``).
     """
-    return owned_in_blocks(domain, points, group, side).select(group, "id", (F.col("n") * pixel_px).alias("area"))
+    return owned_pixels(domain, points, group, step).select(group, "id", (F.col("n") * pixel_px).alias("area"))
 
 
 def voronoi_regularity(cells: DataFrame, group: str, sample: bool = True) -> DataFrame:
@@ -121,15 +121,15 @@ def voronoi_regularity(cells: DataFrame, group: str, sample: bool = True) -> Dat
     return s.select(group, "n_cells", cv.alias("cv"), F.try_divide(F.lit(1.0), cv).alias("vdri"))
 
 
-def legacy_vdri(points: DataFrame, frame: DataFrame, group: str, pixel_px: float, low: Column, high: Column, side: float = 128.0) -> DataFrame:
+def legacy_vdri(points: DataFrame, frame: DataFrame, group: str, pixel_px: float, low: Column, high: Column, step: int = 1) -> DataFrame:
     """The older regularity: cells that touch the image frame are left out, population deviation, 0 where undefined."""
     touches = (F.least("x", "y") <= low) | (F.greatest("x", "y") >= high)
-    cells = owned_in_blocks(frame, points, group, side, touches).where("not marked").select(group, (F.col("n") * pixel_px).alias("area"))
+    cells = owned_pixels(frame, points, group, step, touches).where("not marked").select(group, (F.col("n") * pixel_px).alias("area"))
     return points.select(group).distinct().join(voronoi_regularity(cells, group, sample=False).select(group, "vdri"), group, "left").fillna(0.0, ["vdri"])
 
 
 def curves(counted: DataFrame, areas: DataFrame, group: str, radii: Sequence[float], used: DataFrame | None = None, run: Sequence[str] = ()) -> DataFrame:
-    """(group, run, radius, n, eligible, l, g) from one pass over points (group, run, n, boundary), where n counts within each radius.
+    """(group, run, radius, n, eligible, l_obs, g_obs) from one pass over points (group, run, n, boundary), where n counts within each radius.
 
     used: (group, radii_used), the radii to take in each group, all of ``radii`` where not given. g takes the ring from the
     used radius before. run: columns that name several sets of points of one group. Values are null without an eligible point or with fewer than five points.
@@ -145,7 +145,7 @@ def curves(counted: DataFrame, areas: DataFrame, group: str, radii: Sequence[flo
     density = F.col("area_px") / (F.col("n") * F.col("eligible"))
     width = F.pi() * (F.col("radius") * F.col("radius") - F.col("inner") * F.col("inner"))
     valid = (F.col("n") >= MIN_POINTS) & (F.col("eligible") > 0)
-    return s.select(group, *run, "radius", "n", "eligible", F.when(valid, F.sqrt(density * F.col("total") / F.pi()) - F.col("radius")).alias("l"), F.when(valid, density * F.col("ring") / width).alias("g"))
+    return s.select(group, *run, "radius", "n", "eligible", F.when(valid, F.sqrt(density * F.col("total") / F.pi()) - F.col("radius")).alias("l_obs"), F.when(valid, density * F.col("ring") / width).alias("g_obs"))
 
 
 def permuted(at: np.ndarray, size: int, key: int) -> np.ndarray:
@@ -214,10 +214,10 @@ def csr_envelope(points: DataFrame, domain: DataFrame, areas: DataFrame, group:
     both = drawn.select(run, "id", "x", "y", "boundary").unionByName(observed.select(run, "id", "x", "y", "boundary"))
     counted = counts_in_blocks(both, "run", radii, keep="boundary").select("run.*", "n", "boundary")
     curve = cut(curves(counted, areas, group, radii, used, ["sim"]))
-    seen = curve.where("sim = 0").select(group, "radius", F.col("l").alias("l_obs"), F.col("g").alias("g_obs"))
-    percentiles = [F.percentile(c, q).alias(f"{c}_{e}") for c in ("l", "g") for e, q in (("low", 0.025), ("high", 0.975))]
+    seen = curve.where("sim = 0").select(group, "radius", "l_obs", "g_obs")
+    percentiles = [F.percentile(f"{c}_obs", q).alias(f"{c}_{e}") for c in ("l", "g") for e, q in (("low", 0.025), ("high", 0.975))]
     band = curve.where("sim > 0").groupBy(group, "radius").agg(*percentiles)
-    tops = curve.groupBy(group, "sim").agg(F.max(F.abs("l")).alias("m"), F.max("g").alias("peak"))
+    tops = curve.groupBy(group, "sim").agg(F.max(F.abs("l_obs")).alias("m"), F.max("g_obs").alias("peak"))
     first = tops.where("sim = 0").select(group, F.col("m").alias("max_abs_l"), F.col("peak").alias("peak_g"))
     p = tops.where("sim > 0 and m is not null").join(first, group).groupBy(group, "max_abs_l").agg(F.when(F.col("max_abs_l").isNotNull(), (F.count_if(F.col("m") >= F.col("max_abs_l")) + 1) / (sims + 1)).alias("p_global"))
     out = seen.join(band, [group, "radius"], "left").join(first, group, "left").join(p.select(group, "p_global"), group, "left")
@@ -252,7 +252,7 @@ def spatial_summary(points: DataFrame, pixels: DataFrame, image: str, axes: Sequ
     found = border_distance(long.where("inside").select("domain", "id", F.col("__px").alias("x"), F.col("__py").alias("y")), border, "domain", step)
     edged = cut(long.select("domain", "id", "x", "y").join(found, ["domain", "id"], "left").withColumn("boundary", F.coalesce("d", F.lit(0.0))).drop("d"))
     usable = cut(usable_radii(edged, "domain", radii))
-    curve = curves(counts_in_blocks(edged, "domain", radii, keep="boundary"), areas, "domain", radii, usable).select("domain", "radius", F.col("l").alias("l_obs"), F.col("g").alias("g_obs"))
+    curve = curves(counts_in_blocks(edged, "domain", radii, keep="boundary"), areas, "domain", radii, usable).select("domain", "radius", "l_obs", "g_obs")
     columns = ["l_low", "l_high", "g_low", "g_high"]
     top = None
     if sims:
@@ -267,8 +267,8 @@ def spatial_summary(points: DataFrame, pixels: DataFrame, image: str, axes: Sequ
     asked = asked.select("domain", "radius", F.coalesce(F.array_contains("radii_used", F.col("radius")), F.lit(False)).alias("valid"))
     rows = areas.join(usable.select("domain", "n_points", "max_boundary", "radii_used", F.size("radii_used").alias("n_radii")), "domain", "left").join(finite, "domain", "left").fillna(0, ["n_points", "n_radii", "n_l", "n_g"])
     places = long.select("domain", "id", "x", "y")
-    cells = voronoi_regularity(voronoi_cells(places, each(pixels, "x", "y"), "domain", pixel), "domain").select("domain", "cv", "vdri")
-    old = owned_of_frame(areas, places, "domain", width, height, step, 128.0).where("not marked").select("domain", (F.col("n") * pixel).alias("area"))
+    cells = voronoi_regularity(voronoi_cells(places, each(pixels, "x", "y"), "domain", pixel, step), "domain").select("domain", "cv", "vdri")
+    old = owned_of_frame(areas, places, "domain", width, height, step).where("not marked").select("domain", (F.col("n") * pixel).alias("area"))
     old = voronoi_regularity(old, "domain", sample=False).select("domain", F.col("vdri").alias("legacy_vdri"))
     near = nn_regularity(nearest(places, places, "domain", different=True), "domain").select("domain", F.col("nnri").alias("legacy_nnri"))
     rows = domain_status(rows).join(cells, "domain", "left").join(old, "domain", "left").join(near, "domain", "left").fillna(0.0, ["legacy_vdri", "legacy_nnri"])

@@ -140,15 +140,15 @@ def a7_domain_areas(spark, d):
 
 
 def j15_voronoi_cells(spark, d):
-    return spatial.voronoi_cells(_points(spark, d), b.tissue(spark, d), "image_no", 64.0)
+    return spatial.voronoi_cells(_points(spark, d), b.tissue(spark, d), "image_no", 64.0, 8)
 
 
 def j15_voronoi_regularity(spark, d):
-    return spatial.voronoi_regularity(spatial.voronoi_cells(_points(spark, d), b.tissue(spark, d), "image_no", 64.0), "image_no").select("image_no", "n_cells", R("cv"), R("vdri"))
+    return spatial.voronoi_regularity(spatial.voronoi_cells(_points(spark, d), b.tissue(spark, d), "image_no", 64.0, 8), "image_no").select("image_no", "n_cells", R("cv"), R("vdri"))
 
 
 def x9_legacy_vdri(spark, d):
-    return spatial.legacy_vdri(_points(spark, d), b.tissue(spark, d), "image_no", 64.0, F.lit(0), F.lit(1016)).select("image_no", R("vdri"))
+    return spatial.legacy_vdri(_points(spark, d), b.tissue(spark, d), "image_no", 64.0, F.lit(0), F.lit(1016), 8).select("image_no", R("vdri"))
 
 
 def _tests(spark, d):

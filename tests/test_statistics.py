@@ -24,7 +24,7 @@ def test_csr_envelope_repeats(spark):
     domain = spark.range(16).select(F.lit(1).alias("g"), (F.col("id") * 8).alias("x")).crossJoin(spark.range(16).select((F.col("id") * 8).alias("y")))
     p = spark.createDataFrame([(1, i, float(x), float(y)) for i, (x, y) in enumerate(itertools.product((20, 60, 100), repeat=2))], "g int, id long, x double, y double")
     area = spark.createDataFrame([(1, 16384.0)], "g int, area_px double")
-    run = lambda: rows(spatial.csr_envelope(p, domain, area, "g", (20.0, 40.0), 8, 128, 128, 8), "radius", "l_obs", "low", "high", "p_global")
+    run = lambda: rows(spatial.csr_envelope(p, domain, area, "g", (20.0, 40.0), 8, 128, 128, 8), "radius", "l_obs", "l_low", "l_high", "p_global", "g_obs", "g_low", "g_high")
     first = run()
     assert first == run() and len(first) == 2 and all(0 < r[4] <= 1 for r in first)
 

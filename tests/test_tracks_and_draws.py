@@ -84,8 +84,9 @@ def test_envelope_equals_plain_draws(spark):
     points = spark.createDataFrame([(1, i, x, y) for i, (x, y) in enumerate(spots)], "g int, id long, x double, y double")
     area = float(side * side * step * step)
     got = {r.radius: r for r in spatial.csr_envelope(points, domain, spark.createDataFrame([(1, area)], "g int, area_px double"), "g", radii, sims, side * step, side * step, step).collect()}
-    hashes = domain.withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(sims)))).withColumn("h", F.xxhash64(F.lit(seed), "sim", "g", "x", "y")).toPandas()
-    drawn = [hashes[hashes["sim"] == s].nsmallest(len(spots), "h")[["x", "y"]].to_numpy() for s in range(1, sims + 1)]
+    order = sorted(grid, key=lambda p: (p[1], p[0]))
+    key = {r.sim: r.key for r in spark.range(1, sims + 1).select(F.col("id").cast("int").alias("sim")).select("sim", F.xxhash64(F.lit(seed), F.lit(1), "sim").alias("key")).collect()}
+    drawn = [[order[k] for k in spatial.permuted(np.arange(len(spots)), len(order), key[s])] for s in range(1, sims + 1)]
     outside = [(x, y) for x in range(-step, side * step + 1, step) for y in range(-step, side * step + 1, step) if not (0 <= x < side * step and 0 <= y < side * step)]
 
     def curve(ps):
@@ -93,16 +94,20 @@ def test_envelope_equals_plain_draws(spark):
         snapped = np.clip(np.rint(ps / step) * step, 0, (side - 1) * step)
         edge = np.array([min(math.hypot(x - a, y - b) for a, b in outside) for x, y in snapped])
         d = np.hypot(*(ps[:, None] - ps[None]).transpose(2, 0, 1))
-        out = []
+        out, inner = [], 0.0
         for r in radii:
-            far = edge >= r
-            total = ((d <= r).sum(1) - 1)[far].sum()
-            out.append(math.sqrt(area * total / (len(ps) * far.sum()) / math.pi) - r if far.any() else None)
+            far, pairs = edge >= r, len(ps) * (edge >= r).sum()
+            total, ring = ((d <= r).sum(1) - 1)[far].sum(), ((d <= r) & (d > inner) & (d > 0)).sum(1)[far].sum()
+            out.append((math.sqrt(area * total / pairs / math.pi) - r, area * ring / pairs / (math.pi * (r * r - inner * inner))) if far.any() else (None, None))
+            inner = r
         return out
 
     observed, simulated = curve(spots), [curve(p) for p in drawn]
     for i, r in enumerate(radii):
-        values = [c[i] for c in simulated if c[i] is not None]
-        assert got[r].l_obs == pytest.approx(observed[i]) and got[r].low == pytest.approx(np.percentile(values, 2.5)) and got[r].high == pytest.approx(np.percentile(values, 97.5))
-    largest = lambda c: max(abs(v) for v in c if v is not None)
+        for j, c in enumerate("lg"):
+            values = [s[i][j] for s in simulated if s[i][j] is not None]
+            low, high = np.percentile(values, [2.5, 97.5])
+            assert (got[r][f"{c}_obs"], got[r][f"{c}_low"], got[r][f"{c}_high"]) == pytest.approx((observed[i][j], low, high))
+    assert got[20.0].peak_g == pytest.approx(max(g for _, g in observed if g is not None))
+    largest = lambda c: max(abs(v) for v, _ in c if v is not None)
     assert got[20.0].p_global == pytest.approx((sum(largest(c) >= largest(observed) for c in simulated) + 1) / (sims + 1))
