@@ -104,7 +104,7 @@ def write_archives(pages: DataFrame, folder: str, shortest: int = SHORTEST_REVIS
                         out.close()
                     system.create_dir(base, recursive=True)
                     now, name, at = r.archive, f"archive-{r.archive:06d}-{uuid.uuid4().hex}.warc.gz", 0
-                    out = system.open_output_stream(f"{base}/{name}")
+                    out = system.open_output_stream(f"{base}/{name}", compression=None)  # members are compressed already
                 page, refers = (None if pd.isna(v) else v for v in (r.page_id, r.refers_to))
                 member = _member(page, r.url, r.record_type, refers, r.payload_bytes, r.payload_digest, r.payload, date)
                 out.write(member)
