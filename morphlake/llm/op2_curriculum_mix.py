@@ -13,13 +13,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from morphlake.llm.shared import table
+from morphlake.llm.shared import cut, table
 
 WEIGHTS = (1.0, 2.0, 3.0)
 RAMPS = ((1.5, 0.5), (0.5, 1.5))
 CAP = 3
 #: Sources, a short row each, up to which their targets are sent to all tasks; beyond, they are joined by a shuffle.
 MOST_BROADCAST = 100_000
+#: Rows of one hash beyond which each gets its own; at most 100,000 hashes have as many.
+HOT_ROWS, HOT_HASHES = 1000, 100_000
 OWN = "__mix_own_"
 SRC, SIZE, CELL, HASH, ROW = "__mix_source", "__mix_size", "__mix_cell", "__mix_hash", "__mix_row"
 
@@ -69,6 +71,26 @@ def _fill(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(extra=taken)
 
 
+def _spread(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """``rows`` with a hash of its own for each row of a hash that over ``most`` rows have (1000, or 1/100,000 of all), made of hash and number.
+
+    Such rows are numbered within their partition and moved by the number of those in the partitions before, so no task
+    holds them all; of equal rows any may get any number. At most 100,000 such hashes are broadcast.
+    """
+    counts = rows.groupBy(HASH).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n").alias("all"), F.max("n").alias("most")).first()
+    most = max(HOT_ROWS, int(total["all"] or 0) // HOT_HASHES) if most is None else most
+    if (total["most"] or 0) <= most:
+        return rows
+    hot = F.broadcast(cut(counts.where(F.col("n") > most).select(HASH)))
+    mine = cut(rows.join(hot, HASH).withColumn("__pid", F.spark_partition_id()))
+    before = Window.partitionBy(HASH).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = mine.groupBy(HASH, "__pid").agg(F.count(F.lit(1)).alias("__n")).select(HASH, "__pid", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(HASH, "__pid").orderBy(F.lit(0)))
+    numbered = mine.withColumn("__inside", inside).join(offsets, [HASH, "__pid"]).withColumn(HASH, F.xxhash64(HASH, F.col("__before") + F.col("__inside")))
+    return rows.join(hot, HASH, "left_anti").unionByName(numbered.select(*rows.columns))
+
+
 def curriculum_mix(docs: DataFrame, key: Column | None = None, size: Column | None = None, cell_rows: int = 4096) -> DataFrame:
     """All rows of ``docs`` with size, source_size, target, copies, taken and positions (an array, one for each copy).
 
@@ -77,7 +99,7 @@ def curriculum_mix(docs: DataFrame, key: Column | None = None, size: Column | No
     these are too few, so that a source misses its target by at most half of the smallest document of that cell which may be
     taken once more. No document is taken more than CAP times. Null texts have size 0, a null source is a source; documents
     without words are taken once an epoch and add nothing. Null and shared ids are allowed. Equal rows are interchangeable;
-    all rows of one id and text meet in one cell. Columns with the added names keep their values under OWN and their name.
+    where very many rows have one id and text, each gets a hash of its own (``_spread``). Columns with the added names keep their values under OWN and their name.
     """
     key = F.xxhash64("doc_id", "text") if key is None else key
     size = word_count(F.col("text")) if size is None else size
@@ -85,6 +107,7 @@ def curriculum_mix(docs: DataFrame, key: Column | None = None, size: Column | No
     kept = [c for c in docs.columns if c not in added]
     of_source = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
     rows = docs.select(F.struct(*[F.col(c) if c in kept else F.col(c).alias(OWN + c) for c in docs.columns]).alias(ROW), key.alias(HASH), size.alias(SIZE), of_source.alias(SRC))
+    rows = _spread(rows)
     by_source = rows.groupBy(SRC).agg(F.sum(SIZE).alias("source_size"), F.count(F.lit(1)).alias("n"))
     plain = F.when(F.col(SRC) != "n", F.substring(SRC, 2, 1 << 30))
     targets = source_targets(by_source.select(plain.alias("source"), SRC, "source_size", "n").select("source", "source_size"))
@@ -134,6 +157,6 @@ def training_order(mixed: DataFrame, columns: list[str], parts: int | None = Non
 
 def op2_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    lean = docs.select("doc_id", "source", word_count(F.col("text")).alias("words"), F.xxhash64("doc_id", "text").alias("key")).persist()
+    lean = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("words"), F.xxhash64("doc_id", "text").alias("key")))
     mixed = in_training_order(curriculum_mix(lean, F.col("key"), F.col("words")))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "positions")

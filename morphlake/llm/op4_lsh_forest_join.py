@@ -30,6 +30,8 @@ MARGIN = 0.2
 #: Most members, and shingles, of a block of a crowded prefix; two blocks meet in a task.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 19
 #: A row's own key, by which a class's first row is chosen: null ids last (as -1), then the id, then the text's hash.
+#: Copies of one text beyond which its rows are joined by broadcast; at most 100,000 texts have as many.
+HOT_COPIES, HOT_TEXTS = 1000, 100_000
 ROW = ("missing", "doc_id", "text_key")
 
 
@@ -335,8 +337,13 @@ def _classed(docs: DataFrame, threshold: float, target: float) -> DataFrame:
     least = classes.groupBy("root").agg(F.min("least").alias("class"), F.min("first").alias("class_first"))
     classes = classes.join(least, "root").select("rep", "class", "class_first")
     known = reps.select("k1", "k2", "rep", "least", "first", "copies").join(counted, "rep", "left").join(classes, "rep", "left")
-    known = known.select("k1", "k2", "copies", F.coalesce("class", "least").alias("class"), F.coalesce("class_first", "first").alias("first"), F.coalesce("links", F.lit(0)).alias("links"))
-    return signed.select(*ROW, "k1", "k2", "n").join(known, ["k1", "k2"], "left").drop("k1", "k2")
+    known = cut(known.select("k1", "k2", "copies", F.coalesce("class", "least").alias("class"), F.coalesce("class_first", "first").alias("first"), F.coalesce("links", F.lit(0)).alias("links")))
+    rows, most = signed.select(*ROW, "k1", "k2", "n"), max(HOT_COPIES, (known.agg(F.sum("copies")).first()[0] or 0) // HOT_TEXTS)
+    hot = F.broadcast(known.where(F.col("copies") > most))  # at most HOT_TEXTS rows
+    worded = rows.where("n > 0")
+    few = worded.join(hot.select("k1", "k2"), ["k1", "k2"], "left_anti").join(known.where(F.col("copies") <= most), ["k1", "k2"])
+    out = worded.join(hot, ["k1", "k2"]).unionByName(few)
+    return out.unionByName(rows.where("n = 0"), allowMissingColumns=True).drop("k1", "k2")
 
 
 def _in_block_pairs(rows: DataFrame) -> DataFrame:
@@ -357,7 +364,7 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     kept = found.where((F.col("n") == 0) | (F.struct(*ROW) == F.col("first"))).select(*ROW).distinct()
     apart = F.col("doc_id").isNull() & ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[0-9A-Za-z]|[^\x00-\x7F]")
     rows = _keyed(docs.where(~apart), F.struct(*docs.columns).alias("row"))
-    rows = rows.join(kept, list(ROW)).groupBy(*ROW).agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    rows = rows.groupBy(*ROW).agg(F.min_by("row", F.xxhash64("row")).alias("row")).join(kept, list(ROW))  # equal rows shrink before they are moved
     return rows.select("row.*").unionByName(docs.where(apart))
 
 
