@@ -29,6 +29,8 @@ from morphlake.llm.textblocks import counted, merged, mix, whitespace_words, wor
 DEPTH = 5
 #: Bytes of the context that a group of sequences shares, and bits that a code has below them.
 SHARED, LOW_BITS = 3, 8 * (DEPTH + 1 - 3)
+#: Sequences whose nodes a worker holds at a time, some 300 bytes each; groups of over twice as many are taken in slices.
+MOST_CODES = 1 << 18
 PIECE_BYTES, BLOCK_BYTES, FAN = 1 << 20, 32 << 20, 64
 END = np.uint64(0x5851F42D4C957F2D)
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -200,66 +202,109 @@ def _log_blocks(zeros: pd.Series, ones: pd.Series) -> pd.Series:
     return pd.Series(log_block(zeros.to_numpy(dtype=np.float64), ones.to_numpy(dtype=np.float64)))
 
 
-def _levels(codes: np.ndarray, n: np.ndarray) -> list[list[dict]]:
-    """Binary nodes of the depths DEPTH to SHARED (in this order) for each of the eight bits, from sorted codes with counts.
+def _depths(codes: np.ndarray, n: np.ndarray, last: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(items, counts, item of each item of the depth before) of the depths DEPTH to ``last``, from sorted codes with counts."""
+    out = [(codes, n.astype(np.float64), np.arange(len(codes)))]
+    for _ in range(DEPTH - last):
+        items, counts, _ = out[-1]
+        wider, to_here = np.unique(((items >> np.uint64(16)) << np.uint64(8)) | (items & np.uint64(255)), return_inverse=True)
+        out.append((wider, np.bincount(to_here, weights=counts, minlength=len(wider)), to_here))
+    return out
+
+
+def _levels(depths: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> list[dict]:
+    """Binary nodes of bit ``k`` of each of ``depths``, in this order.
 
     A node: ``of`` (node of each item of the depth), ``key`` (context and bits so far), counts, the probability ``p`` of a
     one, the log of its weighted probability ``total``, the posterior weight of its own estimate, and ``up``, its parent's node.
     """
-    out: list[list[dict]] = []
-    items, counts = codes, n.astype(np.float64)
-    to_here = np.arange(len(codes))
-    for depth in range(DEPTH, SHARED - 1, -1):
-        if depth < DEPTH:
-            wider = ((items >> np.uint64(16)) << np.uint64(8)) | (items & np.uint64(255))
-            items, to_here = np.unique(wider, return_inverse=True)
-            counts = np.bincount(to_here, weights=counts, minlength=len(items))
+    out: list[dict] = []
+    for items, counts, to_here in depths:
         context, symbol = items >> np.uint64(8), items & np.uint64(255)
-        level = []
-        for k in range(8):
-            key = (context << np.uint64(8)) | np.uint64(1 << k) | (symbol >> np.uint64(8 - k))
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            of = np.zeros(len(items), dtype=np.int64)
-            of[first[1:]] = 1
-            of = np.cumsum(of)
-            bit = (symbol >> np.uint64(7 - k)) & np.uint64(1)
-            ones = np.bincount(of, weights=counts * bit, minlength=len(first))
-            zeros = np.bincount(of, weights=counts, minlength=len(first)) - ones
-            block = log_block(zeros, ones)
-            node = {"of": of, "key": key[first], "zeros": zeros, "ones": ones, "p": (ones + 0.5) / (zeros + ones + 1), "first": first, "bit": bit}
-            if depth == DEPTH:
-                node |= {"total": block, "own": np.ones(len(first))}
-            else:
-                deeper = out[-1][k]
-                deeper["up"] = of[to_here[deeper["first"]]]
-                below = np.bincount(deeper["up"], weights=deeper["total"], minlength=len(first))
-                total = np.logaddexp(block, below) - np.log(2)
-                node |= {"total": total, "own": np.exp(block - np.log(2) - total)}
-            level.append(node)
-        out.append(level)
+        key = (context << np.uint64(8)) | np.uint64(1 << k) | (symbol >> np.uint64(8 - k))
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        of = np.zeros(len(items), dtype=np.int64)
+        of[first[1:]] = 1
+        of = np.cumsum(of)
+        bit = (symbol >> np.uint64(7 - k)) & np.uint64(1)
+        ones = np.bincount(of, weights=counts * bit, minlength=len(first))
+        zeros = np.bincount(of, weights=counts, minlength=len(first)) - ones
+        node = {"of": of, "key": key[first], "zeros": zeros, "ones": ones, "p": (ones + 0.5) / (zeros + ones + 1), "first": first, "bit": bit}
+        if not out:
+            node |= {"total": log_block(zeros, ones), "own": np.ones(len(first))}
+        else:
+            deeper = out[-1]
+            deeper["up"] = of[to_here[deeper["first"]]]
+            node |= _weighed(zeros, ones, np.bincount(deeper["up"], weights=deeper["total"], minlength=len(first)))
+        out.append(node)
     return out
 
 
+def _weighed(zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> dict[str, np.ndarray]:
+    """Log weighted probability of nodes, and the weight of their own estimate, from what lies below them."""
+    block = log_block(zeros, ones)
+    total = np.logaddexp(block, below) - np.log(2)
+    return {"total": total, "own": np.exp(block - np.log(2) - total)}
+
+
 def _codes_of(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Codes and counts of several groups, sorted, and the numbers of codes of each group in this order."""
     parts = [_keys(BYTES, g, k) for g, k in zip(pdf["grp"].tolist(), pdf["keys"], strict=True)]
     return np.concatenate(parts), np.concatenate([np.frombuffer(b, dtype=np.int64) for b in pdf["n"]]), np.array([len(p) for p in parts])
 
 
-def _few_codes(batches: Iterator[pd.DataFrame], most: int = 1 << 18) -> Iterator[pd.DataFrame]:
-    """Rows in order of ``grp``, in frames of about ``most`` codes."""
+def _few_codes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows in order of ``grp``, in frames of about MOST_CODES codes; a group of more is a frame of its own."""
     for pdf in batches:
         pdf = pdf.sort_values("grp", kind="stable", ignore_index=True)
-        step = (pdf["keys"].map(len).cumsum() // (4 * most)).to_numpy()
+        step = (pdf["keys"].map(len).cumsum() // (4 * MOST_CODES)).to_numpy()
         for s in np.unique(step):
-            yield pdf[step == s].reset_index(drop=True)
+            frame = pdf[step == s]
+            large = (frame["keys"].map(len) > 4 * MOST_CODES).to_numpy()
+            if not large.all() and len(frame) - large.sum():
+                yield frame[~large].reset_index(drop=True)
+            for i in np.flatnonzero(large):
+                yield frame.iloc[i : i + 1].reset_index(drop=True)
+
+
+def _slices(codes: np.ndarray) -> list[tuple[int, int]]:
+    """Where to cut sorted codes so that no node deeper than SHARED bytes is cut: one slice, or for many codes one for about MOST_CODES, between fourth bytes."""
+    if len(codes) <= 2 * MOST_CODES:
+        return [(0, len(codes))]
+    fourth = codes >> np.uint64(8 * (DEPTH - SHARED))
+    starts = np.flatnonzero(np.concatenate([[True], fourth[1:] != fourth[:-1]]))
+    kept = [0]
+    for a, b in zip(starts, [*starts[1:], len(codes)], strict=True):
+        if b - kept[-1] > MOST_CODES and a > kept[-1]:
+            kept.append(int(a))
+    return list(zip(kept, [*kept[1:], len(codes)], strict=True))
+
+
+def _top_nodes(codes: np.ndarray, n: np.ndarray) -> Iterator[dict]:
+    """The nodes of depth SHARED for each of the eight bits. Many codes are taken slice by slice, and their nodes summed."""
+    slices = _slices(codes)
+    if len(slices) == 1:
+        depths = _depths(codes, n, SHARED)
+        yield from (_levels(depths, k)[-1] for k in range(8))
+        return
+    parts: list[list[tuple[np.ndarray, ...]]] = [[] for _ in range(8)]
+    for a, b in slices:
+        depths = _depths(codes[a:b], n[a:b], SHARED)
+        for k in range(8):
+            nodes = _levels(depths, k)
+            below = np.bincount(nodes[-2]["up"], weights=nodes[-2]["total"], minlength=len(nodes[-1]["key"]))
+            parts[k].append((nodes[-1]["key"], nodes[-1]["zeros"], nodes[-1]["ones"], below))
+    for k in range(8):
+        keys, at = np.unique(np.concatenate([p[0] for p in parts[k]]), return_inverse=True)
+        zeros, ones, below = (np.bincount(at, weights=np.concatenate([p[i] for p in parts[k]]), minlength=len(keys)) for i in (1, 2, 3))
+        yield {"key": keys, "zeros": zeros, "ones": ones, "p": (ones + 0.5) / (zeros + ones + 1), **_weighed(zeros, ones, below)}
 
 
 def _shared_nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Of the nodes of depth SHARED, summed by the context one byte shorter: zeros, ones, log weighted probability."""
     for pdf in _few_codes(batches):
         codes, n, _ = _codes_of(pdf)
-        for node in _levels(codes, n)[-1]:
+        for node in _top_nodes(codes, n):
             short = ((node["key"] >> np.uint64(16)) << np.uint64(8)) | (node["key"] & np.uint64(255))
             keys, at = np.unique(short, return_inverse=True)
             sums = {c: np.bincount(at, weights=node[c], minlength=len(keys)) for c in ("zeros", "ones", "total")}
@@ -275,19 +320,23 @@ def _values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = np.repeat(above["context"].to_numpy().astype(np.uint64), lengths) << np.uint64(8) | np.concatenate(above["nodes"].tolist()).astype(np.uint64)
         order = np.argsort(known)
         known, q0, r0 = known[order], np.concatenate(above["q"].tolist())[order], np.concatenate(above["r"].tolist())[order]
-        levels = _levels(codes, n)
-        logs = np.zeros(len(codes))
-        for k in range(8):
-            top = levels[-1][k]
-            at = np.searchsorted(known, ((top["key"] >> np.uint64(16)) << np.uint64(8)) | (top["key"] & np.uint64(255)))
-            q, r = q0[at], r0[at]
-            for level in reversed(levels):
-                node = level[k]
-                if level is not levels[-1]:
-                    q, r = q[node["up"]], r[node["up"]]
-                q, r = q + r * node["own"] * node["p"], r * (1 - node["own"])
-            one = q[levels[0][k]["of"]]
-            logs += np.log10(np.where(levels[0][k]["bit"] == 1, one, 1 - one))
+        slices, logs = _slices(codes), np.zeros(len(codes))
+        tops = list(_top_nodes(codes, n)) if len(slices) > 1 else None
+        for a, b in slices:
+            depths = _depths(codes[a:b], n[a:b], SHARED)
+            for k in range(8):
+                levels = _levels(depths, k)
+                if tops:  # a slice has only its part of the nodes it shares
+                    whole = np.searchsorted(tops[k]["key"], levels[-1]["key"])
+                    levels[-1] |= {c: tops[k][c][whole] for c in ("p", "own")}
+                at = np.searchsorted(known, ((levels[-1]["key"] >> np.uint64(16)) << np.uint64(8)) | (levels[-1]["key"] & np.uint64(255)))
+                q, r = q0[at], r0[at]
+                for node in reversed(levels):
+                    if node is not levels[-1]:
+                        q, r = q[node["up"]], r[node["up"]]
+                    q, r = q + r * node["own"] * node["p"], r * (1 - node["own"])
+                one = q[levels[0]["of"]]
+                logs[a:b] += np.log10(np.where(levels[0]["bit"] == 1, one, 1 - one))
         ends = np.cumsum(sizes).tolist()
         yield pd.DataFrame({"grp": pdf["grp"], "keys": pdf["keys"], "n": [logs[a:b].tobytes() for a, b in zip([0, *ends], ends, strict=False)]})
 
@@ -295,7 +344,8 @@ def _values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def context_tree(grams: DataFrame) -> DataFrame:
     """(grp, keys, n): the log10 probabilities (doubles, in n) of all byte sequences in ``grams`` (grp, keys, n: counts).
 
-    A group's rows are one; it has at most 2 ** LOW_BITS sequences. Above SHARED bytes of context the nodes are rows: at
+    A group's rows are one; it has at most 2 ** LOW_BITS sequences, 16 bytes each, whose nodes are made for MOST_CODES at a
+    time and for one bit after another. Above SHARED bytes of context the nodes are rows: at
     most 255 for each of 65,536 contexts of two bytes, 256 of one byte, and the root.
     """
     two = grams.mapInPandas(_shared_nodes, "context long, node int, zeros double, ones double, total double")

@@ -2,10 +2,13 @@
 
 import collections
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from morphlake.llm import op2_curriculum_mix as op2
 from morphlake.llm import op4_lsh_forest_join as op4
+from morphlake.llm import op9_context_tree_weighting as op9
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -38,3 +41,22 @@ def test_copies_beyond_the_limit_are_joined_by_broadcast(spark, monkeypatch):
     alone = op4.jaccard_join(docs_of(spark, rows)).where("n_shingles = 0").collect()
     assert len(alone) == 60 and all((r.class_id, r.n_links, r.n_copies) == (r.doc_id, 0, 1) for r in alone)
     assert sorted(r.doc_id for r in op4.one_of_each_group(docs_of(spark, rows)).collect()) == [*range(60), 90, 91]
+
+
+def test_a_group_of_many_sequences_is_taken_in_slices(monkeypatch):
+    rng = np.random.default_rng(4)
+    group = 0x616263
+    low = np.unique(rng.integers(0, 40, 9000).astype(np.uint32) * 65536 + rng.integers(0, 256, 9000).astype(np.uint32) * 256 + rng.integers(97, 110, 9000).astype(np.uint32))
+    row = {"grp": [group], "keys": [low.tobytes()], "n": [rng.integers(0, 5, len(low)).astype(np.int64).tobytes()], "context": [group >> 8], "nodes": [np.arange(1, 256)], "q": [rng.random(255) / 2], "r": [np.full(255, 0.4)]}
+    frame = pd.DataFrame(row)
+
+    def results():
+        sums = pd.concat(op9._shared_nodes(iter([frame]))).sort_values(["context", "node"], ignore_index=True)
+        return sums, np.frombuffer(pd.concat(op9._values(iter([frame])))["n"].iloc[0])
+
+    sums, values = results()
+    monkeypatch.setattr(op9, "MOST_CODES", 700)
+    codes, _, _ = op9._codes_of(frame)
+    assert len(op9._slices(codes)) > 5
+    sliced, again = results()
+    assert np.allclose(values, again, rtol=1e-12, atol=1e-12) and np.allclose(sums.to_numpy(dtype=float), sliced.to_numpy(dtype=float), rtol=1e-12)
