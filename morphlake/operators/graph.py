@@ -1,13 +1,14 @@
-"""Iterative relational operators: components, chains, and greedy suppression in rounds."""
+"""Iterative relational operators: components, chains, and greedy suppression in rounds of tiles."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from morphlake.operators.neighbors import self_pairs
 from morphlake.operators.numbering import packed
 from morphlake.sources.storage import cut
 
@@ -72,32 +73,86 @@ def chain_roots(steps: DataFrame, rounds: int = 40) -> DataFrame:
     raise RuntimeError(f"chains have not ended in {rounds} rounds")
 
 
-def suppress_min_distance(points: DataFrame, group: str, order: Sequence[Column], distance: float, closed: bool = False, rounds: int = 200) -> DataFrame:
-    """Points kept by a greedy pass in ``order`` that drops points nearer than ``distance`` to a kept one.
-
-    closed: points exactly at the distance go too. In each round all points that come before every undecided neighbour
-    are kept and their neighbours dropped, which gives the result of the one-by-one pass. A round carries on only the edges
-    between points that are still undecided.
-    points: group, id, x, y and what the order needs; id must be unique within its group.
+#: Points of a tile, its margin apart, that one task decides at a time; side of a tile where fewer are in it.
+TILE_POINTS, TILE_SIDE = 20_000, 4096.0
+
+
+def _near_lists(x: np.ndarray, y: np.ndarray, distance: float, closed: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For points in order: the earlier points near each, one after another, and where each point's begin."""
+    by_x = np.argsort(x, kind="stable")
+    low, high = np.searchsorted(x[by_x], x - distance, "left"), np.searchsorted(x[by_x], x + distance, "right")
+    who, earlier = [], []
+    for a in range(0, len(x), 1024):
+        n = high[a : a + 1024] - low[a : a + 1024]
+        i = np.repeat(np.arange(a, a + len(n)), n)
+        j = by_x[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[a : a + 1024], n)]
+        d2 = (x[i] - x[j]) ** 2 + (y[i] - y[j]) ** 2
+        hit = (j < i) & ((d2 <= distance * distance) if closed else (d2 < distance * distance))
+        who.append(i[hit])
+        earlier.append(j[hit])
+    who, earlier = (np.concatenate(v) if v else np.zeros(0, dtype=np.int64) for v in (who, earlier))
+    return earlier, np.searchsorted(who, np.arange(len(x) + 1))
+
+
+def decide(x: np.ndarray, y: np.ndarray, state: np.ndarray, own: np.ndarray, distance: float, closed: bool) -> np.ndarray:
+    """States (1 kept, -1 dropped, 0 open) of points in order, as far as what is near them tells: a point goes where an
+    earlier one near it is kept, and stays where all earlier ones near it go; one that isn't ``own`` may have others near it."""
+    earlier, start = _near_lists(x, y, distance, closed)
+    now, near = state.tolist(), earlier.tolist()
+    for i in range(len(now)):
+        if now[i] == 0:
+            states = [now[j] for j in near[start[i] : start[i + 1]]]
+            now[i] = -1 if 1 in states else 1 if own[i] and 0 not in states else 0
+    return np.array(now, dtype=np.int64)
+
+
+def suppress_min_distance(points: DataFrame, group: str, order: Sequence[Column], distance: float, closed: bool = False, side: float = TILE_SIDE) -> DataFrame:
+    """Points kept by a greedy pass in ``order`` (then by id) that drops points nearer than ``distance`` to a kept one.
+
+    closed: points exactly at the distance go too. A task has the points of a tile and of a margin as wide as the distance,
+    and decides in order whatever these tell; points that depend on others beyond are left open for the next round, whose
+    tiles are shifted by half. Each round decides the first open point of every group at least, so there is no limit of
+    rounds; their number grows with the tiles that a chain of dependent points crosses, not with its points. Tiles are halved
+    until none has more than TILE_POINTS points or they are four distances wide. points: group, id, x, y and what the order
+    needs; id must be unique within its group.
     """
-    ranked = points.withColumn("__rank", F.row_number().over(Window.partitionBy(group).orderBy(*order, F.asc("id"))))
-    near = self_pairs(points, group, distance)
-    near = near if closed else near.where(F.col("d2") < distance * distance)
-    rank = ranked.select(group, "id", "__rank")
-    edges = near.join(rank.select(group, F.col("id").alias("a"), F.col("__rank").alias("ra")), [group, "a"]).join(rank.select(group, F.col("id").alias("b"), F.col("__rank").alias("rb")), [group, "b"])
-    edges = cut(edges.where("rb < ra").select(group, F.col("ra").alias("later"), F.col("rb").alias("earlier")))
-    open_, kept = cut(rank.select(group, F.col("__rank").alias("r"))), None
-    later, earlier = (lambda f, c=c: f.select(group, F.col("r").alias(c)) for c in ("later", "earlier"))
-    for _ in range(rounds):
-        winners = open_.join(edges.select(group, F.col("later").alias("r")).distinct(), [group, "r"], "left_anti").withColumn("state", F.lit(1))
-        gone = edges.join(earlier(winners), [group, "earlier"], "left_semi").select(group, F.col("later").alias("r")).distinct().withColumn("state", F.lit(-1))
-        marks = cut(open_.join(winners.unionByName(gone), [group, "r"], "left"))
-        kept = marks.where("state = 1") if kept is None else kept.unionByName(marks.where("state = 1"))
-        open_ = marks.where("state is null").select(group, "r")
-        if not open_.limit(1).count():
-            return ranked.join(kept.select(group, F.col("r").alias("__rank")), [group, "__rank"], "left_semi").drop("__rank")
-        edges = cut(edges.join(later(open_), [group, "later"], "left_semi").join(earlier(open_), [group, "earlier"], "left_semi"))
-    raise RuntimeError(f"suppression has not ended in {rounds} rounds")
+    names = points.columns
+    open_ = cut(points.withColumn("__state", F.lit(0)))
+
+    def tiles(shift: float) -> list[Column]:
+        return [F.floor((F.col(c) + shift) / side).alias(f"__t{c}") for c in "xy"]
+
+    while side > 4 * distance and (open_.groupBy(group, *tiles(0.0)).count().agg(F.max("count")).first()[0] or 0) > TILE_POINTS:
+        side /= 2
+    kind = points.schema[group].dataType.simpleString()
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, out = batch.column("members"), []
+            offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            flat = lists.flatten()
+            x, y, state, own = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y", "state", "own"))
+            for a, b in zip(offsets, offsets[1:], strict=False):
+                out.append(decide(x[a:b], y[a:b], state[a:b], own[a:b], distance, closed))
+            new = np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
+            told = np.flatnonzero(own & (state == 0))
+            of = np.repeat(np.arange(batch.num_rows), np.diff(offsets))[told]
+            yield pa.RecordBatch.from_arrays([batch.column(group).take(pa.array(of, pa.int64())), flat.field("id").take(pa.array(told, pa.int64())), pa.array(new[told])], names=[group, "id", "__new"])
+
+    turn = 0
+    while open_.where("__state = 0").limit(1).count():
+        shift = side / 2 * (turn % 2)
+        near = lambda c: F.explode(F.sequence(F.floor((F.col(c) + (shift - distance)) / side), F.floor((F.col(c) + (shift + distance)) / side)))  # noqa: B023, E731
+        spread = open_.select("*", *tiles(shift)).select("*", near("x").alias("__bx")).select("*", near("y").alias("__by"))
+        tile = Window.partitionBy(group, "__bx", "__by")
+        ranked = spread.withColumn("__rank", F.row_number().over(tile.orderBy(*order, F.asc("id"))))
+        member = F.struct("__rank", "id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("__state").cast("bigint").alias("state"), ((F.col("__tx") == F.col("__bx")) & (F.col("__ty") == F.col("__by"))).alias("own"))
+        lists = ranked.groupBy(group, "__bx", "__by").agg(F.array_sort(F.collect_list(member)).alias("members"), F.bool_or(F.col("__state") == 0).alias("open")).where("open")
+        told = lists.select(group, "members").mapInArrow(solve, f"`{group}` {kind}, id {points.schema['id'].dataType.simpleString()}, __new long")
+        state = F.coalesce(F.col("__new"), F.col("__state").cast("bigint")).cast("int")
+        open_ = cut(open_.join(told, [group, "id"], "left").withColumn("__state", state).where("__state >= 0").select(*names, "__state"))
+        turn += 1
+    return open_.select(*names)
 
 
 def merge_candidates(points: DataFrame, group: str, tolerance: float) -> DataFrame:

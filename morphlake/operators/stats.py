@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -143,6 +143,131 @@ def design_columns(rows: DataFrame, terms: Sequence[str | tuple[str, ...]], most
     return used.withColumns({n: c for n, (_, c) in zip(names, columns, strict=True)}), names, [n for n, _ in columns]
 
 
+#: Innermost clusters that the driver evaluates itself; beyond it each step of the search is a Spark job over them.
+MOST_CLUSTERS = 100_000
+
+
+def _cluster_terms(clusters: pd.DataFrame, keys: Sequence[str], points: np.ndarray, width: int) -> list[np.ndarray]:
+    """For each point of variance ratios (one a level, outermost first): what the clusters take from X'X, and the log determinant last.
+
+    clusters: a row for each innermost cluster, in order of its keys, with its rows ``n`` and the sums of all columns. A
+    level's covariance is that of the levels inside it plus a constant on the whole block, so its inverse only takes one
+    outer product a block: that of the block's sums, each shrunk by the levels inside.
+    """
+    code = [pd.factorize(pd.MultiIndex.from_frame(clusters[list(keys[: k + 1])]))[0] for k in range(len(keys))]
+    base, rows = clusters[[f"s{i}" for i in range(width)]].to_numpy(dtype=float), clusters["n"].to_numpy(dtype=float)
+    out = []
+    for ratios in points:
+        sums, weight, taken, determinant, of = base, rows, np.zeros((width, width)), 0.0, code[-1]
+        for level in range(len(keys) - 1, -1, -1):
+            shrink = 1.0 / (1.0 + ratios[level] * weight)
+            taken += (sums * (ratios[level] * shrink)[:, None]).T @ sums
+            determinant += float(np.log1p(ratios[level] * weight).sum())
+            sums, weight = sums * shrink[:, None], weight * shrink
+            if level and len(sums):
+                first = np.flatnonzero(np.concatenate([[True], np.diff(of) != 0])) if level == len(keys) - 1 else first
+                parent = code[level - 1][first]
+                starts = np.flatnonzero(np.concatenate([[True], np.diff(parent) != 0]))
+                sums, weight, first = np.add.reduceat(sums, starts), np.add.reduceat(weight, starts), first[starts]
+        out.append(np.concatenate([taken.reshape(-1), [determinant]]))
+    return out
+
+
+def nested_model(rows: DataFrame, terms: Sequence[str | tuple[str, ...]], outcome: str, group: str, nested: Sequence[str]) -> DataFrame:
+    """As ``mixed_model``, with an intercept also for each cluster of ``nested`` within the levels before it: outcome ~ terms + (1 | group/nested...).
+
+    The variances follow the terms: group_variance, one named after each nested column, residual_variance. Spark sums the
+    columns of each innermost cluster; the likelihood of any variance ratios comes from these sums by a block inverse, level
+    by level. The ratios are sought on a narrowing grid, all levels together. A level that the level outside it or the rows
+    already tell apart raises ValueError, as what ``mixed_model`` refuses does.
+    """
+    keys = [group, *nested]
+    frame, columns, labels = design_columns(rows, terms)
+    frame = cut(frame.select(*[F.col(k).cast("string").alias(k) for k in keys], F.col(outcome).cast("double").alias("__y"), *columns).dropna())
+    values, p = [*columns, "__y"], len(columns)
+    pairs = [(i, j) for i in range(p + 1) for j in range(i, p + 1)]
+    total = frame.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(values[i]) * F.col(values[j])).alias(f"x{i}_{j}") for i, j in pairs]).first()
+    clusters = frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(values)])
+    clusters = cut(clusters.repartition(group).sortWithinPartitions(*keys))
+    sizes = [frame.select(*keys[: k + 1]).distinct().count() for k in range(len(keys))]
+    n, width = float(total["n"]), p + 1
+    if sizes[0] < 2:
+        raise ValueError("a mixed model needs two groups at least")
+    for name, outer, inner in zip(keys[1:], sizes, sizes[1:], strict=False):
+        if inner == outer or inner == n:
+            raise ValueError(f"{name} has no variance of its own")
+    whole = np.zeros((width, width))
+    for i, j in pairs:
+        whole[i, j] = whole[j, i] = float(total[f"x{i}_{j}"] or 0.0)
+    if np.linalg.matrix_rank(whole[:p, :p], hermitian=True) < p:
+        raise ValueError("the terms depend on each other")
+    local = clusters.toPandas().sort_values(keys, ignore_index=True) if sizes[-1] <= MOST_CLUSTERS else None
+
+    def evaluated(points: np.ndarray) -> list[np.ndarray]:
+        if local is not None:
+            return _cluster_terms(local, keys, points, width)
+
+        def terms_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held = pd.concat(list(batches), ignore_index=True)  # sums of a partition's clusters
+            for number, value in enumerate(_cluster_terms(held, keys, points, width)):
+                yield pd.DataFrame({"point": number, "at": np.arange(len(value)), "value": value})
+
+        found = clusters.mapInPandas(terms_of, "point int, at int, value double").groupBy("point", "at").agg(F.sum("value").alias("value")).toPandas().sort_values(["point", "at"])
+        return list(found["value"].to_numpy().reshape(len(points), -1))
+
+    def likelihood(term: np.ndarray) -> tuple[float, np.ndarray, float, np.ndarray]:
+        m = whole - term[:-1].reshape(width, width)
+        beta = np.linalg.solve(m[:p, :p], m[:p, p])
+        variance = max(m[p, p] - beta @ m[:p, p], 0.0) / n
+        if variance <= 1e-12:
+            raise ValueError("the outcome has no variance beyond the terms")
+        return -0.5 * (n * math.log(2 * math.pi * variance) + n + term[-1]), beta, variance, m
+
+    centre, reach = np.full(len(keys), -2.0), 10.0
+    while reach > 1e-6:
+        points = np.exp(np.array(list(itertools.product(*[c + reach * np.linspace(-1, 1, 5) for c in centre]))))
+        scores = [likelihood(t)[0] for t in evaluated(points)]
+        centre, reach = np.log(points[int(np.argmax(scores))]), reach * 0.55
+    choices = np.array(list(itertools.product(*[(math.exp(c), 0.0) for c in centre])))  # a level whose variance is better left out has none
+    fits = [likelihood(t) for t in evaluated(choices)]
+    best = max(range(len(fits)), key=lambda k: (round(fits[k][0], 9), -int((choices[k] > 0).sum())))
+    _, beta, variance, m = fits[best]
+    names = ["group_variance", *[f"{k}_variance" for k in nested], "residual_variance"]
+    return _coefficients(rows, labels, beta, m[:p, :p], variance, list(zip(names, [*(choices[best] * variance), variance], strict=True)))
+
+
+def mixed_model_ladder(rows: DataFrame, terms: Sequence[str | tuple[str, ...]], outcome: str, group: str, nested: Sequence[str]) -> tuple[DataFrame, list[str], list[str]]:
+    """(model, nested columns it has, why fuller ones failed): the fullest model that can be fitted.
+
+    All of ``nested`` are tried, then without the last, then without the first, then none; where the model with a group's
+    intercept alone fails too, its ValueError is raised.
+    """
+    rungs = [list(nested), list(nested[:-1]), list(nested[1:]), []]
+    reasons: list[str] = []
+    for number, rung in enumerate(rungs):
+        if rung in rungs[:number]:
+            continue
+        try:
+            return (nested_model(rows, terms, outcome, group, rung) if rung else mixed_model(rows, terms, outcome, group)), rung, reasons
+        except (ValueError, np.linalg.LinAlgError) as failure:
+            if not rung:
+                raise
+            reasons.append(str(failure))
+    raise AssertionError("the last rung returns or raises")
+
+
+def _coefficients(rows: DataFrame, labels: Sequence[str], beta: np.ndarray, information: np.ndarray, variance: float, variances: Sequence[tuple[str, float]]) -> DataFrame:
+    errors = np.sqrt(np.diag(np.linalg.inv(information)) * variance)
+    if not (np.isfinite(beta).all() and np.isfinite(errors).all() and (errors > 0).all()):
+        raise ValueError("the fit has coefficients that aren't finite")
+    reach = 1.959963984540054 * errors
+    fixed = [(i, t, float(b), float(s), float(b / s), tails.normal_two_sided(float(b / s)), float(b - r), float(b + r)) for i, (t, b, s, r) in enumerate(zip(labels, beta, errors, reach, strict=True))]
+    schema = "term string, estimate double, se double, z double, p double, low double, high double"
+    adjusted = fdr_bh(rows.sparkSession.createDataFrame(fixed, "i int, " + schema).withColumn("f", F.lit(1)), ["f"], "p", "i").drop("f", "i")
+    last = [(name, float(v), None, None, None, None, None) for name, v in variances]
+    return adjusted.unionByName(rows.sparkSession.createDataFrame(last, schema).withColumn("p_fdr", F.lit(None).cast("double")))
+
+
 def mixed_model(rows: DataFrame, terms: Sequence[str | tuple[str, ...]], outcome: str, group: str) -> DataFrame:
     """Maximum likelihood of outcome ~ terms + (1 | group): term, estimate, se, z, p, low, high, p_fdr, then both variances.
 
@@ -184,15 +309,7 @@ def mixed_model(rows: DataFrame, terms: Sequence[str | tuple[str, ...]], outcome
     ratio = math.exp((low + high) / 2)
     ratio = ratio if fit(ratio)[0] > fit(0.0)[0] else 0.0
     _, beta, variance, m = fit(ratio)
-    errors = np.sqrt(np.diag(np.linalg.inv(m[:p, :p])) * variance)
-    if not (np.isfinite(beta).all() and np.isfinite(errors).all() and (errors > 0).all()):
-        raise ValueError("the fit has coefficients that aren't finite")
-    reach = 1.959963984540054 * errors
-    fixed = [(i, t, float(b), float(s), float(b / s), tails.normal_two_sided(float(b / s)), float(b - r), float(b + r)) for i, (t, b, s, r) in enumerate(zip(labels, beta, errors, reach, strict=True))]
-    schema = "term string, estimate double, se double, z double, p double, low double, high double"
-    adjusted = fdr_bh(rows.sparkSession.createDataFrame(fixed, "i int, " + schema).withColumn("f", F.lit(1)), ["f"], "p", "i").drop("f", "i")
-    variances = [(name, float(v), None, None, None, None, None) for name, v in (("group_variance", ratio * variance), ("residual_variance", variance))]
-    return adjusted.unionByName(rows.sparkSession.createDataFrame(variances, schema).withColumn("p_fdr", F.lit(None).cast("double")))
+    return _coefficients(rows, labels, beta, m[:p, :p], variance, [("group_variance", ratio * variance), ("residual_variance", variance)])
 
 
 def run_statistics(samples: DataFrame, outcome: str, eligible: bool, mode: str = "auto") -> DataFrame:
@@ -208,11 +325,11 @@ def run_statistics(samples: DataFrame, outcome: str, eligible: bool, mode: str =
 
 
 def study_statistics(
-    samples: DataFrame, outcome: str, eligible: bool, terms: Sequence[str | tuple[str, ...]], group: str = "animal_id", by: Sequence[str] = (), mode: str = "auto"
+    samples: DataFrame, outcome: str, eligible: bool, terms: Sequence[str | tuple[str, ...]], group: str = "animal_id", by: Sequence[str] = (), mode: str = "auto", nested: Sequence[str] = ()
 ) -> tuple[DataFrame, DataFrame]:
     """(decision, results): runs the analysis that ``run_statistics`` names.
 
-    Mixed: the model of ``terms``. Simple: the two-group tests, in each group of ``by``, p-values adjusted over all of them.
+    Mixed: the model of ``terms``, with intercepts of ``nested`` as far as they can be fitted. Simple: the two-group tests, in each group of ``by``, p-values adjusted over all of them.
     In mode auto a model that can't be fitted falls back to the simple tests, and the decision's ``fallback`` says why; in
     mode mixed it raises. Where no simple test can be made, ``selected`` is none and the results are empty.
     """
@@ -220,7 +337,7 @@ def study_statistics(
     selected, fallback, results = decision["selected"], None, None
     if selected == "mixed":
         try:
-            fit = mixed_model(samples, terms, outcome, group)
+            fit, _, _ = mixed_model_ladder(samples, terms, outcome, group, nested)
             results = fit.select(F.lit("mixed").alias("model"), "term", "estimate", F.col("z").alias("statistic"), "p", "p_fdr")
         except (ValueError, np.linalg.LinAlgError) as failure:
             if mode == "mixed":
