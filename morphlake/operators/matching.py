@@ -127,7 +127,14 @@ def unmatched(rows: DataFrame, matches: DataFrame, keys: Sequence[str], side: st
     return rows.join(matches.select(*keys, F.col(side).alias("id")), [*keys, "id"], "left_anti")
 
 
-def curation_delta(first: DataFrame, final: DataFrame, keys: Sequence[str], tolerance: float) -> DataFrame:
-    """Points added, deleted and left between two versions of a point set."""
-    m = match_metrics(first, final, point_match(first, final, keys), keys, [tolerance])
+def mutual_nearest(near: DataFrame, group: str) -> DataFrame:
+    """(group, a, b, d) of candidate pairs (group, a, b, d2) that are each other's nearest, ties to the smaller id: a matching without a solver."""
+    first = near.groupBy(group, "a").agg(F.min(F.struct("d2", "b")).alias("m")).select(group, "a", "m.b", "m.d2")
+    second = near.groupBy(group, "b").agg(F.min(F.struct("d2", "a")).alias("m")).select(group, "m.a", "b")
+    return first.join(second, [group, "a", "b"]).select(group, "a", "b", F.sqrt("d2").alias("d"))
+
+
+def curation_delta(first: DataFrame, final: DataFrame, keys: Sequence[str], tolerance: float, matches: DataFrame | None = None) -> DataFrame:
+    """Points added, deleted and left between two versions of a point set, by ``matches`` or the assignment of least total distance."""
+    m = match_metrics(first, final, point_match(first, final, keys) if matches is None else matches, keys, [tolerance])
     return m.select(*keys, F.col("fp").alias("added"), F.col("fn").alias("deleted"), F.col("n_found").alias("final"))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from morphlake.operators import geometry, graph, matching, pixels, rules, track
+from morphlake.operators.neighbors import near_pairs
 from morphlake.plans import region_queries as rq
 from morphlake.sources import bindings as b
 from morphlake.sources.bindings import with_tables
+from morphlake.sources.storage import cut
 
 R = lambda c, n=6: F.round(c, n).alias(c)
 
@@ -225,14 +227,84 @@ def _track_points(spark, d):
     return rq._points(spark, d).select("image_no", "id", "x", "y")
 
 
+def _given(spark, d):
+    """Matches of consecutive samples that SQL can tell as well: pairs within 20 px that are each other's nearest."""
+    before, after = track._sides(_pairs(spark, d), _track_points(spark, d))
+    return matching.mutual_nearest(near_pairs(before, after, "pair", 20.0), "pair")
+
+
+def k3_given_matches(spark, d):
+    q = track.pair_qc(_pairs(spark, d), _given(spark, d))
+    return q.select("sample_id", "prev_sample_id", "n_matched", R("matched_fraction"), R("mean_d"), R("median_d"), "unmatched_prev", "unmatched_cur")
+
+
+def k4_given_matches(spark, d):
+    return track.track_ids(b.manifest(spark, d), _track_points(spark, d), _given(spark, d)).select("sample_id", "object_id", "track_id", R("displacement"))
+
+
+def k5_given_modes(spark, d):
+    pairs = _pairs(spark, d)
+    shifts = track.estimate_shift(pairs, _track_points(spark, d), 30.0)
+    used = shifts.withColumn("used", F.when(F.col("dx").isNull(), "fallback_missing").when(F.col("pair") % 3 > 0, "registered").otherwise("fallback_no_improvement"))
+    return track.common_frame(pairs, used).select("sample_id", "segment", R("offset_x"), R("offset_y"))
+
+
+def k6_given_matches(spark, d):
+    matches = cut(_given(spark, d))
+    t = track.track_summary(track.track_ids(b.manifest(spark, d), _track_points(spark, d), matches), track.pair_qc(_pairs(spark, d), matches))
+    return t.select("animal_id", "eye", "n_tracks", "n_observations", "n_pairs", R("mean_displacement"), R("mean_matched_fraction"))
+
+
+def _given_sets(spark, d):
+    truth, found = _sets(spark, d)
+    return truth, found, matching.mutual_nearest(near_pairs(truth, found, "roi_id", 12.0), "roi_id")
+
+
+def b1_given_matches(spark, d):
+    return matching.match_metrics(*_given_sets(spark, d), ["roi_id"], [2.0, 8.0]).select("roi_id", "tolerance", "tp", "fp", "fn", R("precision"), R("recall"), R("f1"), "count_bias", "count_abs", R("mean_distance"))
+
+
+def b2_given_matches(spark, d):
+    m = matching.match_metrics(*_given_sets(spark, d), ["roi_id"], [1.0, 6.0, 10.0])
+    return m.groupBy("tolerance").agg(*[F.round(F.avg(c), 6).alias(f"mean_{c}") for c in ("precision", "recall", "f1")])
+
+
+def j23_given_matches(spark, d):
+    truth, _, matches = _given_sets(spark, d)
+    return matching.unmatched(truth.select("roi_id", "id", "x", "y"), matches.where("d <= 8"), ["roi_id"], "a")
+
+
+def b12_given_matches(spark, d):
+    truth, found, matches = _given_sets(spark, d)
+    return matching.curation_delta(truth, found, ["roi_id"], 8.0, matches)
+
+
+_CONSECUTIVE = """oc as (select image_no as sample_id, count(*) as n from objects group by 1), mp as (select m.*, lag(m.sample_id) over w as prev, coalesce(n, 0) as n_cur, lag(coalesce(n, 0)) over w as n_prev from manifest m left join oc using (sample_id) window w as (partition by animal_id, eye order by timepoint_dpi, m.sample_id)),
+ op as (select image_no, object_id as id, centroid_x_px as x, centroid_y_px as y from objects)"""
+_NEARBY = ", nr as (select mp.sample_id as pair, a.id as a, b.id as b, (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) as d2, a.x-b.x as mx, a.y-b.y as my from mp join op a on a.image_no = mp.prev join op b on b.image_no = mp.sample_id where (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) <= {0}*{0})"
+_MUTUAL = ", mu as (select {0}, a, b, sqrt(d2) as d from (select *, row_number() over (partition by {0}, a order by d2, b) as ra, row_number() over (partition by {0}, b order by d2, a) as rb from nr) where ra = 1 and rb = 1)"
+_QC = ", qc as (select animal_id, eye, mp.sample_id, prev as prev_sample_id, n_cur, n_prev, coalesce(k, 0) as n_matched, mean_d, median_d, case when least(n_prev, n_cur) > 0 then coalesce(k, 0) / least(n_prev, n_cur) end as fraction from mp left join (select pair, count(*) as k, avg(d) as mean_d, median(d) as median_d from mu group by 1) g on g.pair = mp.sample_id where prev is not null)"
+_TRACKS = """, st as (select op.image_no as sample_id, op.id as object_id, mp.prev, mu.a, mu.d, animal_id, eye, timepoint_dpi from op join mp on mp.sample_id = op.image_no left join mu on mu.pair = op.image_no and mu.b = op.id),
+ bg as (select *, row_number() over (order by animal_id, eye, timepoint_dpi, sample_id, object_id) as track_id from st where a is null),
+ tr as (select sample_id, object_id, track_id from bg union all select st.sample_id, st.object_id, tr.track_id from tr join st on st.prev = tr.sample_id and st.a = tr.object_id)"""
+_SHIFT = """, bn as (select pair, cast(floor(mx/2) as bigint) as ux, cast(floor(my/2) as bigint) as uy, count(*) as votes, avg(mx) as dx, avg(my) as dy from nr group by 1, 2, 3),
+ bs as (select pair, dx, dy, votes from (select *, row_number() over (partition by pair order by votes desc, abs(ux) + abs(uy), ux desc, uy desc) as k from bn) where k = 1),
+ sh as (select mp.sample_id as pair, dx, dy, votes, case when votes is null then 'missing' else 'estimated' end as status from mp left join bs on bs.pair = mp.sample_id where prev is not null)"""
+_ROI_SETS = """ins as (select r.roi_id, o.object_id as id, o.centroid_x_px - r.x0 as x, o.centroid_y_px - r.y0 as y, kept, l_discount from objects o join rois r on r.image_no = o.image_no and o.centroid_x_px >= r.x0 and o.centroid_x_px < r.x0 + r.width and o.centroid_y_px >= r.y0 and o.centroid_y_px < r.y0 + r.height),
+ tru as (select roi_id, id, x, y from ins where kept), fou as (select roi_id, id, x + 1 as x, y from ins where l_discount > 0.02),
+ nr as (select a.roi_id, a.id as a, b.id as b, (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) as d2 from tru a join fou b using (roi_id) where (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) <= 144)""" + _MUTUAL.format("roi_id")
+_ROI_METRICS = """, nn as (select roi_id, coalesce(nt, 0) as nt, coalesce(nf, 0) as nf from (select roi_id, count(*) as nt from tru group by 1) full join (select roi_id, count(*) as nf from fou group by 1) using (roi_id)),
+ mt as (select roi_id, tolerance, nt, nf, count(d) as tp, avg(d) as mean_distance from (select nn.*, unnest([{0}])::double as tolerance from nn) t left join mu using (roi_id) where d is null or d <= tolerance group by all union all
+  select roi_id, tolerance, nt, nf, 0, null from (select nn.*, unnest([{0}])::double as tolerance from nn) t where exists (select 1 from mu where mu.roi_id = t.roi_id) and not exists (select 1 from mu where mu.roi_id = t.roi_id and d <= tolerance)),
+ pr as (select *, coalesce(tp / nullif(nf, 0), 0) as precision, coalesce(tp / nullif(nt, 0), 0) as recall from mt), fs as (select *, coalesce(2*precision*recall / nullif(precision + recall, 0), 0) as f1 from pr)"""
+
+
 def j20_consecutive_samples(spark, d):
     return _pairs(spark, d)
 
 
 def j9a_gated_candidates(spark, d):
     before, after = track._sides(_pairs(spark, d), _track_points(spark, d))
-    from morphlake.operators.neighbors import near_pairs
-
     return near_pairs(before, after, "pair", 20.0)
 
 
@@ -241,7 +313,7 @@ def j9b_gated_assignment(spark, d):
 
 
 def k1_estimate_shift(spark, d):
-    return track.estimate_shift(_pairs(spark, d), _track_points(spark, d), 30.0)
+    return track.estimate_shift(_pairs(spark, d), _track_points(spark, d), 30.0).withColumns({"dx": F.round("dx", 6), "dy": F.round("dy", 6)})
 
 
 def _modes(spark, d):
@@ -347,7 +419,15 @@ QUERIES = {
     "j20_consecutive_samples": (j20_consecutive_samples, with_tables("objects manifest", "+ c as (select image_no as sample_id, count(*) as n from objects group by 1), m as (select * from manifest left join c using (sample_id)) select animal_id, eye, sample_id, timepoint_dpi, lag(sample_id) over w as prev_sample_id, lag(timepoint_dpi) over w as prev_timepoint, lag(coalesce(n, 0)) over w as n_prev, coalesce(n, 0) as n_cur from m window w as (partition by animal_id, eye order by timepoint_dpi, sample_id)")),
     "j9a_gated_candidates": (j9a_gated_candidates, with_tables("objects manifest", "+ m as (select sample_id, lag(sample_id) over (partition by animal_id, eye order by timepoint_dpi, sample_id) as prev from manifest) select m.sample_id as pair, a.object_id as a, b.object_id as b, (a.centroid_x_px-b.centroid_x_px)*(a.centroid_x_px-b.centroid_x_px) + (a.centroid_y_px-b.centroid_y_px)*(a.centroid_y_px-b.centroid_y_px) as d2 from m join objects a on a.image_no = m.prev join objects b on b.image_no = m.sample_id where (a.centroid_x_px-b.centroid_x_px)*(a.centroid_x_px-b.centroid_x_px) + (a.centroid_y_px-b.centroid_y_px)*(a.centroid_y_px-b.centroid_y_px) <= 400")),
     "j9b_gated_assignment": (j9b_gated_assignment, None),
-    "k1_estimate_shift": (k1_estimate_shift, None),
+    "k1_estimate_shift": (k1_estimate_shift, with_tables("objects manifest", "+ " + _CONSECUTIVE + _NEARBY.format(30) + _SHIFT + " select pair, round(dx, 6) as dx, round(dy, 6) as dy, votes, status from sh")),
+    "k3_given_matches": (k3_given_matches, with_tables("objects manifest", "+ " + _CONSECUTIVE + _NEARBY.format(20) + _MUTUAL.format("pair") + _QC + " select sample_id, prev_sample_id, n_matched, round(fraction, 6) as matched_fraction, round(mean_d, 6) as mean_d, round(median_d, 6) as median_d, n_prev - n_matched as unmatched_prev, n_cur - n_matched as unmatched_cur from qc")),
+    "k4_given_matches": (k4_given_matches, with_tables("objects manifest", "+ " + _CONSECUTIVE + _NEARBY.format(20) + _MUTUAL.format("pair") + _TRACKS + " select sample_id, object_id, track_id, round(case when prev is null then 0 else d end, 6) as displacement from tr join st using (sample_id, object_id)").replace("with", "with recursive", 1)),
+    "k5_given_modes": (k5_given_modes, with_tables("objects manifest", "+ " + _CONSECUTIVE + _NEARBY.format(30) + _SHIFT + ", u as (select mp.*, dx, dy, dx is not null and pair % 3 > 0 as reg from mp left join sh on sh.pair = mp.sample_id), sg as (select *, sum(case when coalesce(reg, false) then 0 else 1 end) over (partition by animal_id, eye order by timepoint_dpi, sample_id) as segment from u) select sample_id, segment, round(sum(case when coalesce(reg, false) then dx else 0 end) over v, 6) as offset_x, round(sum(case when coalesce(reg, false) then dy else 0 end) over v, 6) as offset_y from sg window v as (partition by animal_id, eye, segment order by timepoint_dpi, sample_id rows unbounded preceding)")),
+    "k6_given_matches": (k6_given_matches, with_tables("objects manifest", "+ " + _CONSECUTIVE + _NEARBY.format(20) + _MUTUAL.format("pair") + _QC + _TRACKS + ", t as (select animal_id, eye, count(distinct track_id) as n_tracks, count(*) as n_observations, avg(case when prev is not null then d end) as md from tr join st using (sample_id, object_id) group by 1, 2), q as (select animal_id, eye, count(*) as n_pairs, avg(fraction) as mf from qc group by 1, 2) select animal_id, eye, coalesce(n_tracks, 0) as n_tracks, coalesce(n_observations, 0) as n_observations, coalesce(n_pairs, 0) as n_pairs, round(md, 6) as mean_displacement, round(mf, 6) as mean_matched_fraction from t full join q using (animal_id, eye)").replace("with", "with recursive", 1)),
+    "b1_given_matches": (b1_given_matches, with_tables("objects rois", "+ " + _ROI_SETS + _ROI_METRICS.format("2.0, 8.0") + " select roi_id, tolerance, tp, nf - tp as fp, nt - tp as fn, round(precision, 6) as precision, round(recall, 6) as recall, round(f1, 6) as f1, nf - nt as count_bias, abs(nf - nt) as count_abs, round(mean_distance, 6) as mean_distance from fs")),
+    "b2_given_matches": (b2_given_matches, with_tables("objects rois", "+ " + _ROI_SETS + _ROI_METRICS.format("1.0, 6.0, 10.0") + " select tolerance, round(avg(precision), 6) as mean_precision, round(avg(recall), 6) as mean_recall, round(avg(f1), 6) as mean_f1 from fs group by 1")),
+    "j23_given_matches": (j23_given_matches, with_tables("objects rois", "+ " + _ROI_SETS + " select roi_id, id, x, y from tru where not exists (select 1 from mu where mu.roi_id = tru.roi_id and mu.a = tru.id and d <= 8)")),
+    "b12_given_matches": (b12_given_matches, with_tables("objects rois", "+ " + _ROI_SETS + _ROI_METRICS.format("8.0") + " select roi_id, nf - tp as added, nt - tp as deleted, nf as final from fs")),
     "k2_choose_mode": (k2_choose_mode, None),
     "k3_pair_qc": (k3_pair_qc, None),
     "k4_track_ids": (k4_track_ids, None),

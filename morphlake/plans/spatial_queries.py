@@ -52,7 +52,7 @@ _X8 = (
 _STATUS = "case when n_points < 5 then 'insufficient_points' when n_radii <= 0 then 'no_valid_radii' when n_l >= 2 and n_g >= 2 then 'ok' when n_l >= 2 then 'finite_l_only' when n_g >= 2 then 'finite_g_only' else 'no_valid_radii' end"
 #: Owners of pixels: among the nine cells around, where the nearest there is nearer than a cell; else among all points of the domain.
 _X8_SUMMARY = (
-    f", pc as (select *, floor(x/128) as cx, floor(y/128) as cy from pts), near as (select tp.image_no, tp.axis, tp.label, tp.x, tp.y, min(((tp.x-pc.x)*(tp.x-pc.x) + (tp.y-pc.y)*(tp.y-pc.y)) * 1000000 + pc.id) as best from (select *, floor(x/128) + i as cx, floor(y/128) + j as cy from tp, range(-1, 2) a(i), range(-1, 2) b(j)) tp join pc using (image_no, axis, label, cx, cy) group by all having best < 16384.0 * 1000000)"
+    f", pc as (select *, floor(x/64) as cx, floor(y/64) as cy from pts), near as (select tp.image_no, tp.axis, tp.label, tp.x, tp.y, min(((tp.x-pc.x)*(tp.x-pc.x) + (tp.y-pc.y)*(tp.y-pc.y)) * 1000000 + pc.id) as best from (select *, floor(x/64) + i as cx, floor(y/64) + j as cy from tp, range(-1, 2) a(i), range(-1, 2) b(j)) tp join pc using (image_no, axis, label, cx, cy) group by all having best < 4096.0 * 1000000)"
     + f", far as (select t.image_no, t.axis, t.label, t.x, t.y, min(((t.x-p.x)*(t.x-p.x) + (t.y-p.y)*(t.y-p.y)) * 1000000 + p.id) as best from (select * from tp anti join near using (image_no, axis, label, x, y)) t join pts p using {_K} group by all), own as (select {_D}, best::bigint % 1000000 as id from near union all select {_D}, best::bigint % 1000000 from far)"
     + f", vc as (select {_D}, id, count(*)*64.0::double as area from own group by all), vd as (select {_D}, case when count(*) >= 3 then avg(area)/stddev_samp(area) end as vdri from vc group by all)"
     + f", d1 as (select a.image_no, a.axis, a.label, a.id, sqrt(min((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y))) as d from pts a join pts b on a.image_no = b.image_no and a.axis = b.axis and a.label = b.label and a.id <> b.id group by all), nn as (select {_D}, avg(d)/greatest(stddev_pop(d), 1e-12) as nnri from d1 group by all)"
@@ -227,6 +227,11 @@ def c8_region_mixed_model(spark, d):
     return stats.mixed_model(_region_rows(spark, d), REGION_TERMS, "density_cells_per_mm2", "animal_id")
 
 
+def c8_nested_model(spark, d):
+    model, _, _ = stats.mixed_model_ladder(_region_rows(spark, d).withColumn("sample_key", F.col("sample_id")).join(b.manifest(spark, d).select("sample_id", "eye"), "sample_id"), [("condition",), ("region_label",)], "density_cells_per_mm2", "animal_id", ["eye", "sample_key"])
+    return model
+
+
 def c8_mixed_model_sums(spark, d):
     rows = cq._samples(spark, d).withColumns({"one": F.lit(1.0), "treated": (F.col("condition") == "treated").cast("double")})
     return stats.mixed_model_sums(rows, ["one", "treated"], "cell_count", "animal_id")
@@ -289,6 +294,7 @@ QUERIES = {
     "c7_region_tests_selected": (c7_region_tests_selected, None),
     "c8_mixed_model": (c8_mixed_model, None),
     "c8_region_mixed_model": (c8_region_mixed_model, None),
+    "c8_nested_model": (c8_nested_model, None),
     "c8_mixed_model_sums": (c8_mixed_model_sums, with_tables("objects manifest", "+ " + cq._SAMPLES + ", a as (select animal_id, cast(count(*) as double) as n, sum(case when condition = 'treated' then 1.0::double else 0 end) as t, sum(cell_count) as y, sum(cell_count*cell_count) as yy, sum(case when condition = 'treated' then cell_count else 0 end) as ty from samples group by 1) select cast(n as bigint) as n, count(*) as k, sum(n) as x0_0, sum(t) as x0_1, sum(y) as x0_2, sum(t) as x1_1, sum(ty) as x1_2, sum(yy) as x2_2, sum(n*n) as o0_0, sum(n*t) as o0_1, sum(n*y) as o0_2, sum(t*t) as o1_1, sum(t*y) as o1_2, sum(y*y) as o2_2 from a group by a.n")),
     "g1_suppress_min_distance": (g1_suppress_min_distance, None),
     "g2_merge_candidates": (g2_merge_candidates, None),
