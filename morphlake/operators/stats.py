@@ -223,11 +223,16 @@ def nested_model(rows: DataFrame, terms: Sequence[str | tuple[str, ...]], outcom
             raise ValueError("the outcome has no variance beyond the terms")
         return -0.5 * (n * math.log(2 * math.pi * variance) + n + term[-1]), beta, variance, m
 
-    centre, reach = np.full(len(keys), -2.0), 10.0
-    while reach > 1e-6:
-        points = np.exp(np.array(list(itertools.product(*[c + reach * np.linspace(-1, 1, 5) for c in centre]))))
+    low, high = -12.0, 8.0
+    centre, reach, reached = np.full(len(keys), (low + high) / 2), (high - low) / 2, -math.inf
+    while reach > 1e-6:  # a step to a better point keeps the reach, else it is halved
+        points = np.exp(np.array(list(itertools.product(*[np.clip(c + reach * np.linspace(-1, 1, 5), low, high) for c in centre]))))
         scores = [likelihood(t)[0] for t in evaluated(points)]
-        centre, reach = np.log(points[int(np.argmax(scores))]), reach * 0.55
+        best = int(np.argmax(scores))
+        if scores[best] > reached + 1e-10:
+            centre, reached = np.log(points[best]), scores[best]
+        else:
+            reach /= 2
     choices = np.array(list(itertools.product(*[(math.exp(c), 0.0) for c in centre])))  # a level whose variance is better left out has none
     fits = [likelihood(t) for t in evaluated(choices)]
     best = max(range(len(fits)), key=lambda k: (round(fits[k][0], 9), -int((choices[k] > 0).sum())))

@@ -97,3 +97,70 @@ def test_two_group_tests_and_regions(spark):
     pooled = math.sqrt((4 * np.var(a, ddof=1) + 3 * np.var(b, ddof=1)) / 7)
     assert got["r", "welch_t"].effect == pytest.approx((np.mean(a) - np.mean(b)) / pooled)
     assert stats.two_group_tests(frame.withColumn("condition", F.lit("a")), "y").count() == 0
+
+
+def _nested(spark, seed=9):
+    rng = np.random.default_rng(seed)
+    data = []
+    for animal in range(12):
+        own = rng.normal() * 2
+        for eye in ("OD", "OS")[: 1 + animal % 2 + (animal % 3 > 0)]:
+            of_eye = rng.normal() * 1.5
+            for sample in range(int(rng.integers(1, 4))):
+                of_sample = rng.normal()
+                for label in ("in", "out"):
+                    for _ in range(int(rng.integers(1, 3))):
+                        treated = float((animal + sample) % 2)
+                        data.append((f"A{animal}", eye, f"S{sample}", label, treated, float(5 + 3 * treated - 2 * (label == "out") + own + of_eye + of_sample + rng.normal() * 0.7)))
+    return data, spark.createDataFrame(data, "animal_id string, eye string, sample_id string, region_label string, treated double, y double")
+
+
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_nested_variances_against_the_dense_likelihood(spark, monkeypatch, most):
+    monkeypatch.setattr(stats, "MOST_CLUSTERS", most)
+    data, frame = _nested(spark)
+    nested = ["eye", "sample_id"] if most else ["eye"]
+    got = {r["term"]: r for r in stats.nested_model(frame, ["treated", ("region_label",)], "y", "animal_id", nested).collect()}
+    y = np.array([r[5] for r in data])
+    x = np.column_stack([np.ones(len(y)), [r[4] for r in data], [float(r[3] == "out") for r in data]])
+    same = [np.array([[float(a[: k + 1] == b[: k + 1]) for b in data] for a in data]) for k in range(1 + len(nested))]
+
+    def likelihood(variances):
+        v = variances[-1] * np.eye(len(y)) + sum(g * s for g, s in zip(variances, same, strict=False))
+        inverse = np.linalg.inv(v)
+        beta = np.linalg.solve(x.T @ inverse @ x, x.T @ inverse @ y)
+        r = y - x @ beta
+        return -0.5 * (len(y) * math.log(2 * math.pi) + np.linalg.slogdet(v)[1] + r @ inverse @ r), beta, np.sqrt(np.diag(np.linalg.inv(x.T @ inverse @ x)))
+
+    names = ["group_variance", *[f"{n}_variance" for n in nested], "residual_variance"]
+    found = np.array([got[n]["estimate"] for n in names])
+    best, beta, errors = likelihood(found)
+    assert (found >= 0).all() and (found > 0.01).sum() >= 2
+    for k in range(len(found)):
+        for factor in (0.8, 0.95, 1.05, 1.2):
+            moved = found.copy()
+            moved[k] *= factor
+            assert likelihood(moved)[0] <= best + 1e-8
+    for name, b, s in zip(["intercept", "treated", "region_label[out]"], beta, errors, strict=True):
+        assert got[name]["estimate"] == pytest.approx(b, abs=1e-6) and got[name]["se"] == pytest.approx(s, rel=1e-5)
+
+
+def test_one_level_equals_the_plain_model(spark):
+    _, frame = _nested(spark)
+    plain = {r["term"]: r for r in stats.mixed_model(frame, ["treated"], "y", "animal_id").collect()}
+    same = {r["term"]: r for r in stats.nested_model(frame, ["treated"], "y", "animal_id", []).collect()}
+    assert set(plain) == set(same) and all(plain[t]["estimate"] == pytest.approx(same[t]["estimate"], rel=1e-5, abs=1e-6) for t in plain)
+
+
+def test_the_ladder_drops_what_cannot_be_fitted(spark):
+    _, frame = _nested(spark)
+    one_eye = frame.where("eye = 'OD'")
+    _, rung, reasons = stats.mixed_model_ladder(one_eye, ["treated"], "y", "animal_id", ["eye", "sample_id"])
+    assert rung == ["sample_id"] and len(reasons) == 2 and "eye" in reasons[0]
+    once = frame.groupBy("animal_id", "eye").agg(F.first("treated").alias("treated"), F.avg("y").alias("y"))
+    model, rung, reasons = stats.mixed_model_ladder(once, ["treated"], "y", "animal_id", ["eye"])
+    assert rung == [] and len(reasons) == 1 and "group_variance" in {r["term"] for r in model.collect()}
+    with pytest.raises(ValueError, match="two groups"):
+        stats.mixed_model_ladder(frame.where("animal_id = 'A1'"), ["treated"], "y", "animal_id", ["eye"])
+    decision, results = stats.study_statistics(frame.withColumn("condition", F.col("treated").cast("string")), "y", True, ["treated"], nested=["eye", "sample_id"])
+    assert decision.first()["selected"] == "mixed" and "sample_id_variance" in {r["term"] for r in results.collect()}
