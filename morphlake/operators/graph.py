@@ -46,19 +46,28 @@ def connected_components(links: DataFrame, rounds: int = 40) -> DataFrame:
     raise RuntimeError(f"components have not settled in {rounds} rounds")
 
 
-def pixel_components(pixels: DataFrame, group: str, size: int = 1 << 20) -> DataFrame:
+def pixel_runs(pixels: DataFrame, group: str) -> DataFrame:
+    """(group, y, x0, x1): unbroken runs of pixels (group, y, x) along rows."""
+    row = Window.partitionBy(group, "y").orderBy("x")
+    p = pixels.select(group, F.col("y").cast("bigint").alias("y"), F.col("x").cast("bigint").alias("x")).distinct()
+    return p.withColumn("run", F.col("x") - F.row_number().over(row)).groupBy(group, "y", "run").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("run")
+
+
+def pixel_components(pixels: DataFrame, group: str, size: int = 1 << 20, cell: int = 64) -> DataFrame:
     """Instances of foreground pixels (group, y, x) joined side by side; instance is 1.. within its image by first pixel.
 
-    Rows and columns are below ``size``, groups below 2**63 / size**2; larger ones raise.
+    Runs along rows are the nodes, linked where runs of neighbouring rows overlap; these meet in stretches of ``cell``
+    columns. Rows and columns are below ``size``, groups below 2**63 / size**2; larger ones raise.
     """
-    p = pixels.withColumn("id", packed((group, (1 << 63) // (size * size)), ("y", size), ("x", size)))
-    right = p.select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
-    below = p.select(F.col("id").alias("a"), (F.col("id") + size).alias("b"))
-    links = right.unionByName(below).join(p.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b")
+    runs = cut(pixel_runs(pixels, group).withColumn("id", packed((group, (1 << 63) // (size * size)), ("y", size), ("x0", size))))
+    spread = runs.select(group, "y", "x0", "x1", "id", F.explode(F.sequence(F.floor(F.col("x0") / cell), F.floor(F.col("x1") / cell))).alias("cell"))
+    above = spread.select(F.col(group).alias("g"), (F.col("y") + 1).alias("y"), F.col("x0").alias("a0"), F.col("x1").alias("a1"), F.col("id").alias("a"), "cell")
+    below = spread.select(F.col(group).alias("g"), "y", F.col("x0").alias("b0"), F.col("x1").alias("b1"), F.col("id").alias("b"), "cell")
+    links = above.join(below, ["g", "y", "cell"]).where("a0 <= b1 and b0 <= a1").select("a", "b").distinct()
     roots = connected_components(links)
-    found = p.join(roots, p["id"] == roots["node"], "left").withColumn("root", F.coalesce("root", "id"))
+    found = runs.join(roots, runs["id"] == roots["node"], "left").withColumn("root", F.coalesce("root", "id"))
     number = found.select(group, "root").distinct().withColumn("instance", F.row_number().over(Window.partitionBy(group).orderBy("root")).cast("bigint"))
-    return found.join(number, [group, "root"]).select(group, "y", "x", "instance")
+    return found.join(number, [group, "root"]).select(group, "y", F.explode(F.sequence("x0", "x1")).alias("x"), "instance")
 
 
 def chain_roots(steps: DataFrame, rounds: int = 40) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -18,49 +20,105 @@ from morphlake.sources.storage import cut
 EDGES = 2000
 
 
-def cheapest_assignment(cost: np.ndarray) -> list[tuple[int, int]]:
-    """A one-to-one assignment of the shorter side of least total cost: a shortest augmenting path for each row."""
-    flipped = cost.shape[0] > cost.shape[1]
-    c = cost.T if flipped else cost
-    n, m = c.shape
-    u, v, owner = np.zeros(n), np.zeros(m), np.full(m, -1)
-    for row in range(n):
-        best, came = np.full(m, np.inf), np.full(m, -1)
-        done = np.zeros(m, dtype=bool)
-        i, last, base = row, -1, 0.0
+def sparse_assignment(start: Sequence[int], to: Sequence[int], cost: Sequence[float], columns: int) -> tuple[list[int], list[float], list[float]] | None:
+    """(column of each row, prices of rows, prices of columns) of the cheapest assignment of all rows along the given edges.
+
+    Edges of row i are start[i] to start[i + 1]. A shortest augmenting path for each row, over edges only; None where some
+    row can't be assigned. No edge costs less than its two prices, assigned ones exactly these, free columns have price 0.
+    """
+    rows = len(start) - 1
+    mate, owner, u, v = [-1] * rows, [-1] * columns, [0.0] * rows, [0.0] * columns
+    for i in range(rows):
+        if start[i] == start[i + 1]:
+            return None
+        e = min(range(start[i], start[i + 1]), key=cost.__getitem__)
+        u[i] = cost[e]
+        if owner[to[e]] < 0:
+            mate[i], owner[to[e]] = to[e], i
+    for row in range(rows):
+        if mate[row] >= 0:
+            continue
+        best: dict[int, float] = {}
+        came: dict[int, int] = {}
+        done: list[int] = []
+        closed: set[int] = set()
+        heap: list[tuple[float, int]] = []
+        i, base = row, 0.0
         while True:
-            slack = base + c[i] - u[i] - v
-            better = ~done & (slack < best)
-            best[better], came[better] = slack[better], last
-            j = int(np.where(done, np.inf, best).argmin())
-            base, last = best[j], j
-            done[j] = True
+            for e in range(start[i], start[i + 1]):
+                j = to[e]
+                if j not in closed and (d := base + max(0.0, cost[e] - u[i] - v[j])) < best.get(j, math.inf):
+                    best[j], came[j] = d, i
+                    heappush(heap, (d, j))
+            while heap and heap[0][1] in closed:
+                heappop(heap)
+            if not heap:
+                return None
+            base, j = heappop(heap)
+            closed.add(j)
             if owner[j] < 0:
                 break
+            done.append(j)
             i = owner[j]
-        shift = base - best
         u[row] += base
-        for j in np.flatnonzero(done):
-            if j != last and owner[j] >= 0:
-                u[owner[j]] += shift[j]
-            v[j] -= shift[j] if j != last else 0.0
-        while last >= 0:
-            back = came[last]
-            owner[last] = owner[back] if back >= 0 else row
-            last = back
-    pairs = [(int(owner[j]), j) for j in range(m) if owner[j] >= 0]
-    return [(j, i) for i, j in pairs] if flipped else pairs
+        for k in done:
+            u[owner[k]] += base - best[k]
+            v[k] -= base - best[k]
+        while j >= 0:
+            i = came[j]
+            owner[j], mate[i], j = i, j, mate[i]
+    return mate, u, v
+
+
+def _edges(rows: np.ndarray, columns: np.ndarray, cost: np.ndarray, n: int) -> tuple[list[int], list[int], list[float]]:
+    order = np.lexsort((columns, rows))
+    return np.searchsorted(rows[order], np.arange(n + 1)).tolist(), columns[order].tolist(), cost[order].tolist()
+
+
+def closest_assignment(left: np.ndarray, right: np.ndarray, nearest: int = 8, cells: int = 1 << 20) -> list[tuple[int, int]]:
+    """One-to-one pairs of all points of the smaller side of least total distance, without a table of all distances.
+
+    Solved along the edges to each point's ``nearest`` others. Prices then show, a block of distances at a time, which
+    left-out pairs would be better; these become edges, until none is. Where not all points find a partner, more edges are taken.
+    """
+    if len(left) > len(right):
+        return [(b, a) for a, b in closest_assignment(right, left, nearest, cells)]
+    n, m, step = len(left), len(right), max(1, cells // max(1, len(right)))
+    blocks = lambda: ((a, np.hypot(left[a : a + step, None, 0] - right[None, :, 0], left[a : a + step, None, 1] - right[None, :, 1])) for a in range(0, n, step))
+    while True:
+        k = min(m, nearest)
+        parts = [(np.repeat(np.arange(a, a + len(d)), k), at.reshape(-1), np.take_along_axis(d, at, 1).reshape(-1)) for a, d in blocks() for at in [np.argpartition(d, k - 1, axis=1)[:, :k]]] if n else []
+        while parts:
+            rows, columns, cost = (np.concatenate(x) for x in zip(*parts, strict=True))
+            solved = sparse_assignment(*_edges(rows, columns, cost, n), m)
+            if solved is None:
+                break
+            mate, u, v = solved
+            missing = []
+            for a, d in blocks():
+                better = d - np.array(u[a : a + len(d)])[:, None] - np.array(v)[None] < -1e-9 * (1.0 + d)
+                at = np.nonzero(better)
+                missing.append((at[0] + a, at[1], d[at]))
+            if not sum(len(x[0]) for x in missing):
+                return list(enumerate(mate))
+            parts += missing
+        if not n:
+            return []
+        nearest *= 4
 
 
 def _solve_component(pdf: pd.DataFrame) -> pd.DataFrame:
     """Most pairs first, then the least total distance, among the allowed edges of a component."""
     left, a = np.unique(pdf["a"], return_inverse=True)
     right, b = np.unique(pdf["b"], return_inverse=True)
-    forbidden = float(pdf["d"].sum()) + 1.0  # more than any set of allowed pairs, so as many as possible are allowed ones
-    cost = np.full((len(left), len(right)), forbidden)
-    cost[a, b] = pdf["d"]
-    kept = [(i, j) for i, j in cheapest_assignment(cost) if cost[i, j] < forbidden]
-    return pd.DataFrame({"g": pdf["g"].iloc[0], "a": [left[i] for i, _ in kept], "b": [right[j] for _, j in kept], "d": [cost[i, j] for i, j in kept]})
+    d = pdf["d"].to_numpy()
+    alone = float(d.sum()) + 1.0  # the cost of staying without a partner: more than any set of pairs, so as few as possible do
+    n, m = len(left), len(right)
+    start, to, cost = _edges(np.concatenate([a, np.arange(n)]), np.concatenate([b, m + np.arange(n)]), np.concatenate([d, np.full(n, alone)]), n)
+    mate = sparse_assignment(start, to, cost, m + n)[0]
+    pairs = [(i, j) for i, j in enumerate(mate) if j < m]
+    of = {(i, j): x for i, j, x in zip(a.tolist(), b.tolist(), d.tolist(), strict=True)}
+    return pd.DataFrame({"g": pdf["g"].iloc[0], "a": [left[i] for i, _ in pairs], "b": [right[j] for _, j in pairs], "d": [of[p] for p in pairs]})
 
 
 def _solve_components(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -88,7 +146,8 @@ def gated_assignment(previous: DataFrame, following: DataFrame, group: str, reac
 def point_match(truth: DataFrame, found: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, a, b, d): the assignment of least total distance over all points of each region, not limited by any distance.
 
-    truth, found: keys, id, x, y. A task holds one region's points. Apply a tolerance to d afterwards.
+    truth, found: keys, id, x, y. A task holds one region's points and a few edges of each (``closest_assignment``). Apply a
+    tolerance to d afterwards.
     """
     names = list(keys)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in truth.select(*names).schema) + ", a long, b long, d double"
@@ -97,10 +156,10 @@ def point_match(truth: DataFrame, found: DataFrame, keys: Sequence[str]) -> Data
         if not len(left) or not len(right):
             return pd.DataFrame(columns=[*names, "a", "b", "d"])
         left, right = left.sort_values("id", ignore_index=True), right.sort_values("id", ignore_index=True)
-        d = np.sqrt((left["x"].to_numpy()[:, None] - right["x"].to_numpy()[None]) ** 2 + (left["y"].to_numpy()[:, None] - right["y"].to_numpy()[None]) ** 2)
-        pairs = cheapest_assignment(d)
+        a, b = (side[["x", "y"]].to_numpy(dtype=float) for side in (left, right))
+        pairs = closest_assignment(a, b)
         head = {n: left[n].iloc[0] for n in names}
-        return pd.DataFrame({**head, "a": [left["id"][i] for i, _ in pairs], "b": [right["id"][j] for _, j in pairs], "d": [d[i, j] for i, j in pairs]})
+        return pd.DataFrame({**head, "a": [left["id"][i] for i, _ in pairs], "b": [right["id"][j] for _, j in pairs], "d": [float(np.sqrt(((a[i] - b[j]) ** 2).sum())) for i, j in pairs]})
 
     fresh = lambda f: f.select(*[F.col(c).alias(c) for c in (*names, "id", "x", "y")]).groupBy(*names)  # noqa: E731  both sides may come from one table
     return fresh(truth).cogroup(fresh(found)).applyInPandas(solve, schema)

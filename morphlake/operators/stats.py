@@ -18,20 +18,63 @@ from morphlake.operators.cohort import paired_pivot
 from morphlake.sources.storage import cut
 
 
+#: Rows of one family up to which one task ranks it; larger ones are ranked in ranges.
+FAMILY_ROWS = 1_000_000
+
+
+def _in_ranges(rows: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame | None:
+    """``rows`` in ranges of (by, order), stored, with the range's number, the family's rows before it and in all; None where families are small."""
+    most = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if most <= FAMILY_ROWS:
+        return None
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(most) // FAMILY_ROWS))
+    ranged = cut(rows.repartitionByRange(parts, *[F.col(c) for c in by], *order).withColumn("__range", F.spark_partition_id()))
+    family = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    sizes = ranged.groupBy(*by, "__range").agg(F.count(F.lit(1)).alias("__rows"))
+    before = family.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumns({"__before": F.coalesce(F.sum("__rows").over(before), F.lit(0)), "__all": F.sum("__rows").over(family)}).drop("__rows")
+    return _same_family(ranged, sizes, [*by, "__range"])
+
+
+def _same_family(rows: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``rows`` with the columns that ``other`` has for their keys, null among these like any value."""
+    named = other.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *[c for c in other.columns if c not in keys])
+    on = all_of(*[F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
+    return rows.join(named, on).drop(*[f"__k{i}" for i in range(len(keys))])
+
+
 def average_ranks(rows: DataFrame, by: Sequence[str], value: str, name: str = "avg_rank") -> DataFrame:
-    """Ranks with ties sharing their mean, and ``tied``: the size of each value's tie group."""
-    order = Window.partitionBy(*by).orderBy(value)
-    same = Window.partitionBy(*by, value)
-    return rows.withColumn("tied", F.count(F.lit(1)).over(same)).withColumn(name, F.rank().over(order) + (F.col("tied") - 1) / 2)
+    """Ranks with ties sharing their mean, and ``tied``: the size of each value's tie group. Families of over FAMILY_ROWS rows are ranked in ranges."""
+    ranged = _in_ranges(rows, by, [F.col(value)])
+    if ranged is None:
+        order, same = Window.partitionBy(*by).orderBy(value), Window.partitionBy(*by, value)
+        return rows.withColumn("tied", F.count(F.lit(1)).over(same)).withColumn(name, F.rank().over(order) + (F.col("tied") - 1) / 2)
+    order, same = Window.partitionBy(*by, "__range").orderBy(value), Window.partitionBy(*by, "__range", value)  # equal values are in one range
+    ranked = ranged.withColumn("tied", F.count(F.lit(1)).over(same)).withColumn(name, F.col("__before") + F.rank().over(order) + (F.col("tied") - 1) / 2)
+    return ranked.drop("__range", "__before", "__all")
 
 
 def fdr_bh(tests: DataFrame, by: Sequence[str], p: str, key: str, name: str = "p_fdr") -> DataFrame:
-    """Benjamini-Hochberg within each family; a null p sorts last, counts as a test, and is adjusted to 1."""
-    family = Window.partitionBy(*by)
-    n, rank = F.count(F.lit(1)).over(family), F.row_number().over(family.orderBy(F.asc_nulls_last(p), F.asc(key)))
-    scaled = tests.withColumns({"__n": n, "__rank": rank}).withColumn("__q", F.coalesce(F.col(p) * F.col("__n") / F.col("__rank"), F.lit(1.0)))
-    down = family.orderBy(F.desc("__rank")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return scaled.withColumn(name, F.least(F.lit(1.0), F.min("__q").over(down))).drop("__n", "__rank", "__q")
+    """Benjamini-Hochberg within each family; a null p sorts last, counts as a test, and is adjusted to 1.
+
+    Families of over FAMILY_ROWS tests are ranked in ranges, and the running minimum is carried from the later ranges.
+    """
+    order = [F.asc_nulls_last(p), F.asc(key)]
+    ranged = _in_ranges(tests, by, order)
+    scaled = lambda f: f.withColumn("__q", F.coalesce(F.col(p) * F.col("__all") / F.col("__rank"), F.lit(1.0)))
+    down = lambda w: w.orderBy(F.desc("__rank")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if ranged is None:
+        family = Window.partitionBy(*by)
+        ranked = scaled(tests.withColumns({"__all": F.count(F.lit(1)).over(family), "__rank": F.row_number().over(family.orderBy(*order))}))
+        return ranked.withColumn(name, F.least(F.lit(1.0), F.min("__q").over(down(family)))).drop("__all", "__rank", "__q")
+    inside = Window.partitionBy(*by, "__range")
+    ranked = scaled(ranged.withColumn("__rank", F.col("__before") + F.row_number().over(inside.orderBy(*order))))
+    family = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    later = family.orderBy("__range").rowsBetween(1, Window.unboundedFollowing)
+    least = ranked.groupBy(*by, "__range").agg(F.min("__q").alias("__m")).withColumn("__later", F.coalesce(F.min("__m").over(later), F.lit(1.0))).drop("__m")
+    out = _same_family(ranked, least, [*by, "__range"])
+    adjusted = out.withColumn(name, F.least(F.lit(1.0), F.min("__q").over(down(inside)), F.col("__later")))
+    return adjusted.drop("__range", "__before", "__all", "__rank", "__q", "__later")
 
 
 def welch_statistics(samples: DataFrame, outcome: str, by: Sequence[str], a: str, b: str) -> DataFrame:

@@ -76,18 +76,6 @@ def test_validation_conflict(spark):
         cohort.validation_table(s).collect()
 
 
-def test_cheapest_assignment_is_optimal():
-    rng = np.random.default_rng(0)
-    for _ in range(200):
-        n, m = map(int, rng.integers(1, 6, 2))
-        cost = rng.random((n, m))
-        got = matching.cheapest_assignment(cost)
-        k = min(n, m)
-        best = min(sum(cost[i, j] for i, j in zip(r, c)) for r in itertools.combinations(range(n), k) for c in itertools.permutations(range(m), k))
-        assert len(got) == k and len({i for i, _ in got}) == k and len({j for _, j in got}) == k
-        assert sum(cost[i, j] for i, j in got) == pytest.approx(best)
-
-
 def test_point_match_and_metrics(spark):
     f = lambda ps: spark.createDataFrame([(1, i, float(x), float(y)) for i, (y, x) in enumerate(ps)], "roi_id int, id long, x double, y double")
     truth, found = f([(10, 10), (20, 20), (30, 30)]), f([(10, 11), (20, 21), (45, 45)])
