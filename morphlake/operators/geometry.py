@@ -94,8 +94,13 @@ def region_summary(points: DataFrame, tissue: DataFrame, schema: str, image: str
     """
     labels = F.array(*[F.struct(F.lit(a).alias("region_axis"), F.lit(x).alias("region_label")) for a, xs in region_labels(schema).items() for x in xs])
     images = tissue.select(image).distinct().select(image, F.inline(labels))
-    areas = by_axis(tissue, [image]).groupBy(image, "region_axis", "region_label").agg((F.count(F.lit(1)) * pixel_mm2).alias("area_mm2"))
-    counts = by_axis(points, [image]).groupBy(image, "region_axis", "region_label").agg(F.count(F.lit(1)).alias("object_count"))
+    def counted(rows: DataFrame) -> DataFrame:
+        """Rows of each label; those of equal labels on all axes are counted before they are told apart by axis."""
+        alike = rows.groupBy(image, *AXES).agg(F.count(F.lit(1)).alias("n"))
+        return by_axis(alike, [image, "n"]).groupBy(image, "region_axis", "region_label").agg(F.sum("n").alias("n"))
+
+    areas = counted(tissue).select(image, "region_axis", "region_label", (F.col("n") * pixel_mm2).alias("area_mm2"))
+    counts = counted(points).withColumnRenamed("n", "object_count")
     keys = [image, "region_axis", "region_label"]
     joined = images.join(areas, keys, "left").join(counts, keys, "left").fillna(0, ["area_mm2", "object_count"])
     return joined.withColumn("density_cells_per_mm2", F.when(F.col("area_mm2") > 0, F.col("object_count") / F.col("area_mm2")).otherwise(0.0)).withColumn("region_schema", F.lit(schema))

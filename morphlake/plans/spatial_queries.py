@@ -102,7 +102,7 @@ def x5_pair_correlation(spark, d):
 
 
 def x6_csr_envelope(spark, d):
-    return spatial.csr_envelope(_points(spark, d), b.lattice(spark), _areas(spark, d), "image_no", (50.0, 100.0), 99, 1024, 1024, 8)
+    return spatial.csr_envelope(_points(spark, d), b.lattice(spark), _areas(spark, d), "image_no", (50.0, 100.0), 39, 1024, 1024, 8)
 
 
 def x7_domain_status(spark, d):
@@ -111,10 +111,10 @@ def x7_domain_status(spark, d):
     return spatial.domain_status(rows).select("p_partkey", "status")
 
 
-def _x8(spark, d, sims=0):
+def _x8(spark, d, axes=geometry.AXES):
     points = rq.labelled(spark, d).select("image_no", F.col("object_id").alias("id"), F.col("centroid_x_px").alias("x"), F.col("centroid_y_px").alias("y"), *geometry.AXES)
     tissue = geometry.assign_regions(rq.registered(spark, d, b.tissue(spark, d), "x", "y"), rq.SCHEMA, rq.MAX_ECC).select("image_no", "x", "y", *geometry.AXES)
-    return spatial.spatial_summary(points, tissue, "image_no", geometry.AXES, X8_RADII, 1024, 1024, 8, 64 * 0.25 / 1e6, sims)
+    return spatial.spatial_summary(points, tissue, "image_no", axes, X8_RADII, 1024, 1024, 8, 64 * 0.25 / 1e6)
 
 
 def x8_spatial_summary(spark, d):
@@ -126,7 +126,7 @@ def x8_spatial_curves(spark, d):
 
 
 def x8_promoted_samples(spark, d):
-    samples = spatial.promoted(b.manifest(spark, d).select("sample_id", "condition"), _x8(spark, d)[0], "sample_id", "image_no")
+    samples = spatial.promoted(b.manifest(spark, d).select("sample_id", "condition"), _x8(spark, d, ())[0], "sample_id", "image_no")
     return samples.withColumns({f"rigorous_global_{c}": F.round(f"rigorous_global_{c}", 6) for c in ("vdri", "usable_max_radius_px")})
 
 

@@ -11,10 +11,10 @@ def rows(frame, *columns):
 
 
 def test_register_points(spark):
-    frame = geometry.build_frames(spark.createDataFrame([(1, 100.0, 100.0, 100.0, 50.0)], "sample_id int, onh_x_px double, onh_y_px double, dorsal_x_px double, dorsal_y_px double"), F.lit(2.0), F.lit(2.0))
-    points = spark.createDataFrame([(1, 110.0, 100.0), (1, 100.0, 90.0)], "image_no int, centroid_x_px double, centroid_y_px double")
+    frame = geometry.build_frames(spark.createDataFrame([(8, 40.0, 70.0, 100.0, 70.0)], "sample_id int, onh_x_px double, onh_y_px double, dorsal_x_px double, dorsal_y_px double"), F.lit(0.5), F.lit(0.5))
+    points = spark.createDataFrame([(8, 50.0, 70.0), (8, 40.0, 90.0), (8, 28.0, 54.0)], "image_no int, centroid_x_px double, centroid_y_px double")
     out = geometry.register_points(points, frame, "image_no")
-    assert rows(out, "ret_x_um", "ret_y_um", "theta_deg") == [(0.0, 20.0, 90.0), (20.0, 0.0, 0.0)]
+    assert [(round(x, 9), round(y, 9), round(t, 3)) for x, y, t in rows(out, "ret_x_um", "ret_y_um", "theta_deg")] == [(-8.0, -6.0, 216.87), (0.0, 5.0, 90.0), (10.0, 0.0, 0.0)]
 
 
 def test_a_frame_needs_two_points(spark):
@@ -50,20 +50,21 @@ def test_phenotype_priority_null_and_circle(spark):
 
 
 def test_replay_edits(spark):
-    objects = spark.createDataFrame([(1, 1, "a"), (1, 2, "a"), (1, 3, "a")], "image_no int, object_id long, phenotype string")
-    edits = spark.createDataFrame([(1, 1, "delete_object", 1, None, None, None), (1, 2, "merge_objects", None, 2, [2, 3], None), (1, 3, "relabel_phenotype", 2, None, None, "microglia")], "image_no int, seq int, op string, object_id long, keep_object_id long, object_ids array<long>, phenotype string")
-    assert rows(rules.replay_edits(objects, edits, "image_no"), "object_id", "new_object_id", "phenotype") == [(2, 1, "microglia")]
+    objects = spark.createDataFrame([(4, 30, "a"), (4, 31, "b"), (4, 33, "c"), (4, 35, "a"), (4, 36, "a"), (5, 30, "z")], "image_no int, object_id long, phenotype string")
+    log = [(4, 1, "relabel_phenotype", 36, None, None, "amacrine"), (4, 2, "merge_objects", None, 33, [31, 33], None), (4, 3, "delete_object", 30, None, None, None), (4, 4, "relabel_phenotype", 33, None, None, "cone")]
+    edits = spark.createDataFrame(log, "image_no int, seq int, op string, object_id long, keep_object_id long, object_ids array<long>, phenotype string")
+    assert rows(rules.replay_edits(objects, edits, "image_no"), "image_no", "object_id", "new_object_id", "phenotype") == [(4, 33, 1, "cone"), (4, 35, 2, "a"), (4, 36, 3, "amacrine"), (5, 30, 1, "z")]
     unknown = edits.withColumn("op", F.lit("paint"))
     with pytest.raises(Exception, match="unknown edit"):
         rules.replay_edits(objects, unknown, "image_no").collect()
 
 
 def test_points_in_rois_and_counts(spark):
-    rois = spark.createDataFrame([(1, 1, 4, 5, 4, 4), (2, 1, 100, 100, 4, 4)], "roi_id int, image_no int, x0 int, y0 int, width int, height int")
-    points = spark.createDataFrame([(1, 1, 5.5, 6.5), (1, 2, 20.0, 20.0), (1, 3, 8.0, 6.0)], "image_no int, id int, x double, y double")
+    rois = spark.createDataFrame([(7, 2, 10, 20, 30, 10), (8, 2, 35, 25, 10, 20), (9, 3, 0, 0, 90, 90)], "roi_id int, image_no int, x0 int, y0 int, width int, height int")
+    points = spark.createDataFrame([(2, 1, 36.0, 26.0), (2, 2, 10.0, 29.75), (2, 3, 40.0, 20.0), (6, 4, 5.0, 5.0)], "image_no int, id int, x double, y double")
     inside = neighbors.points_in_rois(points, rois, "image_no")
-    assert rows(inside, "roi_id", "local_x", "local_y") == [(1, 1.5, 1.5)]
-    assert rows(neighbors.roi_point_counts(rois, inside), "roi_id", "n_points") == [(1, 1), (2, 0)]
+    assert rows(inside, "roi_id", "local_x", "local_y") == [(7, 0.0, 9.75), (7, 26.0, 6.0), (8, 1.0, 1.0)]
+    assert rows(neighbors.roi_point_counts(rois, inside), "roi_id", "n_points") == [(7, 2), (8, 1), (9, 0)]
 
 
 def test_nearest_finds_far_points(spark):
