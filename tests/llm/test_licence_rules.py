@@ -61,9 +61,12 @@ def test_hints_over_line_ends_and_no_pieces_alone():
     assert op10.identify("This program is free software: buy it. Version 2.0. License 2.0.") == []
 
 
+HOLDER = "Example Works Inc. and its friends"
+
+
 def plain_identify(text):
     """Known sentences by trying every run of words of every paragraph against the catalogue, longest first."""
-    known = {tuple(op10.normalised(s).split()): i for i, s in op10.SENTENCES.items()}
+    known = {tuple(op10.normalised(s.replace("{}", HOLDER)).split()): i for i, s in op10.SENTENCES.items()}
     out = []
     for paragraph in re.split(r"\n\s*\n", text):
         words, at = op10.normalised(paragraph).split(), 0
@@ -80,7 +83,7 @@ def test_sentences_equal_the_plain_search():
     for _ in range(300):
         parts = []
         for _ in range(rng.randint(1, 6)):
-            parts.append(op10.SENTENCES[rng.choice(names)] if rng.random() < 0.6 else " ".join(rng.choice(("some", "other", "licence", "words")) for _ in range(rng.randint(1, 9))) + ".")
+            parts.append(op10.SENTENCES[rng.choice(names)].replace("{}", HOLDER) if rng.random() < 0.6 else " ".join(rng.choice(("some", "other", "licence", "words")) for _ in range(rng.randint(1, 9))) + ".")
         text = rng.choice((" ", "\n", "\n\n")).join(parts)
         text = text if "\n" in text else textwrap.fill(text, rng.choice((40, 72)), break_long_words=False, break_on_hyphens=False)
         assert [i for _, i in op10.identify(text)] == plain_identify(text), text
