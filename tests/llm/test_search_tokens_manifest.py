@@ -70,10 +70,10 @@ def test_reversed_search_of_empty_tables(spark):
 
 
 def test_sums_beyond_exact_doubles():
-    index = op11.Index(np.array([1], dtype=np.uint64), np.array([0, 1]), np.array([0]), np.array([1 << 33]), [4])
+    index = op11.Index(np.array([1], dtype=np.uint64), np.array([0, 1]), np.array([0]), np.array([(1 << 25) + 1]), [4])
     zero = np.zeros(1, dtype=np.int64)
     score = op11._scores(index, np.array([30_001]), np.array([100]), zero, zero, np.array([1]))
-    assert score[0, 0] == 30_001 * (10**9 // 2200) * (1 << 33)
+    assert score[0, 0] == 30_001 * (10**9 // 2200) * ((1 << 25) + 1)
 
 
 def test_heaps_keep_the_best_whatever_the_order():
