@@ -8,16 +8,19 @@ from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from morphlake.operators.graph import connected_components
-from morphlake.operators.neighbors import near_pairs
+from morphlake.operators.runs import by_groups, column, sided, taken
 from morphlake.sources.storage import cut
 
 
 #: Candidate pairs, of whole components, that a task solves at a time (more only where one component has more).
 EDGES = 2000
+#: Points of both sides of a tile, its margin apart.
+TILE_POINTS = 20_000
 
 
 def sparse_assignment(start: Sequence[int], to: Sequence[int], cost: Sequence[float], columns: int) -> tuple[list[int], list[float], list[float]] | None:
@@ -84,6 +87,8 @@ def closest_assignment(left: np.ndarray, right: np.ndarray, nearest: int = 8, ce
     if len(left) > len(right):
         return [(b, a) for a, b in closest_assignment(right, left, nearest, cells)]
     n, m, step = len(left), len(right), max(1, cells // max(1, len(right)))
+    if n == 1:
+        return [(0, int(np.hypot(left[0, 0] - right[:, 0], left[0, 1] - right[:, 1]).argmin()))]
     blocks = lambda: ((a, np.hypot(left[a : a + step, None, 0] - right[None, :, 0], left[a : a + step, None, 1] - right[None, :, 1])) for a in range(0, n, step))
     while True:
         k = min(m, nearest)
@@ -94,6 +99,8 @@ def closest_assignment(left: np.ndarray, right: np.ndarray, nearest: int = 8, ce
             if solved is None:
                 break
             mate, u, v = solved
+            if k == m:  # no pair is left out
+                return list(enumerate(mate))
             missing = []
             for a, d in blocks():
                 better = d - np.array(u[a : a + len(d)])[:, None] - np.array(v)[None] < -1e-9 * (1.0 + d)
@@ -125,12 +132,110 @@ def _solve_components(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.concat([_solve_component(part) for _, part in pdf.groupby("c")], ignore_index=True)
 
 
+def _near(ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Indices and squared distance of all pairs of two point sets at most ``reach`` apart."""
+    order = np.argsort(bx, kind="stable")
+    low, high = np.searchsorted(bx[order], ax - 1.01 * reach), np.searchsorted(bx[order], ax + 1.01 * reach, "right")
+    out, a, ends = [], 0, np.cumsum(high - low)
+    while a < len(ax):
+        z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + (1 << 20), "right")))  # about a million at a time
+        n = high[a:z] - low[a:z]
+        i = np.repeat(np.arange(a, a + len(n)), n)
+        j = order[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[a:z], n)]
+        d2 = (ax[i] - bx[j]) * (ax[i] - bx[j]) + (ay[i] - by[j]) * (ay[i] - by[j])
+        hit = d2 <= reach * reach
+        out.append((i[hit], j[hit], d2[hit]))
+        a = z
+    return tuple(np.concatenate([o[k] for o in out]) if out else np.zeros(0, dtype=t) for k, t in enumerate(("i8", "i8", "f8")))
+
+
+def _components(a: np.ndarray, b: np.ndarray, n: int, m: int) -> np.ndarray:
+    """The component of each edge between n left and m right points, named by its smallest left point."""
+    left, right = np.arange(n), np.full(m, n)
+    while True:
+        before = left.copy()
+        np.minimum.at(right, b, left[a])
+        np.minimum.at(left, a, right[b])
+        left = left[left]
+        if np.array_equal(left, before):
+            return left[a]
+
+
+def _solve_edges(a: np.ndarray, b: np.ndarray, d: np.ndarray, component: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_solve_component`` for many components of edges (ids a and b) at once; pairs that are their own component need no solver."""
+    _, c, size = np.unique(component, return_inverse=True, return_counts=True)
+    alone = np.bincount(c, d, len(size)) + 1.0
+    single = size[c] == 1
+    left, i = np.unique(a[~single], return_inverse=True)
+    right, j = np.unique(b[~single], return_inverse=True)
+    n, m, cost = len(left), len(right), np.empty(len(left))
+    cost[i] = alone[c[~single]]
+    start, to, costs = _edges(np.concatenate([i, np.arange(n)]), np.concatenate([j, m + np.arange(n)]), np.concatenate([d[~single], cost]), n)
+    mate = np.array(sparse_assignment(start, to, costs, m + n)[0], dtype=np.int64)
+    row = np.flatnonzero(mate < m)
+    key = i * m + j
+    order = np.argsort(key, kind="stable")
+    at = order[np.searchsorted(key[order], row * m + mate[row])]
+    return np.concatenate([a[single], left[row]]), np.concatenate([b[single], right[mate[row]]]), np.concatenate([d[single], d[~single][at]])
+
+
+def _tiled(points: DataFrame, large: DataFrame | None, group: str, reach: float, spread: bool) -> DataFrame:
+    """Adds the tile of each point, or of each tile that it reaches, and whether that is the only one; groups that aren't ``large`` are one tile."""
+    if large is None:
+        return points.select("*", F.lit(0).cast("bigint").alias("__tx"), F.lit(0).cast("bigint").alias("__ty"), F.lit(True).alias("__only"))
+    placed = points.join(F.broadcast(large), group, "left")
+    at = lambda c, shift: F.when(F.col("__k").isNull(), F.lit(0)).otherwise(F.greatest(F.lit(0), F.least(F.col("__k") - 1, F.floor((F.col(c) + shift - F.col(f"__{c}0")) / F.col("__w"))))).cast("bigint")
+    if not spread:
+        tiles = placed.withColumns({"__tx": at("x", 0.0), "__ty": at("y", 0.0), "__only": F.lit(True)})
+    else:
+        margin = 1.01 * reach
+        tiles = placed.withColumns({"__xs": F.sequence(at("x", -margin), at("x", margin)), "__ys": F.sequence(at("y", -margin), at("y", margin))})
+        tiles = tiles.withColumn("__only", (F.size("__xs") == 1) & (F.size("__ys") == 1)).select("*", F.explode("__xs").alias("__tx")).select("*", F.explode("__ys").alias("__ty"))
+    return tiles.select(*points.columns, "__tx", "__ty", "__only")
+
+
 def gated_assignment(previous: DataFrame, following: DataFrame, group: str, reach: float) -> DataFrame:
     """(group, a, b, d): the largest set of pairs within ``reach``, of least total distance.
 
-    Candidate pairs split into components, which are solved on their own; a pair that is its own component needs no solver.
+    Candidate pairs split into components, which are solved on their own. A task finds the pairs and components of a group,
+    or of a tile of a group with more than TILE_POINTS points, and solves at once those components that no other tile can
+    have a part of. Only pairs of the rest become rows, whose components are found over all tiles.
     """
-    edges = near_pairs(previous, following, group, reach).select(F.col(group).alias("g"), "a", "b", F.sqrt("d2").alias("d"))
+    keys = [group, "__tx", "__ty"]
+    both = sided(previous, following, [group])
+    sizes = both.groupBy(group).agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{n}_{c}") for c in "xy" for f, n in ((F.min, "min"), (F.max, "max"))])
+    k = F.ceil(F.sqrt(F.col("n") / TILE_POINTS))
+    extent = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))
+    large = cut(sizes.where(F.col("n") > TILE_POINTS).select(group, k.alias("__k"), F.greatest(extent / k, F.lit(4.0 * reach)).alias("__w"), F.col("min_x").alias("__x0"), F.col("min_y").alias("__y0")))
+    large = large if large.limit(1).count() else None
+    kind = previous.schema[group].dataType.simpleString()
+
+    def solve(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        side, ids, x, y, only = (column(rows, c) for c in ("__side", "id", "x", "y", "__only"))
+        out: list[tuple] = []
+        for first, last in zip(starts, starts[1:], strict=False):
+            m = first + int(np.searchsorted(side[first:last], 1))
+            i, j, d2 = _near(x[first:m], y[first:m], x[m:last], y[m:last], reach)
+            if not len(i):
+                continue
+            component = _components(i, j, m - first, last - m)
+            a, b, d = ids[first:m][i], ids[m:last][j], np.sqrt(d2)
+            open_ = np.isin(component, component[~only[m:last][j]])
+            for edges, solved in ((_solve_edges(a[~open_], b[~open_], d[~open_], component[~open_]), True), ((a[open_], b[open_], d[open_]), False)):
+                out.append((np.full(len(edges[0]), first), *edges, np.full(len(edges[0]), solved)))
+        at, a, b, d, solved = (np.concatenate([o[c] for o in out]) if out else np.zeros(0, dtype=t) for c, t in enumerate(("i8", "i8", "i8", "f8", "?")))
+        return pa.RecordBatch.from_arrays([taken(rows, group, at), pa.array(a), pa.array(b), pa.array(d), pa.array(solved)], names=["g", "a", "b", "d", "solved"])
+
+    tiled = _tiled(both.where("__side = 0"), large, group, reach, False).unionByName(_tiled(both.where("__side = 1"), large, group, reach, True))
+    found = cut(by_groups(tiled, keys, solve, f"g {kind}, a long, b long, d double, solved boolean", ["__side"]))
+    done = found.where("solved").select(F.col("g").alias(group), "a", "b", "d")
+    if large is None:
+        return done
+    return done.unionByName(_solve_open(found.where("not solved").select("g", "a", "b", "d")).withColumnRenamed("g", group))
+
+
+def _solve_open(edges: DataFrame) -> DataFrame:
+    """(g, a, b, d) of the pairs taken among edges (g, a, b, d) whose components may reach over several tiles."""
     node = lambda side, c: F.xxhash64("g", F.lit(side), c)
     named = edges.withColumns({"na": node("l", "a"), "nb": node("r", "b")})
     comp = connected_components(named.select(F.col("na").alias("a"), F.col("nb").alias("b")))
@@ -139,30 +244,34 @@ def gated_assignment(previous: DataFrame, following: DataFrame, group: str, reac
     placed = placed.join(size.select("c", "n"), "c")
     parts = size.where("n > 1").groupBy("g").agg(F.ceil(F.sum("n") / EDGES).cast("int").alias("parts"))
     several = placed.where("n > 1").select("c", "g", "a", "b", "d").join(parts, "g")
-    solved = several.groupBy("g", F.pmod(F.xxhash64("c"), F.col("parts")).alias("part")).applyInPandas(_solve_components, "g long, a long, b long, d double")
-    return cut(placed.where("n = 1").select("g", "a", "b", "d").unionByName(solved)).withColumnRenamed("g", group)
+    kind = edges.schema["g"].dataType.simpleString()
+    solved = several.groupBy("g", F.pmod(F.xxhash64("c"), F.col("parts")).alias("part")).applyInPandas(_solve_components, f"g {kind}, a long, b long, d double")
+    return cut(placed.where("n = 1").select("g", "a", "b", "d").unionByName(solved))
 
 
 def point_match(truth: DataFrame, found: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, a, b, d): the assignment of least total distance over all points of each region, not limited by any distance.
 
-    truth, found: keys, id, x, y. A task holds one region's points and a few edges of each (``closest_assignment``). Apply a
-    tolerance to d afterwards.
+    truth, found: keys, id, x, y. A task holds one region's points and a few edges of each (``closest_assignment``), small
+    regions many at a time. Apply a tolerance to d afterwards.
     """
     names = list(keys)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in truth.select(*names).schema) + ", a long, b long, d double"
 
-    def solve(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame(columns=[*names, "a", "b", "d"])
-        left, right = left.sort_values("id", ignore_index=True), right.sort_values("id", ignore_index=True)
-        a, b = (side[["x", "y"]].to_numpy(dtype=float) for side in (left, right))
-        pairs = closest_assignment(a, b)
-        head = {n: left[n].iloc[0] for n in names}
-        return pd.DataFrame({**head, "a": [left["id"][i] for i, _ in pairs], "b": [right["id"][j] for _, j in pairs], "d": [float(np.sqrt(((a[i] - b[j]) ** 2).sum())) for i, j in pairs]})
-
-    fresh = lambda f: f.select(*[F.col(c).alias(c) for c in (*names, "id", "x", "y")]).groupBy(*names)  # noqa: E731  both sides may come from one table
-    return fresh(truth).cogroup(fresh(found)).applyInPandas(solve, schema)
+    def solve(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        side, ids, x, y = (column(rows, c) for c in ("__side", "id", "x", "y"))
+        xy, out = np.stack([x, y], 1), [np.zeros((0, 2), dtype=np.int64)]
+        for first, last in zip(starts, starts[1:], strict=False):
+            m = first + int(np.searchsorted(side[first:last], 1))
+            if m == first or m == last:
+                continue
+            pairs = closest_assignment(xy[first:m], xy[m:last])
+            out.append(np.array(pairs, dtype=np.int64).reshape(-1, 2) + (first, m))
+        i, j = np.concatenate(out).T
+        d = np.sqrt(((xy[i] - xy[j]) ** 2).sum(1))
+        return pa.RecordBatch.from_arrays([*[taken(rows, n, i) for n in names], pa.array(ids[i]), pa.array(ids[j]), pa.array(d)], names=[*names, "a", "b", "d"])
+
+    return by_groups(sided(truth, found, names), names, solve, schema, ["__side", "id"])
 
 
 def match_metrics(truth: DataFrame, found: DataFrame, matches: DataFrame, keys: Sequence[str], tolerances: Sequence[float]) -> DataFrame:

@@ -239,7 +239,7 @@ def k3_given_matches(spark, d):
 
 
 def k4_given_matches(spark, d):
-    return track.track_ids(b.manifest(spark, d), _track_points(spark, d), _given(spark, d)).select("sample_id", "object_id", "track_id", R("displacement"))
+    return track.track_ids(b.manifest(spark, d), _track_points(spark, d), cut(_given(spark, d))).select("sample_id", "object_id", "track_id", R("displacement"))
 
 
 def k5_given_modes(spark, d):
@@ -346,8 +346,9 @@ def k6_track_summary(spark, d):
 def _sets(spark, d):
     from morphlake.operators.neighbors import points_in_rois
 
-    o = b.objects(spark, d).select("image_no", F.col("object_id").alias("id"), F.col("centroid_x_px").alias("x"), F.col("centroid_y_px").alias("y"), "kept", "l_discount")
-    inside = points_in_rois(o, b.rois(spark, d), "image_no").select("roi_id", "id", F.col("local_x").alias("x"), F.col("local_y").alias("y"), "image_no").join(o.select("image_no", "id", "kept", "l_discount"), ["image_no", "id"])
+    o = b.objects(spark, d).select("image_no", F.struct("object_id", "kept", "l_discount").alias("id"), F.col("centroid_x_px").alias("x"), F.col("centroid_y_px").alias("y"))
+    inside = points_in_rois(o, b.rois(spark, d), "image_no")
+    inside = cut(inside.select("roi_id", F.col("id.object_id").alias("id"), F.col("local_x").alias("x"), F.col("local_y").alias("y"), "image_no", "id.kept", "id.l_discount"))
     return inside.where("kept"), inside.where("l_discount > 0.02").withColumn("x", F.col("x") + 1)
 
 

@@ -37,3 +37,82 @@ def test_region_summary_keeps_every_label_and_image_of_the_tissue(spark):
     rows = geometry.region_summary(place([(1, 520.0, 500.0)] * 3), place([(1, 520.0, 500.0), (2, 0.0, 0.0)]), rq.SCHEMA, "image_no", 1.0).collect()
     assert len(rows) == 34
     assert {(r.image_no, r.region_label, r.area_mm2, r.object_count) for r in rows if r.region_axis == "ring" and (r.area_mm2 or r.object_count)} == {(1, "central", 1.0, 3), (2, "peripheral", 1.0, 0)}
+
+
+def test_rectangles_in_cells_are_not_broadcast(spark):
+    from morphlake.operators import neighbors
+
+    rois = spark.range(50).selectExpr("id as roi_id", "id % 3 as g", "id * 7 % 90 as x0", "id * 11 % 90 as y0", "30L as width", "20L as height")
+    points = spark.range(200).selectExpr("id % 3 as g", "id", "cast(id * 37 % 120 as double) as x", "cast(id * 53 % 120 as double) as y")
+    inside, pairs = neighbors.points_in_rois(points, rois, "g", 16), neighbors.roi_overlap_pairs(rois, "g", 16)
+    for frame in (inside, pairs):
+        assert "BroadcastHashJoin" not in plan_of(frame)
+    p, r = points.collect(), rois.collect()
+    assert sorted((x.roi_id, x.id) for x in inside.collect()) == sorted((b.roi_id, a.id) for a in p for b in r if a.g == b.g and b.x0 <= a.x < b.x0 + b.width and b.y0 <= a.y < b.y0 + b.height)
+    w = lambda a, b, c, n: min(a[c] + a[n], b[c] + b[n]) - max(a[c], b[c])
+    want = sorted((a.roi_id, b.roi_id, w(a, b, "x0", "width") * w(a, b, "y0", "height")) for a in r for b in r if a.g == b.g and a.roi_id < b.roi_id and w(a, b, "x0", "width") > 0 and w(a, b, "y0", "height") > 0)
+    assert sorted((x.roi_a, x.roi_b, x.overlap_px) for x in pairs.collect()) == want
+
+
+def test_a_point_is_entered_in_few_cells_and_no_pair_is_lost(spark):
+    from morphlake.operators import neighbors
+
+    points = spark.range(400).selectExpr("id % 2 as g", "id", "cast(id * 37 % 101 as double) as x", "cast(id * 53 % 103 - 50 as double) as y")
+    near = neighbors.near_pairs(points, points, "g", 5.0)
+    p = points.collect()
+    want = sorted((a.id, b.id) for a in p for b in p if a.g == b.g and (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 25.0)
+    assert sorted((r.a, r.b) for r in near.collect()) == want
+    assert "array(-1, 0, 1)" not in plan_of(near) and "[-1,0,1]" not in plan_of(near)  # nine copies of each point before
+
+
+def test_tiles_of_a_large_group_give_the_assignment_of_the_whole(spark, monkeypatch):
+    from morphlake.operators import matching
+
+    left = spark.range(600).selectExpr("id % 2 as g", "id", "id * 7919 % 10007 / 50.0 as x", "id * 104729 % 10009 / 50.0 as y")
+    right = spark.range(600).selectExpr("id % 2 as g", "id", "id * 6101 % 10007 / 50.0 as x", "id * 3571 % 10009 / 50.0 as y")
+    whole = sorted(tuple(r) for r in matching.gated_assignment(left, right, "g", 12.0).collect())
+    monkeypatch.setattr(matching, "TILE_POINTS", 60)
+    tiled = sorted(tuple(r) for r in matching.gated_assignment(left, right, "g", 12.0).collect())
+    assert len(whole) > 300
+    assert [(r[0], r[1], r[2]) for r in tiled] == [(r[0], r[1], r[2]) for r in whole]
+
+
+def test_no_row_is_made_for_a_candidate_pair_of_a_small_group(spark, monkeypatch):
+    from morphlake.operators import matching
+
+    monkeypatch.setattr(matching, "connected_components", None)  # called for every candidate pair before
+    side = spark.range(40).selectExpr("0L as g", "id", "id * 3.0 as x", "0.0 as y")
+    assert [(r.a, r.b) for r in matching.gated_assignment(side, side, "g", 4.0).orderBy("a").collect()] == [(i, i) for i in range(40)]
+
+
+def test_small_groups_are_searched_whole_and_large_ones_in_squares_alike(spark, monkeypatch):
+    from morphlake.operators import blocks, neighbors
+
+    points = spark.range(500).selectExpr("id % 5 as g", "id", "id * 7919 % 1009 * 1.0 as x", "id * 104729 % 997 * 1.0 as y").where("g < 4 or id < 250")
+    found = []
+    for most in (0, 75, 4096):
+        monkeypatch.setattr(blocks, "WHOLE", most)
+        found.append(sorted(tuple(r) for r in neighbors.nearest(points, points, "g", 64.0, different=True).collect()))
+    assert len(found[0]) == 450 and found[0] == found[1] == found[2]
+    monkeypatch.setattr(blocks, "WHOLE", 4096)
+    monkeypatch.setattr(blocks, "block_candidates", None)  # squares were made for every group before
+    assert sorted(tuple(r) for r in neighbors.nearest(points, points, "g", 64.0, different=True).collect()) == found[0]
+
+
+def test_many_small_regions_are_matched_in_one_task(spark):
+    from morphlake.operators import matching
+
+    truth = spark.range(900).selectExpr("if(id % 300 = 7, null, id % 300) as r", "id", "id * 37 % 64 * 1.0 as x", "id * 53 % 64 * 1.0 as y")
+    found = truth.where("r is null or r % 3 > 0").selectExpr("r", "id + 1000 as id", "x + 1 as x", "y")
+    matched = matching.point_match(truth, found, ["r"])
+    assert "FlatMapCoGroupsInPandas" not in plan_of(matched)
+    rows = matched.collect()
+    assert len(rows) == 600 and sum(r.r is None for r in rows) == 3
+    assert sum(r.d for r in rows) <= 600.0 + 1e-9
+
+
+def test_only_chains_that_go_on_travel(spark):
+    from morphlake.operators import graph
+
+    steps = spark.range(200).selectExpr("id", "if(id % 20 = 0 or id > 150, null, id - 1) as parent")
+    assert {r.id: r.root for r in graph.chain_roots(steps).collect()} == {i: i if i > 150 else i // 20 * 20 for i in range(200)}
