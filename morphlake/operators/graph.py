@@ -71,14 +71,25 @@ def pixel_components(pixels: DataFrame, group: str, size: int = 1 << 20, cell: i
 
 
 def chain_roots(steps: DataFrame, rounds: int = 40) -> DataFrame:
-    """(id, parent or null) -> (id, root): follow parents to the start by doubling; log2 of the longest chain rounds."""
-    at = cut(steps.select("id", F.coalesce("parent", "id").alias("up")))
+    """(id, parent or null) -> (id, root): follow parents to the start by doubling; log2 of the longest chain rounds.
+
+    Rows without a parent are their own roots and don't travel; of the others only those that haven't arrived look on.
+    """
+    going = cut(steps.where("parent is not null").select("id", F.col("parent").alias("up")))
+    arrived = []
     for _ in range(rounds):
-        jumped = at.join(at.select(F.col("id").alias("up"), F.col("up").alias("next")), "up", "left").select("id", F.coalesce("next", "up").alias("up"), (F.coalesce("next", "up") != F.col("up")).alias("moved"))
-        jumped = cut(jumped)
-        if not jumped.where("moved").limit(1).count():
-            return jumped.select("id", F.col("up").alias("root"))
-        at = jumped.drop("moved")
+        every = going
+        for frame in arrived:
+            every = every.unionByName(frame)
+        ahead = every.select(F.col("id").alias("up"), F.col("up").alias("next"))
+        jumped = cut(going.join(ahead, "up", "left").select("id", F.coalesce("next", "up").alias("up"), F.col("next").isNotNull().alias("moved")))
+        arrived.append(jumped.where("not moved").drop("moved"))
+        going = jumped.where("moved").drop("moved")
+        if not going.limit(1).count():
+            roots = steps.where("parent is null").select("id", F.col("id").alias("root"))
+            for frame in arrived:
+                roots = roots.unionByName(frame.select("id", F.col("up").alias("root")))
+            return roots
     raise RuntimeError(f"chains have not ended in {rounds} rounds")
 
 
