@@ -25,8 +25,8 @@ def consecutive_samples(manifest: DataFrame, counts: DataFrame) -> DataFrame:
 def _sides(pairs: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame]:
     real = pairs.where("prev_sample_id is not null and n_prev > 0 and n_cur > 0")
     p = points.select(F.col("image_no").alias("s"), "id", "x", "y")
-    before = real.select(F.col("sample_id").alias("pair"), F.col("prev_sample_id").alias("s")).join(p, "s").select("pair", "id", "x", "y")
-    after = real.select(F.col("sample_id").alias("pair"), F.col("sample_id").alias("s")).join(p, "s").select("pair", "id", "x", "y")
+    before = real.select(F.col("sample_id").alias("pair"), F.col("prev_sample_id").alias("s")).hint("shuffle_hash").join(p, "s").select("pair", "id", "x", "y")
+    after = real.select(F.col("sample_id").alias("pair"), F.col("sample_id").alias("s")).hint("shuffle_hash").join(p, "s").select("pair", "id", "x", "y")
     return before, after
 
 
@@ -90,14 +90,14 @@ def track_ids(manifest: DataFrame, points: DataFrame, matches: DataFrame) -> Dat
     key = lambda s, o: packed((s, 1 << 31), (o, 1 << 32))
     order = Window.partitionBy("animal_id", "eye").orderBy("timepoint_dpi", "sample_id")
     m = manifest.withColumn("prev", F.lag("sample_id").over(order)).select("sample_id", "prev", "animal_id", "eye", "timepoint_dpi")
-    rows = points.select(F.col("image_no").alias("sample_id"), F.col("id").alias("object_id")).join(m, "sample_id")
+    rows = points.select(F.col("image_no").alias("sample_id"), F.col("id").alias("object_id")).join(m.hint("shuffle_hash"), "sample_id")  # few columns of many points look small
     linked = rows.join(matches.select(F.col("pair").alias("sample_id"), F.col("b").alias("object_id"), "a", "d"), ["sample_id", "object_id"], "left")
     steps = linked.withColumns({"id": key("sample_id", "object_id"), "parent": F.when(F.col("a").isNotNull(), key("prev", "a"))})
     roots = chain_roots(steps.select("id", "parent"))
     order = [F.col(c) for c in ("animal_id", "eye", "timepoint_dpi", "sample_id", "object_id")]
     starts = numbered(steps.where("parent is null").select(F.col("id").alias("root"), *order), order, "track_id").select("root", F.col("track_id").cast("int").alias("track_id"))
     shown = F.when(F.col("prev").isNull(), 0.0).otherwise(F.col("d"))
-    return steps.join(roots, "id").join(starts, "root").select("animal_id", "eye", "sample_id", "object_id", "track_id", F.col("prev").alias("prev_sample_id"), shown.alias("displacement"))
+    return steps.join(roots.hint("merge"), "id").join(starts.hint("merge"), "root").select("animal_id", "eye", "sample_id", "object_id", "track_id", F.col("prev").alias("prev_sample_id"), shown.alias("displacement"))
 
 
 def common_frame(pairs: DataFrame, used: DataFrame) -> DataFrame:

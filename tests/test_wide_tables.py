@@ -116,3 +116,17 @@ def test_only_chains_that_go_on_travel(spark):
 
     steps = spark.range(200).selectExpr("id", "if(id % 20 = 0 or id > 150, null, id - 1) as parent")
     assert {r.id: r.root for r in graph.chain_roots(steps).collect()} == {i: i if i > 150 else i // 20 * 20 for i in range(200)}
+
+
+def test_points_are_not_broadcast_to_their_samples(spark):
+    from morphlake.operators import track
+
+    pairs = spark.range(1, 4).selectExpr("id as sample_id", "nullif(id - 1, 0) as prev_sample_id", "5L as n_prev", "5L as n_cur")
+    points = spark.range(15).selectExpr("id % 3 + 1 as image_no", "id", "id * 1.0 as x", "id * 2.0 as y")
+    before, after = track._sides(pairs, points)
+    manifest = spark.range(1, 4).selectExpr("id as sample_id", "1L as animal_id", "'OD' as eye", "cast(id as double) as timepoint_dpi")
+    matches = spark.range(5).selectExpr("2L as pair", "id * 3 as a", "id * 3 + 1 as b", "0.5D as d")
+    tracks = track.track_ids(manifest, points, matches)
+    assert "BroadcastHashJoin [s" not in plan_of(before) + plan_of(after) + plan_of(tracks.select("sample_id", "object_id", "track_id"))
+    rows = {(r.sample_id, r.object_id): r.track_id for r in tracks.collect()}
+    assert len(rows) == 15 and len(set(rows.values())) == 10 and rows[1, 0] == rows[2, 1]
