@@ -111,10 +111,13 @@ def distance_to_mask(centroids: DataFrame, mask: DataFrame, key: str, side: floa
 
 
 def otsu_threshold(pixels: DataFrame, key: str, bins: int = 64) -> DataFrame:
-    """The cut between bins of each image's histogram that separates its two classes best; constant images cut at their value."""
+    """The cut between bins of each image's histogram that separates its two classes best; constant images cut at their value.
+
+    A row an image is the built side of joins: exploded pixels look few to the planner.
+    """
     s = pixels.groupBy(key).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     at = F.least(F.lit(bins - 1), F.floor((F.col("value") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * bins))
-    h = pixels.join(s, key).withColumn("bin", F.coalesce(at, F.lit(0)).cast("int")).groupBy(key, "lo", "hi", "bin").agg(F.count(F.lit(1)).alias("n"))
+    h = pixels.join(s.hint("shuffle_hash"), key).withColumn("bin", F.coalesce(at, F.lit(0)).cast("int")).groupBy(key, "lo", "hi", "bin").agg(F.count(F.lit(1)).alias("n"))
     centre = F.col("lo") + (F.col("bin") + 0.5) * (F.col("hi") - F.col("lo")) / bins
     h = h.withColumns({"v": centre, "m": F.col("n") * centre})
     up, whole = Window.partitionBy(key).orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow), Window.partitionBy(key)
@@ -145,7 +148,7 @@ def open_close(mask: DataFrame, key: str, opening: int, closing: int) -> DataFra
 
 def tissue_mask(pixels: DataFrame, key: str, opening: int = 0, closing: int = 0) -> DataFrame:
     """Pixels above the image's Otsu threshold, opened and closed by boxes of the given half widths (2 and 4: 5 by 5, 9 by 9)."""
-    m = pixels.join(otsu_threshold(pixels, key), key).withColumn("on", (F.col("value") > F.col("threshold")).cast("int"))
+    m = pixels.join(otsu_threshold(pixels, key).hint("shuffle_hash"), key).withColumn("on", (F.col("value") > F.col("threshold")).cast("int"))
     return open_close(m, key, opening, closing)
 
 

@@ -130,3 +130,12 @@ def test_points_are_not_broadcast_to_their_samples(spark):
     assert "BroadcastHashJoin [s" not in plan_of(before) + plan_of(after) + plan_of(tracks.select("sample_id", "object_id", "track_id"))
     rows = {(r.sample_id, r.object_id): r.track_id for r in tracks.collect()}
     assert len(rows) == 15 and len(set(rows.values())) == 10 and rows[1, 0] == rows[2, 1]
+
+
+def test_exploded_pixels_are_not_broadcast_to_their_thresholds(spark):
+    from morphlake.operators import pixels
+
+    images = spark.range(3).selectExpr("id as g", "explode(sequence(0L, 15L)) as y").selectExpr("g", "y", "explode(sequence(0L, 15L)) as x")
+    mask = pixels.tissue_mask(images.selectExpr("*", "if(x < 8, 0.0D, 1.0D) as value"), "g", 1, 1)
+    assert "BroadcastHashJoin" not in plan_of(mask)
+    assert mask.where("on = 1").groupBy("g").count().collect()
