@@ -139,3 +139,14 @@ def test_exploded_pixels_are_not_broadcast_to_their_thresholds(spark):
     mask = pixels.tissue_mask(images.selectExpr("*", "if(x < 8, 0.0D, 1.0D) as value"), "g", 1, 1)
     assert "BroadcastHashJoin" not in plan_of(mask)
     assert mask.where("on = 1").groupBy("g").count().collect()
+
+
+def test_pairs_of_one_key_are_dealt_to_tasks(spark, monkeypatch):
+    from morphlake.operators import tiles
+
+    monkeypatch.setattr(tiles, "PAIRS", 50)
+    configs = spark.createDataFrame([(i, "a" if i < 40 else None if i < 43 else "b") for i in range(50)] + [(0, "a")], "config_id long, k string").coalesce(1)
+    views = spark.createDataFrame([(i, "a" if i < 20 else "c" if i < 23 else "b") for i in range(25)], "view_id long, k string").coalesce(1)
+    got = tiles.match_views(configs, views, ["k"])
+    assert got.columns == configs.join(views, ["k"]).columns and sorted(got.collect()) == sorted(configs.join(views, ["k"]).collect())
+    assert got.where("k = 'a'").select(F.spark_partition_id()).distinct().count() > 1
