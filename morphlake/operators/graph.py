@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from morphlake.operators.numbering import packed
+from morphlake.operators.runs import by_groups, column, taken
 from morphlake.sources.storage import cut
 
 
@@ -146,29 +147,23 @@ def suppress_min_distance(points: DataFrame, group: str, order: Sequence[Column]
         side /= 2
     kind = points.schema[group].dataType.simpleString()
 
-    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists, out = batch.column("members"), []
-            offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            flat = lists.flatten()
-            x, y, state, own = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y", "state", "own"))
-            for a, b in zip(offsets, offsets[1:], strict=False):
-                out.append(decide(x[a:b], y[a:b], state[a:b], own[a:b], distance, closed))
-            new = np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
-            told = np.flatnonzero(own & (state == 0))
-            of = np.repeat(np.arange(batch.num_rows), np.diff(offsets))[told]
-            yield pa.RecordBatch.from_arrays([batch.column(group).take(pa.array(of, pa.int64())), flat.field("id").take(pa.array(told, pa.int64())), pa.array(new[told])], names=[group, "id", "__new"])
+    def solve(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        x, y, state, own = (column(rows, f"__{c}") for c in ("x", "y", "state", "own"))
+        new = np.zeros(rows.num_rows, dtype=np.int64)
+        for a, b in zip(starts, starts[1:], strict=False):
+            if (own[a:b] & (state[a:b] == 0)).any():
+                new[a:b] = decide(x[a:b], y[a:b], state[a:b], own[a:b], distance, closed)
+        told = np.flatnonzero(own & (state == 0))
+        return pa.RecordBatch.from_arrays([taken(rows, group, told), taken(rows, "id", told), pa.array(new[told])], names=[group, "id", "__new"])
 
     turn = 0
     while open_.where("__state = 0").limit(1).count():
         shift = side / 2 * (turn % 2)
         near = lambda c: F.explode(F.sequence(F.floor((F.col(c) + (shift - distance)) / side), F.floor((F.col(c) + (shift + distance)) / side)))  # noqa: B023, E731
         spread = open_.select("*", *tiles(shift)).select("*", near("x").alias("__bx")).select("*", near("y").alias("__by"))
-        tile = Window.partitionBy(group, "__bx", "__by")
-        ranked = spread.withColumn("__rank", F.row_number().over(tile.orderBy(*order, F.asc("id"))))
-        member = F.struct("__rank", "id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("__state").cast("bigint").alias("state"), ((F.col("__tx") == F.col("__bx")) & (F.col("__ty") == F.col("__by"))).alias("own"))
-        lists = ranked.groupBy(group, "__bx", "__by").agg(F.array_sort(F.collect_list(member)).alias("members"), F.bool_or(F.col("__state") == 0).alias("open")).where("open")
-        told = lists.select(group, "members").mapInArrow(solve, f"`{group}` {kind}, id {points.schema['id'].dataType.simpleString()}, __new long")
+        own = (F.col("__tx") == F.col("__bx")) & (F.col("__ty") == F.col("__by"))
+        spread = spread.withColumns({"__x": F.col("x").cast("double"), "__y": F.col("y").cast("double"), "__state": F.col("__state").cast("bigint"), "__own": own})
+        told = by_groups(spread, [group, "__bx", "__by"], solve, f"`{group}` {kind}, id {points.schema['id'].dataType.simpleString()}, __new long", [*order, F.asc("id")])
         state = F.coalesce(F.col("__new"), F.col("__state").cast("bigint")).cast("int")
         open_ = cut(open_.join(told, [group, "id"], "left").withColumn("__state", state).where("__state >= 0").select(*names, "__state"))
         turn += 1

@@ -54,3 +54,15 @@ def test_merging_goes_by_source_then_row(spark):
     rows = [(1, 1, 0.0, 0.0, 1, 0), (1, 2, 3.0, 0.0, 0, 5), (1, 3, 6.0, 0.0, 1, 1), (1, 4, 3.0, 2.0, 0, 6), (2, 5, 3.0, 0.0, 1, 0)]
     points = spark.createDataFrame(rows, "g long, id long, x double, y double, source int, row int")
     assert {r.id for r in graph.merge_candidates(points, "g", 3.0).collect()} == {2, 5}
+
+
+def test_a_task_takes_rows_not_lists_of_tiles(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from morphlake.operators import graph, runs
+
+    calls, plain = [], runs.by_groups
+    monkeypatch.setattr(graph, "by_groups", lambda rows, *more: (calls.append([t for _, t in rows.dtypes if t.startswith("array")]), plain(rows, *more))[1], raising=False)
+    points = spark.createDataFrame([(g, 10 * g + i, float(i), 0.0) for g in range(5) for i in range(6)], "g long, id long, x double, y double")
+    kept = {(r.g, r.id % 10) for r in graph.suppress_min_distance(points, "g", [F.asc("x")], 2.0).collect()}
+    assert kept == {(g, i) for g in range(5) for i in (0, 2, 4)} and calls and not any(calls)
