@@ -150,3 +150,15 @@ def test_pairs_of_one_key_are_dealt_to_tasks(spark, monkeypatch):
     got = tiles.match_views(configs, views, ["k"])
     assert got.columns == configs.join(views, ["k"]).columns and sorted(got.collect()) == sorted(configs.join(views, ["k"]).collect())
     assert got.where("k = 'a'").select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_hulls_of_many_objects_in_a_batch(spark):
+    from morphlake.operators import tiles
+
+    cells = [(i, y, x, 1 + (x > 4)) for i in range(30) for y in range(1 + i % 4) for x in range(8) if (x > 4 or x <= y)]
+    got = tiles.solidity(spark.createDataFrame(cells, "image_no long, y long, x long, label long"), "image_no")
+    assert "FlatMapGroups" not in got._jdf.queryExecution().toString()
+    found = {(r.image_no, r.label): round(r.solidity, 6) for r in got.collect()}
+    # a stair of n steps lies in its square without the triangle beyond the corners
+    area = {n: n * n - (n - 1) ** 2 / 2 for n in range(1, 5)}
+    assert found == {(i, k): 1.0 if k == 2 else round((n * (n + 1) / 2) / area[n], 6) for i in range(30) for k in (1, 2) for n in [1 + i % 4]}
