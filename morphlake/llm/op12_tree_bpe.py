@@ -8,7 +8,8 @@ which makes the whole one exact: each merge of this vocabulary is made of earlie
 depends on nothing beside them (``check_merges`` tests that a vocabulary is so). A window that meets no agreement ends as
 the whole unsplit stretch, whose encoding needs none.
 
-Inside a piece, text is encoded in runs between white space, each distinct run once while it is remembered.
+Inside a piece, text is encoded in runs between white space, each distinct run once while it is remembered. A text's new
+runs are encoded together, a mark between them; runs that come again outlive others when the memory is full.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import hashlib
 import json
 import os
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,8 +31,10 @@ from morphlake.llm.shared import table
 
 #: Characters of a piece that is encoded by itself.
 PIECE = 1 << 14
-#: Characters on each side of a cut that decide whether it is allowed, and bytes of runs that a worker remembers.
+#: Characters on each side of a cut that decide whether it is allowed, and bytes of runs after which a worker forgets those that it hasn't met since the last time.
 _NEAR, _REMEMBERED = 32, 100 << 20
+#: A sign that hardly occurs in texts.
+_MARK = "\x01"
 _END = "</w>"
 
 
@@ -70,6 +74,8 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             own = json.load(f)
         check_merges(own["model"])
+        if own.get("decoder") is not None:
+            raise ValueError("decoding must be the tokens with spaces between them")
         self.full = Tokenizer.from_file(path)
         self.full.no_truncation()
         self.full.no_padding()
@@ -79,25 +85,49 @@ class Encoder:
         self.special = [t["content"] for t in own["added_tokens"]]
         self.names = np.array([self.full.id_to_token(i) or "" for i in range(self.full.get_vocab_size())], dtype=object)
         self._ends_word = np.array([t.endswith(_END) or t in self.special for t in self.names])
+        self._name = [t.encode("utf-8") for t in self.names]
         self._known: dict[bytes, tuple[bytes, bytes]] = {}
+        self._older: dict[bytes, tuple[bytes, bytes]] = {}
         self._size = 0
+        mark = self._encode([_MARK])[0]
+        self._mark = mark[0] if len(mark) == 1 and self.names[mark[0]] != own["model"].get("unk_token") else None
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.full.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _apart(self, runs: list[bytes]) -> list[list[int]]:
+        """Ids of each run. They are encoded as one text where the marks in it, and those in its tokens, are only the ones between runs."""
+        together = f" {_MARK} ".encode().join(runs)
+        if self._mark is not None and together.count(_MARK.encode()) == len(runs) - 1:
+            ids = self._encode([together.decode("utf-8")])[0]
+            ends = [i for i, t in enumerate(ids) if t == self._mark]
+            if len(ends) == len(runs) - 1:
+                return [ids[x:y] for x, y in zip([0, *(e + 1 for e in ends)], [*ends, len(ids)], strict=True)]
+        return self._encode([r.decode("utf-8") for r in runs])
 
     def _learn(self, runs: list[bytes]) -> None:
-        found = [e.ids for e in self.full.encode_batch_fast([r.decode("utf-8") for r in runs], add_special_tokens=False)]
-        texts = self.full.decode_batch(found, skip_special_tokens=False)
-        self._known.update((r, (np.array(i, dtype="<u4").tobytes(), t.encode("utf-8"))) for r, i, t in zip(runs, found, texts, strict=True))
-        self._size += sum(400 + 8 * len(r) for r in runs)
+        name = self._name
+        for run, ids in zip(runs, self._apart(runs), strict=True):
+            self._known[run] = array("I", ids).tobytes(), b" ".join([name[i] for i in ids])
 
     def runs(self, text: str) -> list[tuple[bytes, bytes]]:
         """(ids, decoded) of each run between ASCII white space, at which every word ends. Ids are little-endian."""
         parts = text.encode("utf-8").split()
         if self._size > _REMEMBERED:
-            self._known.clear()
-            self._size = 0
-        new = [r for r in set(parts) if r not in self._known]
+            self._known, self._older, self._size = {}, self._known, 0
+        known, older = self._known, self._older
+        new = [r for r in set(parts) if r not in known]
         if new:
-            self._learn(new)
-        return [self._known[r] for r in parts]
+            unknown = []
+            for r in new:
+                if r in older:
+                    known[r] = older[r]
+                else:
+                    unknown.append(r)
+            if unknown:
+                self._learn(unknown)
+            self._size += 400 * len(new) + 8 * sum(map(len, new))
+        return [known[r] for r in parts]
 
     def word_text(self, ids: np.ndarray) -> str:
         """The tokens' text in the vocabulary's own signs."""

@@ -124,6 +124,28 @@ def test_runs_are_forgotten_and_learnt_again(encoder, monkeypatch):
         assert b"".join(i for i, _ in encoder.runs(text)) == np.array(encoder.full.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
+def test_a_run_that_comes_again_is_learnt_once(encoder, monkeypatch):
+    """Texts of one common run and a rare one each; the memory has room for some ten runs."""
+    monkeypatch.setattr(op12, "_REMEMBERED", 4000)
+    monkeypatch.setattr(encoder, "_known", {})
+    monkeypatch.setattr(encoder, "_size", 0)
+    learnt, learn = [], encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda runs: (learnt.extend(runs), learn(runs)))
+    for i in range(100):
+        assert [d for _, d in encoder.runs(f"common rare{i}")][0] == encoder.full.decode(encoder.full.encode("common", add_special_tokens=False).ids).encode()
+    assert learnt.count(b"common") == 1 and len(learnt) == 101
+
+
+def test_new_runs_are_encoded_in_one_text(encoder, monkeypatch):
+    calls, encode = [], encoder._encode
+    monkeypatch.setattr(encoder, "_encode", lambda texts: (calls.append(len(texts)), encode(texts))[1])
+    for runs in ([f"Zq{i},x{i}'s" for i in range(50)], ["a\x01b", "\x01", "c"], ["\u0301e", "\u00a0", "<|endoftext|>", "\x01\x01"], ["\u200b", "\U0001f600x"], ["\x01"]):
+        calls.clear()
+        raw = [r.encode() for r in runs]
+        assert encoder._apart(raw) == [e.ids for e in encoder.full.encode_batch(runs, add_special_tokens=False)]
+        assert calls[0] == 1 if not any("\x01" in r for r in runs) else calls == [len(runs)]
+
+
 def test_vocabularies_with_loose_merges_are_refused():
     op12.check_merges({"merges": ["a b", "ab c</w>"]})
     for merges in (["ab c", "a b"], ["a b", "b c", "ab c", "a bc"]):
