@@ -194,6 +194,77 @@ def _tiled(points: DataFrame, large: DataFrame | None, group: str, reach: float,
     return tiles.select(*points.columns, "__tx", "__ty", "__only")
 
 
+def joined_points(x: np.ndarray, y: np.ndarray, reach: float) -> np.ndarray:
+    """For each point the smallest index of those that links of at most ``reach`` lead to; about a million pairs are held at a time."""
+    order = np.argsort(x, kind="stable")
+    sx, sy, root = x[order], y[order], np.arange(len(x))
+    n = np.searchsorted(sx, sx + 1.01 * reach, "right") - np.arange(1, len(x) + 1)
+    a, ends = 0, np.cumsum(n)
+    while a < len(x):
+        z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + (1 << 20), "right")))
+        m = n[a:z]
+        i = np.repeat(np.arange(a, a + len(m)), m)
+        j = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m) + i + 1
+        hit = (sx[i] - sx[j]) * (sx[i] - sx[j]) + (sy[i] - sy[j]) * (sy[i] - sy[j]) <= reach * reach
+        left, right = root[order[i[hit]]], root[order[j[hit]]]
+        while (apart := left != right).any():
+            left, right = left[apart], right[apart]
+            np.minimum.at(root, np.maximum(left, right), np.minimum(left, right))
+            while not np.array_equal(up := root[root], root):
+                root = up
+            left, right = root[left], root[right]
+        a = z
+    return root
+
+
+def _large_groups(both: DataFrame, group: str, reach: float) -> DataFrame | None:
+    """Groups of more than TILE_POINTS points, and how they are cut into tiles; None if there are none."""
+    sizes = both.groupBy(group).agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{n}_{c}") for c in "xy" for f, n in ((F.min, "min"), (F.max, "max"))])
+    k = F.ceil(F.sqrt(F.col("n") / TILE_POINTS))
+    extent = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))
+    large = cut(sizes.where(F.col("n") > TILE_POINTS).select(group, k.alias("__k"), F.greatest(extent / k, F.lit(4.0 * reach)).alias("__w"), F.col("min_x").alias("__x0"), F.col("min_y").alias("__y0")))
+    return large if large.limit(1).count() else None
+
+
+def point_components(points: DataFrame, group: str, reach: float) -> DataFrame:
+    """(group, id, root): points (group, id, x, y) that have another within ``reach``, and the smallest id that chains of these lead to.
+
+    Ids are unique within a group. A task joins the points of a group, or of a tile of a group with more than TILE_POINTS
+    points and of the margin around it; no row is made for a pair. Only parts that other tiles may go on with become links,
+    whose components are found over all tiles.
+    """
+    one = points.select(group, F.col("id").cast("bigint").alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).dropna()
+    large = _large_groups(one, group, reach)
+    kind = points.schema[group].dataType.simpleString()
+
+    def solve(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        ids, x, y, only = (column(rows, c) for c in ("id", "x", "y", "__only"))
+        kept, roots, solved = [], [], []
+        for first, last in zip(starts, starts[1:], strict=False):
+            at = joined_points(x[first:last], y[first:last], reach)
+            linked = np.bincount(at, minlength=last - first)[at] > 1
+            open_ = np.zeros(last - first, dtype=bool)
+            open_[at[~only[first:last]]] = True
+            kept.append(first + np.flatnonzero(linked))
+            roots.append(ids[first + at[linked]])
+            solved.append(~open_[at[linked]])
+        at, root, done = (np.concatenate(v) for v in (kept, roots, solved))
+        return pa.RecordBatch.from_arrays([taken(rows, group, at), pa.array(ids[at]), pa.array(root), pa.array(done)], names=[group, "id", "root", "solved"])
+
+    # sorted by id within a group, so that the smallest index has the smallest id
+    found = by_groups(_tiled(one, large, group, reach, True), [group, "__tx", "__ty"], solve, f"`{group}` {kind}, id long, root long, solved boolean", ["id"])
+    if large is None:
+        return found.select(group, "id", "root")
+    found = cut(found)
+    open_ = found.where("not solved").select(F.col(group).alias("g"), "id", "root")
+    node = lambda c: F.xxhash64("g", c)
+    comp = connected_components(open_.select(node("id").alias("a"), node("root").alias("b")))
+    placed = open_.select("g", "id", node("id").alias("node")).distinct().join(comp.withColumnRenamed("root", "c"), "node")
+    least = placed.groupBy("g", "c").agg(F.min("id").alias("root"))
+    placed = placed.join(least, ["g", "c"]).select(F.col("g").alias(group), "id", "root")
+    return found.where("solved").select(group, "id", "root").unionByName(placed)
+
+
 def gated_assignment(previous: DataFrame, following: DataFrame, group: str, reach: float) -> DataFrame:
     """(group, a, b, d): the largest set of pairs within ``reach``, of least total distance.
 
@@ -203,11 +274,7 @@ def gated_assignment(previous: DataFrame, following: DataFrame, group: str, reac
     """
     keys = [group, "__tx", "__ty"]
     both = sided(previous, following, [group])
-    sizes = both.groupBy(group).agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{n}_{c}") for c in "xy" for f, n in ((F.min, "min"), (F.max, "max"))])
-    k = F.ceil(F.sqrt(F.col("n") / TILE_POINTS))
-    extent = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))
-    large = cut(sizes.where(F.col("n") > TILE_POINTS).select(group, k.alias("__k"), F.greatest(extent / k, F.lit(4.0 * reach)).alias("__w"), F.col("min_x").alias("__x0"), F.col("min_y").alias("__y0")))
-    large = large if large.limit(1).count() else None
+    large = _large_groups(both, group, reach)
     kind = previous.schema[group].dataType.simpleString()
 
     def solve(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
