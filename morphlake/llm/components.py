@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from morphlake.llm.shared import cut
 
-#: Links below which a round is worked out by windows over nodes: so few fit in any task, and their plan is a third as long.
+#: Links below which a round is worked out by windows over nodes: so few fit in any task, and their plan is shorter and has no joins.
 FEW = 100_000
 
 
