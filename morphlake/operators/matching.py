@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from heapq import heappop, heappush
 
 import numpy as np
@@ -132,23 +132,45 @@ def _solve_components(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.concat([_solve_component(part) for _, part in pdf.groupby("c")], ignore_index=True)
 
 
-def _near(ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Indices and squared distance of all pairs of two point sets at most ``reach`` apart."""
+def near_parts(ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Indices and squared distance of all pairs of two point sets at most ``reach`` apart, about a million candidates at a time."""
     order = np.argsort(bx, kind="stable")
     low, high = np.searchsorted(bx[order], ax - 1.01 * reach), np.searchsorted(bx[order], ax + 1.01 * reach, "right")
-    out, a, ends = [], 0, np.cumsum(high - low)
+    a, ends = 0, np.cumsum(high - low)
     while a < len(ax):
-        z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + (1 << 20), "right")))  # about a million at a time
+        z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + (1 << 20), "right")))
         n = high[a:z] - low[a:z]
         i = np.repeat(np.arange(a, a + len(n)), n)
         j = order[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[a:z], n)]
         d2 = (ax[i] - bx[j]) * (ax[i] - bx[j]) + (ay[i] - by[j]) * (ay[i] - by[j])
         hit = d2 <= reach * reach
-        out.append((i[hit], j[hit], d2[hit]))
+        yield i[hit], j[hit], d2[hit]
         a = z
+
+
+def _near(ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``near_parts`` together."""
+    out = list(near_parts(ax, ay, bx, by, reach))
     return tuple(np.concatenate([o[k] for o in out]) if out else np.zeros(0, dtype=t) for k, t in enumerate(("i8", "i8", "f8")))
 
 
+def assigned_within(ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Indices and distance of the most pairs within ``reach`` that are one to one, of least total distance."""
+    i, j, d2 = _near(ax, ay, bx, by, reach)
+    if not len(i):
+        return i, j, d2
+    return _solve_edges(i, j, np.sqrt(d2), _components(i, j, len(ax), len(bx)))
+
+
+def mutual_within(ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Indices and distance of the pairs within ``reach`` that are each other's nearest, ties to the smaller index (``mutual_nearest``)."""
+    i, j, d2 = _near(ax, ay, bx, by, reach)
+    first, second = np.lexsort((j, d2, i)), np.lexsort((i, d2, j))
+    own = lambda order, of: order[np.concatenate([[True], of[order][1:] != of[order][:-1]])] if len(order) else order
+    both = np.intersect1d(own(first, i), own(second, j))
+    return i[both], j[both], np.sqrt(d2[both])
+
+
 def _components(a: np.ndarray, b: np.ndarray, n: int, m: int) -> np.ndarray:
     """The component of each edge between n left and m right points, named by its smallest left point."""
     left, right = np.arange(n), np.full(m, n)

@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from morphlake.operators.graph import chain_roots
-from morphlake.operators.matching import gated_assignment
+from morphlake.operators.matching import TILE_POINTS, assigned_within, gated_assignment, near_parts
 from morphlake.operators.neighbors import near_pairs
 from morphlake.operators.numbering import numbered, packed
+from morphlake.operators.runs import by_groups, column, taken
+from morphlake.sources.storage import cut
+
+#: Points of consecutive samples that a task takes together (more only where one sample has more).
+RUN_POINTS = 20_000
 
 
 def consecutive_samples(manifest: DataFrame, counts: DataFrame) -> DataFrame:
@@ -30,6 +39,114 @@ def _sides(pairs: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame]:
     return before, after
 
 
+def _run_roles(pairs: DataFrame, least: int = 0) -> DataFrame:
+    """(s, head, turn, real) of every sample: the run of consecutive samples it is in, named by its first one, and its place.
+
+    The sample before a run is in it too, as turn 0. real: the sample has a previous one and both have points; ``least``:
+    only samples that are in such a pair, of at most that many points.
+    """
+    order = Window.partitionBy("animal_id", "eye").orderBy("timepoint_dpi", "sample_id")
+    real = F.coalesce(F.col("prev_sample_id").isNotNull() & (F.col("n_prev") > 0) & (F.col("n_cur") > 0), F.lit(False))
+    real = real & (F.col("n_prev") + F.col("n_cur") <= least) if least else real
+    before = F.coalesce(F.sum("n_cur").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = pairs.withColumns({"real": real, "run": F.floor(before / RUN_POINTS)})
+    inside = Window.partitionBy("animal_id", "eye", "run").orderBy("timepoint_dpi", "sample_id")
+    rows = rows.withColumns({"head": F.first("sample_id").over(inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "turn": F.row_number().over(inside)})
+    rows = rows.withColumns({"next": F.lead("head").over(order), "goes_on": F.coalesce(F.lead("real").over(order), F.lit(False))})
+    needed = (F.col("real") | F.col("goes_on")) if least else F.lit(True)
+    own = F.when(needed, F.struct("head", "turn", "real", F.when(F.col("next") != F.col("head"), F.col("next")).alias("next")))
+    ahead = F.when(F.col("goes_on") & (F.col("next") != F.col("head")), F.struct(F.col("next").alias("head"), F.lit(0).alias("turn"), F.lit(False).alias("real"), F.lit(None).cast(pairs.schema["sample_id"].dataType).alias("next")))
+    return rows.select(F.col("sample_id").alias("s"), F.inline(F.array_compact(F.array(own, ahead))))
+
+
+def _in_runs(roles: DataFrame, points: DataFrame, solve: Callable, schema: str) -> DataFrame:
+    """``solve`` over the points of whole runs: called with rows by (head, turn, id), and (first, middle, last) of each sample beside the one before.
+
+    first to middle are the rows of the sample before (none unless the sample is ``real``), middle to last its own.
+    """
+    p = points.select(F.col("image_no").alias("s"), F.col("id").cast("bigint").alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    rows = roles.hint("shuffle_hash").join(p, "s")
+
+    def run(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        turn, real = column(table, "turn"), column(table, "real")
+        at = np.unique(np.concatenate([starts[:-1], np.flatnonzero(np.diff(turn)) + 1])).astype(np.int64) if len(turn) else np.zeros(0, dtype=np.int64)
+        ends = np.append(at[1:], len(turn))
+        samples, head = [], set(starts.tolist())
+        for k, (m, last) in enumerate(zip(at.tolist(), ends.tolist(), strict=True)):
+            joined = bool(real[m]) and m not in head and turn[m] == turn[at[k - 1]] + 1
+            samples.append((int(at[k - 1]) if joined else m, m, last))
+        return solve(table, samples)
+
+    return by_groups(rows, ["head"], run, schema, ["turn", "id", "x", "y"])
+
+
+def _shift(table: tuple[np.ndarray, np.ndarray], first: int, m: int, last: int, reach: float, cell: float) -> tuple[float, float, int] | None:
+    """(dx, dy, votes) of the displacement most pairs of rows first to m and m to last agree on; None without a pair."""
+    x, y = table
+    bins = _displacements(x[first:m], y[first:m], x[m:last], y[m:last], reach, cell)
+    if not len(bins[0]):
+        return None
+    bx, by, votes, sx, sy = bins
+    k = np.lexsort((by, bx, -np.abs(bx) - np.abs(by), votes))[-1]
+    return sx[k] / votes[k], sy[k] / votes[k], int(votes[k])
+
+
+def _displacements(ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray, reach: float, cell: float) -> tuple[np.ndarray, ...]:
+    """Bins (x, y) of the displacements of all pairs within ``reach``: pairs in each, and sums of dx and dy; about a million pairs are held at a time."""
+    held: list[tuple[np.ndarray, ...]] = []
+    for i, j, _ in near_parts(ax, ay, bx, by, reach):
+        dx, dy = ax[i] - bx[j], ay[i] - by[j]
+        held.append((np.stack([np.floor(dx / cell), np.floor(dy / cell)], 1).astype(np.int64), np.ones(len(i), dtype=np.int64), dx, dy))
+        held = [_binned(held)]
+    if not held:
+        held = [(np.zeros((0, 2), dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0))]
+    place, n, dx, dy = held[0]
+    return place[:, 0], place[:, 1], n, dx, dy
+
+
+def _binned(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    place, n, dx, dy = (np.concatenate([p[k] for p in parts]) for k in range(4))
+    low = place.min(0, initial=0)
+    wide = int(place[:, 1].max(initial=0) - low[1] + 1)
+    key, at = np.unique((place[:, 0] - low[0]) * wide + place[:, 1] - low[1], return_inverse=True)
+    sums = [np.bincount(at, v, len(key)) for v in (n, dx, dy)]
+    return np.stack([key // wide + low[0], key % wide + low[1]], 1), np.rint(sums[0]).astype(np.int64), sums[1], sums[2]
+
+
+def register_samples(pairs: DataFrame, points: DataFrame, reach: float, shift_reach: float, cell: float = 2.0) -> DataFrame:
+    """``choose_mode`` of the matches within ``reach``, raw and after moving by ``estimate_shift`` within ``shift_reach``.
+
+    A task takes the points of a run of consecutive samples once, and gives a row a sample; no pair and no match travels.
+    Pairs of more than TILE_POINTS points are matched in tiles.
+    """
+    pairs = cut(pairs)
+    kind = pairs.schema["sample_id"].dataType.simpleString()
+    large = pairs.where((F.col("n_prev") > 0) & (F.col("n_cur") > 0) & (F.col("n_prev") + F.col("n_cur") > TILE_POINTS))
+
+    def solve(table: pa.Table, samples: list[tuple[int, int, int]]) -> pa.RecordBatch:
+        x, y = column(table, "x"), column(table, "y")
+        out: list[tuple] = []
+        for first, m, last in samples:
+            shift = _shift((x, y), first, m, last, shift_reach, cell) if first < m else None
+            if first == m:
+                continue
+            sides = x[first:m], y[first:m], x[m:last], y[m:last]
+            raw = assigned_within(*sides, reach)[2]
+            moved = assigned_within(*sides[:2], sides[2] + shift[0], sides[3] + shift[1], reach)[2] if shift else raw[:0]
+            out.append((m, *(shift or (None, None, None)), *[v for d in (raw, moved) for v in (len(d), float(np.median(d)) if len(d) else None)]))
+        kinds = (pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64())
+        at, *columns = (pa.array([o[k] for o in out], t) for k, t in enumerate(kinds))
+        return pa.RecordBatch.from_arrays([taken(table, "s", at.to_numpy()), *columns], names=["pair", "dx", "dy", "votes", "n_raw", "median_raw", "n_reg", "median_reg"])
+
+    names = "dx double, dy double, votes long, n_raw long, median_raw double, n_reg long, median_reg double"
+    found = _in_runs(_run_roles(pairs, TILE_POINTS), points, solve, f"pair {kind}, {names}")
+    if large.limit(1).count():
+        shifts = cut(estimate_shift(large, points, shift_reach, cell))
+        found = found.unionByName(_sized(match_samples(large, points, reach), match_samples(large, points, reach, shifts), shifts).drop("status"))
+    both = pairs.where("prev_sample_id is not null").select(F.col("sample_id").alias("pair")).join(found, "pair", "left").fillna(0, ["n_raw", "n_reg"])
+    return _with_mode(both.withColumn("status", F.when(F.col("votes").isNull(), "missing").otherwise("estimated")))
+
+
 def estimate_shift(pairs: DataFrame, points: DataFrame, reach: float, cell: float = 2.0, dims: DataFrame | None = None) -> DataFrame:
     """(pair, dx, dy, votes, status): the displacement that most point pairs agree on, averaged inside its bin.
 
@@ -58,8 +175,15 @@ def choose_mode(raw: DataFrame, registered: DataFrame, shifts: DataFrame) -> Dat
 
     Otherwise raw, named by why: fallback_<status of the shift> or fallback_no_improvement.
     """
+    return _with_mode(_sized(raw, registered, shifts))
+
+
+def _sized(raw: DataFrame, registered: DataFrame, shifts: DataFrame) -> DataFrame:
     s = lambda m, n: m.groupBy("pair").agg(F.count(F.lit(1)).alias(f"n_{n}"), F.percentile("d", 0.5).alias(f"median_{n}"))
-    both = shifts.join(s(raw, "raw"), "pair", "left").join(s(registered, "reg"), "pair", "left").fillna(0, ["n_raw", "n_reg"])
+    return shifts.join(s(raw, "raw"), "pair", "left").join(s(registered, "reg"), "pair", "left").select("pair", "dx", "dy", "votes", "status", "n_raw", "median_raw", "n_reg", "median_reg").fillna(0, ["n_raw", "n_reg"])
+
+
+def _with_mode(both: DataFrame) -> DataFrame:
     better = (F.col("n_reg") >= F.col("n_raw")) & (F.when((F.col("n_reg") >= 3) & (F.col("n_raw") >= 3), F.col("median_reg") <= F.col("median_raw")).otherwise(True))
     used = F.when(F.col("status") != "estimated", F.concat(F.lit("fallback_"), "status")).when(better, "registered").otherwise("fallback_no_improvement")
     return both.withColumn("used", used)

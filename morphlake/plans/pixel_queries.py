@@ -317,9 +317,7 @@ def k1_estimate_shift(spark, d):
 
 
 def _modes(spark, d):
-    pairs, points = _pairs(spark, d), _track_points(spark, d)
-    shifts = track.estimate_shift(pairs, points, 30.0)
-    return track.choose_mode(track.match_samples(pairs, points, 10.0), track.match_samples(pairs, points, 10.0, shifts), shifts)
+    return track.register_samples(_pairs(spark, d), _track_points(spark, d), 10.0, 30.0)
 
 
 def k2_choose_mode(spark, d):
