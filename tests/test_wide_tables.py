@@ -162,3 +162,20 @@ def test_hulls_of_many_objects_in_a_batch(spark):
     # a stair of n steps lies in its square without the triangle beyond the corners
     area = {n: n * n - (n - 1) ** 2 / 2 for n in range(1, 5)}
     assert found == {(i, k): 1.0 if k == 2 else round((n * (n + 1) / 2) / area[n], 6) for i in range(30) for k in (1, 2) for n in [1 + i % 4]}
+
+
+def test_copies_of_a_dealt_join_grow_with_the_root_of_its_parts(spark, monkeypatch):
+    from morphlake.operators import tiles
+
+    monkeypatch.setattr(tiles, "PAIRS", 100)
+    left = spark.range(400).selectExpr("id as config_id", "if(id < 390, 'a', 'b') as k")
+    right = spark.range(100).selectExpr("id as view_id", "if(id < 90, 'a', 'b') as k")
+    got = tiles.match_views(left, right, ["k"])
+    assert sorted(got.collect()) == sorted(left.join(right, ["k"]).collect())
+    rows = []
+    for side in ("left", "right"):
+        plan = got._jdf.queryExecution().optimizedPlan()
+        join = next(p for p in (plan, plan.children().head()) if p.nodeName() == "Join")
+        rows.append(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, getattr(join, side)()).count())
+    # 351 parts of key a: 39 rows by 9 columns; all in one direction would be 351 copies of 90 rows
+    assert sum(rows) == 390 * 9 + 90 * 39 + 10 + 10
