@@ -26,6 +26,18 @@ def numbered(rows: DataFrame, order: Sequence[Column], name: str, parts: int | N
     return out.withColumn(name, (F.col("__before") + F.col("__inside")).cast("bigint")).drop("__range", "__before", "__inside")
 
 
+def summed_before(rows: DataFrame, order: Sequence[Column], value: str, name: str) -> DataFrame:
+    """Adds ``name``: the sum of ``value`` over all rows before in ``order``, which is different for each; ranges as in ``numbered``."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(rows.repartitionByRange(parts, *order).withColumn("__range", F.spark_partition_id()))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("__range").agg(F.sum(value).alias("__n"))
+    offsets = offsets.select("__range", F.coalesce(F.sum("__n").over(before(Window.partitionBy(F.lit(0)).orderBy("__range"))), F.lit(0)).alias("__before"))  # a row a range
+    inside = F.coalesce(F.sum(value).over(before(Window.partitionBy("__range").orderBy(*order))), F.lit(0))
+    out = ranged.withColumn("__inside", inside).join(F.broadcast(offsets), "__range")
+    return out.withColumn(name, (F.col("__before") + F.col("__inside")).cast("bigint")).drop("__range", "__before", "__inside")
+
+
 def packed(*parts: tuple[Column | str, int]) -> Column:
     """One long from (number, how many values it may have), the first the highest; a number out of its range raises."""
     out: Column = F.lit(0).cast("bigint")

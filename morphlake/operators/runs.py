@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _changes(column: pa.Array) -> np.ndarray:
+def changes(column: pa.Array) -> np.ndarray:
     """Whether each value but the first differs from the one before; nulls are equal."""
     if pa.types.is_struct(column.type):
-        parts = [_changes(c) for c in column.flatten()]
+        parts = [changes(c) for c in column.flatten()]
         null = column.is_null().to_numpy(zero_copy_only=False)
         return np.logical_or.reduce([*parts, null[1:] != null[:-1]])
     null = column.is_null().to_numpy(zero_copy_only=False)
@@ -30,7 +30,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iter
         rows = pa.Table.from_batches(parts).combine_chunks()
         cuts = np.zeros(rows.num_rows - 1, dtype=bool)
         for k in keys:
-            cuts |= _changes(rows.column(k).combine_chunks())
+            cuts |= changes(rows.column(k).combine_chunks())
         return rows, np.concatenate([[0], np.flatnonzero(cuts) + 1, [rows.num_rows]])
 
     for batch in batches:
@@ -39,7 +39,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iter
         edge = pa.Table.from_batches([*(h.slice(h.num_rows - 1) for h in held[-1:]), batch]).combine_chunks()
         cuts = np.zeros(edge.num_rows - 1, dtype=bool)
         for k in keys:
-            cuts |= _changes(edge.column(k).combine_chunks())
+            cuts |= changes(edge.column(k).combine_chunks())
         if not cuts.any():
             held.append(batch)
             continue

@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from morphlake.operators.graph import chain_roots
-from morphlake.operators.matching import TILE_POINTS, assigned_within, gated_assignment, near_parts
+from morphlake.operators.matching import TILE_POINTS, assigned_within, gated_assignment, mutual_nearest, mutual_within, near_parts
 from morphlake.operators.neighbors import near_pairs
-from morphlake.operators.numbering import numbered, packed
-from morphlake.operators.runs import by_groups, column, taken
-from morphlake.sources.storage import cut
+from morphlake.operators.numbering import numbered, packed, summed_before
+from morphlake.operators.runs import by_groups, changes, column, taken
+from morphlake.sources.storage import cut, kept
 
 #: Points of consecutive samples that a task takes together (more only where one sample has more).
 RUN_POINTS = 20_000
@@ -80,6 +80,11 @@ def _in_runs(roles: DataFrame, points: DataFrame, solve: Callable, schema: str)
     return by_groups(rows, ["head"], run, schema, ["turn", "id", "x", "y"])
 
 
+def _differ(table: pa.Table, name: str) -> np.ndarray:
+    """Whether each value but the first differs from the one before."""
+    return changes(table.column(name).combine_chunks())
+
+
 def _shift(table: tuple[np.ndarray, np.ndarray], first: int, m: int, last: int, reach: float, cell: float) -> tuple[float, float, int] | None:
     """(dx, dy, votes) of the displacement most pairs of rows first to m and m to last agree on; None without a pair."""
     x, y = table
@@ -224,6 +229,82 @@ def track_ids(manifest: DataFrame, points: DataFrame, matches: DataFrame) -> Dat
     return steps.join(roots.hint("merge"), "id").join(starts.hint("merge"), "root").select("animal_id", "eye", "sample_id", "object_id", "track_id", F.col("prev").alias("prev_sample_id"), shown.alias("displacement"))
 
 
+def follow_samples(manifest: DataFrame, pairs: DataFrame, points: DataFrame, reach: float, mutual: bool = False) -> DataFrame:
+    """``track_ids`` of the matches within ``reach``: one to one, or with ``mutual`` of points that are each other's nearest.
+
+    A task takes the points of a run of consecutive samples once, matches them and names each object's track by its beginning
+    (sample of the run, how many begin there before it), or by the object of the sample before the run that it goes on from.
+    Only the latter are followed from run to run. Beginnings are numbered by a running sum over samples. Where a pair has
+    more than TILE_POINTS points, all go by rows of matches.
+    """
+    pairs = cut(pairs)
+    if pairs.where((F.col("n_prev") > 0) & (F.col("n_cur") > 0) & (F.col("n_prev") + F.col("n_cur") > TILE_POINTS)).limit(1).count():
+        if mutual:
+            return track_ids(manifest, points, cut(mutual_nearest(near_pairs(*_sides(pairs, points), "pair", reach), "pair")))
+        return track_ids(manifest, points, match_samples(pairs, points, reach))
+    kind, match = pairs.schema["sample_id"].dataType.simpleString(), mutual_within if mutual else assigned_within
+
+    def solve(table: pa.Table, samples: list[tuple[int, int, int]]) -> pa.RecordBatch:
+        x, y, ids, turn = (column(table, c) for c in ("x", "y", "id", "turn"))
+        heads = np.concatenate([[True], _differ(table, "head")]) if table.num_rows else np.zeros(0, dtype=bool)
+        nth, place, distance = np.zeros(len(x), dtype=np.int32), np.zeros(len(x), dtype=np.int32), np.full(len(x), np.nan)
+        shown, begun, links, helds, number = [], [], [], [], 0
+        for first, m, last in samples:
+            number = 0 if heads[m] else number
+            if turn[m] == 0:  # the sample before the run
+                place[m:last] = np.arange(last - m)
+                continue
+            number += 1
+            i, j, d = match(x[first:m], y[first:m], x[m:last], y[m:last], reach)
+            free = np.ones(last - m, dtype=bool)
+            free[j] = False
+            begins = m + np.flatnonzero(free)
+            nth[begins], place[begins] = number, np.arange(1, len(begins) + 1)
+            nth[m + j], place[m + j], distance[m + j] = nth[first + i], place[first + i], d
+            if number == 1:
+                held = np.sort(place[m + j])
+            shown.append((m, last, number))
+            begun.append(len(begins))
+            links.append(held if number == 1 else held[:0])
+            helds.append(held)
+        for (m, last, _), held in zip(shown, helds, strict=True):  # places among those of the sample before that go on
+            back = m + np.flatnonzero(nth[m:last] == 0)
+            place[back] = np.searchsorted(held, place[back])
+        at = np.array([s[0] for s in shown], dtype=np.int64)
+        rows = np.concatenate([np.arange(m, last) for m, last, _ in shown]) if shown else np.zeros(0, dtype=np.int64)
+        lists = lambda v, offsets: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), v)
+        each = np.concatenate([[0], np.cumsum([last - m for m, last, _ in shown])])
+        columns = [lists(pa.array(ids[rows]), each), lists(pa.array(distance[rows], from_pandas=True), each), lists(pa.array(nth[rows]), each), lists(pa.array(place[rows]), each)]
+        joined = lists(pa.array(np.concatenate(links) if links else np.zeros(0), pa.int32()), np.concatenate([[0], np.cumsum([len(v) for v in links])]))
+        small = [taken(table, c, at) for c in ("head", "s", "next")]
+        return pa.RecordBatch.from_arrays([*small, pa.array([s[2] for s in shown], pa.int32()), pa.array(begun, pa.int64()), joined, *columns], names=["head", "s", "next", "number", "begun", "links", "ids", "d", "nth", "place"])
+
+    schema = f"head {kind}, s {kind}, next {kind}, number int, begun long, links array<int>, ids array<long>, d array<double>, nth array<int>, place array<int>"
+    found = kept(_in_runs(_run_roles(pairs), points, solve, schema))
+    sample = pairs.select(F.col("sample_id").alias("s"), "animal_id", "eye", "timepoint_dpi", "prev_sample_id")
+    order = [F.col(c) for c in ("animal_id", "eye", "timepoint_dpi", "s")]
+    offsets = cut(summed_before(found.select("head", "s", "number", "begun").join(sample, "s"), order, "begun", "before").select("head", "number", "before"))
+    link = lambda head, k: F.struct(head.alias("head"), k.cast("int").alias("k"))
+    asked = found.where("number = 1 and size(links) > 0").select(F.col("head").alias("to"), F.posexplode("links").alias("k", "at"))
+    ends = found.where("next is not null").select(F.col("next").alias("to"), F.col("head").alias("of"), F.posexplode(F.arrays_zip("nth", "place")).alias("at", "e"))
+    steps = cut(asked.join(ends.hint("merge"), ["to", "at"]).select(link(F.col("to"), F.col("k")).alias("id"), "of", "e.nth", "e.place"))
+    roots = chain_roots(steps.select("id", F.when(F.col("nth") == 0, link(F.col("of"), F.col("place"))).alias("parent")))
+    starts = steps.where("nth > 0").select(F.col("id").alias("root"), F.col("of").alias("head"), F.col("nth").alias("number"), "place")
+    told = roots.join(starts.join(offsets, ["head", "number"]).select("root", (F.col("before") + F.col("place")).alias("track")), "root").select("id.head", "id.k", "track")
+    listed = lambda f, key, value, name: f.groupBy("head").agg(F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda v: v[value]).alias(name))
+    runs = listed(offsets, "number", "before", "befores").join(listed(told, "k", "track", "tracks"), "head", "left")
+    rows = found.select("head", "s", "ids", "d", "nth", "place").join(runs, "head").join(sample, "s")
+    rows = rows.select("animal_id", "eye", F.col("s").alias("sample_id"), "prev_sample_id", "befores", "tracks", F.inline(F.arrays_zip("ids", "d", "nth", "place")))
+    track = F.when(F.col("nth") > 0, F.get("befores", F.col("nth") - 1) + F.col("place")).otherwise(F.get("tracks", F.col("place")))
+    shown = F.when(F.col("prev_sample_id").isNull(), 0.0).otherwise(F.col("d"))
+    return rows.select("animal_id", "eye", "sample_id", F.col("ids").cast(points.schema["id"].dataType).alias("object_id"), track.cast("int").alias("track_id"), "prev_sample_id", shown.alias("displacement"))
+
+
+def track_pairs(tracks: DataFrame) -> DataFrame:
+    """(pair, d) of all matches that tracks are made of."""
+    return tracks.where("prev_sample_id is not null and displacement is not null").select(F.col("sample_id").alias("pair"), F.col("displacement").alias("d"))
+
+
 def common_frame(pairs: DataFrame, used: DataFrame) -> DataFrame:
     """(sample_id, segment, offset_x, offset_y): shifts added up along registered pairs; any other pair begins a segment."""
     order = Window.partitionBy("animal_id", "eye").orderBy("timepoint_dpi", "sample_id")
@@ -236,8 +317,8 @@ def common_frame(pairs: DataFrame, used: DataFrame) -> DataFrame:
 
 
 def track_summary(tracks: DataFrame, qc: DataFrame, used: DataFrame | None = None) -> DataFrame:
-    """Tracks, observations, pairs, mean matched share and mean displacement of each (animal, eye)."""
-    t = tracks.groupBy("animal_id", "eye").agg(F.countDistinct("track_id").alias("n_tracks"), F.count(F.lit(1)).alias("n_observations"), F.avg(F.when(F.col("prev_sample_id").isNotNull(), F.col("displacement"))).alias("mean_displacement"))
+    """Tracks (counted at their beginnings), observations, pairs, mean matched share and mean displacement of each (animal, eye)."""
+    t = tracks.groupBy("animal_id", "eye").agg(F.count_if(F.col("prev_sample_id").isNull() | F.col("displacement").isNull()).alias("n_tracks"), F.count(F.lit(1)).alias("n_observations"), F.avg(F.when(F.col("prev_sample_id").isNotNull(), F.col("displacement"))).alias("mean_displacement"))
     q = qc if used is None else qc.join(used.select(F.col("pair").alias("sample_id"), "used"), "sample_id", "left")
     kind = F.lit(None).cast("string") if used is None else F.col("used")
     p = q.groupBy("animal_id", "eye").agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if(kind == "registered").alias("registered_pairs"), F.count_if(kind.startswith("fallback")).alias("fallback_pairs"), F.avg("matched_fraction").alias("mean_matched_fraction"))

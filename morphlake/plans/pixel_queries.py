@@ -239,7 +239,7 @@ def k3_given_matches(spark, d):
 
 
 def k4_given_matches(spark, d):
-    return track.track_ids(b.manifest(spark, d), _track_points(spark, d), cut(_given(spark, d))).select("sample_id", "object_id", "track_id", R("displacement"))
+    return track.follow_samples(b.manifest(spark, d), _pairs(spark, d), _track_points(spark, d), 20.0, mutual=True).select("sample_id", "object_id", "track_id", R("displacement"))
 
 
 def k5_given_modes(spark, d):
@@ -250,8 +250,8 @@ def k5_given_modes(spark, d):
 
 
 def k6_given_matches(spark, d):
-    matches = cut(_given(spark, d))
-    t = track.track_summary(track.track_ids(b.manifest(spark, d), _track_points(spark, d), matches), track.pair_qc(_pairs(spark, d), matches))
+    tracks = track.follow_samples(b.manifest(spark, d), _pairs(spark, d), _track_points(spark, d), 20.0, mutual=True)
+    t = track.track_summary(tracks, track.pair_qc(_pairs(spark, d), track.track_pairs(tracks)))
     return t.select("animal_id", "eye", "n_tracks", "n_observations", "n_pairs", R("mean_displacement"), R("mean_matched_fraction"))
 
 
@@ -329,7 +329,7 @@ def k3_pair_qc(spark, d):
 
 
 def k4_track_ids(spark, d):
-    return track.track_ids(b.manifest(spark, d), _track_points(spark, d), j9b_gated_assignment(spark, d))
+    return track.follow_samples(b.manifest(spark, d), _pairs(spark, d), _track_points(spark, d), 20.0)
 
 
 def k5_common_frame(spark, d):
@@ -337,8 +337,8 @@ def k5_common_frame(spark, d):
 
 
 def k6_track_summary(spark, d):
-    matches = j9b_gated_assignment(spark, d)
-    return track.track_summary(track.track_ids(b.manifest(spark, d), _track_points(spark, d), matches), track.pair_qc(_pairs(spark, d), matches))
+    tracks = track.follow_samples(b.manifest(spark, d), _pairs(spark, d), _track_points(spark, d), 20.0)
+    return track.track_summary(tracks, track.pair_qc(_pairs(spark, d), track.track_pairs(tracks)))
 
 
 def _sets(spark, d):

@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from morphlake.operators import track
+from morphlake.operators import matching, track
+from morphlake.operators.graph import chain_roots
+from morphlake.operators.neighbors import near_pairs
 from morphlake.plans import pixel_queries as pq
 
 
@@ -45,3 +47,31 @@ def test_modes_of_runs_equal_those_of_matches(spark, followed, monkeypatch, run,
 def test_registering_makes_no_row_for_a_pair(spark, query):
     plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "cx#" not in plan and plan.count("mapInArrow") + plan.count("MapInArrow") == 1
+
+
+@pytest.mark.parametrize("mutual", [False, True])
+@pytest.mark.parametrize(("run", "tile"), [(20_000, 20_000), (150, 20_000), (1, 20_000), (150, 200)])
+def test_tracks_of_runs_equal_those_of_matches(spark, followed, monkeypatch, run, tile, mutual):
+    points, manifest, pairs = followed
+    monkeypatch.setattr(track, "RUN_POINTS", run)
+    monkeypatch.setattr(track, "TILE_POINTS", tile)
+    before, after = track._sides(pairs, points)
+    matches = matching.mutual_nearest(near_pairs(before, after, "pair", 9.0), "pair") if mutual else matching.gated_assignment(before, after, "pair", 9.0)
+    expected = track.track_ids(manifest, points, matches)
+    got = track.follow_samples(manifest, pairs, points, 9.0, mutual).cache()
+    assert got.schema["track_id"].dataType == expected.schema["track_id"].dataType and got.columns == expected.columns
+    _same(got, expected, ["sample_id", "object_id"])
+    assert got.groupBy("track_id").agg(F.count(F.lit(1)).alias("n")).where("n > 3").count()
+    _same(track.pair_qc(pairs, track.track_pairs(got)), track.pair_qc(pairs, matches), ["sample_id"])
+
+
+@pytest.mark.parametrize("query", [pq.k4_given_matches, pq.k6_given_matches, pq.k4_track_ids])
+def test_tracks_are_found_without_rows_of_matches(spark, query, monkeypatch):
+    monkeypatch.setattr(track, "chain_roots", lambda steps: _few(chain_roots, steps))
+    assert query(spark, "/root/testdata/sf0.001").count()
+
+
+def _few(find, steps):
+    """Only objects that go on from a run before are followed by Spark; sf0.001 is shorter than a run for each eye."""
+    assert steps.count() == 0
+    return find(steps)
